@@ -1,0 +1,4 @@
+"""Registered queries of the document engine and their DuckDB SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
