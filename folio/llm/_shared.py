@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4
         col = batch.column(column)
         if batch.num_rows == 0:
             continue
-        ends = np.cumsum([0 if x is None else x for x in pa.compute.binary_length(col).to_pylist()])
+        ends = np.cumsum([0 if x is None else x for x in pc.binary_length(col).to_pylist()])
         at, base = 0, 0
         while at < batch.num_rows:
             stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))

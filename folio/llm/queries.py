@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import chains, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
-QUERIES = {"op5_simhash": op5_simhash}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_passages, op5_simhash)}
 ORACLE_SQL: dict[str, str] = {}
