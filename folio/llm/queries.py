@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chains, packing, quality, simhash
+from . import chains, packing, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_passages, op5_simhash)}
-ORACLE_SQL: dict[str, str] = {"op1_quality": quality.ORACLE}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_passages, op5_simhash, op7_warc)}
+ORACLE_SQL: dict[str, str] = {"op1_quality": quality.ORACLE, "op7_warc": warc.ORACLE}
