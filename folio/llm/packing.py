@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialise, only, runs, small_batches
-from .tokens import CachedEncoder
+from .tokens import encoder
 
 SHARD = 1 << 16
 CAPACITY = (4096, 4096, 4096 * 4096)
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
     """(doc_id, piece, start, length, ids_crc32[, ids]) of each text's ids and the end id, cut only where over size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = CachedEncoder(tokenizer)
+        encode = encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
         for b in small_batches(batches, "text"):
             row, piece, start, length, crc, content = [], [], [], [], [], []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 import os
 
@@ -13,6 +14,12 @@ def vocabulary(name: str) -> str:
     return name if "/" in name else importlib.import_module("public_tokenizers").path(name)
 
 
+@functools.lru_cache(maxsize=4)
+def encoder(name: str) -> CachedEncoder:
+    """One per Python worker, so that tasks after the first find known pieces."""
+    return CachedEncoder(name)
+
+
 class CachedEncoder:
     """tokenizers' ids of a text as little-endian unsigned 32-bit bytes.
 
