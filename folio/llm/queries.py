@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chains, packing, quality, simhash, warc
+from . import chains, media, packing, quality, separators, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +23,27 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op4_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.count_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is the URLs of pages whose id is divisible by 20."""
+    pages = _table(spark, sf_dir, "pages")
+    return urls.judge(pages, pages.where("page_id % 20 = 0"), urls.RULES)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_passages, op5_simhash, op7_warc)}
-ORACLE_SQL: dict[str, str] = {"op1_quality": quality.ORACLE, "op7_warc": warc.ORACLE}
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_passages, op4_separators, op5_simhash, op6_urls, op7_warc, op9_media)}
+ORACLE_SQL: dict[str, str] = {"op1_quality": quality.ORACLE, "op6_urls": urls.ORACLE, "op7_warc": warc.ORACLE}
