@@ -23,6 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = both.unionByName(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialise(least, "least")  # a table, so that the join is between exchanges and Spark can split its hot keys
     on = both.join(least, "a")
     if large:
         out = on.where("b > a").select(F.col("m").alias("u"), F.col("b").alias("v"))

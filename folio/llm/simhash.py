@@ -231,8 +231,9 @@ def _with_components(rows: DataFrame, edges: DataFrame, more: list[str]) -> Data
     reps = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     comp = reps.join(connected_components(edges), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     comp = materialise(comp, "components")
-    ids = comp.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = comp.join(ids, "component").select("node", "component_id")
+    # tables, so that each join is between exchanges and Spark can split its hot keys
+    ids = materialise(comp.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    named = materialise(comp.join(ids, "component").select("node", "component_id"), "named")
     return rows.join(named, "node").select("doc_id", *more, "component_id")
 
 
@@ -308,9 +309,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     over `block` distinct texts is dealt as pairs of tiles, so that none is held whole by one task.
     """
     rows = materialise(signatures(docs, shingle), "signatures")
-    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sig").alias("sig"), F.min("bands").alias("bands"))
+    nodes = materialise(nodes, "nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("k1", "k2"))
-    counts = keyed.groupBy("k1", "k2").count().where("count > 1")
+    counts = materialise(keyed.groupBy("k1", "k2").count().where("count > 1"), "counts")
     tiles = F.ceil(F.col("count") / block).cast("int")
     members = keyed.join(counts, ["k1", "k2"]).withColumn("tiles", tiles)
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")

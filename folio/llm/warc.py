@@ -191,6 +191,7 @@ def resolve(captures: DataFrame) -> DataFrame:
     c = captures.select(row.alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.record_id").alias("record_id"), F.col("response.refers_to").alias("refers"), F.col("response.payload_bytes").alias("n"), F.col("response.payload_sha1").alias("sha"))
     c = materialise(c, "captures")
     held = c.where("record_type = 'response'").groupBy("record_id").agg(F.min("page_id").alias("holder"), F.min("n").alias("held_n"), F.min("sha").alias("held_sha")).withColumnRenamed("record_id", "refers")
+    held = materialise(held, "held")
     own = c.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     again = c.where("record_type = 'revisit'").join(held, "refers", "left").select("page_id", F.col("held_n").alias("payload_bytes"), F.col("held_sha").alias("payload_digest"), "record_type", F.col("holder").alias("refers_to"))
     return own.unionByName(again)
