@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chains, media, packing, pieces, quality, separators, simhash, urls, warc
+from . import chains, chat, media, packing, pieces, quality, separators, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(*chat.from_conversations(_table(spark, sf_dir, "conversations")), chat.SCHEMAS)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_passages, op4_separators, op5_simhash, op6_urls, op7_warc, op9_media, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_passages, op4_separators, op5_simhash, op6_urls, op7_warc, op8_chat, op9_media, op10_pieces)}
 ORACLE_SQL: dict[str, str] = {"op1_quality": quality.ORACLE, "op6_urls": urls.ORACLE, "op7_warc": warc.ORACLE}
