@@ -60,7 +60,7 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose `column` holds about `limit` bytes, or one row where that alone is longer."""
     for batch in batches:
         col = batch.column(column)

@@ -29,7 +29,7 @@ class CachedEncoder:
     tokenizer gives an id of its own.
     """
 
-    def __init__(self, name: str, limit: int = 400_000):
+    def __init__(self, name: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
