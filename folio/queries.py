@@ -1,4 +1,615 @@
-"""Registered queries of the document engine and their DuckDB SQL."""
+"""Registered queries of the document engine, each over whole tables, and their DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Tables that hold no input of a rule's kind are turned into some by literal changes that both sides make alike. The SQL is
+written from the rules by itself: lookbehinds become marks, folds become recursive queries.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import js, numbers, replies, text
+from .operators import blocks, dispatch, exports, layout, progress, providers, segment
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- parts of SQL -------------------------------------------------------------------------------------------------
+
+WS = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+CJK = r"\x{3400}-\x{9FFF}"
+
+
+def q_re(x: str, pattern: str, to: str, flags: str = "g") -> str:
+    return f"regexp_replace({x}, '{pattern}', {to}, '{flags}')"
+
+
+def q_trim(x: str) -> str:
+    return q_re(x, f"^{WS}+|{WS}+$", "''")
+
+
+def q_normalize(x: str) -> str:
+    x = q_re(f"replace(coalesce({x}, ''), chr(0), '')", r"\r\n?", "chr(10)")
+    return q_trim(q_re(x, r"[ \t]+\n", "chr(10)"))
+
+
+def q_named(x: str) -> str:
+    for name, to in (("&nbsp;", "' '"), ("&amp;", "'&'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)")):
+        x = q_re(x, name, to, "gi")
+    return x
+
+
+def q_html(x: str) -> str:
+    x = q_re(q_re(x, "<script.*?</script>", "''", "gis"), "<style.*?</style>", "''", "gis")
+    return q_normalize(q_named(q_re(x, "<[^>]+>", "chr(10)")))
+
+
+def q_split(x: str) -> str:
+    marked = q_re(q_re(q_normalize(x), f"([。！？.!?]){WS}{{2,}}", r"'\1' || chr(1)"), rf"\n{WS}*\n", "chr(1)")
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda p: {q_trim(q_re('p', chr(92) + 'n+', chr(39) + ' ' + chr(39)))}), lambda p: p <> '')"
+
+
+# --- text ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {q_split(q_html("html"))} AS ps FROM pages)
+SELECT page_id, 'p-' || i AS para_id, i AS ord, ps[i] AS text FROM (SELECT page_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)
+""")
+def html_paragraphs(spark, sf_dir):
+    """Pages to numbered paragraphs."""
+    return segment.paragraphs(table(spark, sf_dir, "pages"), "page_id", text.strip_html(F.col("html")))
+
+
+@query(f"SELECT page_id, {q_html('html')} AS text FROM pages")
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
+
+
+_CODED = "html || '&AMP;lt;&amp;nbsp;&#' || (page_id % 40000 + 33) || ';&#x27;&#65601;&#39'"
+
+
+@query(f"""
+WITH d AS (SELECT page_id, regexp_extract_all({q_named(_CODED)}, '&#[0-9]+;|[^&]+|&') AS parts FROM pages)
+SELECT page_id, list_aggregate(list_transform(parts, lambda t: CASE WHEN regexp_full_match(t, '&#[0-9]+;')
+  THEN chr((regexp_extract(t, '[0-9]+')::BIGINT % 65536)::INTEGER) ELSE t END), 'string_agg', '') AS text FROM d
+""")
+def entity_decode(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.decode_entities(F.expr(_CODED)).alias("text"))
+
+
+_DIRTY = r"'  ' || replace(replace(text, '. ', ' ' || chr(9) || chr(13) || chr(10)), 'e ', chr(13) || chr(0)) || chr(160) || chr(13)"
+
+
+@query(f"SELECT doc_id, {q_normalize(_DIRTY)} AS text FROM documents")
+def normalize_text(spark, sf_dir):
+    dirty = _DIRTY.replace("chr(160)", "decode(unhex('C2A0'), 'UTF-8')")
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.expr(dirty)).alias("text"))
+
+
+_BROKEN = "replace(replace(text, ', ', ' , ( co- operate ) '), ' of ', ' e' || lig || 'ort hy-   phen Anglo- Saxon ')"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, chr(64256) AS lig, text FROM documents),
+a AS (SELECT doc_id, {q_re(_BROKEN, r"[\x00-\x08\x0B\x0C\x0E-\x1F\xAD]", "''")} AS t FROM d),
+b AS (SELECT doc_id, {q_re("replace(t, chr(64256), 'ff')", f"([A-Za-z]{{2,}})-{WS}+([a-z]{{2,}})" + r"\b", r"'\1\2'")} AS t FROM a),
+c AS (SELECT doc_id, {q_re("t", r"[ \t\x{A0}]+", "' '")} AS t FROM b)
+SELECT doc_id, {q_trim(q_re(q_re("t", f"{WS}+([,.;:!?%)])", r"'\1'"), rf"(\(){WS}+", r"'\1'"))} AS text FROM c
+""")
+def extracted_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("lig", F.lit("ﬀ"))
+    return d.select("doc_id", text.normalize_extracted(F.expr(_BROKEN)).alias("text"))
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, string_agg(text, chr(10) || ' ' || chr(10) ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, {q_split("replace(t, '. ', '.   ')")} AS ps FROM c)
+SELECT conv_id, 'p-' || i AS para_id, i AS ord, ps[i] AS text FROM (SELECT conv_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)
+""")
+def paragraph_split(spark, sf_dir):
+    """Turns of a conversation, joined by blank lines, back to paragraphs."""
+    turns = table(spark, sf_dir, "conversations").withColumn("_o", F.struct("turn", "role"))
+    held = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("_o", "text"))).alias("_t"))
+    joined = F.replace(F.array_join(F.col("_t.text"), "\n \n"), F.lit(". "), F.lit(".   "))
+    return segment.paragraphs(held, "conv_id", joined)
+
+
+_SENTENCE = "[^.!?。！？]+(?:[.!?。！？]+[\"''’”)\\]]*|$)"
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT doc_id, text FROM documents WHERE length(text) > 2800),
+s AS (SELECT doc_id, unnest(f) AS s, generate_subscripts(f, 1) AS k FROM
+      (SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '{_SENTENCE}')) > 0 THEN regexp_extract_all(text, '{_SENTENCE}') ELSE [text] END AS f FROM l)),
+t AS (SELECT doc_id, x AS s, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k FROM (SELECT doc_id, k, {q_trim("s")} AS x FROM s) WHERE x <> ''),
+r(doc_id, k, n, cur, rest, piece) AS (
+  SELECT doc_id, 0::BIGINT, 0::BIGINT, '', '', NULL::VARCHAR FROM l
+  UNION ALL
+  SELECT r.doc_id, CASE WHEN rest = '' AND NOT flush THEN r.k + 1 ELSE r.k END, r.n + 1,
+         CASE WHEN rest <> '' THEN CASE WHEN length(rest) > 2800 THEN '' ELSE rest END
+              WHEN flush THEN '' WHEN t.s IS NULL THEN '' WHEN length(t.s) > 2800 THEN ''
+              WHEN cur = '' THEN t.s WHEN regexp_matches(cur, '[{CJK}]$') OR regexp_matches(t.s, '^[{CJK}]') THEN cur || t.s ELSE cur || ' ' || t.s END,
+         CASE WHEN rest <> '' THEN CASE WHEN length(rest) > 2800 THEN {q_trim("substr(rest, cut + 1)")} ELSE '' END
+              WHEN NOT flush AND length(t.s) > 2800 THEN t.s ELSE '' END,
+         CASE WHEN rest <> '' THEN CASE WHEN length(rest) > 2800 THEN {q_trim("substr(rest, 1, cut)")} END WHEN flush OR t.s IS NULL THEN nullif({q_trim("cur")}, '') END
+  FROM (SELECT r0.*, CASE WHEN sp < 1820 THEN 2800 ELSE sp END AS cut FROM (SELECT *, length(regexp_extract(substr(rest, 1, 2801), '(?s)^(.*) ', 1)) AS sp FROM r) r0) r
+  LEFT JOIN t ON t.doc_id = r.doc_id AND t.k = r.k + 1
+  CROSS JOIN LATERAL (SELECT rest = '' AND cur <> '' AND t.s IS NOT NULL AND length(cur) + length(t.s) + 1 > 2800 AS flush)
+  WHERE NOT (t.s IS NULL AND cur = '' AND rest = ''))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS ord, piece AS text FROM r WHERE piece IS NOT NULL
+UNION ALL SELECT doc_id, 1, text FROM documents WHERE length(text) <= 2800
+""")
+def long_text_chunks(spark, sf_dir):
+    """Documents as pieces of at most 2800 characters."""
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(segment.long_text(F.col("text"))).alias("ord", "text"))
+    return parts.select("doc_id", (F.col("ord") + 1).cast("long").alias("ord"), "text")
+
+
+# --- blocks -------------------------------------------------------------------------------------------------------
+
+
+def _raw_lines(spark, sf_dir):
+    """One raw paragraph per line of a document; every 7th is a list item, every 11th indented."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    indent = F.when(F.col("seq") % 11 == 5, 240.0).otherwise(0.0)
+    return blocks.classify(d.withColumns({"text": text.normalize_extracted(F.col("text")), "list": F.col("seq") % 7 == 3, "first_line": indent}))
+
+
+_X = q_re(q_re("x", r"[\x00-\x08\x0B\x0C\x0E-\x1F\xAD]", "''"), f"([A-Za-z]{{2,}})-{WS}+([a-z]{{2,}})" + r"\b", r"'\1\2'")
+_X = q_re(q_re(q_re(_X, r"[ \t\x{A0}]+", "' '"), f"{WS}+([,.;:!?%)])", r"'\1'"), rf"(\(){WS}+", r"'\1'")
+_TERMINAL = r"""[.!?。！？]["''’”》」』】)\]]*$"""
+_LINES = f"""
+lines AS (SELECT doc_id, i - 1 AS seq, {q_trim(_X)} AS t FROM (SELECT doc_id, ls[i] AS x, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))),
+ended AS (SELECT *, regexp_matches(t, '{_TERMINAL}') AS ended, regexp_replace(t, '[^A-Za-z]', '', 'g') AS letters FROM lines),
+cls AS (
+  SELECT doc_id, seq, t, ended, t <> '' AND length(t) <= 140 AND (regexp_matches(t, '^(?:[IVXLCDM]+\\.|[A-Z]\\.|[0-9]+(?:\\.[0-9]+)*\\.?){WS}+\\p{{Lu}}') OR length(letters) >= 5 AND letters = upper(letters) AND NOT ended) AS heading,
+         regexp_matches(t, '(?i)^(?:fig(?:ure)?\\.?|table){WS}*[0-9]+{WS}*[:.]') AS caption,
+         length(t) <= 240 AND regexp_matches(t, '[=<>≤≥≈∑∏∫√∞∈∂Θβε]') AND regexp_matches(t, '\\([0-9]{{1,3}}\\){WS}*$')
+           AND (len(regexp_extract_all(t, '[A-Za-z]{{3,}}')) <= 9 OR len(regexp_extract_all(t, '[=<>≤≥≈∑∏∫√∞∈+*/-]')) >= 2) AS equation,
+         regexp_matches(t, '(?i)^arXiv:.*[0-9]{{4}}\\.[0-9]+') OR regexp_matches(t, '^[0-9]{{1,3}}$') AS furniture, seq % 7 = 3 AS bullet,
+         regexp_matches(t, '(?i)^(?:and|or|but|because|which|that|where|whose|while|when|with|without|within|by|for|from|in|into|of|on|than|to|under|using|via|as|is|are|was|were|has|have|had|can|could|may|might|must|should|would|thus|therefore|however|respectively)(?:[^A-Za-z0-9_]|$)') OR regexp_matches(t, '^\\p{{Ll}}') AS goes_on
+  FROM ended)"""
+
+
+@query(f"WITH {_LINES} SELECT doc_id, seq, t AS text, heading, caption, equation, furniture, bullet, regexp_matches(t, '[{CJK}]|[A-Za-z]{{4,}}') AS translatable FROM cls")
+def line_classify(spark, sf_dir):
+    c = _raw_lines(spark, sf_dir)
+    return c.select("doc_id", F.col("seq").cast("long").alias("seq"), "text", "heading", "caption", "equation", "furniture", "bullet", segment.translatable(F.col("text")).alias("translatable"))
+
+
+_FOLD = f"""
+WITH RECURSIVE {_LINES},
+item AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM cls),
+f(doc_id, k, pend, kind, n, ended, typ, otext, okind, furn, dup, mrg, form) AS (
+  SELECT doc_id, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 0::BIGINT, false, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0, 0, 0, 0 FROM documents
+  UNION ALL
+  SELECT f.doc_id, i.k, CASE b WHEN 'f' THEN NULL WHEN 'm' THEN CASE WHEN regexp_matches(pend, '[{CJK}]$') OR regexp_matches(t, '^[{CJK}]') THEN pend || t ELSE pend || ' ' || t END WHEN 'o' THEN t ELSE pend END,
+         CASE b WHEN 'f' THEN NULL WHEN 'o' THEN CASE WHEN i.heading THEN 'heading' WHEN i.caption THEN 'caption' WHEN i.bullet THEN 'list-item' ELSE 'paragraph' END ELSE kind END,
+         f.n + 1, CASE b WHEN 'm' THEN i.ended WHEN 'o' THEN i.ended ELSE f.ended END,
+         CASE WHEN b IN ('f', 'o') THEN CASE WHEN pend IS NOT NULL THEN 'p' ELSE '' END || CASE WHEN b = 'f' AND t <> '' THEN 'f' ELSE '' END END, pend || '', CASE WHEN b = 'f' THEN t ELSE '' END || chr(1) || coalesce(kind, ''),
+         (b = 'u')::INT, (b = 'd')::INT, (b = 'm')::INT, (b = 'f')::INT
+  FROM f JOIN item i ON i.doc_id = f.doc_id AND i.k = f.k + 1
+  CROSS JOIN LATERAL (SELECT CASE WHEN i.equation THEN 'f' WHEN i.t = '' THEN 'e' WHEN i.furniture THEN 'u' WHEN pend = i.t THEN 'd'
+    WHEN pend IS NOT NULL AND NOT (kind IN ('heading', 'caption') OR i.heading OR i.caption OR i.bullet) AND length(pend) + length(i.t) <= 4200 AND i.seq % 11 <> 5 AND (i.goes_on OR NOT f.ended) THEN 'm' ELSE 'o' END AS b)),
+ends AS (SELECT doc_id, max(k) AS k FROM f GROUP BY doc_id),
+outs AS (
+  SELECT doc_id, n * 2 AS o, 'paragraph' AS type, otext AS text, string_split(okind, chr(1))[-1] AS kind FROM f WHERE contains(typ, 'p')
+  UNION ALL SELECT doc_id, n * 2 + 1, 'formula', string_split(okind, chr(1))[1], NULL FROM f WHERE contains(typ, 'f')
+  UNION ALL SELECT f.doc_id, f.n * 2 + 2, 'paragraph', pend, kind FROM f JOIN ends ON f.doc_id = ends.doc_id AND f.k = ends.k WHERE pend IS NOT NULL)
+"""
+
+
+@query(_FOLD + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS ord, type, text, kind FROM outs")
+def block_fold(spark, sf_dir):
+    """Lines of documents merged into blocks."""
+    b = blocks.blocks(blocks.fold(_raw_lines(spark, sf_dir), ["doc_id"]), ["doc_id"])
+    return b.select("doc_id", "ord", "type", F.coalesce("text", "latex").alias("text"), "kind")
+
+
+@query(_FOLD + "SELECT doc_id, sum(form)::BIGINT AS formulas, sum(furn)::BIGINT AS furniture, sum(dup)::BIGINT AS duplicates, sum(mrg)::BIGINT AS merged FROM f GROUP BY doc_id")
+def block_counters(spark, sf_dir):
+    return blocks.fold(_raw_lines(spark, sf_dir), ["doc_id"]).select("doc_id", "formulas", "furniture", "duplicates", "merged")
+
+
+# --- layout -------------------------------------------------------------------------------------------------------
+
+_CLOSE = r"[,.;:!?%，。！？、；：％）》」』”’)\]}]"
+_OPEN = r"[(\[{【《「『“‘]"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, i - 1 AS seq, list_filter(list_transform(string_split_regex(replace(replace(ls[i], ', ', ' , ( '), '. ', ' ) 中 '), '[ ]'), lambda t: {q_trim(q_re("t", WS + "+", "' '"))}), lambda t: t <> '') AS ts
+           FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))
+SELECT doc_id, seq, coalesce({q_trim(f"list_reduce(ts, lambda a, b: a || CASE WHEN regexp_matches(b, '^{_CLOSE}') OR regexp_matches(a, '{_OPEN}$') OR regexp_matches(right(a, 1), '[{CJK}]') OR regexp_matches(b, '^[{CJK}]') THEN '' ELSE ' ' END || b)").replace("list_reduce(ts", "list_reduce(CASE WHEN len(ts) = 0 THEN [''] ELSE ts END")}, '') AS text FROM l
+""")
+def token_join(spark, sf_dir):
+    """Words of each line joined as the tokens of a positioned line."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "x"))
+    x = F.replace(F.replace(F.col("x"), F.lit(", "), F.lit(" , ( ")), F.lit(". "), F.lit(" ) 中 "))
+    return d.select("doc_id", F.col("seq").cast("long").alias("seq"), text.join_tokens(F.split(x, " ")).alias("text"))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(text, '.' || chr(10), '-' || chr(10)), 'the' || chr(10), '中' || chr(10)), chr(10)), lambda t: {q_trim("t")}), lambda t: t <> '') AS ts FROM documents)
+SELECT doc_id, {q_trim(f"list_reduce(CASE WHEN len(ts) = 0 THEN [''] ELSE ts END, lambda a, b: a || CASE WHEN regexp_matches(right(a, 1), '[{CJK}/-]') OR regexp_matches(b, '^[{CJK}]') THEN '' ELSE ' ' END || b)")} AS text FROM l
+""")
+def pdf_line_join(spark, sf_dir):
+    """Lines of each document joined as those of a paragraph."""
+    x = F.replace(F.replace(F.col("text"), F.lit(".\n"), F.lit("-\n")), F.lit("the\n"), F.lit("中\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.join_lines(F.split(x, "\n")).alias("text"))
+
+
+_LINE = "l_orderkey, l_linenumber AS line, 800 - 14 * l_linenumber - CASE WHEN l_quantity > 40 THEN 30 ELSE 0 END * (l_linenumber % 2) AS y, 8 + l_linenumber % 5 AS font, l_returnflag || l_linenumber AS text"
+
+
+@query(f"""
+WITH l AS (SELECT {_LINE} FROM lineitem),
+g AS (SELECT *, lag(y) OVER w - y > greatest(16, 2.1 * greatest(lag(font) OVER w, font)) AS far FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY line, text, y)),
+h AS (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY line, text, y ROWS UNBOUNDED PRECEDING) AS grp FROM g)
+SELECT l_orderkey, grp::BIGINT AS grp, string_agg(text, ' ' ORDER BY line, text) AS text, count(*) AS n_lines FROM h GROUP BY l_orderkey, grp
+""")
+def paragraph_gap_groups(spark, sf_dir):
+    """Order lines placed as the lines of a page, grouped by their gaps."""
+    li = table(spark, sf_dir, "lineitem").selectExpr(*_split_select(_LINE))
+    w = Window.partitionBy("l_orderkey").orderBy("line", "text", "y")
+    li = li.withColumn("line", F.row_number().over(w)).withColumns({"y": F.col("y").cast("double"), "font": F.col("font").cast("double")})
+    return layout.paragraph_groups(li, ["l_orderkey"])
+
+
+def _split_select(s: str) -> list[str]:
+    return [x.strip() for x in s.split(",")] if "(" not in s else _balanced(s)
+
+
+def _balanced(s: str) -> list[str]:
+    out, depth, cur = [], 0, ""
+    for c in s:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(cur.strip())
+            cur = ""
+        else:
+            cur += c
+    return [*out, cur.strip()]
+
+
+@query("""
+WITH a(i, x) AS (VALUES (0, 5.0), (1, 16.0), (2, 27.0), (3, 44.0)),
+n AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, i, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount ORDER BY abs(x - l_quantity), i) AS k FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem) CROSS JOIN a)
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, i AS anchor FROM n WHERE k = 1
+""")
+def nearest_anchor_cells(spark, sf_dir):
+    """Quantities as positions, each to its column."""
+    at = F.array(*(F.lit(x) for x in (5.0, 16.0, 27.0, 44.0)))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount").distinct()
+    return li.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", layout.nearest(F.col("l_quantity"), at).alias("anchor"))
+
+
+def _items(spark, sf_dir):
+    """Each order as a page of items: a caption, a row of four numbers per line, prose below."""
+    li = table(spark, sf_dir, "lineitem")
+    y = 700.0 - 15 * F.col("l_linenumber")
+    cell = lambda k, x, t: F.struct(F.lit(k).alias("k"), F.lit(float(x)).alias("x"), t.cast("string").alias("s"))
+    cells = F.array(cell(0, 50, F.col("l_linenumber")), cell(1, 150, F.col("l_quantity")), cell(2, 252, F.col("l_extendedprice")), cell(3, 348, F.col("l_discount")))
+    rows = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), y.alias("y"), F.explode(cells).alias("c")).select("doc_id", "n", "y", "c.*")
+    heads = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max("l_linenumber").alias("m"), F.min("l_returnflag").alias("f"))
+    top = heads.select("doc_id", F.lit(0).alias("n"), F.lit(700.0).alias("y"), F.lit(0).alias("k"), F.lit(50.0).alias("x"), F.concat(F.lit("Table "), F.col("doc_id").cast("string"), F.lit(". Lines")).alias("s"))
+    below = heads.select("doc_id", (F.col("m") + 1).alias("n"), (640.0 - 15 * F.col("m")).alias("y"), F.lit(0).alias("k"), F.lit(50.0).alias("x"), F.concat(F.lit("Flag "), "f").alias("s"))
+    all_ = rows.unionByName(top).unionByName(below)
+    zero = F.lit(0.0)
+    return all_.select("doc_id", F.lit(1).alias("page"), (F.col("n") * 10 + F.col("k")).alias("seq"), F.col("s").alias("str"), F.array(F.lit(10.0), zero, zero, F.lit(10.0), F.col("x"), F.col("y")).alias("transform"), F.lit(30.0).alias("width"), F.lit(10.0).alias("height"))
+
+
+@query()
+def table_detect(spark, sf_dir):
+    """Orders laid out as pages: tables found again, and their rows."""
+    return layout.document(_items(spark, sf_dir)).select("doc_id", "ord", "page", "type", "text", "table", "row")
+
+
+@query("""
+WITH li AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL),
+i AS (
+  SELECT l_orderkey, l_linenumber, 0 AS k, 50.0 AS x, 30.0 AS width FROM li UNION ALL
+  SELECT l_orderkey, l_linenumber, 1, 50.0 + l_quantity, 30.0 FROM li UNION ALL
+  SELECT l_orderkey, l_linenumber, 2, 130.0, l_quantity FROM li),
+g AS (SELECT *, x - lag(x + width) OVER w > greatest(7, 1.1 * 10) AS far FROM i WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY x, k)),
+s AS (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY x, k ROWS UNBOUNDED PRECEDING) AS segment FROM g)
+SELECT l_orderkey, l_linenumber, segment::BIGINT AS segment, min(x) AS x, string_agg('t' || k, ' ' ORDER BY x, k) AS text FROM s GROUP BY ALL
+""")
+def line_segments(spark, sf_dir):
+    """Three items per order line, split where the gap is wide."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
+    item = lambda k, x, w: F.struct(F.lit(k).alias("seq"), x.alias("x"), w.alias("width"))
+    i = li.select("l_orderkey", "l_linenumber", F.explode(F.array(item(0, F.lit(50.0), F.lit(30.0)), item(1, 50.0 + F.col("l_quantity"), F.lit(30.0)), item(2, F.lit(130.0), F.col("l_quantity")))).alias("i")).select("l_orderkey", "l_linenumber", "i.*")
+    i = i.withColumns({"right": F.col("x") + F.col("width"), "font": F.lit(10.0), "text": F.concat(F.lit("t"), F.col("seq").cast("string"))})
+    return layout.segments(i, ["l_orderkey", "l_linenumber"])
+
+
+# --- requests and replies -----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT conv_id, turn, 'u' || turn AS id, {q_normalize('text')} AS text FROM conversations WHERE {q_normalize('text')} <> ''")
+def request_units(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("u"), F.col("turn").cast("string")).alias("id"), "text")
+    return segment.request_units(c)
+
+
+_HEAD, _MID, _TAIL = replies.INSTRUCTION.split("{}")
+
+
+@query(f"""
+SELECT conv_id, turn, 'be brief' || chr(10) || chr(10) || '{_HEAD}' || '{replies.SOURCE}' || '{_MID}' || role || '{_TAIL}' || to_json([{{'id': 'u' || turn, 'text': text}}])::VARCHAR AS prompt FROM conversations
+""")
+def prompt_json(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    units = F.array(F.struct(F.concat(F.lit("u"), F.col("turn").cast("string")).alias("id"), "text"))
+    return c.select("conv_id", "turn", replies.prompt(F.lit("be brief"), F.lit(""), F.col("role"), units).alias("prompt"))
+
+
+_REPLY = "CASE turn % 3 WHEN 0 THEN '```JSON' || chr(10) || {json} || chr(10) || '```' WHEN 1 THEN 'p-1: ' || replace(text, '. ', chr(13) || chr(10) || 'k : ') ELSE text || chr(10) || ' x：' || role || chr(10) || 'y:' END"
+
+
+@query(f"""
+WITH r AS (SELECT conv_id, turn, text, turn % 3 = 0 AS js, {q_trim(q_re(q_re(_REPLY.format(json="'-'"), "^```(?:json)?", "''", "i"), "```$", "''"))} AS c FROM conversations),
+l AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(c, '\\r?\\n'), lambda x: {q_trim("x")}), lambda x: x <> '') AS ls FROM r WHERE NOT js),
+m AS (SELECT conv_id, turn, i AS n, ls[i] AS x FROM (SELECT conv_id, turn, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)),
+p AS (SELECT *, regexp_matches(x, '^[^\\t:：]+[\\t:：]') AS s, {q_trim("regexp_extract(x, '(?s)^[^\\t:：]+[\\t:：](.*)$', 1)")} AS rhs FROM m)
+SELECT conv_id, turn, n, CASE WHEN s THEN {q_trim("regexp_extract(x, '^([^\\t:：]+)', 1)")} ELSE '' END AS id, CASE WHEN s AND rhs <> '' THEN rhs ELSE x END AS translation FROM p
+UNION ALL SELECT conv_id, turn, 1, 'u' || turn, text FROM r WHERE js UNION ALL SELECT conv_id, turn, 2, '7', '' FROM r WHERE js
+""")
+def parse_items(spark, sf_dir):
+    """Replies made from turns: fenced JSON, lines with ids, plain lines."""
+    c = table(spark, sf_dir, "conversations")
+    js_text = "to_json(array(named_struct('id', concat('u', turn), 'translation', text), named_struct('id', '7', 'translation', '')))"
+    raw = F.expr(_REPLY.format(json=js_text))
+    parts = c.select("conv_id", "turn", F.posexplode(replies.items(raw)).alias("n", "i"))
+    return parts.select("conv_id", "turn", (F.col("n") + 1).cast("long").alias("n"), "i.id", "i.translation")
+
+
+# --- progress -----------------------------------------------------------------------------------------------------
+
+
+def _units(spark, sf_dir):
+    """Lines of documents as units; those of labelled documents of quality 1, but each third, are done."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    d = d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    done = (F.col("quality") == 1) & ((F.col("n") % 3 != 2) | (F.col("toxic") == 1))
+    return d.select("doc_id", F.concat(F.lit("p-"), F.col("n") + 1).alias("id"), F.when(done, F.col("text")).alias("translation"), F.when(F.col("quality").isNotNull(), "done").otherwise("waiting").alias("status"))
+
+
+_UNITS = """u AS (
+  SELECT d.doc_id, 'p-' || i AS id, CASE WHEN quality = 1 AND ((i - 1) % 3 <> 2 OR toxic = 1) THEN ls[i] END AS translation, CASE WHEN quality IS NOT NULL THEN 'done' ELSE 'waiting' END AS status
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+p AS (SELECT doc_id, count(*) FILTER (translation <> '' AND status = 'done') AS completed, count(*) AS total FROM u GROUP BY doc_id),
+g AS (SELECT doc_id, completed, total, floor(100 * completed / total + 0.5)::BIGINT AS percent, completed = total AS complete FROM p)"""
+
+
+@query(f"WITH {_UNITS} SELECT * FROM g")
+def progress_by_doc(spark, sf_dir):
+    return progress.document_progress(_units(spark, sf_dir))
+
+
+@query(f"WITH {_UNITS} SELECT * FROM g WHERE NOT complete")
+def pending_docs(spark, sf_dir):
+    return progress.pending(progress.document_progress(_units(spark, sf_dir)))
+
+
+@query(f"WITH {_UNITS} SELECT doc_id, id, status FROM u WHERE translation IS NULL")
+def resume_units(spark, sf_dir):
+    u = _units(spark, sf_dir)
+    return progress.unfinished(u, u.where("translation is not null"), ["doc_id", "id"]).select("doc_id", "id", "status")
+
+
+def _events(spark, sf_dir):
+    """Events as requests, time compressed a hundredfold so that limits bind."""
+    return table(spark, sf_dir, "events").withColumn("ms", F.expr("unix_micros(cast(ts as timestamp)) div 100000"))
+
+
+@query("""
+SELECT event_id, event_type, ms, count(*) OVER (PARTITION BY event_type ORDER BY ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS in_window
+FROM (SELECT event_id, event_type, epoch_us(ts) // 100000 AS ms FROM events)
+""")
+def rpm_window(spark, sf_dir):
+    return progress.recent_requests(_events(spark, sf_dir), "event_type").select("event_id", "event_type", "ms", "in_window")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, event_type, ms, row_number() OVER (PARTITION BY event_type ORDER BY ms, event_id) AS k FROM (SELECT event_id, event_type, epoch_us(ts) // 100000 AS ms FROM events)),
+a(event_type, k, event_id, ms, start, s1, s2) AS (
+  SELECT DISTINCT event_type, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, -1000000000::BIGINT, -1000000000::BIGINT FROM e
+  UNION ALL
+  SELECT e.event_type, e.k, e.event_id, e.ms, st, a.s2, st FROM a JOIN e ON e.event_type = a.event_type AND e.k = a.k + 1
+  CROSS JOIN LATERAL (SELECT CASE WHEN a.s1 > greatest(e.ms, a.s2) - 60000 THEN a.s1 + 60030 ELSE greatest(e.ms, a.s2) END AS st))
+SELECT event_type, event_id, ms, start FROM a WHERE k > 0
+""")
+def rpm_admission(spark, sf_dir):
+    """When a limiter of two requests a minute lets each event begin."""
+    return progress.admissions(_events(spark, sf_dir), "event_type", 2).select("event_type", "event_id", "ms", "start")
+
+
+@query("""
+WITH r AS (SELECT user_id % 50 AS run_id, event_id AS seq, coalesce(value > 20, false) AS ok FROM events),
+c AS (SELECT *, count(*) FILTER (ok) OVER w AS completed, count(*) FILTER (NOT ok) OVER w AS failed, count(*) OVER (PARTITION BY run_id) AS units FROM r
+      WINDOW w AS (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
+SELECT run_id, seq, completed, failed, completed + failed AS settled, units, floor(100 * (completed + failed) / units + 0.5)::BIGINT AS percent FROM c
+""")
+def run_progress(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("run_id"), F.col("event_id").alias("seq"), F.coalesce(F.col("value") > 20, F.lit(False)).alias("ok"))
+    return progress.run_progress(e).select("run_id", "seq", "completed", "failed", "settled", "units", "percent")
+
+
+@query("SELECT user_id % 50 AS run_id, count(*) FILTER (coalesce(value > 20, false)) AS completed, count(*) FILTER (NOT coalesce(value > 20, false)) AS failed, count(*) AS settled FROM events GROUP BY ALL")
+def run_totals(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("run_id"), F.coalesce(F.col("value") > 20, F.lit(False)).alias("ok"))
+    return progress.run_totals(e)
+
+
+@query("SELECT r AS retries, a AS attempt, least(8000, 1500 * 2 ** a)::BIGINT AS delay_ms FROM range(0, 6) AS x(r), range(0, 5) AS y(a) WHERE a < r")
+def retry_schedule(spark, sf_dir):
+    r = spark.range(0, 6).withColumnRenamed("id", "retries")
+    a = r.where("retries > 0").select("retries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("retries") - 1)).alias("attempt"))
+    return a.select("retries", "attempt", progress.retry_delay(F.col("attempt")).alias("delay_ms"))
+
+
+# --- export -------------------------------------------------------------------------------------------------------
+
+
+def _pairs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    side = lambda role: F.max(F.when(F.col("role") == role, F.col("text")))
+    return c.groupBy("conv_id").agg(side("user").alias("source"), side("assistant").alias("translation"))
+
+
+_PAIRS = "pairs AS (SELECT conv_id, max(CASE WHEN role = 'user' THEN text END) AS source, max(CASE WHEN role = 'assistant' THEN text END) AS translation FROM conversations GROUP BY conv_id)"
+
+
+@query(f"""
+WITH {_PAIRS}, n AS (SELECT conv_id, coalesce(source, '') AS s, coalesce(translation, '') AS t FROM pairs)
+SELECT conv_id, 'source' AS mode, s AS text, false AS translated FROM n WHERE s <> ''
+UNION ALL SELECT conv_id, 'translation', CASE WHEN t <> '' THEN t ELSE s END, t <> '' FROM n WHERE s <> '' OR t <> ''
+UNION ALL SELECT conv_id, 'parallel', s, false FROM n WHERE s <> '' UNION ALL SELECT conv_id, 'parallel', t, true FROM n WHERE t <> ''
+""")
+def export_parts(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    modes = F.array(*(F.struct(F.lit(m).alias("mode"), exports.text_parts(F.col("source"), F.col("translation"), m).alias("parts")) for m in exports.MODES))
+    return p.select("conv_id", F.explode(modes).alias("m")).select("conv_id", "m.mode", F.explode("m.parts").alias("p")).select("conv_id", "mode", "p.*")
+
+
+@query("""
+WITH f AS (SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn, role, text LIMIT 10000),
+r AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'system' THEN 'table-cell' ELSE 'paragraph' END AS type, CASE WHEN role = 'user' THEN substr(text, 1, 100000) ELSE '' END AS source, CASE WHEN role = 'assistant' THEN substr(text, 1, 100000) ELSE '' END AS translation FROM f)
+SELECT conv_id, turn, type, source, translation, '' AS content FROM r WHERE source <> '' OR translation <> ''
+""")
+def export_rows(spark, sf_dir):
+    """The first 10 000 rows are the engine's limit on one export."""
+    c = table(spark, sf_dir, "conversations")
+    when = lambda r: F.when(F.col("role") == r, F.col("text"))
+    rows = c.select("conv_id", "turn", F.col("role").alias("_r"), F.col("text").alias("_t"), F.when(F.col("role") == "system", "table-cell").otherwise("other").alias("type"), when("user").alias("source"), when("assistant").alias("translation"), F.lit(None).cast("string").alias("content"))
+    return exports.export_rows(rows, ["conv_id", "turn", "_r", "_t"]).drop("_r", "_t")
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {q_split(q_html("html"))} AS ps FROM pages),
+b AS (SELECT page_id, i, ps[i] AS text FROM (SELECT page_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)),
+d AS (SELECT page_id, i // 2 + 1 AS i, CASE WHEN i % 5 = 0 THEN '' ELSE text END AS source, '[' || text AS translation, row_number() OVER (PARTITION BY page_id, i // 2 + 1 ORDER BY i DESC) AS k FROM b)
+SELECT b.page_id, 'p-' || b.i AS para_id, coalesce(nullif(d.source, ''), b.text) AS source, coalesce(d.translation, '') AS translation, CASE WHEN d.i IS NULL THEN 'paragraph' ELSE 'heading' END AS kind
+FROM b LEFT JOIN d ON b.page_id = d.page_id AND b.i = d.i AND d.k = 1
+""")
+def block_paragraph_join(spark, sf_dir):
+    """Blocks with the last of the paragraphs that carry their id."""
+    b = html_paragraphs(spark, sf_dir)
+    half = F.floor(F.col("ord") / 2) + 1
+    p = b.select("page_id", F.concat(F.lit("p-"), half.cast("string")).alias("para_id"), F.when(F.col("ord") % 5 == 0, "").otherwise(F.col("text")).alias("source"), F.concat(F.lit("["), "text").alias("translation"), F.lit("heading").alias("kind"), "ord")
+    return exports.with_paragraphs(b.select("page_id", "para_id", "text"), p, ["page_id", "para_id"], "ord").drop("text")
+
+
+@query(f"""
+WITH {_PAIRS}, c AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations WHERE text <> '' GROUP BY conv_id)
+SELECT conv_id, text FROM c
+""")
+def document_text(spark, sf_dir):
+    """Turns of each conversation as one text, in order."""
+    return exports.document_text(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN n = '' THEN 'export' ELSE n END AS name FROM (SELECT p_partkey, substr(trim(regexp_replace('a/' || p_name || ':*?' || chr(9) || p_brand || '<' || p_type || '>', '[\\\\/:*?"<>|\\x00-\\x1F]', '_', 'g')), 1, 120) AS n FROM part)
+""")
+def export_names(spark, sf_dir):
+    raw = F.concat(F.lit("a/"), "p_name", F.lit(":*?\t"), "p_brand", F.lit("<"), "p_type", F.lit(">"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.export_name(raw).alias("name"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_size * 40.0 END AS w, p_retailprice AS h FROM part),
+d AS (SELECT p_partkey, greatest(1, coalesce(nullif(w, 0), 640)) AS w, greatest(1, coalesce(nullif(h, 0), 360)) AS h FROM s),
+f AS (SELECT *, least(1, 620.0::DOUBLE / w, 690.0::DOUBLE / h) AS k FROM d)
+SELECT p_partkey, greatest(1, floor(w * k + 0.5))::BIGINT AS width, greatest(1, floor(h * k + 0.5))::BIGINT AS height FROM f
+""")
+def image_fit(spark, sf_dir):
+    w = F.when(F.col("p_size") % 9 == 0, F.lit(None)).otherwise(F.col("p_size") * 40.0)
+    width, height = numbers.image_size(w, F.col("p_retailprice"))
+    return table(spark, sf_dir, "part").select("p_partkey", width.cast("long").alias("width"), height.cast("long").alias("height"))
+
+
+# --- settings and providers ---------------------------------------------------------------------------------------
+
+_RAW = "CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN event_type ELSE CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR(40)) END"
+
+
+@query(f"""
+WITH e AS (SELECT event_id, {_RAW.replace("VARCHAR(40)", "VARCHAR")} AS raw, event_id % 7 <> 0 AS present, event_type, value FROM events),
+n AS (SELECT *, CASE WHEN NOT present THEN NULL WHEN raw IS NULL OR raw = '' THEN 0 ELSE try_cast(raw AS DOUBLE) END AS v FROM e)
+SELECT event_id, coalesce(greatest(14.0, least(24.0, v)), 18.0)::DOUBLE AS size, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'view' END AS kind,
+       greatest(1.0, least(600.0, coalesce(nullif(value, 0), 10.0)))::DOUBLE AS rpm, greatest(1.0, least(20.0, coalesce(nullif(value, 0), 1.0)))::DOUBLE AS concurrency, greatest(0.0, least(5.0, coalesce(value, 0.0)))::DOUBLE AS retries
+FROM n
+""")
+def clamp_settings(spark, sf_dir):
+    """Event values as settings: bounded numbers, an allow-list, the limits of a run."""
+    e = table(spark, sf_dir, "events").withColumns({"raw": F.expr(_RAW), "present": F.col("event_id") % 7 != 0})
+    size = numbers.bounded(F.col("raw"), F.col("present"), 18, 14, 24)
+    return e.select("event_id", size.alias("size"), numbers.allowed(F.col("event_type"), ["click", "view"], "view").alias("kind"), *numbers.run_limits(F.col("value"), F.col("value"), F.col("value")))
+
+
+def _providers(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("id"), "n_name", "n_nationkey")
+    made = lambda df, tag: df.select("id", F.concat(F.lit(tag), "n_name").alias("name"), F.when(F.col("n_nationkey") % 4 != 3, F.concat(F.lit("https://"), "id")).alias("base_url"), F.col("n_nationkey").cast("string").alias("model"))
+    return providers.listed(made(n.where("n_nationkey < 12"), "b-"), made(n.where("n_nationkey >= 8"), "c-"))
+
+
+_PROVIDERS = """n AS (SELECT lower(n_name) AS id, n_name, n_nationkey FROM nation),
+pr AS (
+  SELECT id, 'b-' || n_name AS name, CASE WHEN n_nationkey % 4 <> 3 THEN 'https://' || id END AS base_url, n_nationkey::VARCHAR AS model, false AS custom FROM n WHERE n_nationkey < 12
+  UNION ALL SELECT id, 'c-' || n_name, 'https://' || id, n_nationkey::VARCHAR, true FROM n WHERE n_nationkey >= 8 AND n_nationkey % 4 <> 3)"""
+
+
+@query(f"WITH {_PROVIDERS} SELECT * FROM pr")
+def provider_union(spark, sf_dir):
+    return _providers(spark, sf_dir)
+
+
+@query(f"""
+WITH {_PROVIDERS},
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY custom DESC) AS k FROM pr),
+r AS (SELECT c_custkey AS request_id, lower(n_name) AS provider_id FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
+d AS (SELECT lower(n_name) AS id FROM nation WHERE n_nationkey = 2)
+SELECT request_id, coalesce(b.id, d.id) AS provider_id, coalesce(b.name, f.name) AS name, CASE WHEN b.id IS NULL THEN f.base_url ELSE b.base_url END AS base_url, coalesce(b.model, f.model) AS model, coalesce(b.custom, f.custom) AS custom
+FROM r CROSS JOIN d LEFT JOIN best b ON b.id = r.provider_id AND b.k = 1 LEFT JOIN best f ON f.id = d.id AND f.k = 1
+""")
+def provider_resolve(spark, sf_dir):
+    """Customers' nations as providers asked for; nation 2 is the default."""
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("request_id"), F.lower("n_name").alias("provider_id"))
+    default = n.where("n_nationkey = 2").select(F.lower("n_name")).first()[0]
+    return providers.resolve(r, _providers(spark, sf_dir), default)
+
+
+@query("SELECT conv_id, turn, 'u' || turn AS id, '[' || text AS translation, true AS ok, 1 AS attempts FROM conversations WHERE text <> ''")
+def translate_units(spark, sf_dir):
+    """All turns through the dispatcher with a translator that marks them."""
+    c = table(spark, sf_dir, "conversations").where("text <> ''").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat(F.lit("u"), F.col("turn").cast("string")).alias("id"), "text")
+    r = dispatch.translate(c, _marked, concurrency=8)
+    key = F.col("doc_id")
+    return r.select(F.floor(key / 1000).cast("long").alias("conv_id"), (key % 1000).alias("turn"), "id", "translation", "ok", "attempts")
+
+
+def _marked(ident: str, text: str) -> str:
+    return f"[{text}"
