@@ -18,7 +18,8 @@ def number(c: Column) -> Column:
 def bounded(value: Column, present: Column, fallback: float, low: float, high: float) -> Column:
     """A setting: null that is present counts as 0; what is absent or no number takes the fallback."""
     v = F.when(~present, F.lit(None)).when(value.isNull(), F.lit(0.0)).otherwise(number(value))
-    return F.coalesce(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v)), F.lit(float(fallback)))
+    # greatest and least skip nulls
+    return F.when(v.isNull(), F.lit(float(fallback))).otherwise(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v)))
 
 
 def allowed(c: Column, values: list[str], default: str) -> Column:

@@ -558,7 +558,7 @@ _RAW = "CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN event_type
 @query(f"""
 WITH e AS (SELECT event_id, {_RAW.replace("VARCHAR(40)", "VARCHAR")} AS raw, event_id % 7 <> 0 AS present, event_type, value FROM events),
 n AS (SELECT *, CASE WHEN NOT present THEN NULL WHEN raw IS NULL OR raw = '' THEN 0 ELSE try_cast(raw AS DOUBLE) END AS v FROM e)
-SELECT event_id, coalesce(greatest(14.0, least(24.0, v)), 18.0)::DOUBLE AS size, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'view' END AS kind,
+SELECT event_id, CASE WHEN v IS NULL THEN 18.0 ELSE greatest(14.0, least(24.0, v)) END::DOUBLE AS size, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'view' END AS kind,
        greatest(1.0, least(600.0, coalesce(nullif(value, 0), 10.0)))::DOUBLE AS rpm, greatest(1.0, least(20.0, coalesce(nullif(value, 0), 1.0)))::DOUBLE AS concurrency, greatest(0.0, least(5.0, coalesce(value, 0.0)))::DOUBLE AS retries
 FROM n
 """)

@@ -1,0 +1,189 @@
+import io
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from folio.operators import dispatch, progress, providers
+from folio.plans import documents
+from folio.sources import files, ooxml, sinks
+from folio.streaming import ingest
+
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+
+
+def packed(**parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n, d in parts.items():
+            z.writestr(n.replace("__", "/").replace("--", "."), d)
+    return out.getvalue()
+
+
+def zipped(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n, d in parts.items():
+            z.writestr(n, d)
+    return out.getvalue()
+
+
+def p(t, extra=""):
+    return f"<w:p>{extra}<w:r><w:t>{t}</w:t></w:r></w:p>"
+
+
+DOCX = zipped({
+    "word/document.xml": f'<w:document {W}><w:body>{p("Intro", "<w:pPr><w:pStyle w:val=%cHeading1%c/></w:pPr>" % (34, 34))}{p("The model is")}{p("trained on data.")}'
+    f'<w:tbl><w:tr><w:tc>{p("Name here")}</w:tc><w:tc>{p("12.5")}</w:tc></w:tr><w:tr><w:tc><w:p/></w:tc></w:tr></w:tbl>'
+    f'<w:p><m:oMath><m:f><m:num><m:r><m:t>a</m:t></m:r></m:num><m:den><m:r><m:t>b</m:t></m:r></m:den></m:f></m:oMath></w:p>'
+    f'<w:p><w:drawing><a:blip r:embed="r1"/></w:drawing></w:p>{p("After the table.")}<w:sectPr><w:cols w:num="2"/></w:sectPr></w:body></w:document>',
+    "word/_rels/document.xml.rels": '<R xmlns="x"><Relationship Id="r1" Target="media/i.png"/><Relationship Id="r2" Target="media/../media/i.png"/><Relationship Id="r3" Target="http://e" TargetMode="External"/></R>',
+    "word/media/i.png": b"png",
+    "docProps/app.xml": "<Properties><Pages>3</Pages></Properties>",
+})
+XLSX = zipped({
+    "xl/sharedStrings.xml": "<sst><si><t>A&amp;B</t></si><si><r><t>x</t></r><r><t>y</t></r></si></sst>",
+    "xl/worksheets/sheet10.xml": '<row r="1"><c t="s"><v>1</v></c></row>',
+    "xl/worksheets/sheet2.xml": '<row><c t="s"><v>0</v></c><c><v>5</v></c></row><row><c><v></v></c></row><row><c t="inlineStr"><is><t>in</t></is></c></row>',
+})
+PPTX = zipped({"ppt/slides/slide2.xml": "<a:t>two</a:t>", "ppt/slides/slide10.xml": "<a:t>ten</a:t><a:t>&lt;x</a:t>", "ppt/slides/slide3.xml": ""})
+
+
+@pytest.fixture
+def folder(tmp_path):
+    d = tmp_path / "in"
+    (d / "sub").mkdir(parents=True)
+    for name, data in {"a.txt": b"One.  Two.\r\n\r\nThree", "sub/b.html": b"<p>x</p><p>y</p>", "c.docx": DOCX, "d.xlsx": XLSX, "e.pptx": PPTX, "f.pdf": b"%PDF", "g.docx": b"broken", "h.xls": b"old", "evil.docx": zipped({"word/document.xml": "<!DOCTYPE x [<!ENTITY a 'b'>]><w/>"})}.items():
+        (d / name).write_bytes(data)
+    return str(d)
+
+
+def test_extract(spark, folder):
+    got = documents.extract(files.read_files(spark, folder)).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.path, r.ord is None, r.ord or 0)):
+        by.setdefault(r.path.rpartition("/")[2], []).append((r.para_id, r.text, r.kind, r.error))
+    assert [x[1] for x in by["a.txt"]] == ["One.", "Two.", "Three"] and [x[1] for x in by["b.html"]] == ["x", "y"]
+    assert by["c.docx"] == [("p-1", "Intro", "heading", None), ("p-2", "The model is trained on data.", "paragraph", None), ("p-3", "After the table.", "paragraph", None), ("table-1-r1-c1", "Name here", "table-cell", None)]
+    assert by["d.xlsx"][0][1].startswith("【Sheet 1】 A&B\t5 in") and by["d.xlsx"][1][1] == "【Sheet 2】 xy"
+    assert [x[1] for x in by["e.pptx"]] == ["two", "ten <x"]
+    assert "h.xls" not in by and by["f.pdf"][0][3] == "no reader for pdf" and by["g.docx"][0][3] and "refused" in by["evil.docx"][0][3]
+
+
+def test_docx_parts(spark, folder):
+    f = files.read_files(spark, folder).where("name = 'c.docx'")
+    raw = ooxml.raw_paragraphs(f).orderBy("seq").collect()
+    assert [r.latex for r in raw if r.latex] == [r"\frac{a}{b}"] and [v.asset_id for r in raw for v in r.visuals or []] == ["asset-1"]
+    assert ooxml.docx_assets(f).select("asset_id", "mime_type").collect() == [("asset-1", "image/png")]
+    assert ooxml.docx_facts(f).select("page_count", "column_count").first() == (3, 2)
+    body, cells = documents.docx_blocks(f)
+    assert [r.type for r in body.orderBy("ord").collect()] == ["paragraph", "paragraph", "formula", "image", "paragraph"]
+    assert {(r.row, r.col, r.text) for r in cells.collect()} == {(1, 1, "Name here"), (1, 2, "12.5"), (2, 1, "")}
+
+
+def test_order_and_limit(spark, folder):
+    assert {r.name for r in files.read_files(spark, folder, max_bytes=10).where("content is null").collect()} >= {"a.txt", "c.docx"}
+    df = spark.createDataFrame([("b",), ("阿",), ("a",), ("啊",)], "path string")
+    assert [r.path for r in files.in_reading_order(df).collect()][-2:] == ["a", "b"]
+
+
+def test_settings(tmp_path):
+    (tmp_path / "one").write_text("A='1'\n#x\nB=2\n")
+    (tmp_path / "two").write_text("A=9\nC=3\n")
+    assert files.settings({"B": "env"}, [str(tmp_path / n) for n in ("one", "two", "none")]) == {"A": "1", "B": "env", "C": "3"}
+
+
+def rows(spark):
+    data = [(1, 1, "T", "heading", "Hi <b>", "Salut"), (1, 2, "T", "paragraph", "One", ""), (1, 3, "T", "table", "a\tb\nc\td", None), (2, 1, "U", "list-item", "x, \"y\"", "z")]
+    return spark.createDataFrame(data, "doc_id long, ord long, title string, kind string, source string, translation string")
+
+
+def test_sinks(spark, tmp_path):
+    df = rows(spark)
+    html = {r.doc_id: r.content for r in sinks.rendered(df, "doc_id", "ord", "parallel", "html").collect()}
+    assert html[1].startswith("<h2>Hi &lt;b&gt;</h2>\n<h2>Salut</h2>\n<p>One</p>")
+    assert sinks.rendered(df, "doc_id", "ord", "translation", "md").where("doc_id = 1").first().content.startswith("## Salut\n\nOne")
+    for fmt in sinks.FORMATS:
+        sinks.write(df, str(tmp_path / fmt), "doc_id", "ord", "parallel", fmt)
+    assert spark.read.json(str(tmp_path / "json")).count() == 6 and spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "csv")).where("text = 'x, \"y\"'").count() == 1
+    with pytest.raises(ValueError):
+        sinks.write(df, str(tmp_path / "q"), "doc_id", "ord", fmt="rtf")
+    out = {r.doc_id: bytes(r.content) for r in sinks.docx(df, "doc_id", "ord", "title").collect()}
+    back = ooxml.docx_rows(out[1])
+    assert [r["text"] for r in back] == ["T", "Hi <b>", "Salut", "One", "a", "b", "c", "d"] and back[1]["style"] == "Heading1"
+    assert out[1] == {r.doc_id: bytes(r.content) for r in sinks.docx(df.repartition(3), "doc_id", "ord", "title").collect()}[1]
+
+
+def test_store(spark, tmp_path):
+    s = sinks.DocumentStore(spark, str(tmp_path / "store"))
+    assert s.all().count() == 0
+    s.put(spark.createDataFrame([("a", 1), ("b", 2)], "id string, size int"), 1)
+    s.put(spark.createDataFrame([("a", 5)], "id string, size int"), 2)
+    s.delete(spark.createDataFrame([("b",)], "id string"), 3)
+    assert [tuple(r) for r in s.all().collect()] == [("a", 5)] and s.get("b").count() == 0
+
+
+def test_ingest_takes_each_file_once(spark, folder, tmp_path):
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    for _ in range(2):
+        ingest.ingest(spark, folder, out, check).awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.where("path like '%a.txt'").count() == 3 and got.groupBy("path", "id").count().where("count > 1").count() == 0
+    with open(f"{folder}/new.md", "w") as f:
+        f.write("later")
+    ingest.ingest(spark, folder, out, check).awaitTermination()
+    assert spark.read.parquet(out).where("text = 'later'").count() == 1
+
+
+def test_translate_retries_and_resumes(spark):
+    units = spark.createDataFrame([(1, "a", "x "), (1, "b", "bad"), (1, "c", "miss"), (1, "d", " "), (2, "a", "y")], "doc_id long, id string, text string")
+
+    def fake(ident, text):
+        if text == "bad":
+            raise ValueError("down")
+        if text == "miss":
+            raise dispatch.Missing("nothing")
+        return text.upper()
+
+    r = {(x.doc_id, x.id): x for x in documents.translate(units, fake, retries=2, concurrency=3, sleep=lambda s: None).collect()}
+    assert (1, "d") not in r and r[1, "a"].translation == "X" and (r[1, "b"].attempts, r[1, "b"].error) == (3, "down") and (r[1, "c"].attempts, r[1, "c"].ok) == (1, False)
+    done = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, id string")
+    assert {x.id for x in documents.translate(units, fake, done, retries=0, sleep=lambda s: None).collect()} == {"b", "c"}
+
+
+def test_sliding_log():
+    now = [0.0]
+    log = dispatch.SlidingLog(2, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    starts = []
+    for _ in range(5):
+        log.wait()
+        starts.append(round(now[0], 2))
+    assert starts == [0, 0, 60.03, 60.03, 120.06]
+
+
+def test_providers(spark):
+    s = "id string, name string, base_url string, model string"
+    custom = spark.createDataFrame([("x", "X", "u", "m"), ("z", "Z", None, "m")], s)
+    new = spark.createDataFrame([("x", "X2", "v", "m")], s)
+    assert {tuple(r)[:2] for r in providers.upsert(custom, new).collect()} == {("x", "X2"), ("z", "Z")}
+    assert [r.id for r in providers.remove(custom, new).collect()] == ["z"]
+    both = providers.listed(spark.createDataFrame([("x", "B", "b", "m"), ("d", "D", "e", "m")], s), custom)
+    got = providers.resolve(spark.createDataFrame([(1, "x"), (2, "none"), (3, None)], "request_id long, provider_id string"), both, "d")
+    assert sorted((r.request_id, r.provider_id, r.name) for r in got.collect()) == [(1, "x", "X"), (2, "d", "D"), (3, "d", "D")]
+
+
+def test_events(spark):
+    r = spark.createDataFrame([("r", 1, "a", True, "t"), ("r", 2, "b", False, "no")], "run_id string, seq long, id string, ok boolean, text string")
+    got = [(e.event, json.loads(e.payload)) for e in ingest.events(r).orderBy("seq").collect()]
+    assert got == [("paragraph", {"id": "a", "translation": "t"}), ("unit-error", {"id": "b", "message": "no"})]
+    assert progress.run_totals(r).select("completed", "failed", "settled").first() == (1, 1, 2)
+
+
+def test_assets(spark):
+    from folio.operators import exports
+
+    b = spark.createDataFrame([(1, "asset-1", ""), (1, "asset-9", ""), (1, "", "x^2")], "doc_id long, asset_id string, latex string")
+    a = spark.createDataFrame([(1, "asset-1", "image/png", b"1"), (1, "asset-9", "image/png", None)], "doc_id long, asset_id string, mime_type string, data binary")
+    assert sorted((r.asset_id, r.mime_type) for r in exports.with_assets(b, a, ["doc_id", "asset_id"]).collect()) == [("", None), ("asset-1", "image/png")]
+    assert F.lit(1) is not None
