@@ -22,6 +22,7 @@ columns are ignored; an empty table gives no rows; models with normalisation rul
 from __future__ import annotations
 
 import functools
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -133,6 +134,11 @@ class Model:
                 out.append(self.unk_id)
         return out
 
+    def texts(self, ids: list[bytes], parts: list[int]) -> list[str]:
+        """Texts of id lists; the library takes a leading space off, so parts after the first get one more."""
+        more = [self.id[SPACE]] if self.prefix and SPACE in self.id else []
+        return self.library.decode([(more if p else []) + np.frombuffer(x, "<u4").tolist() for x, p in zip(ids, parts, strict=True)])
+
     def run(self, text: str) -> tuple[float, list[int]]:
         """Score and ids of a text between two cuts, kept if it is short."""
         got = self.kept.get(text)
@@ -238,36 +244,47 @@ def boundaries(matrices: list[np.ndarray], entry: int, exit: int) -> list[int]:
 # --- in Spark -----------------------------------------------------------------------------------------------------
 
 
-def _split(name: str, kind: str, chunk: int):
-    """A row (key, part, parts, ids) per whole text, or a row (key, part, parts, x, lo, hi) per chunk."""
+def _whole(name: str, kind: str, chunk: int):
+    """A row (doc_id, key, 0, 1, ids) per text of at most chunk characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, task, n = model(name), task_name(), 0
         for b in small_batches(batches, "text"):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            whole = [t if len(t) <= chunk else "" for t in texts]
-            ids = iter(m.library.encode(whole, out_type=int, num_threads=1))
+            at = [i for i, t in enumerate(texts) if len(t) <= chunk]
+            ids = m.library.encode([texts[i] for i in at], out_type=int, num_threads=1)
+            k = len(at)
+            cols = [pa.array([f"w-{task}-{n + i}" for i in at], pa.string()), pa.array([0] * k, pa.int64()), pa.array([1] * k, pa.int64()), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())]
+            n += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *cols], ["doc_id", "key", "part", "parts", "ids"])
+
+    return run, f"doc_id {kind}, key string, part long, parts long, ids binary"
+
+
+def _split(name: str, kind: str, chunk: int):
+    """A row (doc_id, key, part, parts, x, lo, hi) per chunk of each text of over chunk characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, task, n = model(name), task_name(), 0
+        for b in small_batches(batches, "text"):
             rows, at = [], []
-            for i, t in enumerate(texts):
-                got = next(ids)
-                key = f"{task}-{n + i}"
-                if len(t) <= chunk:
-                    rows.append((key, 0, 1, np.array(got, "<u4").tobytes(), None, 0, 0))
-                    at.append(i)
+            for i, t in enumerate(b.column("text").to_pylist()):
+                if len(t or "") <= chunk:
                     continue
-                x = m.normal(t)
+                key, x = f"l-{task}-{n + i}", m.normal(t)
                 parts = max(1, len(x) // chunk)  # the last one takes the rest
                 for p in range(parts):
                     lo, hi = p * chunk, len(x) if p == parts - 1 else (p + 1) * chunk
                     a, z = max(0, lo - m.longest), min(len(x), hi + m.longest)
-                    rows.append((key, p, parts, None, x[a:z], lo - a, hi - a))
+                    rows.append((key, p, parts, x[a:z], lo - a, hi - a))
                     at.append(i)
             n += b.num_rows
-            types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *cols], ["doc_id", "key", "part", "parts", "ids", "x", "lo", "hi"])
+            if rows:
+                types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *cols], ["doc_id", "key", "part", "parts", "x", "lo", "hi"])
 
-    return run, f"doc_id {kind}, key string, part long, parts long, ids binary, x string, lo long, hi long"
+    return run, f"doc_id {kind}, key string, part long, parts long, x string, lo long, hi long"
 
 
 def _chunk(m: Model, r: dict) -> Chunk:
@@ -332,8 +349,8 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", chunk: int = CHUN
     docs = only(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     n = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    split = materialise(docs.mapInArrow(*_split(name, kind, chunk)), "split")
-    long = split.where("x is not null").select("doc_id", "key", "part", "parts", "x", "lo", "hi")
+    whole = docs.mapInArrow(*_whole(name, kind, chunk))  # a pass of its own: only chunks of long texts are written
+    long = materialise(docs.where(F.length("text") > chunk).mapInArrow(*_split(name, kind, chunk)), "chunks")
     dealt = long.repartition(n, "key", "part")
     matrices = materialise(dealt.mapInArrow(*_matrices(name)).withColumn("grp", F.floor(F.col("part") / group)), "matrices")
     in_order = lambda df, keys, last: df.repartition(n, *keys).sortWithinPartitions(*keys, last)
@@ -342,7 +359,7 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", chunk: int = CHUN
     inner = in_order(matrices.join(outer, ["key", "grp"]), ["key", "grp"], "part").mapInArrow(*_along(["key", "grp"], "part"))
     states = materialise(inner, "states")
     traced = long.join(states, ["key", "part"]).select(*long.columns, "entry", "exit").mapInArrow(*_traced(name, kind))
-    return split.where("x is null").select("doc_id", "key", "part", "parts", "ids").unionByName(traced)
+    return whole.unionByName(traced)
 
 
 def decode(encoded: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
@@ -355,13 +372,7 @@ def decode(encoded: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(name)
         for b in small_batches(batches, "ids"):
-            texts = []
-            for raw, part in zip(b.column("ids").to_pylist(), b.column("part").to_pylist(), strict=True):
-                ids = np.frombuffer(raw, "<u4").tolist()
-                if part and m.prefix:  # the library takes one leading space off
-                    texts.append(m.library.decode([m.id[SPACE], *ids]) if m.id.get(SPACE) is not None else m.library.decode(ids))
-                else:
-                    texts.append(m.library.decode(ids))
+            texts = m.texts(b.column("ids").to_pylist(), b.column("part").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), b.column("part"), pa.array(texts, pa.string())], ["doc_id", "key", "part", "text"])
 
     return encoded.select("doc_id", "key", "part", "ids").mapInArrow(run, f"doc_id {kind}, key string, part long, text string")
@@ -369,11 +380,14 @@ def decode(encoded: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
 
 def digest(encoded: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
     """(doc_id, part, parts, n_ids, ids_crc32, text_sha256): of each part, with the SHA-256 of what it decodes to."""
-    both = materialise(encoded, "encoded")
-    texts = decode(both, name).select("key", "part", F.sha2("text", 256).alias("text_sha256"))
-    sums = both.select("doc_id", "key", "part", "parts", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"))
-    return sums.join(texts, ["key", "part"]).select("doc_id", "part", "parts", "n_ids", "ids_crc32", "text_sha256")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(name)
+        for b in small_batches(batches, "ids"):
+            raw = b.column("ids").to_pylist()
+            shas = [hashlib.sha256(t.encode()).hexdigest() for t in m.texts(raw, b.column("part").to_pylist())]
+            long = pa.int64()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("parts"), pa.array([len(x) // 4 for x in raw], long), pa.array([zlib.crc32(x) for x in raw], long), pa.array(shas, pa.string())], ["doc_id", "part", "parts", "n_ids", "ids_crc32", "text_sha256"])
 
-def crc(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.mapInArrow(run, f"doc_id {kind}, part long, parts long, n_ids long, ids_crc32 long, text_sha256 string")
