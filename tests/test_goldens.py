@@ -175,9 +175,9 @@ def test_table_page(spark):
 
 
 def test_table_continuation(spark):
-    ls = layout.lines(items(spark, [("a", 50, 100, 5), ("1", 150, 100, 5), ("tail", 151, 90, 9), ("b", 50, 80, 5), ("2", 150, 80, 5)]))
-    t = spark.createDataFrame([(1, 1, 0, 2, [50.0, 150.0])], "doc_id long, page int, start long, end long, anchors array<double>")
-    assert [list(r.cells) for r in layout.table_rows(ls, t).orderBy("row").collect()] == [["a", "1 tail"], ["b", "2"]]
+    pages = layout.page_lines(items(spark, [("a", 50, 100, 5), ("1", 150, 100, 5), ("tail", 151, 90, 9), ("b", 50, 80, 5), ("2", 150, 80, 5)]))
+    t = F.struct(F.lit(0).cast("long").alias("start"), F.lit(2).cast("long").alias("end"), F.array(F.lit(50.0), F.lit(150.0)).alias("anchors"))
+    assert [list(r) for r in pages.select(layout.rows_of(F.col("lines"), t).alias("r")).first().r] == [["a", "1 tail"], ["b", "2"]]
 
 
 def test_anchors_drift():
