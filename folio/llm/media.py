@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._files import open_folder, task_name
-from ._shared import materialise, only, scratch_path, small_batches
+from ._shared import drop_scratch, materialise, only, scratch_path, small_batches
 
 LINE = 64
 SHARD_BYTES = 64_000_000
@@ -48,7 +48,7 @@ def encode(payload: bytes) -> bytes:
     lines = np.zeros((len(payload) // LINE, LINE + 1), np.uint8)
     lines[:, 1:] = np.frombuffer(payload, np.uint8).reshape(-1, LINE)
     head = struct.pack(">IIBBBBB", LINE, len(lines), 8, 0, 0, 0, 0)
-    return _SIGN + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return _SIGN + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def header(start: bytes) -> tuple[int, int, int]:
@@ -128,28 +128,29 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
                     key = hashlib.sha256(data).digest()
                     if key not in known:
                         media = encode(padded(data))
-                        digest = hashlib.sha256(media).hexdigest()
-                        known[key] = (digest, *shards.add(f"{digest[:2]}/{digest}.png", media))
+                        digest = hashlib.sha256(media)
+                        name = digest.hexdigest()
+                        known[key] = (digest.digest(), *shards.add(f"{name[:2]}/{name}.png", media))
                     rows.append((len(data), *known[key]))
                 n, digest, shard, at, length = zip(*rows, strict=True)
                 long = pa.int64()
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, long), pa.array(digest), pa.array(shard), pa.array(at, long), pa.array(length, long)], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, long), pa.array(digest, pa.binary()), pa.array(shard), pa.array(at, long), pa.array(length, long)], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         finally:
             shards.close()
 
     docs = only(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, digest binary, shard string, offset long, length long")
 
 
 def inspect(objects: DataFrame, folder: str, full: bool = False) -> DataFrame:
     """(digest, width, height, bits) of distinct objects (digest, shard, offset, length), from header reads alone.
 
-    full: reads the stored bytes as well and adds payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256
-    and feature. Objects are dealt by shard and read in order of place.
+    full: reads the stored bytes as well, checks them against the digest (ValueError) and adds payload_bytes,
+    payload_sha256 (binary), tail_crc32, media_bytes and feature. Objects are dealt by shard and read in order of place.
     """
-    names = ["digest", "width", "height", "bits"] + ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] * full
-    schema = "digest string, width int, height int, bits int" + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" * full
+    names = ["digest", "width", "height", "bits"] + ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"] * full
+    schema = "digest binary, width int, height int, bits int" + ", payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string" * full
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_folder(folder)
@@ -164,11 +165,13 @@ def inspect(objects: DataFrame, folder: str, full: bool = False) -> DataFrame:
                 row = header(file.read_at(HEADER, at))
                 if full:
                     media = file.read_at(length, at)
+                    if hashlib.sha256(media).digest() != digest:
+                        raise ValueError(f"{shard} is damaged at {at}")
                     payload = decode(media)
-                    row += (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-LINE:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload, *row[:2]))
+                    row += (len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-LINE:]), len(media), feature(payload, *row[:2]))
                 rows.append((digest, *row))
             if rows:
-                types = [pa.string(), *[pa.int32()] * 3] + [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] * full
+                types = [pa.binary(), *[pa.int32()] * 3] + [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()] * full
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         if file is not None:
             file.close()
@@ -189,4 +192,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
     folder = scratch_path(docs.sparkSession, "media")
     rows, objects = media_table(docs, folder)
     told = materialise(inspect(objects, folder, full=True), "told")
-    return rows.join(told, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    drop_scratch(objects)
+    sha = lambda c: F.lower(F.hex(c))
+    both = rows.join(told, "digest")
+    return both.select("doc_id", "n_bytes", "payload_bytes", sha("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", sha("digest").alias("media_sha256"), "feature", "width", "height")

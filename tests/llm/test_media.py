@@ -37,7 +37,7 @@ def test_round_trip(spark):
 def test_shards_are_tar(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(i, f"text {i % 7}" * 50) for i in range(30)], "doc_id long, text string")
     rows, objects = M.media_table(df, str(tmp_path / "m"))
-    found = {r.digest: r for r in objects.collect()}
+    found = {r.digest.hex(): r for r in objects.collect()}
     assert rows.count() == 30 and len(found) == 7
     members = {}
     for f in os.listdir(tmp_path / "m"):
