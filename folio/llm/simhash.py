@@ -9,7 +9,7 @@ r' = parts - r of any `parts` parts of the word, so each choice of parts is a bl
 fingerprints is dealt again by the same rule on the bits its key leaves open, down to blocks of at most 2**11.
 
 similar_groups() is for a word-shingle similarity, at which 64-bit distances spread too widely for a radius alone:
-MinHash bands give the blocks, the bit-sliced pass abandons what is far, and a 192-value MinHash signature decides.
+MinHash bands give the blocks, the bit-sliced pass abandons what is far, and bottom-k sketches of the shingles decide.
 
 Defined cases: null or blank texts have fingerprint 0 and are linked with one another; a text of fewer words than a
 shingle is one shingle; equal rows each get a result row; null ids are carried and never become a component's id
@@ -170,8 +170,8 @@ def _compare(radius: int, signature: bool = False, similarity: float = 0.0):
             node = t.column("node").to_numpy()
             agree = None
             if signature:
-                sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(fps), -1)
-                agree = lambda i, rows, sig=sig: (sig[rows] == sig[i]).mean(axis=1) >= similarity
+                sig = [np.frombuffer(x, np.uint32) for x in t.column("sig").to_pylist()]
+                agree = lambda i, rows, sig=sig: np.array([jaccard(sig[i], sig[j])[0] >= similarity for j in rows.tolist()], bool)
             groups = [np.arange(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b > a + 1]
             groups.sort(key=len)  # batches of blocks of about one size
             edges: list[tuple[int, int]] = []
@@ -247,13 +247,30 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, block: int =
 
 # --- similarity of word shingles ----------------------------------------------------------------------------------
 
-SLOTS, BANDS, ROWS = 192, 12, 5
+BANDS, ROWS = 16, 5
+SLOTS = BANDS * ROWS
+SKETCH = 1024
 _MULT = np.random.default_rng(7).integers(1, 1 << 32, SLOTS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = np.random.default_rng(8).integers(0, 1 << 32, SLOTS, dtype=np.uint64).astype(np.uint32)
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[float, bool]:
+    """Similarity from two bottom-k sketches (sorted, distinct), and whether it is exact.
+
+    It is exact if neither set has more than SKETCH values; else from the least SKETCH values of the union.
+    """
+    exact = len(a) < SKETCH and len(b) < SKETCH
+    both = np.union1d(a, b)
+    if not exact:
+        both = both[:SKETCH]
+    if not len(both):
+        return 1.0, exact
+    common = np.intersect1d(a, b, assume_unique=True)
+    return np.searchsorted(common, both[-1], side="right") / len(both), exact
+
+
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, node, fp, sig, bands): a hash of the word sequence, SimHash, MinHash values and band keys per row."""
+    """(doc_id, node, fp, sig, bands): a hash of the word sequence, SimHash, sketch of the shingles and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
@@ -273,8 +290,8 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
             least = np.empty((n, SLOTS), np.uint32)
             for j in range(SLOTS):
                 least[:, j] = np.minimum.reduceat(low * _MULT[j] + _ADD[j], at[:-1])
-            sig = (least >> 16).astype(np.uint16)
-            band = least[:, : BANDS * ROWS].reshape(n, BANDS, ROWS).astype(np.uint64)
+            sig = [np.unique(low[at[i] : at[i + 1]])[:SKETCH] for i in range(n)]
+            band = least.reshape(n, BANDS, ROWS).astype(np.uint64)
             key = np.tile(np.arange(BANDS, dtype=np.uint64), (n, 1))
             for r in range(ROWS):
                 key = mix((key ^ band[:, :, r]) * np.uint64(0x9E3779B97F4A7C15))
@@ -304,8 +321,8 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 22, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) for each row: components of texts whose word shingles are alike.
 
-    A pair at Jaccard similarity 0.8 shares a band with probability 0.991 (0.85: 0.999). The signature's share of
-    equal values has a standard deviation of 0.029 at 0.8, so pairs are taken from similarity - 0.03 on. A block of
+    A pair at Jaccard similarity 0.8 shares a band with probability 0.998 (0.85: 0.9999). Sketches hold all shingles
+    of texts of up to SKETCH; beyond, the estimate has a standard deviation of 0.0125 at 0.8 and is taken as is. A block of
     over `block` distinct texts is dealt as pairs of tiles, so that none is held whole by one task.
     """
     rows = materialise(signatures(docs, shingle), "signatures")
@@ -319,7 +336,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(own, o) * F.col("tiles") + F.greatest(own, o))
     members = members.select("node", F.col("k1"), F.explode(pair).alias("tile"), "k2")
     blocks = members.join(nodes.select("node", "fp", "sig"), "node").select("node", "fp", "sig", F.xxhash64("k1", "tile").alias("k1"), "k2")
-    edges = _blocks_to_edges(blocks, _compare(radius, True, similarity - 0.03))
+    edges = _blocks_to_edges(blocks, _compare(radius, True, similarity))
     return _with_components(rows.select("doc_id", "node"), edges, [])
 
 

@@ -116,3 +116,17 @@ def test_similar_groups(spark, block):
     assert [got[i] for i in range(len(rows))] == want
     kept = S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp int"))
     assert kept.columns == ["doc_id", "text", "fp"] and sorted(r[0] for r in kept.collect()) == sorted(set(want))
+
+
+@given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)), st.sampled_from([8, 100]))
+def test_jaccard(a, b, k):
+    was, S.SKETCH = S.SKETCH, k
+    try:
+        got, exact = S.jaccard(*(np.array(sorted(x)[:k], np.uint32) for x in (a, b)))
+    finally:
+        S.SKETCH = was
+    want = len(a & b) / len(a | b) if a | b else 1.0
+    if exact:
+        assert got == want
+    least = sorted(a | b)[:k]
+    assert exact or got == sum(x in a and x in b for x in least) / len(least)
