@@ -349,7 +349,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     groups = similar_groups(docs, similarity=similarity)
     gone = groups.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNotNull())
     gone = materialise(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))  # no name of the input can clash
+    return rows.join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
 
 
 __all__ = ["drop_near_duplicates", "drop_scratch", "fingerprint", "fingerprints", "forest", "link", "near_groups", "signatures", "similar_groups", "within"]
