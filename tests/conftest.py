@@ -1,6 +1,10 @@
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
+settings.register_profile("steady", deadline=None)  # the machine may be busy
+settings.load_profile("steady")
+
 
 @pytest.fixture(scope="session")
 def spark():
