@@ -10,9 +10,10 @@ The score of a path depends on the model. Unigram: the sum of the pieces' log-pr
 file is: a max-plus sum of piece scores would not give BPE's result, so the weights are 0 for a piece that BPE leaves
 beside the piece before it (their joint text is split into these two again) and -inf for any other; one path of
 score 0 exists, and it is BPE's. Between two characters that stand together in no piece every path has a boundary, so
-runs between such cuts are solved once and kept by their text.
+runs between such cuts, inside a chunk, are solved once and kept by their text (words of a BPE model by the library).
 
-Shorter texts are encoded whole by the library, which gives the same ids.
+Shorter texts are encoded by the library, which gives the same ids: word by word through a bounded cache where the
+model has a cut before every space and adds one in front, else whole.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows are encoded each; characters without a piece
 become byte pieces, or the unknown id where a model has none; U+2581 decodes to a space, as in the library; further
@@ -23,7 +24,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,7 @@ CHUNK = 1 << 14
 GROUP = 64
 SPACE = "▁"
 NONE = -np.inf
+_WORD = re.compile(f"{SPACE}+")
 State = tuple[int, int]  # length of the piece, characters of it after the boundary; (0, 0) at the ends of a text
 
 
@@ -66,8 +70,11 @@ class Model:
         self.longest = max(map(len, self.id))
         self.pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.library = sentencepiece.SentencePieceProcessor(model_proto=content)
-        self.kept: dict[str, list[int] | None] = {}
-        self.beside = functools.lru_cache(200_000)(self._beside)
+        self.kept: dict[str, tuple[float, bytes]] = {}
+        self.by_word = self.prefix and not any(p[1] == SPACE != p[0] for p in self.pairs)
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.beside = functools.lru_cache(50_000)(self._beside)
 
     def normal(self, text: str) -> str:
         return (SPACE if self.prefix else "") + text.replace(" ", SPACE) if text else ""
@@ -134,25 +141,55 @@ class Model:
                 out.append(self.unk_id)
         return out
 
+    def whole(self, texts: list[str], limit: int = 200_000) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit bytes. Words are kept in two generations of `limit`."""
+        raw = lambda found: [array("I", x).tobytes() for x in found]
+        library = lambda some: raw(self.library.encode(some, out_type=int, num_threads=1)) if some else []
+        split = [t.split(" ") if t and self.by_word and SPACE not in t else None for t in texts]
+        split = [None if ws is None or "" in ws else ws for ws in split]  # runs of spaces make pieces of their own
+        rest = iter(library([t for t, ws in zip(texts, split, strict=True) if ws is None]))
+        words, older, new = self.words, self.older, []
+        for w in set().union(*filter(None, split)).difference(words):
+            if w in older:
+                words[w] = older[w]
+            else:
+                new.append(w)
+        words.update(zip(new, library(new), strict=True))
+        out = [next(rest) if ws is None else b"".join(map(words.__getitem__, ws)) for ws in split]
+        for w in new:
+            if len(w) > 64:
+                del words[w]
+        if len(words) > limit:
+            self.older, self.words = words, {}
+        return out
+
     def texts(self, ids: list[bytes], parts: list[int]) -> list[str]:
         """Texts of id lists; the library takes a leading space off, so parts after the first get one more."""
         more = [self.id[SPACE]] if self.prefix and SPACE in self.id else []
         return self.library.decode([(more if p else []) + np.frombuffer(x, "<u4").tolist() for x, p in zip(ids, parts, strict=True)])
 
-    def run(self, text: str) -> tuple[float, list[int]]:
-        """Score and ids of a text between two cuts, kept if it is short."""
-        got = self.kept.get(text)
-        if got is None:
-            score, last = self.nodes(text, 0, "", len(text))
-            got = (score[-1], self.ids(self.trace(last, len(text))))
-            if len(text) <= 64:
-                if len(self.kept) > 300_000:
-                    self.kept.clear()
-                self.kept[text] = got
-        return got
+    def runs(self, texts: list[str]) -> list[tuple[float, bytes]]:
+        """Score and ids (as in whole()) of texts that lie between two cuts; short ones are kept."""
+        new = list({t for t in texts if t not in self.kept})
+        words = [t for t in new if t[0] == SPACE and len(t) > 1 and SPACE not in t[1:]] if self.bpe and self.prefix else []
+        got = {t: (0.0, array("I", x).tobytes()) for t, x in zip(words, self.library.encode([t[1:] for t in words], out_type=int, num_threads=1) if words else [], strict=True)}
+        for t in new:
+            if t not in got:
+                score, last = self.nodes(t, 0, "", len(t))
+                got[t] = (score[-1], np.array(self.ids(self.trace(last, len(t))), "<u4").tobytes())
+        out = [got[t] if t in got else self.kept[t] for t in texts]
+        if len(self.kept) > 100_000:
+            self.kept.clear()
+        self.kept.update((t, v) for t, v in got.items() if len(t) <= 64)
+        return out
 
     def cuts(self, x: str, start: int, stop: int) -> list[int]:
-        """Places strictly between start and stop at which every path has a boundary."""
+        """Places strictly between start and stop at which every path has a boundary: before words where there are
+        some, else between any two characters that stand together in no piece."""
+        if self.by_word:
+            found = [i for i in (w.start() for w in _WORD.finditer(x, start + 1, stop)) if x[i - 1] != SPACE]
+            if len(found) > 1:
+                return found
         pairs = self.pairs
         return [i for i in range(start + 1, stop) if x[i - 1 : i + 1] not in pairs]
 
@@ -198,29 +235,31 @@ class Chunk:
                 out[j] = score[at] + self.m.weight(last[at], self.x[start + at : start + at + size])
         return out
 
+    def _inner_texts(self) -> list[str]:
+        return [self.x[i:j] for i, j in zip(self.inner, self.inner[1:], strict=False)]
+
     def matrix(self) -> np.ndarray:
         if not self.inner:
             return np.array([self._exits(*self._after(s)) for s in self.entry])
         a, z = self.inner[0], self.inner[-1]
         into = np.array([self.m.nodes(self.x, *self._after(s), a)[0][-1] for s in self.entry])
-        middle = 0.0 if self.m.bpe else sum(self.m.run(self.x[i:j])[0] for i, j in zip(self.inner, self.inner[1:], strict=False))
+        middle = 0.0 if self.m.bpe else sum(score for score, _ in self.m.runs(self._inner_texts()))
         return into[:, None] + (middle + self._exits(z, ""))[None, :]
 
-    def ids(self, entry: int, exit: int) -> list[int]:
-        """Of the pieces after the entry state up to and with the exit state."""
+    def ids(self, entry: int, exit: int) -> bytes:
+        """Ids (as in Model.whole()) of the pieces after the entry state up to and with the exit state."""
         m, x = self.m, self.x
         start, left = self._after(self.entry[entry])
         size, over = self.exit[exit]
         end = self.hi + over - size
-        out: list[int] = []
+        raw = lambda pieces: np.array(m.ids(pieces), "<u4").tobytes()
+        out = b""
         if self.inner:
             a, z = self.inner[0], self.inner[-1]
-            out += m.ids(m.trace(m.nodes(x, start, left, a)[1], a - start))
-            for i, j in zip(self.inner, self.inner[1:], strict=False):
-                out += m.run(x[i:j])[1]
+            out = raw(m.trace(m.nodes(x, start, left, a)[1], a - start)) + b"".join([ids for _, ids in m.runs(self._inner_texts())])
             start, left = z, ""
-        out += m.ids(m.trace(m.nodes(x, start, left, end)[1], end - start))
-        return out + (m.ids([x[end : end + size]]) if size else [])
+        out += raw(m.trace(m.nodes(x, start, left, end)[1], end - start))
+        return out + (raw([x[end : end + size]]) if size else b"")
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -252,9 +291,9 @@ def _whole(name: str, kind: str, chunk: int):
         for b in small_batches(batches, "text"):
             texts = [t or "" for t in b.column("text").to_pylist()]
             at = [i for i, t in enumerate(texts) if len(t) <= chunk]
-            ids = m.library.encode([texts[i] for i in at], out_type=int, num_threads=1)
+            ids = m.whole([texts[i] for i in at])
             k = len(at)
-            cols = [pa.array([f"w-{task}-{n + i}" for i in at], pa.string()), pa.array([0] * k, pa.int64()), pa.array([1] * k, pa.int64()), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())]
+            cols = [pa.array([f"w-{task}-{n + i}" for i in at], pa.string()), pa.array([0] * k, pa.int64()), pa.array([1] * k, pa.int64()), pa.array(ids, pa.binary())]
             n += b.num_rows
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *cols], ["doc_id", "key", "part", "parts", "ids"])
 
@@ -333,7 +372,7 @@ def _traced(name: str, kind: str):
         m = model(name)
         for b in batches:
             for i, r in enumerate(b.to_pylist()):
-                ids = np.array(_chunk(m, r).ids(r["entry"], r["exit"]), "<u4").tobytes()
+                ids = _chunk(m, r).ids(r["entry"], r["exit"])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 1), pa.array([r["key"]]), pa.array([r["part"]]), pa.array([r["parts"]]), pa.array([ids], pa.binary())], ["doc_id", "key", "part", "parts", "ids"])
 
     return run, f"doc_id {kind}, key string, part long, parts long, ids binary"

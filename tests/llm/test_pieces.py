@@ -22,7 +22,7 @@ def scan(m, text, size):
         a, z = max(0, lo - m.longest), min(len(x), hi + m.longest)
         chunks.append(P.Chunk(m, x[a:z], lo - a, hi - a, p == 0, p == parts - 1))
     s = P.boundaries([c.matrix() for c in chunks], 0, 0)
-    return [i for c, a, b in zip(chunks, s, s[1:], strict=False) for i in c.ids(a, b)]
+    return np.frombuffer(b"".join(c.ids(a, b) for c, a, b in zip(chunks, s, s[1:], strict=False)), "<u4").tolist()
 
 
 @settings(deadline=None, max_examples=60)
@@ -33,6 +33,13 @@ def test_bpe_as_library(texts, size):
     assert scan(m, text, size) == m.library.encode(text)
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.one_of(TEXT, st.just(""), st.just("x" * 70 + " y x y")), max_size=5))
+def test_whole_as_library(texts):
+    m = P.model("piece_bpe_32k.model")
+    assert m.by_word and [np.frombuffer(x, "<u4").tolist() for x in m.whole(texts, limit=5)] == m.library.encode(texts)
+
+
 def unigram():
     from sentencepiece import sentencepiece_model_pb2 as pb
 
