@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEAN_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,16 +33,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, which cuts its lineage.
 
-    Shuffle files of the finished job are dropped at once where Spark offers that.
+    Shuffle files of the finished job are dropped at once where Spark offers that, and Arrow batches are kept small, as
+    rows may hold whole texts.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEAN_SHUFFLE, "false")
-    spark.conf.set(CLEAN_SHUFFLE, "true")
+    own = {CLEAN_SHUFFLE: "true", BATCH_ROWS: "1000"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN_SHUFFLE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -60,6 +66,15 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system, as it idles between tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose `column` holds about `limit` bytes, or one row where that alone is longer."""
     for batch in batches:
@@ -72,6 +87,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1
             stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, stop - at)
             at, base = stop, int(ends[stop - 1])
+    give_back()
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -109,3 +125,4 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[p
     if held:
         t = pa.Table.from_batches(held).combine_chunks()
         yield t, np.append(starts(t), t.num_rows)
+    give_back()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import importlib
+import json
 import os
 
 import numpy as np
@@ -26,10 +27,15 @@ class CachedEncoder:
     For tokenizers whose pre-tokens never hold white space, as word_bpe_49k.json: the ids of a text are then those of
     its pieces between ASCII white space, one after another. Pieces of up to 64 bytes are kept in two generations of
     at most `limit` (plus one call's); new ones are encoded together, with a lone NUL between each two, which such a
-    tokenizer gives an id of its own.
+    tokenizer gives an id of its own. Where the tokenizer lower-cases and parts letters from marks (LETTERS_AND_MARKS),
+    a new piece that ends in a letter and marks has the ids of its lower-cased rest and those of the marks.
     """
 
-    def __init__(self, name: str, limit: int = 300_000):
+    # Fixed value: the pre-tokenizer's pattern for which that holds.
+    LETTERS_AND_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    MARKS = b".,;:!?"
+
+    def __init__(self, name: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,6 +44,10 @@ class CachedEncoder:
         self.older: dict[bytes, bytes] = {}
         apart = self._ids("a \0 a")
         self.apart = int(apart[1]) if len(apart) == 3 else None
+        told = json.loads(self.tokenizer.to_str())
+        lower = any(n.get("type") == "Lowercase" for n in (told.get("normalizer") or {}).get("normalizers", []))
+        splits = [p.get("pattern", {}).get("Regex") for p in (told.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.parts = lower and self.LETTERS_AND_MARKS in splits
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -52,21 +62,38 @@ class CachedEncoder:
                 return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
         return [self._ids(w.decode()).tobytes() for w in words]
 
+    def _parted(self, w: bytes) -> tuple[bytes, bytes]:
+        """A piece as lower-cased rest and closing marks, if they have ids apart."""
+        if not self.parts or b"<|" in w:
+            return w, b""
+        rest = w.rstrip(self.MARKS)
+        if rest[-1:].isalpha():
+            return rest.lower(), w[len(rest) :]
+        return w, b""
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [t.encode().split() if t else [] for t in texts]
         known, older, new, long = self.known, self.older, [], {}
-        for w in {w for ws in split for w in ws if w not in known}:
+        made = []
+        for w in set().union(*split).difference(known):
             if w in older:
                 known[w] = older[w]
-            elif len(w) <= 64:
-                new.append(w)
-            else:
+            elif len(w) > 64:
                 long[w] = self._ids(w.decode()).tobytes()
+            else:
+                rest, marks = self._parted(w)
+                made.append((w, rest, marks))
+                new += [x for x in (rest, marks) if x and x not in known]
+        new = list(set(new))
+        found = [x for x in new if x in older]
+        known.update((x, older[x]) for x in found)
+        new = [x for x in new if x not in older]
         for at in range(0, len(new), 2000):
             part = new[at : at + 2000]
             known.update(zip(part, self._many(part), strict=True))
+        known.update([(w, known[rest] + known[marks] if marks else known[rest]) for w, rest, marks in made])
         table = known | long if long else known
-        out = [b"".join([table[w] for w in ws]) for ws in split]
+        out = [b"".join(map(table.__getitem__, ws)) for ws in split]
         if len(known) > self.limit:
             self.older, self.known = known, {}
         return out
