@@ -6,9 +6,16 @@ import functools
 import importlib
 import json
 import os
+import re
+from array import array
 
 import numpy as np
 
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+# Byte-level BPE shows printable bytes as themselves and the others, in order, from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
 
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file; a name with a slash is a path already."""
@@ -28,14 +35,15 @@ class CachedEncoder:
     its pieces between ASCII white space, one after another. Pieces of up to 64 bytes are kept in two generations of
     at most `limit` (plus one call's); new ones are encoded together, with a lone NUL between each two, which such a
     tokenizer gives an id of its own. Where the tokenizer lower-cases and parts letters from marks (LETTERS_AND_MARKS),
-    a new piece that ends in a letter and marks has the ids of its lower-cased rest and those of the marks.
+    a new piece that ends in a letter and marks has the ids of its lower-cased rest and those of the marks, and a piece of
+    lower-case Latin letters alone, which no step before the model would change, goes to the model itself.
     """
 
     # Fixed value: the pre-tokenizer's pattern for which that holds.
     LETTERS_AND_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     MARKS = b".,;:!?"
 
-    def __init__(self, name: str, limit: int = 250_000):
+    def __init__(self, name: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,12 +55,25 @@ class CachedEncoder:
         told = json.loads(self.tokenizer.to_str())
         lower = any(n.get("type") == "Lowercase" for n in (told.get("normalizer") or {}).get("normalizers", []))
         splits = [p.get("pattern", {}).get("Regex") for p in (told.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.parts = lower and self.LETTERS_AND_MARKS in splits
+        levels = [p.get("type") for p in (told.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.parts = lower and self.LETTERS_AND_MARKS in splits and levels == ["Split", "ByteLevel"]
+        self.model = self.tokenizer.model
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _many(self, words: list[bytes]) -> list[bytes]:
+        if not self.parts:
+            return self._together(words)
+        texts = [w.decode() for w in words]
+        plain = [bool(_LETTERS.fullmatch(t)) for t in texts]
+        rest = iter(self._together([w for w, p in zip(words, plain, strict=True) if not p]))
+        tokenize = self.model.tokenize
+        return [array("I", [k.id for k in tokenize(w.decode("latin-1").translate(_BYTES))]).tobytes() if p else next(rest) for w, p in zip(words, plain, strict=True)]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        if not words:
+            return []
         if self.apart is not None and not any(b"\0" in w for w in words):
             ids = self._ids(b" \0 ".join(words).decode())
             cuts = np.flatnonzero(ids == self.apart)
