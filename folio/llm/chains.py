@@ -9,8 +9,8 @@
 3. Chains: per pair of documents, matches in order in both are chained, score 16 words per match less GAP per word
    skipped, with prefix maxima in a Fenwick tree (n log n).
 4. Alignment: the two slices of text that a chain spans are fetched by one join with the texts and compared word by
-   word: runs of equal words, gaps aligned by edit distance, ends extended. Segments of over `min_words` - 1 words with
-   at least 0.8 of the words equal are passages.
+   word: runs of equal words, gaps aligned by edit distance, ends extended. The longest segment of runs of over
+   `min_words` - 1 words with at least 0.8 of the words equal is a passage, and so again on either side of it.
 
 Defined cases: null and blank texts have no passage; words compare with A-Z lower-cased; the first occurrence of a
 passage in the order of doc_id is never reported, nor are repeats inside one document; rows that repeat a doc_id count
@@ -31,6 +31,8 @@ from ._words import grams, mix, split_words
 
 K, WINDOW = 5, 16
 GAP = 0.1  # score lost for each word skipped in either text
+NEAR, REACH = 4, 24  # words of a run without a seed, and how many words beyond a known run it may start
+LCS_CELLS = 1 << 20  # words of one gap times those of the other; longer gaps, in which no seed is shared, count as unequal
 MARGIN = 400  # characters fetched on either side of a chain, to find its true ends
 FIELDS = "doc_id {0}, start_word int, n_words int, start_char int, n_chars int, ref_doc_id {0}, ref_start_word int, ref_n_words int, similarity double"
 
@@ -173,13 +175,93 @@ def _equal_in_gap(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def _onward(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int] | None:
+    """The nearest run of at least NEAR equal words that starts within the first REACH words: start in a, in b, length."""
+    u, v = grams(a[: REACH + NEAR - 1], NEAR), grams(b[: REACH + NEAR - 1], NEAR)
+    i, j = np.nonzero(u[:, None] == v[None, :])
+    if not len(i):
+        return None
+    k = np.lexsort((i + j, np.maximum(i, j)))[0]
+    x, y = int(i[k]), int(j[k])
+    return x, y, _run(a[x:], b[y:])
+
+
+def _run(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words are equal from the start on."""
+    n = min(len(a), len(b))
+    d = np.flatnonzero(a[:n] != b[:n])
+    return int(d[0]) if len(d) else n
+
+
+def _widened(a: np.ndarray, b: np.ndarray, matched: list[list[int]]) -> list[list[int]]:
+    """The runs with those added that follow or precede one nearby, in gaps and at the ends."""
+    out: list[list[int]] = []
+    for k in range(len(matched) + 1):
+        lo = [matched[k - 1][0] + matched[k - 1][2], matched[k - 1][1] + matched[k - 1][2]] if k else [0, 0]
+        hi = matched[k][:2] if k < len(matched) else [len(a), len(b)]
+        after: list[list[int]] = []
+        while k and (got := _onward(a[lo[0] : hi[0]], b[lo[1] : hi[1]])):
+            after.append([lo[0] + got[0], lo[1] + got[1], got[2]])
+            lo = [after[-1][0] + got[2], after[-1][1] + got[2]]
+        before: list[list[int]] = []
+        while k < len(matched) and (got := _onward(a[lo[0] : hi[0]][::-1], b[lo[1] : hi[1]][::-1])):
+            hi = [hi[0] - got[0] - got[2], hi[1] - got[1] - got[2]]
+            before.append([*hi, got[2]])
+        out += after + before[::-1] + matched[k : k + 1]
+    return out
+
+
+def longest(at: np.ndarray, ref_at: np.ndarray, n: np.ndarray, same: np.ndarray, least: float, min_words: int) -> list[tuple[int, int]]:
+    """Disjoint segments (first run, last run), each the longest left that has the share and the words.
+
+    at, ref_at, n: start and length of each run; same: equal words in the gap before it. A segment is as long as the
+    shorter of its two sides. Ends that hold more unequal words than equal ones are left out, as far as min_words are kept.
+    """
+    ends, ref_ends = at + n, ref_at + n
+    equal = np.cumsum(n + same)  # words equal up to and with each run
+    before = equal - n
+    out, todo = [], [(0, len(n))]
+    while todo:
+        lo, hi = todo.pop()
+        best, found = min_words - 1, None
+        for k in range(lo, hi):
+            words, ref_words = ends[k:hi] - at[k], ref_ends[k:hi] - ref_at[k]
+            size = np.minimum(words, ref_words)  # rises
+            f = int(np.searchsorted(size, best, side="right"))
+            if f == len(size):
+                if min(ends[hi - 1] - at[k], ref_ends[hi - 1] - ref_at[k]) <= best:
+                    break
+                continue
+            good = np.flatnonzero(equal[k:hi][f:] - before[k] >= least * np.maximum(words, ref_words)[f:] - 1e-9)
+            if len(good):
+                best, found = int(size[f + good[-1]]), (k, k + f + int(good[-1]))
+        if found is None:
+            continue
+        s, e = found
+        cut = True
+        while cut:
+            cut = False
+            inner = np.arange(s, e)  # the end after each of these runs, and the start up to it
+            tail = equal[e] - equal[inner], np.maximum(ends[e] - ends[inner], ref_ends[e] - ref_ends[inner])
+            head = before[inner + 1] - before[s], np.maximum(at[inner + 1] - at[s], ref_at[inner + 1] - ref_at[s])
+            left = np.minimum(ends[inner] - at[s], ref_ends[inner] - ref_at[s]), np.minimum(ends[e] - at[inner + 1], ref_ends[e] - ref_at[inner + 1])
+            for side, (same_words, words) in enumerate((tail, head)):
+                loss = np.where(left[side] >= min_words, words - 2 * same_words, 0)
+                if len(loss) and loss.max() > 0 and not cut:
+                    w = int(loss.argmax())
+                    s, e = (s, s + w) if side == 0 else (s + w + 1, e)
+                    cut = True
+        out.append((s, e))
+        todo += [(lo, s), (e + 1, hi)]
+    return sorted(out)
+
+
 def align(a: np.ndarray, b: np.ndarray, at: np.ndarray, ref_at: np.ndarray, least: float = 0.8, min_words: int = 50) -> list[tuple[int, int, int, int, float]]:
     """Passages (start in a, end, start in b, end, share of equal words) along the seeds at / ref_at of a chain.
 
-    A segment goes on over a gap while its score (one per equal word, less PAY per unequal one, from which a share
-    of 0.8 comes out even) stays within DROP of its best.
+    Of the runs of equal words, the longest stretch of which a share of `least` is equal is taken, then the longest of
+    what is left on either side of it, as long as they have min_words.
     """
-    pay, drop = least / (1 - least), 40.0
     matched: list[list[int]] = []  # runs of equal words: start in a, start in b, length
     for x, y in zip(at.tolist(), ref_at.tolist(), strict=True):
         if matched and (x < matched[-1][0] + matched[-1][2] or y < matched[-1][1] + matched[-1][2]):
@@ -194,47 +276,21 @@ def align(a: np.ndarray, b: np.ndarray, at: np.ndarray, ref_at: np.ndarray, leas
         back = min(x - floor_a, y - floor_b)
         d = np.flatnonzero((a[x - back : x] != b[y - back : y])[::-1]) if back else []
         back = int(d[0]) if len(d) else back
-        n = min(len(a) - x, len(b) - y)
-        d = np.flatnonzero(a[x : x + n] != b[y : y + n])
-        n = int(d[0]) if len(d) else n
-        matched.append([x - back, y - back, back + n])
+        matched.append([x - back, y - back, back + _run(a[x:], b[y:])])
     if not matched:
         return []
-    # ends: ungapped, over single unequal words, while at least 4 equal ones follow
-    for way in (-1, 1):
-        while True:
-            x, y, n = matched[0] if way < 0 else matched[-1]
-            i, j = (x - 2, y - 2) if way < 0 else (x + n + 1, y + n + 1)
-            m = 0
-            while 0 <= i + way * m < len(a) and 0 <= j + way * m < len(b) and a[i + way * m] == b[j + way * m]:
-                m += 1
-            if m < 4:
-                break
-            if way < 0:
-                matched.insert(0, [i - m + 1, j - m + 1, m])
-            else:
-                matched.append([i, j, m])
-    out, k = [], 0
-    while k < len(matched):
-        score = best = float(matched[k][2])
-        equal = best_equal = matched[k][2]
-        end = m = k
-        while m + 1 < len(matched):
-            p, q = matched[m], matched[m + 1]
-            ga, gb = q[0] - p[0] - p[2], q[1] - p[1] - p[2]
-            same = _equal_in_gap(a[q[0] - ga : q[0]], b[q[1] - gb : q[1]]) if 0 < max(ga, gb) <= 64 else 0
-            score += same - pay * (max(ga, gb) - same) + q[2]
-            equal += same + q[2]
-            m += 1
-            if score > best:
-                best, end, best_equal = score, m, equal
-            if score <= 0 or score < best - drop:
-                break
-        s, e = matched[k], matched[end]
-        na, nb = e[0] + e[2] - s[0], e[1] + e[2] - s[1]
-        if min(na, nb) >= min_words and best_equal >= least * max(na, nb):
-            out.append((s[0], s[0] + na, s[1], s[1] + nb, best_equal / max(na, nb)))
-        k = end + 1
+    matched = _widened(a, b, matched)
+    same = [0]
+    for p, q in zip(matched, matched[1:], strict=False):
+        ga, gb = q[0] - p[0] - p[2], q[1] - p[1] - p[2]
+        same.append(_equal_in_gap(a[q[0] - ga : q[0]], b[q[1] - gb : q[1]]) if 0 < min(ga, gb) and ga * gb <= LCS_CELLS else 0)
+    xs, ys, n = np.array(matched, np.int64).T
+    sames = np.array(same, np.int64)
+    out = []
+    for k, m in longest(xs, ys, n, sames, least, min_words):
+        na, nb = int(xs[m] + n[m] - xs[k]), int(ys[m] + n[m] - ys[k])
+        equal = int(n[k : m + 1].sum() + sames[k + 1 : m + 1].sum())
+        out.append((int(xs[k]), int(xs[k]) + na, int(ys[k]), int(ys[k]) + nb, equal / max(na, nb)))
     return out
 
 

@@ -100,3 +100,56 @@ def test_copies_long_and_empty(spark):
 def test_cut_of_no_rows(spark):
     out = C.cut_passages(spark.createDataFrame([], "doc_id long, text string, n_chars int, _row int"))
     assert out.columns == ["doc_id", "text", "n_chars", "_row"] and out.count() == 0
+
+
+def replaced(parts, gaps, rnd):
+    """A text of runs of words and its copy in which each stretch between two runs is replaced."""
+    a, b = [], []
+    for k, n in enumerate(parts):
+        run = [rnd.randrange(1, 1 << 40) for _ in range(n)]
+        a += run
+        b += run
+        if k < len(gaps):
+            a += [rnd.randrange(1, 1 << 40) for _ in range(gaps[k])]
+            b += [rnd.randrange(1, 1 << 40) for _ in range(gaps[k])]
+    return np.array(a, np.uint64), np.array(b, np.uint64)
+
+
+def plain_passage(parts, gaps, least=0.8, min_words=50):
+    """Length of the longest segment of runs with the share and the words, by trying all."""
+    best = 0
+    for k in range(len(parts)):
+        for m in range(k, len(parts)):
+            equal = sum(parts[k : m + 1])
+            words = equal + sum(gaps[k:m])
+            if words >= min_words and equal >= least * words - 1e-9:
+                best = max(best, words)
+    return best
+
+
+@pytest.mark.parametrize("parts, gaps", [([45, 45], [12]), ([30, 30], [8]), ([49, 20], [6]), ([25, 25, 25], [6, 6]), ([40, 8, 4], [1, 1])])
+def test_replaced_stretch(parts, gaps):
+    a, b = replaced(parts, gaps, random.Random(4))
+    got = C.align(a, b, np.array([0]), np.array([0]))
+    assert [(s, e, rs, re) for s, e, rs, re, _ in got] == [(0, len(a), 0, len(a))]
+    assert got[0][4] == pytest.approx(sum(parts) / len(a))
+
+
+@given(st.lists(st.tuples(st.integers(4, 60), st.integers(1, 14)), min_size=1, max_size=8), st.integers(0, 10**6))
+def test_replaced_stretches_against_brute_force(runs, seed):
+    parts, gaps = [r[0] for r in runs], [r[1] for r in runs[:-1]]
+    a, b = replaced(parts, gaps, random.Random(seed))
+    starts = np.cumsum([0, *(p + g for p, g in zip(parts, gaps, strict=False))])
+    got = C.align(a, b, starts, starts)
+    want = plain_passage(parts, gaps)
+    assert bool(got) == bool(want)
+    for s, e, rs, re, share in got:
+        assert e - s >= 50 and share >= 0.8 - 1e-9 and (a[s:e] == b[rs:re]).mean() == pytest.approx(share)
+    if want and min(parts) >= max(gaps, default=0):  # no end is mostly unequal
+        assert max(e - s for s, e, *_ in got) == want
+
+
+def test_ends_stay_close():
+    rnd = random.Random(6)
+    a, b = replaced([300, 4], [60], rnd)
+    assert [g[:2] for g in C.align(a, b, np.array([0, 360]), np.array([0, 360]))] == [(0, 300)]
