@@ -6,6 +6,8 @@
    with all others, so a passage that a third of the corpus holds costs a row per copy. The first occurrence comes
    from an aggregate that combines before the shuffle; Spark can split the join's hot seeds. The n-th occurrence of a
    seed in a text is also joined with the first n-th one of another, which lines up texts that repeat themselves.
+   Where the seeds of a stretch do not lead to one place (stock phrases that stood singly in several documents), each
+   PHRASES seeds in a row are joined with their first occurrence in the same way.
 3. Chains: per pair of documents, matches in order in both are chained, score 16 words per match less GAP per word
    skipped, with prefix maxima in a Fenwick tree (n log n).
 4. Alignment: the two slices of text that a chain spans are fetched by one join with the texts and compared word by
@@ -30,6 +32,7 @@ from ._shared import drop_scratch, materialise, only, runs, small_batches
 from ._words import grams, mix, split_words
 
 K, WINDOW = 5, 16
+PHRASES = (2, 4, 8)  # seeds in a row that are matched as one
 GAP = 0.1  # score lost for each word skipped in either text
 NEAR, REACH = 4, 24  # words of a run without a seed, and how many words beyond a known run it may start
 LCS_CELLS = 1 << 20  # words of one gap times those of the other; longer gaps, in which no seed is shared, count as unequal
@@ -71,7 +74,7 @@ def repeats(values: np.ndarray) -> np.ndarray:
 def seeds(docs: DataFrame) -> DataFrame:
     """(seed, doc_id, place): place is the word position in the high half and the character in the low half.
 
-    A seed that stood in the text before comes twice: as it is, and with its number.
+    A seed that stood in the text before comes twice: as it is (even), and with its number (odd).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +86,10 @@ def seeds(docs: DataFrame) -> DataFrame:
                 at = minimizers(g)
                 n = repeats(g[at])
                 again = n > 0
-                numbered = mix(g[at[again]] + n[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                plain, odd = g[at] & ~np.uint64(1), np.uint64(1)
+                numbered = odd | mix(g[at[again]] + n[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 row.append(np.full(len(at) + len(numbered), i))
-                seed.append(np.append(g[at], numbered))
+                seed.append(np.append(plain, numbered))
                 where = (at << 32) | w.start[w.first[i] + at]
                 place.append(np.append(where, where[again]))
             ids = b.column("doc_id").take(pa.array(np.concatenate(row)))
@@ -94,6 +98,56 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"seed long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long")
 
 
+def phrases(held: DataFrame, min_words: int) -> DataFrame:
+    """(seed, doc_id, place) of each PHRASES seeds in a row that repeat, unless all of them are settled.
+
+    held: (doc_id, seed, place, ref_id, ref_place), the seeds of each text that another holds too, with their first
+    occurrence. Seeds are settled where a stretch of min_words leads to one place, as the text is then compared with it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in runs(batches, ["doc_id"]):
+            place, seed = t.column("place").to_numpy(), t.column("seed").to_numpy().view(np.uint64)
+            word, shift = place >> 32, (place >> 32) - (t.column("ref_place").to_numpy() >> 32)
+            n = len(word)
+            ref = t.column("ref_id").combine_chunks().to_numpy(zero_copy_only=False)
+            first = np.zeros(n, bool)
+            first[at[:-1]] = True
+            broken = first.copy()
+            broken[1:] |= np.diff(word) > WINDOW  # seeds of one run of words are never further apart
+            turn = broken.copy()
+            turn[1:] |= (ref[1:] != ref[:-1]) | (np.diff(shift) != 0)
+            starts = np.flatnonzero(turn)
+            size = np.diff(np.append(starts, n))
+            span = word[starts + size - 1] + K - word[starts]
+            loose = np.append(0, np.cumsum(np.repeat(span < min_words, size)))
+            piece = np.cumsum(broken)
+            keys, rows = [], []
+            for k in PHRASES:
+                i = np.arange(max(0, n - k + 1))
+                i = i[(piece[i] == piece[i + k - 1]) & (loose[i + k] > loose[i])]
+                h = np.full(len(i), k, np.uint64)
+                for j in range(k):
+                    h = h * np.uint64(0x9E3779B97F4A7C15) + seed[i + j]
+                keys.append(mix(h))
+                rows.append(i)
+            rows = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), t.column("doc_id").combine_chunks().take(pa.array(rows)), pa.array(place[rows])], ["seed", "doc_id", "place"])
+
+    n = max(12, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = held.where("seed % 2 = 0").repartition(n, "doc_id").sortWithinPartitions("doc_id", "place", "seed")
+    return held.mapInArrow(run, f"seed long, doc_id {held.schema['doc_id'].dataType.simpleString()}, place long")
+
+
+def first_places(found: DataFrame) -> DataFrame:
+    """(seed, ref_id, ref_place): the first occurrence of each seed that several documents hold.
+
+    A table, so that a join with it is between exchanges and Spark can split hot seeds.
+    """
+    first = found.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id <> last")
+    return materialise(first.select("seed", F.col("f.doc_id").alias("ref_id"), F.col("f.place").alias("ref_place")), "first")
+
+
 # --- chains -------------------------------------------------------------------------------------------------------
 
 
@@ -146,8 +200,6 @@ def _chains(kind: str):
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 p, q = a[s:e], b[s:e]
                 for c in chain(q >> 32, p >> 32):
-                    if len(c) < 2:
-                        continue
                     rows.append(s)
                     lo.append(p[c[0]]), hi.append(p[c[-1]]), rlo.append(q[c[0]]), rhi.append(q[c[-1]])
                     xs.append((p[c] >> 32).astype(np.int32)), ys.append((q[c] >> 32).astype(np.int32))
@@ -344,17 +396,18 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     kind = docs.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
     found = materialise(seeds(docs), "seeds")
-    first = found.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id <> last")
-    first = first.select("seed", F.col("f.doc_id").alias("ref_id"), F.col("f.place").alias("ref_place"))
-    first = materialise(first, "first")  # a table, so that the join is between exchanges and Spark can split hot seeds
-    matches = found.join(first, "seed").where("doc_id <> ref_id").select("doc_id", "ref_id", "place", "ref_place").distinct()
-    matches = materialise(matches, "matches")
-    drop_scratch(found)
-    pairs = matches.groupBy("doc_id", "ref_id").count().where("count > 1").select("doc_id", "ref_id")
+    first = first_places(found)
+    held = materialise(found.join(first, "seed").select("doc_id", "seed", "place", "ref_id", "ref_place"), "held")
+    drop_scratch(found, first)
+    spoken = materialise(phrases(held, min_words), "phrases")
+    first = first_places(spoken)
+    links = [x.where("doc_id <> ref_id").select("doc_id", "ref_id", "place", "ref_place") for x in (held, spoken.join(first, "seed"))]
+    matches = materialise(links[0].unionByName(links[1]).distinct(), "matches")
+    drop_scratch(held, spoken, first)
     run, schema = _chains(kind)
     n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    held = matches.join(pairs, ["doc_id", "ref_id"], "left_semi").repartition(n, "doc_id", "ref_id").sortWithinPartitions("doc_id", "ref_id")
-    chains = materialise(held.mapInArrow(run, schema), "chains")
+    chains = materialise(matches.repartition(n, "doc_id", "ref_id").sortWithinPartitions("doc_id", "ref_id").mapInArrow(run, schema), "chains")
+    drop_scratch(matches)
 
     def span(lo, hi):
         start = F.greatest(F.lit(0), F.col(lo).bitwiseAND(F.lit(0xFFFFFFFF)) - MARGIN)

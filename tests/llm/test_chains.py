@@ -153,3 +153,26 @@ def test_ends_stay_close():
     rnd = random.Random(6)
     a, b = replaced([300, 4], [60], rnd)
     assert [g[:2] for g in C.align(a, b, np.array([0, 360]), np.array([0, 360]))] == [(0, 300)]
+
+
+def sentence(n, rnd):
+    return ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+
+
+def test_passages_of_stock_lines(spark):
+    """Passages whose lines stood singly, or two in a row, in earlier documents; against which pairs share 50 words."""
+    rnd = random.Random(8)
+    rows, want = [], set()
+    for case in range(24):
+        lines = [sentence(20, rnd) for _ in range(3 + case % 2)]
+        base = len(rows)
+        singles = lines if case % 3 else [x + y for x, y in zip(lines, lines[1:], strict=False)]
+        for part in singles:
+            rows.append((len(rows), " ".join(sentence(15, rnd) + part + sentence(15, rnd))))
+        whole = [w for x in lines for w in x]
+        for _ in range(2):
+            rows.append((len(rows), " ".join(sentence(30, rnd) + whole + sentence(30, rnd))))
+        want.add((len(rows) - 1, len(rows) - 2))
+        assert base < len(rows)
+    got = {(r.doc_id, r.ref_doc_id) for r in C.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
