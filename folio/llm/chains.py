@@ -1,7 +1,7 @@
 """Passages that repeat across documents, found by collinear chaining.
 
-1. Seeds: of the 5-word grams of each text, those that are least in some window of 16 (minimizers). Texts that share a
-   run of 20 words share a seed of it.
+1. Seeds: of the 4-word grams of each text, those that are least in some window of 6 (minimizers). Texts that share a
+   run of 9 words share a seed of it, and one seed is enough for a pair to be aligned.
 2. Matches: each occurrence of a seed is joined with the seed's first occurrence (least doc_id, then position), never
    with all others, so a passage that a third of the corpus holds costs a row per copy. The first occurrence comes
    from an aggregate that combines before the shuffle; Spark can split the join's hot seeds. The n-th occurrence of a
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from ._shared import drop_scratch, materialise, only, runs, small_batches
 from ._words import grams, mix, split_words
 
-K, WINDOW = 5, 16
+K, WINDOW = 4, 6
 PHRASES = (2, 4, 8)  # seeds in a row that are matched as one
+WEIGHT = 16.0  # score of a match
 GAP = 0.1  # score lost for each word skipped in either text
 NEAR, REACH = 4, 24  # words of a run without a seed, and how many words beyond a known run it may start
 LCS_CELLS = 1 << 20  # words of one gap times those of the other; longer gaps, in which no seed is shared, count as unequal
@@ -151,7 +152,7 @@ def first_places(found: DataFrame) -> DataFrame:
 # --- chains -------------------------------------------------------------------------------------------------------
 
 
-def chain(x: np.ndarray, y: np.ndarray, weight: float = float(WINDOW), gap: float = GAP) -> list[np.ndarray]:
+def chain(x: np.ndarray, y: np.ndarray, weight: float = WEIGHT, gap: float = GAP) -> list[np.ndarray]:
     """Disjoint chains of matches (x[i], y[i]), each strictly rising in both, best first.
 
     f(j) = weight + max(0, max over i before j of f(i) - gap * (distance in x + distance in y)). The distance splits

@@ -176,3 +176,26 @@ def test_passages_of_stock_lines(spark):
         assert base < len(rows)
     got = {(r.doc_id, r.ref_doc_id) for r in C.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def plain_fuzzy(a, b, least=0.8, min_words=50):
+    """Whether two lists of words hold a passage, words compared place by place."""
+    return any((eq := [x == y for x, y in zip(a, b, strict=True)]) and sum(eq[i:j]) >= least * (j - i) - 1e-9 for i in range(len(a)) for j in range(i + min_words, len(a) + 1))
+
+
+def test_fuzzy_passages(spark):
+    """Short passages with every n-th word changed, at shares of 0.83 to 0.95."""
+    rnd = random.Random(9)
+    rows, want = [], set()
+    for words, every in [(60, 12), (60, 8), (60, 7), (80, 8), (55, 15), (70, 20), (66, 6)]:
+        for _ in range(12):
+            body = sentence(words, rnd)
+            other = [rnd.choice(["x", "y"]) * 7 if i % every == every - 1 else w for i, w in enumerate(body)]
+            assert plain_fuzzy(body, other)
+            for x in (body, other):
+                rows.append((len(rows), " ".join(sentence(40, rnd) + x + sentence(40, rnd))))
+            want.add((len(rows) - 1, len(rows) - 2))
+    rows_ = C.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.ref_doc_id) for r in rows_}
+    assert got <= want and len(got) >= 0.98 * len(want), f"FOUND {len(got & want)} of {len(want)}"
+    assert all(r.similarity >= 0.8 and r.n_words >= 50 for r in rows_)
