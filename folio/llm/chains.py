@@ -12,7 +12,8 @@
    skipped, with prefix maxima in a Fenwick tree (n log n).
 4. Alignment: the two slices of text that a chain spans are fetched by one join with the texts and compared word by
    word: runs of equal words, gaps aligned by edit distance, ends extended. The longest segment of runs of over
-   `min_words` - 1 words with at least 0.8 of the words equal is a passage, and so again on either side of it.
+   `min_words` - 1 words with at least 0.8 of the words equal is a passage, and so again on either side of it. Where
+   equal words come so near the edge of a slice that more could follow, longer slices are fetched.
 
 Defined cases: null and blank texts have no passage; words compare with A-Z lower-cased; the first occurrence of a
 passage in the order of doc_id is never reported, nor are repeats inside one document; rows that repeat a doc_id count
@@ -37,7 +38,7 @@ WEIGHT = 16.0  # score of a match
 GAP = 0.1  # score lost for each word skipped in either text
 NEAR, REACH = 4, 24  # words of a run without a seed, and how many words beyond a known run it may start
 LCS_CELLS = 1 << 20  # words of one gap times those of the other; longer gaps, in which no seed is shared, count as unequal
-MARGIN = 400  # characters fetched on either side of a chain, to find its true ends
+MARGIN = 256  # characters fetched on either side of a chain at first; more where the text that agrees comes near an edge
 FIELDS = "doc_id {0}, start_word int, n_words int, start_char int, n_chars int, ref_doc_id {0}, ref_start_word int, ref_n_words int, similarity double"
 
 
@@ -309,13 +310,9 @@ def longest(at: np.ndarray, ref_at: np.ndarray, n: np.ndarray, same: np.ndarray,
     return sorted(out)
 
 
-def align(a: np.ndarray, b: np.ndarray, at: np.ndarray, ref_at: np.ndarray, least: float = 0.8, min_words: int = 50) -> list[tuple[int, int, int, int, float]]:
-    """Passages (start in a, end, start in b, end, share of equal words) along the seeds at / ref_at of a chain.
-
-    Of the runs of equal words, the longest stretch of which a share of `least` is equal is taken, then the longest of
-    what is left on either side of it, as long as they have min_words.
-    """
-    matched: list[list[int]] = []  # runs of equal words: start in a, start in b, length
+def equal_runs(a: np.ndarray, b: np.ndarray, at: np.ndarray, ref_at: np.ndarray) -> list[list[int]]:
+    """Runs of equal words (start in a, start in b, length) along the seeds at / ref_at of a chain, in order."""
+    matched: list[list[int]] = []
     for x, y in zip(at.tolist(), ref_at.tolist(), strict=True):
         if matched and (x < matched[-1][0] + matched[-1][2] or y < matched[-1][1] + matched[-1][2]):
             if x - y == matched[-1][0] - matched[-1][1]:
@@ -330,9 +327,29 @@ def align(a: np.ndarray, b: np.ndarray, at: np.ndarray, ref_at: np.ndarray, leas
         d = np.flatnonzero((a[x - back : x] != b[y - back : y])[::-1]) if back else []
         back = int(d[0]) if len(d) else back
         matched.append([x - back, y - back, back + _run(a[x:], b[y:])])
+    return _widened(a, b, matched) if matched else []
+
+
+def ends_at_edge(words: int, ref_words: int, goes_on: bool, ref_goes_on: bool) -> bool:
+    """Whether a run could follow beyond the slices, with so many words seen between the outermost run and their edges."""
+    if words < NEAR and not goes_on or ref_words < NEAR and not ref_goes_on:
+        return False
+    return goes_on and words < REACH + NEAR or ref_goes_on and ref_words < REACH + NEAR
+
+
+def align(a: np.ndarray, b: np.ndarray, at: np.ndarray, ref_at: np.ndarray, least: float = 0.8, min_words: int = 50) -> list[tuple[int, int, int, int, float]]:
+    """The passages() along the seeds at / ref_at of a chain."""
+    return passages(a, b, equal_runs(a, b, at, ref_at), least, min_words)
+
+
+def passages(a: np.ndarray, b: np.ndarray, matched: list[list[int]], least: float, min_words: int) -> list[tuple[int, int, int, int, float]]:
+    """Passages (start in a, end, start in b, end, share of equal words) over runs of equal words.
+
+    The longest stretch of which a share of `least` is equal is taken, then the longest of what is left on either side
+    of it, as long as they have min_words.
+    """
     if not matched:
         return []
-    matched = _widened(a, b, matched)
     same = [0]
     for p, q in zip(matched, matched[1:], strict=False):
         ga, gb = q[0] - p[0] - p[2], q[1] - p[1] - p[2]
@@ -348,6 +365,8 @@ def align(a: np.ndarray, b: np.ndarray, at: np.ndarray, ref_at: np.ndarray, leas
 
 
 def _aligned(kind: str, min_words: int, least: float):
+    """A row per passage; or one without a span for a chain whose slices are too short."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "slice"):
             r = b.to_pydict()
@@ -366,18 +385,50 @@ def _aligned(kind: str, min_words: int, least: float):
                 (a, base, cs, ce), (c, ref_base, _, _) = side
                 at = np.asarray(r["at"][i], np.int64) - base
                 ref_at = np.asarray(r["ref_at"][i], np.int64) - ref_base
-                for s, e, rs, re, share in align(a, c, at, ref_at, least, min_words):
+                found = equal_runs(a, c, at, ref_at)
+                if found:
+                    x, y, _ = found[0]
+                    u, v_, m = found[-1]
+                    goes_on, ref_goes_on = (len(r[text][i]) >= r[stop][i] - r[start][i] for text, start, stop in (("slice", "slice_from", "slice_to"), ("ref_slice", "ref_from", "ref_to")))
+                    if ends_at_edge(x, y, r["slice_from"][i] > 0, r["ref_from"][i] > 0) or ends_at_edge(len(a) - u - m, len(c) - v_ - m, goes_on, ref_goes_on):
+                        rows.append(i)
+                        vals.append((None,) * 7)
+                        continue
+                for s, e, rs, re, share in passages(a, c, found, least, min_words):
                     rows.append(i)
                     vals.append((s + base, e - s, int(cs[s]), int(ce[e - 1] - cs[s]), rs + ref_base, re - rs, share))
             take = pa.array(rows, pa.int64())
             cols = list(zip(*vals, strict=True)) or [()] * 7
-            ints = [pa.array([int(x) for x in c], pa.int32()) for c in cols[:6]]
+            ints = [pa.array([x if x is None else int(x) for x in c], pa.int32()) for c in cols[:6]]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(take), *ints[:4], b.column("ref_id").take(take), *ints[4:], pa.array(cols[6], pa.float64())],
-                ["doc_id", "start_word", "n_words", "start_char", "n_chars", "ref_doc_id", "ref_start_word", "ref_n_words", "similarity"],
+                [b.column("doc_id").take(take), *ints[:4], b.column("ref_id").take(take), *ints[4:], pa.array(cols[6], pa.float64()), b.column("lo").take(take), b.column("ref_lo").take(take)],
+                ["doc_id", "start_word", "n_words", "start_char", "n_chars", "ref_doc_id", "ref_start_word", "ref_n_words", "similarity", "lo", "ref_lo"],
             )
 
-    return run, FIELDS.format(kind)
+    return run, FIELDS.format(kind) + ", lo long, ref_lo long"
+
+
+def _compared(docs: DataFrame, chains: DataFrame, margin: int, min_words: int, similarity: float) -> DataFrame:
+    """The rows of _aligned() for chains, with `margin` characters of text fetched before them and half as many more after."""
+
+    def span(lo, hi):
+        start = F.greatest(F.lit(0), F.col(lo).bitwiseAND(F.lit(0xFFFFFFFF)) - margin)
+        stop = F.least(F.lit((1 << 31) - 1), F.col(hi).bitwiseAND(F.lit(0xFFFFFFFF)) + margin * 3 // 2)
+        return start.cast("int"), stop.cast("int")
+
+    s, e = span("lo", "hi")
+    rs, re = span("ref_lo", "ref_hi")
+    chains = chains.withColumns({"slice_from": s, "slice_to": e, "ref_from": rs, "ref_to": re})
+    wanted = chains.select("doc_id", "slice_from", "slice_to").unionByName(chains.select(F.col("ref_id").alias("doc_id"), F.col("ref_from").alias("slice_from"), F.col("ref_to").alias("slice_to"))).distinct()
+    slices = wanted.join(docs, "doc_id").select("doc_id", "slice_from", "slice_to", F.expr("substring(text, slice_from + 1, slice_to - slice_from)").alias("slice"))
+    slices = materialise(slices.groupBy("doc_id", "slice_from", "slice_to").agg(F.min("slice").alias("slice")), "slices")
+    ref = slices.select(F.col("doc_id").alias("ref_id"), F.col("slice_from").alias("ref_from"), F.col("slice_to").alias("ref_to"), F.col("slice").alias("ref_slice"))
+    both = chains.join(slices, ["doc_id", "slice_from", "slice_to"]).join(ref, ["ref_id", "ref_from", "ref_to"])
+    run, schema = _aligned(docs.schema["doc_id"].dataType.simpleString(), min_words, similarity)
+    both = both.select("doc_id", "ref_id", "lo", "ref_lo", "at", "ref_at", "slice_from", "slice_to", "ref_from", "ref_to", "slice", "ref_slice")
+    out = materialise(both.mapInArrow(run, schema), "aligned")
+    drop_scratch(slices)
+    return out
 
 
 # --- the operator -------------------------------------------------------------------------------------------------
@@ -409,22 +460,18 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     chains = materialise(matches.repartition(n, "doc_id", "ref_id").sortWithinPartitions("doc_id", "ref_id").mapInArrow(run, schema), "chains")
     drop_scratch(matches)
-
-    def span(lo, hi):
-        start = F.greatest(F.lit(0), F.col(lo).bitwiseAND(F.lit(0xFFFFFFFF)) - MARGIN)
-        stop = F.col(hi).bitwiseAND(F.lit(0xFFFFFFFF)) + 2 * MARGIN
-        return start.cast("int"), stop.cast("int")
-
-    s, e = span("lo", "hi")
-    rs, re = span("ref_lo", "ref_hi")
-    chains = chains.withColumns({"slice_from": s, "slice_to": e, "ref_from": rs, "ref_to": re})
-    wanted = chains.select("doc_id", "slice_from", "slice_to").unionByName(chains.select(F.col("ref_id").alias("doc_id"), F.col("ref_from").alias("slice_from"), F.col("ref_to").alias("slice_to"))).distinct()
-    slices = wanted.join(docs, "doc_id").select("doc_id", "slice_from", "slice_to", F.expr("substring(text, slice_from + 1, slice_to - slice_from)").alias("slice"))
-    slices = materialise(slices.groupBy("doc_id", "slice_from", "slice_to").agg(F.min("slice").alias("slice")), "slices")
-    ref = slices.select(F.col("doc_id").alias("ref_id"), F.col("slice_from").alias("ref_from"), F.col("slice_to").alias("ref_to"), F.col("slice").alias("ref_slice"))
-    both = chains.join(slices, ["doc_id", "slice_from", "slice_to"]).join(ref, ["ref_id", "ref_from", "ref_to"])
-    run, schema = _aligned(kind, min_words, similarity)
-    return both.select("doc_id", "ref_id", "lo", "ref_lo", "at", "ref_at", "slice_from", "ref_from", "slice", "ref_slice").mapInArrow(run, schema)
+    names = ["doc_id", "start_word", "n_words", "start_char", "n_chars", "ref_doc_id", "ref_start_word", "ref_n_words", "similarity"]
+    out, margin = None, MARGIN
+    while True:
+        got = _compared(docs, chains, margin, min_words, similarity)
+        part = got.where("start_word is not null").select(names)
+        out = part if out is None else out.unionByName(part)
+        short = got.where("start_word is null").select("doc_id", F.col("ref_doc_id").alias("ref_id"), "lo", "ref_lo")
+        if short.isEmpty():
+            return out.distinct()
+        left = materialise(chains.join(short, ["doc_id", "ref_id", "lo", "ref_lo"], "left_semi"), "chains")
+        drop_scratch(chains)
+        chains, margin = left, margin * 8
 
 
 def cut_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8) -> DataFrame:

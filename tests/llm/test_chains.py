@@ -199,3 +199,16 @@ def test_fuzzy_passages(spark):
     got = {(r.doc_id, r.ref_doc_id) for r in rows_}
     assert got <= want and len(got) >= 0.98 * len(want), f"FOUND {len(got & want)} of {len(want)}"
     assert all(r.similarity >= 0.8 and r.n_words >= 50 for r in rows_)
+
+
+def test_long_words(spark):
+    """Passages of words so long that their ends lie far, in characters, from the seeds."""
+    rnd = random.Random(10)
+    long = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(rnd.choice([60, 200]))) for _ in range(n)]
+    rows, want = [], []
+    for k in range(10):
+        body = long(50 + k)
+        rows += [(2 * k, " ".join(long(70) + body + long(70))), (2 * k + 1, " ".join(long(80) + body + long(80)))]
+        want.append((2 * k + 1, 80, len(body), 2 * k, 70))
+    got = C.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.n_words, r.ref_doc_id, r.ref_start_word) for r in got) == want, f"FOUND {len(got)} of {len(want)}"
