@@ -297,11 +297,11 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 key = mix((key ^ band[:, :, r]) * np.uint64(0x9E3779B97F4A7C15))
             fp = np.zeros(n, np.uint64)
             for i in range(n):
-                bits = np.zeros(64, np.int64)
-                for s in range(at[i], at[i + 1], 1 << 16):
-                    part = g[s : min(at[i + 1], s + (1 << 16))]
+                bits, own = np.zeros(64, np.int64), np.unique(g[at[i] : at[i + 1]])  # distinct, as the similarity is
+                for s in range(0, len(own), 1 << 16):
+                    part = own[s : s + (1 << 16)]
                     bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                fp[i] = np.packbits(2 * bits > at[i + 1] - at[i], bitorder="little").view("<u8")[0]
+                fp[i] = np.packbits(2 * bits > len(own), bitorder="little").view("<u8")[0]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
@@ -318,10 +318,11 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, node long, fp long, sig binary, bands array<long>")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 22, block: int = BLOCK) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 32, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) for each row: components of texts whose word shingles are alike.
 
-    A pair at Jaccard similarity 0.8 shares a band with probability 0.998 (0.85: 0.9999). Sketches hold all shingles
+    The fingerprints are of distinct shingles: at 0.8 they differ in some 10 to 12 bits with a deviation of 3, so that a
+    radius of 32 loses no pair in 10^9. A pair at Jaccard similarity 0.8 shares a band with probability 0.998 (0.85: 0.9999). Sketches hold all shingles
     of texts of up to SKETCH; beyond, the estimate has a standard deviation of 0.0125 at 0.8 and is taken as is. A block of
     over `block` distinct texts is dealt as pairs of tiles, so that none is held whole by one task.
     """

@@ -130,3 +130,16 @@ def test_jaccard(a, b, k):
         assert got == want
     least = sorted(a | b)[:k]
     assert exact or got == sum(x in a and x in b for x in least) / len(least)
+
+
+def test_similar_groups_with_repeated_lines(spark):
+    """Pairs that differ in how often a line stands in them; shingles are counted once."""
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(40):
+        base, foot = [f"w{rnd.randrange(10**6)}" for _ in range(600)], [f"f{rnd.randrange(10**6)}" for _ in range(8)]
+        for n in (1, 40):
+            rows.append((len(rows), " ".join(base + foot * n)))
+    got = dict(map(tuple, S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    found = sum(got[i] == got[i + 1] == i for i in range(0, len(rows), 2))
+    assert found == 40, f"FOUND {found} of 40"
