@@ -9,7 +9,8 @@ r' = parts - r of any `parts` parts of the word, so each choice of parts is a bl
 fingerprints is dealt again by the same rule on the bits its key leaves open, down to blocks of at most 2**11.
 
 similar_groups() is for a word-shingle similarity, at which 64-bit distances spread too widely for a radius alone:
-MinHash bands give the blocks, the bit-sliced pass abandons what is far, and bottom-k sketches of the shingles decide.
+MinHash bands give the blocks, the bit-sliced pass abandons what is far, and bottom-k sketches of the shingles decide;
+where a sketch leaves it in doubt, the whole sets of shingles do.
 
 Defined cases: null or blank texts have fingerprint 0 and are linked with one another; a text of fewer words than a
 shingle is one shingle; equal rows each get a result row; null ids are carried and never become a component's id
@@ -168,10 +169,20 @@ def _compare(radius: int, signature: bool = False, similarity: float = 0.0):
         for t, at in runs(batches, ["k1", "k2"]):
             fps = t.column("fp").to_numpy().view(np.uint64)
             node = t.column("node").to_numpy()
-            agree = None
+            agree, doubt = None, []
             if signature:
                 sig = [np.frombuffer(x, np.uint32) for x in t.column("sig").to_pylist()]
-                agree = lambda i, rows, sig=sig: np.array([jaccard(sig[i], sig[j])[0] >= similarity for j in rows.tolist()], bool)
+
+                def agree(i, rows, sig=sig, doubt=doubt):
+                    out = np.zeros(len(rows), bool)
+                    for k, j in enumerate(rows.tolist()):
+                        share, exact = jaccard(sig[i], sig[j])
+                        if exact or abs(share - similarity) > DOUBT:
+                            out[k] = share >= similarity
+                        else:
+                            doubt.append((i, j))
+                    return out
+
             groups = [np.arange(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b > a + 1]
             groups.sort(key=len)  # batches of blocks of about one size
             edges: list[tuple[int, int]] = []
@@ -180,8 +191,12 @@ def _compare(radius: int, signature: bool = False, similarity: float = 0.0):
                 many = max(1, 8192 // (len(groups[step]) + 64))
                 edges += forest(groups[step : step + many], fps, radius, agree)
                 step += many
-            e = np.array(edges, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]])], ["u", "v"])
+            e = np.array(edges + doubt, np.int64).reshape(-1, 2)
+            columns = [pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]])]
+            if signature:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(len(e)) < len(edges))], ["u", "v", "sure"])
+            else:
+                yield pa.RecordBatch.from_arrays(columns, ["u", "v"])
 
     return run
 
@@ -205,9 +220,9 @@ def _keyed(nodes: DataFrame, masks: list[int], first: int = 0) -> DataFrame:
     return nodes.select("*", F.explode(keys).alias("k")).select(*nodes.columns, "k.k1", "k.k2")
 
 
-def _blocks_to_edges(blocks: DataFrame, run) -> DataFrame:
+def _blocks_to_edges(blocks: DataFrame, run, schema: str = "u long, v long") -> DataFrame:
     n = max(12, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return blocks.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, "u long, v long")
+    return blocks.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, schema)
 
 
 def link(nodes: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
@@ -247,9 +262,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, block: int =
 
 # --- similarity of word shingles ----------------------------------------------------------------------------------
 
-BANDS, ROWS = 16, 5
+BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 SKETCH = 1024
+DOUBT = 0.06  # estimates this near the threshold (4.8 deviations) are settled by the whole sets
 _MULT = np.random.default_rng(7).integers(1, 1 << 32, SLOTS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = np.random.default_rng(8).integers(0, 1 << 32, SLOTS, dtype=np.uint64).astype(np.uint32)
 
@@ -269,6 +285,45 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[float, bool]:
     return np.searchsorted(common, both[-1], side="right") / len(both), exact
 
 
+def _shingles(h: np.ndarray, shingle: int) -> tuple[np.ndarray, int]:
+    """Hashes of the shingles of a text, repeats included, and the hash of its whole word sequence."""
+    g = grams(h, shingle) if len(h) >= shingle else mix(grams(h, len(h))) if len(h) else np.zeros(1, np.uint64)
+    return g, xxhash.xxh64_intdigest(h.tobytes(), 1) - (1 << 63) if len(h) else 0
+
+
+def whole_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(node, whole): all distinct shingles, sorted, of each text that can be alike to one of over SKETCH shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, "text"):
+            w = split_words(b.column("text").to_pylist())
+            got = [_shingles(w.hash[w.first[i] : w.first[i + 1]], shingle) for i in range(b.num_rows)]
+            sets = [(node, np.unique(g)) for g, node in got]
+            sets = [(node, g.tobytes()) for node, g in sets if len(g) >= SKETCH // 2]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary())], ["node", "whole"])
+
+    return only(docs, "text").where(F.length("text") >= SKETCH).mapInArrow(run, "node long, whole binary")
+
+
+def settle(doubt: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those pairs (u, v) whose whole sets of shingles are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, "a"):
+            keep = []
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common / (len(x) + len(y) - common) >= similarity)
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = doubt.select(F.col("u").alias("node")).unionByName(doubt.select(F.col("v").alias("node"))).distinct()
+    sets = whole_sets(docs, shingle).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("whole").alias("whole"))
+    sets = materialise(sets, "sets")
+    both = doubt.join(sets.select(F.col("node").alias("u"), F.col("whole").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("whole").alias("b")), "v")
+    return materialise(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "settled")
+
+
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(doc_id, node, fp, sig, bands): a hash of the word sequence, SimHash, sketch of the shingles and band keys."""
 
@@ -280,11 +335,9 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
             node = np.zeros(n, np.int64)
             for i in range(n):
                 h = w.hash[w.first[i] : w.first[i + 1]]
-                g = grams(h, shingle) if len(h) >= shingle else mix(grams(h, len(h))) if len(h) else np.zeros(1, np.uint64)
+                g, node[i] = _shingles(h, shingle)
                 gram.append(g)
                 at[i + 1] = at[i] + len(g)
-                if len(h):
-                    node[i] = xxhash.xxh64_intdigest(h.tobytes(), 1) - (1 << 63)
             g = np.concatenate(gram)
             low = (g >> np.uint64(32)).astype(np.uint32)
             least = np.empty((n, SLOTS), np.uint32)
@@ -322,8 +375,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     """(doc_id, component_id) for each row: components of texts whose word shingles are alike.
 
     The fingerprints are of distinct shingles: at 0.8 they differ in some 10 to 12 bits with a deviation of 3, so that a
-    radius of 32 loses no pair in 10^9. A pair at Jaccard similarity 0.8 shares a band with probability 0.998 (0.85: 0.9999). Sketches hold all shingles
-    of texts of up to SKETCH; beyond, the estimate has a standard deviation of 0.0125 at 0.8 and is taken as is. A block of
+    radius of 32 loses no pair in 10^9. A pair at Jaccard similarity 0.8 shares a band with probability 0.99993 (0.85: 0.999998). Sketches hold all
+    shingles of texts of up to SKETCH; beyond, the estimate has a standard deviation of 0.0125 at 0.8, and pairs within
+    DOUBT of the threshold are compared by their whole sets. A block of
     over `block` distinct texts is dealt as pairs of tiles, so that none is held whole by one task.
     """
     rows = materialise(signatures(docs, shingle), "signatures")
@@ -337,7 +391,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(own, o) * F.col("tiles") + F.greatest(own, o))
     members = members.select("node", F.col("k1"), F.explode(pair).alias("tile"), "k2")
     blocks = members.join(nodes.select("node", "fp", "sig"), "node").select("node", "fp", "sig", F.xxhash64("k1", "tile").alias("k1"), "k2")
-    edges = _blocks_to_edges(blocks, _compare(radius, True, similarity))
+    found = materialise(_blocks_to_edges(blocks, _compare(radius, True, similarity), "u long, v long, sure boolean"), "found")
+    edges = found.where("sure").select("u", "v")
+    doubt = materialise(found.where("not sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "doubt")
+    if not doubt.isEmpty():
+        edges = edges.unionByName(settle(doubt, docs, shingle, similarity))
     return _with_components(rows.select("doc_id", "node"), edges, [])
 
 

@@ -143,3 +143,21 @@ def test_similar_groups_with_repeated_lines(spark):
     got = dict(map(tuple, S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     found = sum(got[i] == got[i + 1] == i for i in range(0, len(rows), 2))
     assert found == 40, f"FOUND {found} of 40"
+
+
+def test_similar_groups_of_long_texts(spark):
+    """Texts of over 1024 shingles at similarities on either side of 0.8, against the whole sets."""
+    rnd = random.Random(6)
+    rows, want = [], []
+    for k in range(40):
+        n = 1600 + 10 * k
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        share = 0.79 if k % 2 else 0.81
+        cut = round((n - 4) * (1 - share) / (1 + share)) - 4  # a stretch replaced at the end
+        other = base[: n - cut] + [f"o{rnd.randrange(10**6)}" for _ in range(cut)]
+        a, b = ({tuple(x[i : i + 5]) for i in range(n - 4)} for x in (base, other))
+        want.append(len(a & b) / len(a | b) >= 0.8)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    got = dict(map(tuple, S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    right = sum((got[2 * k + 1] == 2 * k) == want[k] for k in range(40))
+    assert 10 < sum(want) < 30 and right == 40, f"RIGHT {right} of 40, {sum(want)} alike"
