@@ -16,7 +16,8 @@
    equal words come so near the edge of a slice that more could follow, longer slices are fetched.
 
 Defined cases: null and blank texts have no passage; words compare with A-Z lower-cased; the first occurrence of a
-passage in the order of doc_id is never reported, nor are repeats inside one document; rows that repeat a doc_id count
+passage in the order of doc_id is never reported, nor are repeats inside one document (a single match of a place that
+is in a better chain of the same two documents is taken for such a repeat); rows that repeat a doc_id count
 as one document (its first text in string order); rows without an id take no part; further columns are ignored.
 """
 
@@ -201,7 +202,12 @@ def _chains(kind: str):
             rows, lo, hi, rlo, rhi, xs, ys = [], [], [], [], [], [], []
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 p, q = a[s:e], b[s:e]
+                seen: set[int] = set()  # places of the earlier document in better chains
                 for c in chain(q >> 32, p >> 32):
+                    places = q[c].tolist()
+                    if len(c) == 1 and places[0] in seen:
+                        continue  # a line said again
+                    seen.update(places)
                     rows.append(s)
                     lo.append(p[c[0]]), hi.append(p[c[-1]]), rlo.append(q[c[0]]), rhi.append(q[c[-1]])
                     xs.append((p[c] >> 32).astype(np.int32)), ys.append((q[c] >> 32).astype(np.int32))
