@@ -80,15 +80,18 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", 4_000_000):
             row, piece, start, length, crc, content = [], [], [], [], [], []
-            for i, x in enumerate(encode(b.column("text").to_pylist())):
-                x += end
-                for k, at in enumerate(range(0, len(x), 4 * size)):
-                    part = x[at : at + 4 * size]
-                    row.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+            found, bounds = encode(b.column("text"))
+            found, bounds = memoryview(found), bounds.tolist()
+            for i, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                for k, at in enumerate(range(s, e + 4, 4 * size)):  # the end id comes after e
+                    stop = min(at + 4 * size, e + 4)
+                    part = found[at : min(stop, e)]
+                    row.append(i), piece.append(k), start.append((at - s) // 4), length.append((stop - at) // 4)
+                    crc.append(zlib.crc32(end, zlib.crc32(part)) if stop > e else zlib.crc32(part))
                     if ids:
-                        content.append(part)
+                        content.append(bytes(part) + end * (stop > e))
             cols = [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(content, pa.binary())] * ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids)
 
