@@ -1,15 +1,20 @@
 """Quality rules with thresholds from mergeable quantile sketches per language and source, in DataFrame functions only.
 
 Counts per text (all of it): words, their code points, symbols, repeated lines, words in repeated 3-word windows. Two
-base rules are fixed; the others are fences around the median of a document's own (language, source):
+base rules are fixed; the others are fences on four shares x / n (SHARES), each from the quantiles of the documents of
+one language and source that pass the base rules:
 
-    upper = median + SPREAD * (median - lower quartile) + slack
-    lower = median - SPREAD * (upper quartile - median) - slack     (word length only)
+    high = top + spread * (top - median)            top: the quantile at the share's level
+    low  = quarter - spread * (median - quarter)    word length only; quarter: the lower quartile
 
-Each fence uses the half of the spread that lies away from it, so rejects don't widen their own fence unless they are
-half of the group. Quartiles come from percentile_approx, whose summaries are built per task and merged, over the
-documents that pass the base rules. Groups of under MIN_GROUP such documents take the fences of their language.
-The fences join the documents on (language, source); they are broadcast only after their rows are counted.
+A document is out if its x is more than SURE deviations above what `high` gives for its own n, x > high * n +
+SURE * sqrt(high * n) + SURE**2 (Bernstein's bound for counts), or as many below `low`. So there is no fixed share: a
+fence lies where the language and source has its values, and a short text needs more to be out than a long one. The
+level of a share says which part of a group is taken to be sound: three quarters where junk passes the base rules, 0.99
+where the base rules have taken the worst already. Quantiles come from percentile_approx, whose summaries are built per
+task and merged. The quantiles of a group of n documents are blended with those of its language, n : prior, where the
+prior is the number of documents of which one lies beyond the level. The fences
+join the documents on (language, source); they are broadcast only after their rows are counted.
 
 Defined cases: a null or blank text has zero counts and fails the base rules; null languages and sources are groups of
 their own; repeated rows are judged each and all count in the sketches; further columns are kept by filter_documents()
@@ -23,9 +28,13 @@ from pyspark.sql import functions as F
 
 from ._shared import materialise, only
 
-SPREAD = 8.0
-SLACK = {"symbol_share": 0.05, "word_length": 1.0, "dup_line_share": 0.4, "repeat_share": 0.4}
-MIN_GROUP = 30
+SHARES = {  # count, what it is a share of, level, prior, spread
+    "symbol_share": ("n_symbols", "word_chars", 0.75, 4, 8.0),
+    "word_length": ("word_chars", "n_words", 0.75, 4, 8.0),
+    "dup_line_share": ("n_dup_lines", "n_lines", 0.99, 100, 1.0),
+    "repeat_share": ("n_repeat_words", "n_words", 0.99, 100, 1.0),
+}
+SURE = 4.0
 ACCURACY = 10_000
 BROADCAST_ROWS = 50_000  # about 200 bytes each
 
@@ -86,25 +95,21 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _share(name: str) -> Column:
-    top, bottom = {"symbol_share": ("n_symbols", "word_chars"), "word_length": ("word_chars", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words")}[name]
-    return F.col(top) / F.greatest(F.col(bottom), F.lit(1))
-
-
 def fences(counts: DataFrame) -> DataFrame:
-    """(lang, source, <share>_max of each share, word_length_min): a row for each group that has documents."""
-    rows = counts.where(~base_failed()).select("lang", "source", *(_share(m).alias(m) for m in SLACK))
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], ACCURACY).alias(m) for m in SLACK]
-    groups = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *quartiles)
-    tongues = rows.groupBy("lang").agg(*(q for q in quartiles))
-    tongues = tongues.select(F.col("lang").alias("_lang"), *(F.col(m).alias(f"_{m}") for m in SLACK))
+    """(lang, source, <share>_high of each share, word_length_low): a row for each group that has documents."""
+    shares = [(F.col(x) / F.greatest(F.col(n), F.lit(1))).alias(m) for m, (x, n, _, _, _) in SHARES.items()]
+    rows = counts.where(~base_failed()).select("lang", "source", *shares)
+    quantiles = [F.percentile_approx(m, [0.25, 0.5, level], ACCURACY).alias(m) for m, (_, _, level, _, _) in SHARES.items()]
+    groups = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *quantiles)
+    tongues = rows.groupBy("lang").agg(*quantiles)
+    tongues = tongues.select(F.col("lang").alias("_lang"), *(F.col(m).alias(f"_{m}") for m in SHARES))
     both = groups.join(tongues, groups["lang"].eqNullSafe(tongues["_lang"]))
     out = []
-    for m, slack in SLACK.items():
-        q = F.when(F.col("n") >= MIN_GROUP, F.col(m)).otherwise(F.col(f"_{m}"))
-        out.append((q[1] + SPREAD * (q[1] - q[0]) + slack).alias(f"{m}_max"))
+    for m, (_, _, _, prior, spread) in SHARES.items():
+        quarter, median, top = ((F.col("n") * F.col(m)[i] + prior * F.col(f"_{m}")[i]) / (F.col("n") + prior) for i in range(3))
+        out.append((top + spread * (top - median)).alias(f"{m}_high"))
         if m == "word_length":
-            out.append((q[1] - SPREAD * (q[2] - q[1]) - slack).alias(f"{m}_min"))
+            out.append(F.greatest(F.lit(0.0), quarter - spread * (median - quarter)).alias(f"{m}_low"))
     return both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *out)
 
 
@@ -113,10 +118,14 @@ def _judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
     if limits.count() <= BROADCAST_ROWS:
         limits = F.broadcast(limits)
     both = counts.join(limits, counts["lang"].eqNullSafe(limits["_lang"]) & counts["source"].eqNullSafe(limits["_source"]), "left")
-    inside = _share("word_length") >= F.col("word_length_min")
-    for m in SLACK:
-        inside &= _share(m) <= F.col(f"{m}_max")
-    return both.select(*counts.columns, base_failed().alias("base_failed"), F.coalesce(~base_failed() & inside, F.lit(False)).alias("kept"))
+    inside = ~base_failed()
+    for m, (x, n, _, _, _) in SHARES.items():
+        high = F.col(f"{m}_high") * F.col(n)
+        inside &= F.col(x) <= high + SURE * F.sqrt(high) + SURE * SURE
+        if m == "word_length":
+            low = F.col(f"{m}_low") * F.col(n)
+            inside &= F.col(x) >= low - SURE * F.sqrt(low)
+    return both.select(*counts.columns, base_failed().alias("base_failed"), F.coalesce(inside, F.lit(False)).alias("kept"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -126,11 +135,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Texts are read twice and never shuffled."""
-    counts = materialise(counted(only(docs, "text", "lang", "source")).drop("text"), "counts")
-    limits = materialise(fences(counts), "fences")
+    """The rows of docs that are kept, with all their columns. Each text is counted once and never shuffled."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text", "lang", "source")
-    return _judged(counted(rows), limits).where("kept").select("_row.*")
+    counts = materialise(counted(rows).drop("text"), "counted")
+    return _judged(counts, materialise(fences(counts), "fences")).where("kept").select("_row.*")
 
 
 # The quantiles of DuckDB are those of percentile_approx as long as a group has fewer rows than ACCURACY.
@@ -150,17 +158,22 @@ c AS (
 s AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS ss, word_chars / greatest(n_words, 1) AS wl,
          n_dup_lines / greatest(n_lines, 1) AS dl, n_repeat_words / greatest(n_words, 1) AS rs FROM c),
-g AS (SELECT lang, source, count(*) AS n, quantile_disc(ss, [0.25, 0.5, 0.75]) AS ss, quantile_disc(wl, [0.25, 0.5, 0.75]) AS wl, quantile_disc(dl, [0.25, 0.5, 0.75]) AS dl, quantile_disc(rs, [0.25, 0.5, 0.75]) AS rs
+g AS (SELECT lang, source, count(*) AS n, quantile_disc(ss, [0.25, 0.5, 0.75]) AS ss, quantile_disc(wl, [0.25, 0.5, 0.75]) AS wl, quantile_disc(dl, [0.25, 0.5, 0.99]) AS dl, quantile_disc(rs, [0.25, 0.5, 0.99]) AS rs
       FROM s WHERE NOT base_failed GROUP BY ALL),
-l AS (SELECT lang, quantile_disc(ss, [0.25, 0.5, 0.75]) AS ss, quantile_disc(wl, [0.25, 0.5, 0.75]) AS wl, quantile_disc(dl, [0.25, 0.5, 0.75]) AS dl, quantile_disc(rs, [0.25, 0.5, 0.75]) AS rs
+l AS (SELECT lang, quantile_disc(ss, [0.25, 0.5, 0.75]) AS ss, quantile_disc(wl, [0.25, 0.5, 0.75]) AS wl, quantile_disc(dl, [0.25, 0.5, 0.99]) AS dl, quantile_disc(rs, [0.25, 0.5, 0.99]) AS rs
       FROM s WHERE NOT base_failed GROUP BY ALL),
 q AS (
-  SELECT g.lang, source, CASE WHEN n >= 30 THEN g.ss ELSE l.ss END AS ss, CASE WHEN n >= 30 THEN g.wl ELSE l.wl END AS wl,
-         CASE WHEN n >= 30 THEN g.dl ELSE l.dl END AS dl, CASE WHEN n >= 30 THEN g.rs ELSE l.rs END AS rs
-  FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang)
-SELECT s.doc_id, s.lang, s.source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
-       coalesce(NOT base_failed AND s.ss <= q.ss[2] + 8 * (q.ss[2] - q.ss[1]) + 0.05::DOUBLE AND s.wl <= q.wl[2] + 8 * (q.wl[2] - q.wl[1]) + 1
-                AND s.wl >= q.wl[2] - 8 * (q.wl[3] - q.wl[2]) - 1 AND s.dl <= q.dl[2] + 8 * (q.dl[2] - q.dl[1]) + 0.4::DOUBLE
-                AND s.rs <= q.rs[2] + 8 * (q.rs[2] - q.rs[1]) + 0.4::DOUBLE, false) AS kept
-FROM s LEFT JOIN q ON s.lang IS NOT DISTINCT FROM q.lang AND s.source IS NOT DISTINCT FROM q.source
+  SELECT g.lang, source, list_transform(range(1, 4), lambda i: (n * g.ss[i] + 4 * l.ss[i]) / (n + 4)) AS ss, list_transform(range(1, 4), lambda i: (n * g.wl[i] + 4 * l.wl[i]) / (n + 4)) AS wl,
+         list_transform(range(1, 4), lambda i: (n * g.dl[i] + 100 * l.dl[i]) / (n + 100)) AS dl, list_transform(range(1, 4), lambda i: (n * g.rs[i] + 100 * l.rs[i]) / (n + 100)) AS rs
+  FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang),
+f AS (
+  SELECT lang, source, ss[3] + 8 * (ss[3] - ss[2]) AS ss, wl[3] + 8 * (wl[3] - wl[2]) AS wl, greatest(0, wl[1] - 8 * (wl[2] - wl[1])) AS low,
+         dl[3] + (dl[3] - dl[2]) AS dl, rs[3] + (rs[3] - rs[2]) AS rs FROM q),
+e AS (
+  SELECT s.* EXCLUDE (ss, wl, dl, rs), f.ss * word_chars AS ss, f.wl * n_words AS wl, f.low * n_words AS low, f.dl * n_lines AS dl, f.rs * n_words AS rs
+  FROM s LEFT JOIN f ON s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
+       coalesce(NOT base_failed AND n_symbols <= ss + 4 * sqrt(ss) + 16 AND word_chars <= wl + 4 * sqrt(wl) + 16 AND word_chars >= low - 4 * sqrt(low)
+                AND n_dup_lines <= dl + 4 * sqrt(dl) + 16 AND n_repeat_words <= rs + 4 * sqrt(rs) + 16, false) AS kept
+FROM e
 """

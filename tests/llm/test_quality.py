@@ -59,6 +59,29 @@ def test_fences_adapt(spark):
     assert Q.judge(none).count() == 0 and Q.filter_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("share", list(Q.SHARES))
+@pytest.mark.parametrize("key", ["lang", "source"])
+def test_every_fence_moves_with_its_group(spark, share, key):
+    """The same counts pass where the group is like that and fail where it isn't, for each share, language and source."""
+    x = Q.SHARES[share][0]
+    rnd = random.Random(3)
+    usual = {"n_words": 2000, "word_chars": 10000, "n_symbols": 50, "n_lines": 2000, "n_dup_lines": 20, "n_repeat_words": 40}
+
+    def row(i, group, times):
+        c = dict(usual)
+        c[x] = round(usual[x] * times)
+        if share == "word_length":
+            c["n_symbols"] = round(usual["n_symbols"] * times)
+        return (i, *((group, "s") if key == "lang" else ("l", group)), *(c[k] for k in Q.COUNTS))
+
+    loud, quiet = (2.0, 1.0) if share == "word_length" else (10.0, 1.0)
+    rows = [row(i, g, t * rnd.uniform(0.95, 1.05)) for i, (g, t) in enumerate([("loud", loud), ("quiet", quiet)] * 300)]
+    rows += [row(1000, "loud", loud), row(1001, "quiet", loud), row(1002, "quiet", quiet)]
+    counts = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in Q.COUNTS)).coalesce(2)
+    got = {r.doc_id: r.kept for r in Q._judged(counts, Q.fences(counts)).collect()}
+    assert got.pop(1000) and not got.pop(1001) and got.pop(1002) and all(got.values())
+
+
 def test_sql(spark):
     assert compare(spark, "op1_quality", "/root/testdata/sf0.01", QUERIES, ORACLE_SQL) == 1000
 
