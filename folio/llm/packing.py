@@ -2,12 +2,13 @@
 
 A sequence (bin) has a residual vector: tokens, documents and attention cost (the sum of squared piece lengths). Pieces
 are placed longest first; each goes to the bin that can take it in every dimension and is left with the least weighted
-norm of its residual vector, or opens a new one. Bins are indexed by residual tokens (a bit set finds the next level)
-and, inside a level, by their whole residual vector, so the search looks at the few levels whose token part alone is
-below the best norm so far.
+norm of its residual vector, each part as a share of its capacity, or opens a new one. Bins are indexed by residual
+tokens (a bit set finds the next level). What is left of the cost is at least what the used tokens allow, so the norm
+of a level has a lower bound that rises with its tokens, and the search ends at the first level beyond the best so far.
 
-Pieces are dealt by hash into shards of about SHARD rows, each packed by itself: a shard leaves one part-filled bin, in
-some thousands, and no task holds more than a shard whatever the input's size.
+Pieces are dealt by a number of their row, not by what they hold, into shards of about SHARD rows, each packed by
+itself: a shard leaves a few part-filled bins, in some thousands, and no task holds more than a shard, repeated rows or
+not.
 
 Defined cases: a null text counts as empty and is one piece of the end id alone; repeated rows are packed each; a piece
 that alone exceeds a capacity raises ValueError; an empty table gives no rows; further columns are ignored.
@@ -27,7 +28,7 @@ from .tokens import encoder
 
 SHARD = 1 << 16
 CAPACITY = (4096, 4096, 4096 * 4096)
-WEIGHT = (1.0, 1e-7, 1e-7)
+WEIGHT = (1.0, 0.3, 0.3)
 
 
 def best_fit(lengths: list[int], capacity=CAPACITY, weight=WEIGHT) -> tuple[list[int], list[int]]:
@@ -44,12 +45,13 @@ def best_fit(lengths: list[int], capacity=CAPACITY, weight=WEIGHT) -> tuple[list
         rest = mask >> n
         while rest:
             r = n + (rest & -rest).bit_length() - 1
-            low = wt * (r - n) ** 2
+            spare = cost - (tokens - r) ** 2 - c  # no bin of this level is left with less of the cost
+            low = wt * (r - n) ** 2 + (wc * spare * spare if spare > 0 else 0.0)
             if best is not None and low >= best:
                 break
             for s in levels[r]:
                 if s[0] >= 1 and s[1] >= c:
-                    norm = low + wd * (s[0] - 1) ** 2 + wc * (s[1] - c) ** 2
+                    norm = wt * (r - n) ** 2 + wd * (s[0] - 1) ** 2 + wc * (s[1] - c) ** 2
                     if best is None or norm < best:
                         best, at = norm, (r, s)
             rest &= rest - 1
@@ -114,13 +116,17 @@ def pack(rows: DataFrame, capacity=CAPACITY, weight=WEIGHT, shard: int = SHARD)
 
     rows = materialise(rows, "pieces")
     shards = max(1, -(-rows.count() // shard))
-    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64(*rows.columns), F.lit(shards)))
+    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     n = max(1, min(shards, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = dealt.repartition(n, "_shard").sortWithinPartitions("_shard", F.desc("length"), *(c for c in rows.columns if c != "length"))
     schema = rows.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
     return dealt.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, size: int = 4096) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents in sequences of `size` tokens."""
-    return pack(pieces(docs, tokenizer, end_id, size), (size, size, size * size))
+def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, size: int = 4096, max_docs: int | None = None, weight=WEIGHT) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents in sequences of `size` tokens.
+
+    max_docs: the most pieces of a sequence; by default only tokens bind, as a piece has a token at least and the cost of
+    a whole sequence is never above size**2.
+    """
+    return pack(pieces(docs, tokenizer, end_id, size), (size, max_docs or size, size * size), weight)

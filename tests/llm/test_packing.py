@@ -40,23 +40,37 @@ def plain_best_fit(lengths, cap, weight):
     return where, bins
 
 
-@given(st.lists(st.integers(1, 20), min_size=1, max_size=40), st.integers(1, 5), st.integers(100, 400))
-def test_all_capacities_and_count(lengths, docs, cost):
-    cap = (20, docs, max(cost, 400))
-    lengths = sorted(lengths, reverse=True)
-    where, offset = P.best_fit(lengths, cap, (1.0, 0.3, 0.2))
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=40), st.integers(1, 5), st.integers(100, 400), st.sampled_from([P.WEIGHT, (1.0, 0.3, 0.2), (0.1, 1.0, 1.0)]))
+def test_all_capacities_and_count(lengths, docs, cost, weight):
+    cap = (20, docs, cost)
+    lengths = sorted((n for n in lengths if n * n <= cost), reverse=True)
+    where, offset = P.best_fit(lengths, cap, weight)
     by = defaultdict(list)
     for n, b, o in zip(lengths, where, offset, strict=True):
         by[b].append((o, n))
     for items in by.values():
         items.sort()
         assert [o for o, _ in items] == [sum(n for _, n in items[:i]) for i in range(len(items))]
-        assert sum(n for _, n in items) <= 20 and len(items) <= docs and sum(n * n for _, n in items) <= cap[2]
-    assert len(by) == len(plain_best_fit(lengths, cap, (1.0, 0.3, 0.2))[1])
+        assert sum(n for _, n in items) <= 20 and len(items) <= docs and sum(n * n for _, n in items) <= cost
+    assert len(by) == len(plain_best_fit(lengths, cap, weight)[1])
     with pytest.raises(ValueError):
         P.best_fit([21], cap)
 
 
+@pytest.mark.parametrize("cap, least", [((100, 100, 10000), 10), ((100, 5, 10000), 20), ((100, 100, 500), 20), ((100, 2, 300), 50)])
+def test_each_capacity_binds(cap, least):
+    """100 pieces of 10 tokens: 10 fit by tokens, fewer by documents or by cost (100 each)."""
+    where, _ = P.best_fit([10] * 100, cap)
+    assert len(set(where)) == max(least, -(-100 // (cap[2] // 100)))
+
+
+def test_weights_choose_the_bin():
+    lengths = [16, 9, 8, 1]  # left for the last: 4 tokens beside one piece of 16, or 3 beside pieces of 9 and 8
+    assert P.best_fit(lengths, (20, 3, 400), (1.0, 0.0, 0.0))[0][3] == 1
+    assert P.best_fit(lengths, (20, 3, 400), (1.0, 0.0, 5.0))[0][3] == 0  # more of the cost is used there
+    assert P.best_fit(lengths, (20, 3, 400), (0.1, 5.0, 0.0))[0][3] == 1  # more of the documents
+
+
 def test_pack_documents(spark):
     from tokenizers import Tokenizer
 
@@ -78,3 +92,18 @@ def test_pack_documents(spark):
         assert all(a[0] + a[1] == b[0] for a, b in zip(x, x[1:], strict=False)) and x[0][0] == 0 and sum(n for _, n in x) <= 4096
     assert len(by) <= -(-sum(w[3] for w in want) // 4096) + 1
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    few = P.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, length string"), max_docs=3).groupBy("sequence_id").count()
+    assert max(r["count"] for r in few.collect()) == 3
+
+
+def test_repeated_rows_split_over_shards(spark):
+    got = P.pack(spark.range(1000).selectExpr("cast(null as long) as doc_id", "7 as length"), (70, 70, 4900), shard=100).collect()
+    shards = defaultdict(set)
+    for r in got:
+        shards[r.sequence_id >> 32].add(r.sequence_id)
+    assert len(got) == 1000 and len(shards) == 10 and max(map(len, shards.values())) <= 16
+
+
+def test_as_few_sequences_as_tokens_allow(spark):
+    got = P.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert len({r.sequence_id for r in got}) == -(-sum(r.length for r in got) // 4096)
