@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ from ._files import task_name
 from ._shared import materialise, only, runs, small_batches
 from .tokens import vocabulary
 
-CHUNK = 1 << 14
+CHUNK = 1 << 13
 GROUP = 64
 SPACE = "▁"
 NONE = -np.inf
@@ -74,6 +75,7 @@ class Model:
         self.by_word = self.prefix and not any(p[1] == SPACE != p[0] for p in self.pairs)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.shown: pa.Array | None = None
         self.beside = functools.lru_cache(50_000)(self._beside)
 
     def normal(self, text: str) -> str:
@@ -141,32 +143,77 @@ class Model:
                 out.append(self.unk_id)
         return out
 
-    def whole(self, texts: list[str], limit: int = 200_000) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit bytes. Words are kept in two generations of `limit`."""
-        raw = lambda found: [array("I", x).tobytes() for x in found]
-        library = lambda some: raw(self.library.encode(some, out_type=int, num_threads=1)) if some else []
-        split = [t.split(" ") if t and self.by_word and SPACE not in t else None for t in texts]
-        split = [None if ws is None or "" in ws else ws for ws in split]  # runs of spaces make pieces of their own
-        rest = iter(library([t for t, ws in zip(texts, split, strict=True) if ws is None]))
-        words, older, new = self.words, self.older, []
-        for w in set().union(*filter(None, split)).difference(words):
-            if w in older:
-                words[w] = older[w]
-            else:
-                new.append(w)
-        words.update(zip(new, library(new), strict=True))
-        out = [next(rest) if ws is None else b"".join(map(words.__getitem__, ws)) for ws in split]
-        for w in new:
-            if len(w) > 64:
-                del words[w]
+    def whole(self, texts: pa.Array, limit: int = 200_000) -> pa.Array:
+        """Ids of whole texts (none of them null) as little-endian unsigned 32-bit bytes.
+
+        Arrow finds the distinct words and puts the ids of each place together. Words are kept in two generations of `limit`.
+        """
+        out = [b""] * len(texts)
+        odd = pa.array([True] * len(texts))
+        if self.by_word:  # runs of spaces make pieces of their own
+            odd = functools.reduce(pc.or_, (pc.equal(texts, ""), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)))
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(at):
+            found = self.library.encode(texts.take(pa.array(at)).to_pylist(), out_type=int, num_threads=1)
+            for i, x in zip(at.tolist(), found, strict=True):
+                out[i] = array("I", x).tobytes()
+        if len(at) == len(texts):
+            return pa.array(out, pa.binary())
+        plain = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        split = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        words = split.flatten().dictionary_encode()
+        ids = pa.array(self._words(words.dictionary.to_pylist(), limit), pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2])
+        if not len(at):
+            return pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+        for i, a, b in zip(plain.tolist(), ends, ends[1:], strict=False):
+            out[i] = bytes(raw[a:b])
+        return pa.array(out, pa.binary())
+
+    def _words(self, distinct: list[str], limit: int) -> list[bytes]:
+        words, older = self.words, self.older
+        out = [words.get(w) for w in distinct]
+        new = []
+        for i, x in enumerate(out):
+            if x is None:
+                if (x := older.get(distinct[i])) is not None:
+                    out[i] = words[distinct[i]] = x
+                else:
+                    new.append(i)
+        for i, x in zip(new, self.library.encode([distinct[i] for i in new], out_type=int, num_threads=1) if new else [], strict=True):
+            out[i] = array("I", x).tobytes()
+            if len(distinct[i]) <= 64:
+                words[distinct[i]] = out[i]
         if len(words) > limit:
             self.older, self.words = words, {}
         return out
 
-    def texts(self, ids: list[bytes], parts: list[int]) -> list[str]:
-        """Texts of id lists; the library takes a leading space off, so parts after the first get one more."""
-        more = [self.id[SPACE]] if self.prefix and SPACE in self.id else []
-        return self.library.decode([(more if p else []) + np.frombuffer(x, "<u4").tolist() for x, p in zip(ids, parts, strict=True)])
+    def texts(self, ids: list[bytes], parts: list[int]) -> list[bytes]:
+        """UTF-8 of id lists, each piece's bytes one after another. A text's first space, the model's own, is taken off;
+        lists with ids that have no text of their own, or bytes that are no UTF-8, go to the library."""
+        if self.shown is None:
+            back = {i: p for p, i in self.id.items()}
+            raw = {i: bytes([int(p[3:5], 16)]) for p, i in self.bytes.items()}
+            size = self.library.get_piece_size()
+            self.odd = np.array([i not in back and i not in raw for i in range(size)])
+            self.shown = pa.array([raw[i] if i in raw else back.get(i, "").replace(SPACE, " ").encode() for i in range(size)], pa.large_binary())
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        got = self.shown.take(pa.array(flat))
+        ends = np.frombuffer(got.buffers()[1], np.int64)
+        ends = ends[np.append(0, np.cumsum([len(x) // 4 for x in ids]))].tolist() if len(flat) else [0] * (len(ids) + 1)
+        data = got.buffers()[2].to_pybytes() if len(flat) and got.buffers()[2] else b""
+        strange = np.append(0, np.cumsum(self.odd[flat]))
+        out, at = [], 0
+        for x, p, a, b in zip(ids, parts, ends, ends[1:], strict=False):
+            n = len(x) // 4
+            text = data[a + (not p and self.prefix and data[a : a + 1] == b" " and b > a) : b]
+            if strange[at + n] > strange[at] or not _is_utf8(text):
+                more = [self.id[SPACE]] if p and self.prefix and SPACE in self.id else []  # the library takes a leading space off
+                text = self.library.decode(more + np.frombuffer(x, "<u4").tolist()).encode()
+            out.append(text)
+            at += n
+        return out
 
     def runs(self, texts: list[str]) -> list[tuple[float, bytes]]:
         """Score and ids (as in whole()) of texts that lie between two cuts; short ones are kept."""
@@ -203,6 +250,14 @@ class Model:
         return out
 
 
+def _is_utf8(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 @functools.lru_cache(maxsize=2)
 def model(name: str) -> Model:
     with open(vocabulary(name), "rb") as f:
@@ -289,13 +344,13 @@ def _whole(name: str, kind: str, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, task, n = model(name), task_name(), 0
         for b in small_batches(batches, "text"):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            at = [i for i, t in enumerate(texts) if len(t) <= chunk]
-            ids = m.whole([texts[i] for i in at])
+            texts = pc.fill_null(b.column("text"), "")
+            at = np.flatnonzero(pc.utf8_length(texts).to_numpy(zero_copy_only=False) <= chunk)
+            take = pa.array(at, pa.int64())
             k = len(at)
-            cols = [pa.array([f"w-{task}-{n + i}" for i in at], pa.string()), pa.array([0] * k, pa.int64()), pa.array([1] * k, pa.int64()), pa.array(ids, pa.binary())]
+            cols = [pa.array([f"w-{task}-{n + i}" for i in at.tolist()], pa.string()), pa.array([0] * k, pa.int64()), pa.array([1] * k, pa.int64()), m.whole(texts.take(take))]
             n += b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *cols], ["doc_id", "key", "part", "parts", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), *cols], ["doc_id", "key", "part", "parts", "ids"])
 
     return run, f"doc_id {kind}, key string, part long, parts long, ids binary"
 
@@ -311,9 +366,9 @@ def _split(name: str, kind: str, chunk: int):
                 if len(t or "") <= chunk:
                     continue
                 key, x = f"l-{task}-{n + i}", m.normal(t)
-                parts = max(1, len(x) // chunk)  # the last one takes the rest
+                parts = -(-len(x) // chunk)
                 for p in range(parts):
-                    lo, hi = p * chunk, len(x) if p == parts - 1 else (p + 1) * chunk
+                    lo, hi = p * chunk, min(len(x), (p + 1) * chunk)
                     a, z = max(0, lo - m.longest), min(len(x), hi + m.longest)
                     rows.append((key, p, parts, x[a:z], lo - a, hi - a))
                     at.append(i)
@@ -412,21 +467,25 @@ def decode(encoded: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
         m = model(name)
         for b in small_batches(batches, "ids"):
             texts = m.texts(b.column("ids").to_pylist(), b.column("part").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), b.column("part"), pa.array(texts, pa.string())], ["doc_id", "key", "part", "text"])
+            texts = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), b.column("part"), texts], ["doc_id", "key", "part", "text"])
 
     return encoded.select("doc_id", "key", "part", "ids").mapInArrow(run, f"doc_id {kind}, key string, part long, text string")
 
 
 def digest(encoded: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
-    """(doc_id, part, parts, n_ids, ids_crc32, text_sha256): of each part, with the SHA-256 of what it decodes to."""
+    """(doc_id, key, part, parts, n_ids, ids_crc32, text_sha256): of each part, with the SHA-256 of what it decodes to.
+
+    key names the row, so that the parts of rows that share a doc_id, or have none, can be told apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(name)
         for b in small_batches(batches, "ids"):
             raw = b.column("ids").to_pylist()
-            shas = [hashlib.sha256(t.encode()).hexdigest() for t in m.texts(raw, b.column("part").to_pylist())]
+            shas = [hashlib.sha256(t).hexdigest() for t in m.texts(raw, b.column("part").to_pylist())]
             long = pa.int64()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("parts"), pa.array([len(x) // 4 for x in raw], long), pa.array([zlib.crc32(x) for x in raw], long), pa.array(shas, pa.string())], ["doc_id", "part", "parts", "n_ids", "ids_crc32", "text_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), b.column("part"), b.column("parts"), pa.array([len(x) // 4 for x in raw], long), pa.array([zlib.crc32(x) for x in raw], long), pa.array(shas, pa.string())], ["doc_id", "key", "part", "parts", "n_ids", "ids_crc32", "text_sha256"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"doc_id {kind}, part long, parts long, n_ids long, ids_crc32 long, text_sha256 string")
+    return encoded.mapInArrow(run, f"doc_id {kind}, key string, part long, parts long, n_ids long, ids_crc32 long, text_sha256 string")

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,10 +16,10 @@ TEXT = st.text(st.sampled_from("ab thein  \n.=-▁é漢😀1"), min_size=1, max_
 def scan(m, text, size):
     """Chunks, matrices, boundaries and traces in one process."""
     x = m.normal(text)
-    parts = max(1, len(x) // size)
+    parts = max(1, -(-len(x) // size))
     chunks = []
     for p in range(parts):
-        lo, hi = p * size, len(x) if p == parts - 1 else (p + 1) * size
+        lo, hi = p * size, min(len(x), (p + 1) * size)
         a, z = max(0, lo - m.longest), min(len(x), hi + m.longest)
         chunks.append(P.Chunk(m, x[a:z], lo - a, hi - a, p == 0, p == parts - 1))
     s = P.boundaries([c.matrix() for c in chunks], 0, 0)
@@ -37,7 +38,19 @@ def test_bpe_as_library(texts, size):
 @given(st.lists(st.one_of(TEXT, st.just(""), st.just("x" * 70 + " y x y")), max_size=5))
 def test_whole_as_library(texts):
     m = P.model("piece_bpe_32k.model")
-    assert m.by_word and [np.frombuffer(x, "<u4").tolist() for x in m.whole(texts, limit=5)] == m.library.encode(texts)
+    raw = m.whole(pa.array(texts, pa.string()), limit=5).to_pylist()
+    ids = m.library.encode(texts)
+    assert m.by_word and [np.frombuffer(x, "<u4").tolist() for x in raw] == ids
+    assert [x.decode() for x in m.texts(raw, [0] * len(raw))] == [m.library.decode(x) for x in ids]
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 31999)), max_size=12), max_size=4))
+def test_texts_as_library(ids):
+    """Any ids at all: bytes that are no characters, unknown and control pieces, pieces that begin with a space."""
+    m = P.model("piece_bpe_32k.model")
+    raw = [np.array(x, "<u4").tobytes() for x in ids]
+    assert [x.decode() for x in m.texts(raw, [0] * len(raw))] == [m.library.decode(x) for x in ids]
 
 
 def unigram():
@@ -105,3 +118,16 @@ def test_spark(spark, group):
         assert "".join(x for _, x in sorted(back[i, key])) == t
     assert P.digest(P.encode(df.limit(0))).count() == 0
     assert P.digest(enc).count() == enc.count()
+
+
+def test_whole_table_as_library(spark):
+    """Every row of a whole table, with chunks so short that most texts have several, against the library."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    by = defaultdict(list)
+    for r in P.encode(docs, chunk=512).collect():
+        by[r.doc_id].append((r.part, np.frombuffer(r.ids, "<u4").tolist()))
+    m = P.model("piece_bpe_32k.model")
+    rows = docs.collect()
+    assert sum(len(v) > 1 for v in by.values()) > len(rows) / 2
+    for r in rows:
+        assert sum((x for _, x in sorted(by[r.doc_id])), []) == m.library.encode(r.text or "")
