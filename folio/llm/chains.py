@@ -1,29 +1,37 @@
 """Passages that repeat across documents, found by collinear chaining.
 
+0. Rows: each different row (doc_id, text) has a number, in the order of doc_id; a number and the position of a word
+   share a long, so that all joins and aggregates below are on longs. Where doc_id is a whole number that never
+   repeats, it is the number; else numbers come from a range sort.
 1. Seeds: of the 4-word grams of each text, those that are least in some window of 6 (minimizers). Texts that share a
-   run of 9 words share a seed of it, and one seed is enough for a pair to be aligned.
-2. Matches: each occurrence of a seed is joined with the seed's first occurrence (least doc_id, then position), never
+   run of 9 words share a seed of it, and one seed is enough for a pair to be compared. The same pass writes 32-bit
+   hashes of the words, which are what later steps compare; texts are not moved.
+2. Matches: each occurrence of a seed is joined with the seed's first occurrence (least row, then position), never
    with all others, so a passage that a third of the corpus holds costs a row per copy. The first occurrence comes
    from an aggregate that combines before the shuffle; Spark can split the join's hot seeds. The n-th occurrence of a
    seed in a text is also joined with the first n-th one of another, which lines up texts that repeat themselves.
    Where the seeds of a stretch do not lead to one place (stock phrases that stood singly in several documents), each
    PHRASES seeds in a row are joined with their first occurrence in the same way.
-3. Chains: per pair of documents, matches in order in both are chained, score 16 words per match less GAP per word
+3. Chains: per pair of rows, matches in order in both are chained, score 16 words per match less GAP per word
    skipped, with prefix maxima in a Fenwick tree (n log n).
-4. Alignment: the two slices of text that a chain spans are fetched by one join with the texts and compared word by
-   word: runs of equal words, gaps aligned by edit distance, ends extended. The longest segment of runs of over
-   `min_words` - 1 words with at least 0.8 of the words equal is a passage, and so again on either side of it. Where
-   equal words come so near the edge of a slice that more could follow, longer slices are fetched.
+4. Sieve: a passage has `min_words` words in a row of which a share of s / (2 - s) occurs in the other text nearby (s is
+   the similarity). Short chains around which no stretch of words has that, by halves of the hashes, are dropped.
+5. Alignment: the words that a chain spans in both rows are fetched by joins and compared: runs of equal words, gaps
+   aligned by edit distance, ends extended. The longest segment of runs of over `min_words` - 1 words with at least 0.8
+   of the words equal is a passage, and so again on either side of it. Where equal words come so near the edge of a
+   slice that more could follow, longer slices are fetched.
 
 Defined cases: null and blank texts have no passage; words compare with A-Z lower-cased; the first occurrence of a
-passage in the order of doc_id is never reported, nor are repeats inside one document (a single match of a place that
-is in a better chain of the same two documents is taken for such a repeat); rows that repeat a doc_id count
-as one document (its first text in string order); rows without an id take no part; further columns are ignored.
+passage in the order of rows is never reported, nor are repeats inside one row (a single match of a place that is in a
+better chain of the same two rows is taken for such a repeat). Rows that repeat a doc_id with another text are rows of
+their own, in an order that depends on the text alone; rows that repeat both count once; rows without an id come after
+all others. Further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +47,50 @@ WEIGHT = 16.0  # score of a match
 GAP = 0.1  # score lost for each word skipped in either text
 NEAR, REACH = 4, 24  # words of a run without a seed, and how many words beyond a known run it may start
 LCS_CELLS = 1 << 20  # words of one gap times those of the other; longer gaps, in which no seed is shared, count as unequal
-MARGIN = 256  # characters fetched on either side of a chain at first; more where the text that agrees comes near an edge
-FIELDS = "doc_id {0}, start_word int, n_words int, start_char int, n_chars int, ref_doc_id {0}, ref_start_word int, ref_n_words int, similarity double"
+MARGIN = 64  # words fetched on either side of a chain at first; more where what agrees comes near an edge
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+# --- rows ---------------------------------------------------------------------------------------------------------
+
+
+class Rows(NamedTuple):
+    texts: DataFrame  # (row, text)
+    names: DataFrame | None  # (row, doc_id, h1, h2), or None where row is doc_id
+    kind: str  # type of doc_id
+    bits: int  # of a position, below the row in a long
+
+
+def _hashes() -> list:
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+
+
+def numbered(docs: DataFrame) -> Rows:
+    """Numbers for the rows of docs that have a text, rising with doc_id; equal rows share one."""
+    d = only(docs, "doc_id", "text").where("text is not null")
+    kind = d.schema["doc_id"].dataType.simpleString()
+    spark = docs.sparkSession
+    size = F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("size")
+    whole = kind in INTEGRAL
+    ids = [F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")] if whole else []
+    found = d.agg(size, *ids).first()
+    bits = (found["size"] // 2 + 1).bit_length()
+    if whole and found["n"] == found["ids"] and (not found["n"] or found["least"] >= 0 and found["most"] < 1 << 63 - bits):
+        return Rows(d.select(F.col("doc_id").cast("long").alias("row"), "text"), None, kind, bits)
+    n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.asc_nulls_last("doc_id"), "h1", "h2"]
+    each = d.select("*", *_hashes()).groupBy("doc_id", "h1", "h2").agg(F.min("text").alias("text"))
+    each = each.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    each = materialise(each, "rows")
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted(each.groupBy(part.alias("part")).agg((F.max(place) + 1).alias("n")).collect())  # a row per partition
+    ends = np.cumsum([0, *(r["n"] for r in sizes)]).tolist()
+    if ends[-1] >= 1 << 63 - bits:
+        raise ValueError("more rows, or longer texts, than can be numbered")
+    starts = spark.createDataFrame([(r["part"], e) for r, e in zip(sizes, ends, strict=False)], "part long, start long")
+    each = each.join(F.broadcast(starts), part == F.col("part")).select((F.col("start") + place).alias("row"), "doc_id", "h1", "h2", "text")
+    return Rows(each.select("row", "text"), each.drop("text"), kind, bits)
 
 
 # --- seeds --------------------------------------------------------------------------------------------------------
@@ -74,48 +124,65 @@ def repeats(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """(seed, doc_id, place): place is the word position in the high half and the character in the low half.
+def seeds(texts: DataFrame, bits: int) -> DataFrame:
+    """(seed, at, row, n, low, high): the seeds of each text, and one row for its words, where seed is null.
 
-    A seed that stood in the text before comes twice: as it is (even), and with its number (odd).
+    at: row and word position. A seed that stood in the text before comes twice: as it is (even), and with its number
+    (odd). low, high: the lower and upper 16 bits of the hash of each of the n words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
             w = split_words(b.column("text").to_pylist())
-            row, seed, place = [], [], []
-            for i in range(b.num_rows):
+            rows, n = b.column("row").to_numpy(), np.diff(w.first)
+            seed, at = [], []
+            for i, row in enumerate(rows.tolist()):
                 g = grams(w.hash[w.first[i] : w.first[i + 1]], K)
-                at = minimizers(g)
-                n = repeats(g[at])
-                again = n > 0
-                plain, odd = g[at] & ~np.uint64(1), np.uint64(1)
-                numbered = odd | mix(g[at[again]] + n[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                row.append(np.full(len(at) + len(numbered), i))
-                seed.append(np.append(plain, numbered))
-                where = (at << 32) | w.start[w.first[i] + at]
-                place.append(np.append(where, where[again]))
-            ids = b.column("doc_id").take(pa.array(np.concatenate(row)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seed).view(np.int64)), ids, pa.array(np.concatenate(place).astype(np.int64))], ["seed", "doc_id", "place"])
-
-    return docs.mapInArrow(run, f"seed long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long")
-
-
-def phrases(held: DataFrame, min_words: int) -> DataFrame:
-    """(seed, doc_id, place) of each PHRASES seeds in a row that repeat, unless all of them are settled.
-
-    held: (doc_id, seed, place, ref_id, ref_place), the seeds of each text that another holds too, with their first
-    occurrence. Seeds are settled where a stretch of min_words leads to one place, as the text is then compared with it.
+                pos = minimizers(g)
+                before = repeats(g[pos])
+                again = before > 0
+                seed.append(g[pos] & ~np.uint64(1))
+                at.append(pos | (row << bits))
+                if again.any():
+                    seed.append(np.uint64(1) | mix(g[pos[again]] + before[again].astype(np.uint64) * _GOLD))
+                    at.append(at[-1][again])
+            own = np.flatnonzero(n >= K)
+            low, high = w.hash.astype("<u2"), (w.hash >> np.uint64(16)).astype("<u2")
+            halves = [pa.array([x[w.first[i] : w.first[i + 1]].tobytes() for i in own.tolist()], pa.binary()) for x in (low, high)]
+            seed, at = np.concatenate(seed).view(np.int64), np.concatenate(at).astype(np.int64)
+            k = len(own)
+            nulls = lambda m, kind: pa.nulls(m, kind)
+            long, raw = pa.int64(), pa.binary()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(seed), nulls(k, long)]),
+                    pa.concat_arrays([pa.array(at), nulls(k, long)]),
+                    pa.concat_arrays([nulls(len(seed), long), pa.array(rows[own])]),
+                    pa.concat_arrays([nulls(len(seed), long), pa.array(n[own].astype(np.int64))]),
+                    *(pa.concat_arrays([nulls(len(seed), raw), x]) for x in halves),
+                ],
+                ["seed", "at", "row", "n", "low", "high"],
+            )
+
+    return texts.mapInArrow(run, "seed long, at long, row long, n long, low binary, high binary")
+
+
+def phrases(held: DataFrame, bits: int, min_words: int) -> DataFrame:
+    """(seed, at) of each PHRASES seeds in a row that repeat, unless all of them are settled.
+
+    held: (seed, at, ref_at), the seeds of each text that another holds too, with their first occurrence. Seeds are
+    settled where a stretch of min_words leads to one place, as the text is then compared with it.
     """
+    mask = (1 << bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in runs(batches, ["doc_id"]):
-            place, seed = t.column("place").to_numpy(), t.column("seed").to_numpy().view(np.uint64)
-            word, shift = place >> 32, (place >> 32) - (t.column("ref_place").to_numpy() >> 32)
-            n = len(word)
-            ref = t.column("ref_id").combine_chunks().to_numpy(zero_copy_only=False)
+        for t, ends in runs(batches, ["row"]):
+            at, seed = t.column("at").to_numpy(), t.column("seed").to_numpy().view(np.uint64)
+            ref_at = t.column("ref_at").to_numpy()
+            word, ref = at & mask, ref_at >> bits
+            shift, n = word - (ref_at & mask), len(word)
             first = np.zeros(n, bool)
-            first[at[:-1]] = True
+            first[ends[:-1]] = True
             broken = first.copy()
             broken[1:] |= np.diff(word) > WINDOW  # seeds of one run of words are never further apart
             turn = broken.copy()
@@ -131,24 +198,23 @@ def phrases(held: DataFrame, min_words: int) -> DataFrame:
                 i = i[(piece[i] == piece[i + k - 1]) & (loose[i + k] > loose[i])]
                 h = np.full(len(i), k, np.uint64)
                 for j in range(k):
-                    h = h * np.uint64(0x9E3779B97F4A7C15) + seed[i + j]
+                    h = h * _GOLD + seed[i + j]
                 keys.append(mix(h))
                 rows.append(i)
-            rows = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), t.column("doc_id").combine_chunks().take(pa.array(rows)), pa.array(place[rows])], ["seed", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(at[np.concatenate(rows)])], ["seed", "at"])
 
     n = max(12, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    held = held.where("seed % 2 = 0").repartition(n, "doc_id").sortWithinPartitions("doc_id", "place", "seed")
-    return held.mapInArrow(run, f"seed long, doc_id {held.schema['doc_id'].dataType.simpleString()}, place long")
+    held = held.where("seed % 2 = 0").withColumn("row", F.shiftright("at", bits)).repartition(n, "row").sortWithinPartitions("row", "at", "seed")
+    return held.mapInArrow(run, "seed long, at long")
 
 
-def first_places(found: DataFrame) -> DataFrame:
-    """(seed, ref_id, ref_place): the first occurrence of each seed that several documents hold.
+def first_places(found: DataFrame, bits: int) -> DataFrame:
+    """(seed, ref_at): the first occurrence of each seed that several rows hold.
 
     A table, so that a join with it is between exchanges and Spark can split hot seeds.
     """
-    first = found.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id <> last")
-    return materialise(first.select("seed", F.col("f.doc_id").alias("ref_id"), F.col("f.place").alias("ref_place")), "first")
+    first = found.groupBy("seed").agg(F.min("at").alias("ref_at"), F.max("at").alias("last"))
+    return materialise(first.where(F.shiftright("ref_at", bits) != F.shiftright("last", bits)).select("seed", "ref_at"), "first")
 
 
 # --- chains -------------------------------------------------------------------------------------------------------
@@ -195,30 +261,95 @@ def chain(x: np.ndarray, y: np.ndarray, weight: float = WEIGHT, gap: float = GAP
     return out
 
 
-def _chains(kind: str):
+CHAIN = "row long, ref long, lo long, hi long, ref_lo long, ref_hi long, at array<int>, ref_at array<int>"
+
+
+def _chains(bits: int):
+    """CHAIN rows of sorted matches (row, ref, at, ref_at); lo, hi: word positions of the first and last seed of each."""
+    mask = (1 << bits) - 1
+    names = [x.split()[0] for x in CHAIN.split(", ")]
+
+    def batch(row, ref, x, y, ends) -> pa.RecordBatch:
+        s, e = ends[:-1], ends[1:] - 1
+        lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v.astype(np.int32))) for v in (x, y)]
+        return pa.RecordBatch.from_arrays([*(pa.array(v) for v in (row[s], ref[s], x[s], x[e], y[s], y[e])), *lists], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in runs(batches, ["doc_id", "ref_id"]):
-            a, b = t.column("place").to_numpy(), t.column("ref_place").to_numpy()
-            rows, lo, hi, rlo, rhi, xs, ys = [], [], [], [], [], [], []
-            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                p, q = a[s:e], b[s:e]
-                seen: set[int] = set()  # places of the earlier document in better chains
-                for c in chain(q >> 32, p >> 32):
+        for t, _ in runs(batches, ["row", "ref"]):
+            row, ref, x, y = (t.column(c).to_numpy() for c in ("row", "ref", "at", "ref_at"))
+            x, y = x & mask, y & mask
+            new = np.append(True, (row[1:] != row[:-1]) | (ref[1:] != ref[:-1]))
+            twice = ~new
+            twice[1:] &= (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+            row, ref, x, y, new = (v[~twice] for v in (row, ref, x, y, new))
+            starts = np.flatnonzero(new)
+            dx, dy = np.diff(x, prepend=0), np.diff(y, prepend=0)
+            torn = ~new & ((dx <= 0) | (dy <= 0) | (GAP * (dx + dy) >= WEIGHT))  # else the chain takes all in order
+            plain = ~np.logical_or.reduceat(torn, starts)
+            sizes = np.diff(np.append(starts, len(x)))
+            keep = np.repeat(plain, sizes)
+            yield batch(row[keep], ref[keep], x[keep], y[keep], np.append(0, np.cumsum(sizes[plain])))
+            for s, n in zip(starts[~plain].tolist(), sizes[~plain].tolist(), strict=True):
+                p, q, order, ends = x[s : s + n], y[s : s + n], [], [0]
+                seen: set[int] = set()  # places of the earlier row in better chains
+                for c in chain(q, p):
                     places = q[c].tolist()
                     if len(c) == 1 and places[0] in seen:
                         continue  # a line said again
                     seen.update(places)
-                    rows.append(s)
-                    lo.append(p[c[0]]), hi.append(p[c[-1]]), rlo.append(q[c[0]]), rhi.append(q[c[-1]])
-                    xs.append((p[c] >> 32).astype(np.int32)), ys.append((q[c] >> 32).astype(np.int32))
-            take = pa.array(rows, pa.int64())
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [t.column("doc_id").combine_chunks().take(take), t.column("ref_id").combine_chunks().take(take), *(pa.array([int(v) for v in x], pa.int64()) for x in (lo, hi, rlo, rhi)), pa.array(xs, ints), pa.array(ys, ints)],
-                ["doc_id", "ref_id", "lo", "hi", "ref_lo", "ref_hi", "at", "ref_at"],
-            )
+                    order.append(c)
+                    ends.append(ends[-1] + len(c))
+                c = np.concatenate(order)
+                yield batch(row[s : s + n][c], ref[s : s + n][c], p[c], q[c], np.array(ends))
+
+    return run, CHAIN
+
+
+# --- sieve --------------------------------------------------------------------------------------------------------
+
+
+def hopeful(a: list[bytes], b: list[bytes], min_words: int, similarity: float) -> np.ndarray:
+    """Whether some min_words words in a row of a[i] hold enough words of b[i], both as 16-bit hashes.
+
+    A passage of n words has a stretch of min_words with at least a share of s / (2 - s) of them equal: where n is up to
+    2 * min_words / (2 - s) the words beyond the stretch are too few to hold the rest, and where n is larger the first or
+    the last stretch has half of the equal words.
+    """
+    size = np.array([len(x) // 2 for x in a], np.int64)
+    ends = np.cumsum(size)
+    of = np.repeat(np.arange(len(a), dtype=np.uint32), size) << np.uint32(16)
+    keys = of | np.frombuffer(b"".join(a), "<u2")
+    other = np.repeat(np.arange(len(b), dtype=np.uint32), [len(x) // 2 for x in b]) << np.uint32(16) | np.frombuffer(b"".join(b), "<u2")
+    found = np.append(0, np.cumsum(np.isin(keys, other)))
+    start = np.arange(max(0, len(keys) - min_words + 1))
+    pair = np.repeat(np.arange(len(a)), size)[: len(start)]
+    good = (start + min_words <= ends[pair]) & (found[start + min_words] - found[start] >= similarity / (2 - similarity) * min_words - 1e-9)
+    out = np.zeros(len(a), bool)
+    out[pair[good]] = True
+    return out
+
+
+def sieved(chains: DataFrame, words: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """chains without those that can't be part of a passage; longer ones are kept without a look."""
+    around = int(-(-2 * min_words // (2 - similarity)))
+    both = lambda x, y: (F.col(x) - F.col(y) + K >= min_words)
+    long = both("hi", "lo") & both("ref_hi", "ref_lo")
+
+    def window(lo: str, hi: str):
+        start = F.greatest(F.lit(0), F.col(lo) - around)
+        return F.substring(F.col("low"), (2 * start + 1).cast("int"), (2 * (F.col(hi) + K + around - start)).cast("int"))
 
-    return run, f"doc_id {kind}, ref_id {kind}, lo long, hi long, ref_lo long, ref_hi long, at array<int>, ref_at array<int>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                keep = hopeful(part.column("a").to_pylist(), part.column("b").to_pylist(), min_words, similarity)
+                yield part.drop_columns(["a", "b"]).filter(pa.array(keep))
+
+    low = words.select("row", "low")
+    near = chains.where(~long).join(low, "row").select(*chains.columns, window("lo", "hi").alias("a"))
+    near = near.join(low.withColumnRenamed("row", "ref"), "ref").select(*chains.columns, "a", window("ref_lo", "ref_hi").alias("b"))
+    return chains.where(long).unionByName(near.mapInArrow(run, CHAIN))
 
 
 # --- alignment ----------------------------------------------------------------------------------------------------
@@ -370,131 +501,159 @@ def passages(a: np.ndarray, b: np.ndarray, matched: list[list[int]], least: floa
     return out
 
 
-def _aligned(kind: str, min_words: int, least: float):
+ALIGNED = "row long, ref long, start_word int, n_words int, ref_start_word int, ref_n_words int, similarity double, lo long, ref_lo long"
+
+
+def _aligned(min_words: int, least: float):
     """A row per passage; or one without a span for a chain whose slices are too short."""
 
+    def words(low: bytes, high: bytes) -> np.ndarray:
+        return np.frombuffer(low, "<u2").astype(np.uint64) | np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(16)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "slice"):
+        for b in small_batches(batches, "a_low"):
             r = b.to_pydict()
-            n = b.num_rows
-            w, v = split_words(r["slice"]), split_words(r["ref_slice"])
             rows, vals = [], []
-            for i in range(n):
-                side = []
-                for words, lo, start in ((w, r["lo"][i], r["slice_from"][i]), (v, r["ref_lo"][i], r["ref_from"][i])):
-                    f, t = int(words.first[i]), int(words.first[i + 1])
-                    char = (lo & 0xFFFFFFFF) - start  # of the first seed, in the slice
-                    here = int(np.searchsorted(words.start[f:t], char))
-                    if start and words.start[f] == 0:
-                        f, here = f + 1, here - 1  # perhaps half a word
-                    side.append((words.hash[f:t], (lo >> 32) - here, words.start[f:t] + start, words.end[f:t] + start))
-                (a, base, cs, ce), (c, ref_base, _, _) = side
-                at = np.asarray(r["at"][i], np.int64) - base
-                ref_at = np.asarray(r["ref_at"][i], np.int64) - ref_base
-                found = equal_runs(a, c, at, ref_at)
+            for i in range(b.num_rows):
+                base, ref_base = r["a_from"][i], r["b_from"][i]
+                a, c = words(r["a_low"][i], r["a_high"][i]), words(r["b_low"][i], r["b_high"][i])
+                found = equal_runs(a, c, np.asarray(r["at"][i], np.int64) - base, np.asarray(r["ref_at"][i], np.int64) - ref_base)
                 if found:
                     x, y, _ = found[0]
-                    u, v_, m = found[-1]
-                    goes_on, ref_goes_on = (len(r[text][i]) >= r[stop][i] - r[start][i] for text, start, stop in (("slice", "slice_from", "slice_to"), ("ref_slice", "ref_from", "ref_to")))
-                    if ends_at_edge(x, y, r["slice_from"][i] > 0, r["ref_from"][i] > 0) or ends_at_edge(len(a) - u - m, len(c) - v_ - m, goes_on, ref_goes_on):
+                    u, v, m = found[-1]
+                    more, ref_more = base + len(a) < r["a_n"][i], ref_base + len(c) < r["b_n"][i]
+                    if ends_at_edge(x, y, base > 0, ref_base > 0) or ends_at_edge(len(a) - u - m, len(c) - v - m, more, ref_more):
                         rows.append(i)
-                        vals.append((None,) * 7)
+                        vals.append((None,) * 5)
                         continue
                 for s, e, rs, re, share in passages(a, c, found, least, min_words):
                     rows.append(i)
-                    vals.append((s + base, e - s, int(cs[s]), int(ce[e - 1] - cs[s]), rs + ref_base, re - rs, share))
+                    vals.append((s + base, e - s, rs + ref_base, re - rs, share))
             take = pa.array(rows, pa.int64())
-            cols = list(zip(*vals, strict=True)) or [()] * 7
-            ints = [pa.array([x if x is None else int(x) for x in c], pa.int32()) for c in cols[:6]]
+            cols = list(zip(*vals, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(take), *ints[:4], b.column("ref_id").take(take), *ints[4:], pa.array(cols[6], pa.float64()), b.column("lo").take(take), b.column("ref_lo").take(take)],
-                ["doc_id", "start_word", "n_words", "start_char", "n_chars", "ref_doc_id", "ref_start_word", "ref_n_words", "similarity", "lo", "ref_lo"],
+                [b.column("row").take(take), b.column("ref").take(take), *(pa.array(c, pa.int32()) for c in cols[:4]), pa.array(cols[4], pa.float64()), b.column("lo").take(take), b.column("ref_lo").take(take)],
+                [x.split()[0] for x in ALIGNED.split(", ")],
             )
 
-    return run, FIELDS.format(kind) + ", lo long, ref_lo long"
-
-
-def _compared(docs: DataFrame, chains: DataFrame, margin: int, min_words: int, similarity: float) -> DataFrame:
-    """The rows of _aligned() for chains, with `margin` characters of text fetched before them and half as many more after."""
-
-    def span(lo, hi):
-        start = F.greatest(F.lit(0), F.col(lo).bitwiseAND(F.lit(0xFFFFFFFF)) - margin)
-        stop = F.least(F.lit((1 << 31) - 1), F.col(hi).bitwiseAND(F.lit(0xFFFFFFFF)) + margin * 3 // 2)
-        return start.cast("int"), stop.cast("int")
-
-    s, e = span("lo", "hi")
-    rs, re = span("ref_lo", "ref_hi")
-    chains = chains.withColumns({"slice_from": s, "slice_to": e, "ref_from": rs, "ref_to": re})
-    wanted = chains.select("doc_id", "slice_from", "slice_to").unionByName(chains.select(F.col("ref_id").alias("doc_id"), F.col("ref_from").alias("slice_from"), F.col("ref_to").alias("slice_to"))).distinct()
-    slices = wanted.join(docs, "doc_id").select("doc_id", "slice_from", "slice_to", F.expr("substring(text, slice_from + 1, slice_to - slice_from)").alias("slice"))
-    slices = materialise(slices.groupBy("doc_id", "slice_from", "slice_to").agg(F.min("slice").alias("slice")), "slices")
-    ref = slices.select(F.col("doc_id").alias("ref_id"), F.col("slice_from").alias("ref_from"), F.col("slice_to").alias("ref_to"), F.col("slice").alias("ref_slice"))
-    both = chains.join(slices, ["doc_id", "slice_from", "slice_to"]).join(ref, ["ref_id", "ref_from", "ref_to"])
-    run, schema = _aligned(docs.schema["doc_id"].dataType.simpleString(), min_words, similarity)
-    both = both.select("doc_id", "ref_id", "lo", "ref_lo", "at", "ref_at", "slice_from", "slice_to", "ref_from", "ref_to", "slice", "ref_slice")
-    out = materialise(both.mapInArrow(run, schema), "aligned")
-    drop_scratch(slices)
-    return out
+    return run, ALIGNED
 
 
-# --- the operator -------------------------------------------------------------------------------------------------
+def _compared(words: DataFrame, chains: DataFrame, margin: int, min_words: int, similarity: float) -> DataFrame:
+    """The rows of _aligned() for chains, with `margin` words fetched on either side of them."""
 
+    def side(lo: str, hi: str, name: str) -> list:
+        start = F.greatest(F.lit(0), F.col(lo) - margin)
+        size = F.least(F.col("n"), F.col(hi) + K + margin) - start
+        part = lambda c: F.substring(F.col(c), (2 * start + 1).cast("int"), (2 * size).cast("int"))
+        return [start.alias(f"{name}_from"), F.col("n").alias(f"{name}_n"), part("low").alias(f"{name}_low"), part("high").alias(f"{name}_high")]
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return only(docs, "doc_id", "text").where("doc_id is not null and text is not null")
+    own = [f"a_{c}" for c in ("from", "n", "low", "high")]
+    words = words.select("row", "n", "low", "high")
+    a = chains.join(words, "row").select(*chains.columns, *side("lo", "hi", "a"))
+    both = a.join(words.withColumnRenamed("row", "ref"), "ref").select(*chains.columns, *own, *side("ref_lo", "ref_hi", "b"))
+    return materialise(both.mapInArrow(*_aligned(min_words, similarity)), "aligned")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8) -> DataFrame:
-    """A row for each passage of a document that an earlier document (smaller doc_id) holds as well.
+# --- the operator -------------------------------------------------------------------------------------------------
 
-    Spans are given in words and in characters; ref_* is the earlier document and its words. Spans of one document
-    may overlap where several documents hold parts of them.
-    """
-    docs = _texts(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    spark = docs.sparkSession
-    found = materialise(seeds(docs), "seeds")
-    first = first_places(found)
-    held = materialise(found.join(first, "seed").select("doc_id", "seed", "place", "ref_id", "ref_place"), "held")
-    drop_scratch(found, first)
-    spoken = materialise(phrases(held, min_words), "phrases")
-    first = first_places(spoken)
-    links = [x.where("doc_id <> ref_id").select("doc_id", "ref_id", "place", "ref_place") for x in (held, spoken.join(first, "seed"))]
-    matches = materialise(links[0].unionByName(links[1]).distinct(), "matches")
+
+def _passages(rows: Rows, min_words: int, similarity: float) -> DataFrame:
+    """(row, ref, start_word, n_words, ref_start_word, ref_n_words, similarity) of each passage."""
+    bits = rows.bits
+    made = materialise(seeds(rows.texts, bits), "seeds")
+    found, words = made.where("seed is not null").select("seed", "at"), made.where("row is not null").select("row", "n", "low", "high")
+    first = first_places(found, bits)
+    held = materialise(found.join(first, "seed").select("seed", "at", "ref_at"), "held")
+    drop_scratch(first)
+    spoken = materialise(phrases(held, bits, min_words), "phrases")
+    first = first_places(spoken, bits)
+    links = held.select("at", "ref_at").unionByName(spoken.join(first, "seed").select("at", "ref_at"))
+    links = links.withColumns({"row": F.shiftright("at", bits), "ref": F.shiftright("ref_at", bits)}).where("row <> ref")
+    n = max(12, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    links = links.repartition(n, "row", "ref").sortWithinPartitions("row", "ref", "at", "ref_at")
+    chains = materialise(links.mapInArrow(*_chains(bits)), "chains")
     drop_scratch(held, spoken, first)
-    run, schema = _chains(kind)
-    n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chains = materialise(matches.repartition(n, "doc_id", "ref_id").sortWithinPartitions("doc_id", "ref_id").mapInArrow(run, schema), "chains")
-    drop_scratch(matches)
-    names = ["doc_id", "start_word", "n_words", "start_char", "n_chars", "ref_doc_id", "ref_start_word", "ref_n_words", "similarity"]
-    out, margin = None, MARGIN
+    left = materialise(sieved(chains, words, min_words, similarity), "sieved")
+    drop_scratch(chains)
+    chains, out, margin = left, None, MARGIN
     while True:
-        got = _compared(docs, chains, margin, min_words, similarity)
-        part = got.where("start_word is not null").select(names)
+        got = _compared(words, chains, margin, min_words, similarity)
+        part = got.where("start_word is not null").drop("lo", "ref_lo")
         out = part if out is None else out.unionByName(part)
-        short = got.where("start_word is null").select("doc_id", F.col("ref_doc_id").alias("ref_id"), "lo", "ref_lo")
+        short = got.where("start_word is null").select("row", "ref", "lo", "ref_lo")
         if short.isEmpty():
-            return out.distinct()
-        left = materialise(chains.join(short, ["doc_id", "ref_id", "lo", "ref_lo"], "left_semi"), "chains")
+            break
+        left = materialise(chains.join(short, ["row", "ref", "lo", "ref_lo"], "left_semi"), "chains")
         drop_scratch(chains)
         chains, margin = left, margin * 8
+    out = materialise(out.distinct(), "passages")
+    drop_scratch(made, chains)
+    return out
+
+
+def _in_characters(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """found (row, start_word, n_words, ...) and start_char, n_chars."""
+    more = [c for c in found.columns if c != "row"]
+    schema = f"row long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in found.schema if f.name != 'row')}, start_char int, n_chars int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, "text"):
+            w = split_words(b.column("text").to_pylist())
+            spans = b.column("spans")
+            flat, sizes = spans.flatten(), np.diff(spans.offsets.to_numpy())
+            base = np.repeat(w.first[:-1], sizes)
+            start = flat.field("start_word").to_numpy() + base
+            last = start + flat.field("n_words").to_numpy() - 1
+            chars = w.start[start]
+            cols = [b.column("row").take(pa.array(np.repeat(np.arange(b.num_rows), sizes))), *(flat.field(c) for c in more)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(chars, pa.int32()), pa.array(w.end[last] - chars, pa.int32())], ["row", *more, "start_char", "n_chars"])
+
+    spans = found.groupBy("row").agg(F.collect_list(F.struct(*more)).alias("spans"))
+    return spans.join(texts, "row").select("row", "text", "spans").mapInArrow(run, schema)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8) -> DataFrame:
+    """A row for each passage of a row of docs that an earlier row (smaller doc_id) holds as well.
+
+    Spans are given in words and in characters; ref_* is the earlier row and its words. Spans of one row may overlap
+    where several rows hold parts of them.
+    """
+    rows = numbered(docs)
+    out = _in_characters(_passages(rows, min_words, similarity), rows.texts)
+    if rows.names is None:
+        out = out.withColumns({"doc_id": F.col("row").cast(rows.kind), "ref_doc_id": F.col("ref").cast(rows.kind)})
+    else:
+        own = rows.names.select("row", "doc_id")
+        out = out.join(own, "row").join(own.select(F.col("row").alias("ref"), F.col("doc_id").alias("ref_doc_id")), "ref")
+    return out.select("doc_id", "start_word", "n_words", "start_char", "n_chars", "ref_doc_id", "ref_start_word", "ref_n_words", "similarity")
 
 
 def cut_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8) -> DataFrame:
-    """docs without the passages that earlier documents hold; each passage stays where it occurs first.
+    """docs without the passages that earlier rows hold; each passage stays where it occurs first.
 
-    A row of which nothing is left stays with an empty text. n_chars, where there is such a column, is brought up to
-    date; all other columns, and texts without such a passage, are kept as they are.
+    What lies before, between and after passages stays as it is, white space included; a row of which nothing is left
+    stays with an empty text. n_chars, where there is such a column, is brought up to date; all other columns, and texts
+    without such a passage, are kept as they are. Equal rows are all cut alike.
     """
-    spans = repeated_passages(docs, min_words, similarity).groupBy("doc_id").agg(F.collect_set(F.struct("start_char", "n_chars")).alias("_cuts"))
-    spans = materialise(spans.withColumnRenamed("doc_id", "_cut_id"), "spans")
+    numbers = numbered(docs)
+    spans = _passages(numbers, min_words, similarity).select("row", "start_word", "n_words").distinct()
+    spans = _in_characters(spans, numbers.texts).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start_char", "n_chars"))).alias("_cuts"))
     # the row in one column, so that no name of the input can clash
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    rows = rows.join(spans, F.col("_row.doc_id") == F.col("_cut_id"), "left")
-    text, cuts = F.col("_row.text"), F.array_sort(F.col("_cuts"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text"))
+    if numbers.names is None:
+        spans = materialise(spans.withColumnRenamed("row", "_cut_id"), "spans")
+        rows = rows.join(spans, F.col("_row.doc_id").cast("long") == F.col("_cut_id"), "left")
+    else:
+        named = numbers.names.join(spans, "row").select(F.col("doc_id").alias("_cut_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "_cuts")
+        spans = materialise(named, "spans")
+        rows = rows.select("_row", *(h.alias(f"_own{i}") for i, h in enumerate(_hashes())))
+        same = F.col("_row.doc_id").eqNullSafe(F.col("_cut_id")) & (F.col("_own0") == F.col("_h1")) & (F.col("_own1") == F.col("_h2"))
+        rows = rows.join(spans, same, "left")
+    text = F.col("_row.text")
     # each span in order: what lies between the end so far and its start stays
     kept = F.aggregate(
-        cuts,
+        "_cuts",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, c: F.struct(
             F.concat(acc["out"], F.when(c["start_char"] > acc["at"], F.substring(text, acc["at"] + 1, c["start_char"] - acc["at"])).otherwise(F.lit(""))).alias("out"),
@@ -502,8 +661,8 @@ def cut_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8)
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    clean = F.col("_cuts").isNull()
-    rows = rows.select("_row", clean.alias("_clean"), F.when(~clean, F.trim(kept)).alias("_left"))
+    clean = F.col("_cuts").isNull() | text.isNull()
+    rows = rows.select("_row", clean.alias("_clean"), F.when(~clean, kept).alias("_left"))
     out = []
     for c in docs.columns:
         old, new = F.col(f"_row.`{c}`"), None

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -212,3 +213,71 @@ def test_long_words(spark):
         want.append((2 * k + 1, 80, len(body), 2 * k, 70))
     got = C.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.start_word, r.n_words, r.ref_doc_id, r.ref_start_word) for r in got) == want, f"FOUND {len(got)} of {len(want)}"
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Each row keeps what is its own, whatever other rows have its id, and in either order of their texts."""
+    rnd = random.Random(12)
+    passage, own, other, more = (sentence(n, rnd) for n in (80, 100, 180, 90))
+    for lead in ("a", "z"):  # the row with the passage comes first, or last, in the order of strings
+        rows = [
+            (1, " ".join([*sentence(30, rnd), *passage])),
+            (2, " ".join([lead, *passage, *own])),
+            (2, " ".join(["m", *other])),
+            (None, " ".join(["n", *passage, *more])),
+            (None, " ".join(["o", *other[:100], *sentence(20, rnd)])),
+            (None, None),
+            (2, None),
+            (3, ""),
+        ]
+        rows += [rows[1], rows[3]]
+        for kind, key in (("long", lambda i: i), ("string", lambda i: None if i is None else f"d{i}"), ("int", lambda i: i)):
+            data = [(key(i), t, 0 if t is None else len(t)) for i, t in rows]
+            out = C.cut_passages(spark.createDataFrame(data, f"doc_id {kind}, text string, n_chars long").repartition(3))
+            cut = {(2, rows[1][1]): " ".join([lead, "", *own]), (None, rows[3][1]): " ".join(["n", "", *more]), (None, rows[4][1]): " ".join(["o", "", *rows[4][1].split()[101:]])}
+            want = [(key(i), t if (i, t) not in cut else cut[i, t]) for i, t in rows]
+            order = lambda x: (x[0] is None, str(x[0]), x[1] is None, x[1] or "")
+            assert sorted([(r.doc_id, r.text) for r in out.collect()], key=order) == sorted(want, key=order)
+            assert all(r.n_chars == len(r.text or "") for r in out.collect())
+
+
+def test_white_space_outside_passages_stays(spark):
+    rnd = random.Random(13)
+    body = " ".join(sentence(60, rnd))
+    rows = [(1, body), (2, f"  \n one two\t{body}\n three \n"), (3, f"\n{body} ")]
+    got = {r.doc_id: r.text for r in C.cut_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: body, 2: "  \n one two\t\n three \n", 3: "\n "}
+
+
+def plain_share(a, b):
+    """Longest common subsequence of two lists of words, by the longer of them."""
+    ids = {w: i for i, w in enumerate(set(a) | set(b))}
+    b = np.array([ids[w] for w in b])
+    row = np.zeros(len(b) + 1, np.int64)
+    for w in a:
+        row = np.maximum.accumulate(np.maximum(row, np.append(0, row[:-1] + (b == ids[w]))))
+    return row[-1] / max(len(a), len(b))
+
+
+def test_whole_table_against_brute_force(spark):
+    """Of all words in windows of 50 that an earlier document holds too, and of what is reported, on a whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = {r.doc_id: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")] for r in docs.collect()}
+    found = {i: np.zeros(len(w), bool) for i, w in words.items()}
+    rows = C.repeated_passages(docs).collect()
+    for r in rows:
+        a, b = (words[i][s : s + n] for i, s, n in ((r.doc_id, r.start_word, r.n_words), (r.ref_doc_id, r.ref_start_word, r.ref_n_words)))
+        assert r.ref_doc_id < r.doc_id and min(len(a), len(b)) >= 50
+        if len(a) * len(b) < 1 << 22:
+            assert plain_share(a, b) >= 0.8 - 1e-9
+        found[r.doc_id][r.start_word : r.start_word + r.n_words] = True
+    first, total, missed = {}, 0, 0
+    for i in sorted(words):
+        held = np.zeros(len(words[i]), bool)
+        windows = [tuple(words[i][k : k + 50]) for k in range(len(words[i]) - 49)]
+        for k, w in enumerate(windows):
+            if first.setdefault(w, i) < i:
+                held[k : k + 50] = True
+        total += held.sum()
+        missed += (held & ~found[i]).sum()
+    assert total > 10_000 and missed <= 0.005 * total, f"MISSED {missed} of {total}"
