@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._files import open_folder, task_name
-from ._shared import drop_scratch, materialise, only, scratch_path, small_batches
+from ._shared import materialise, only, scratch_path, small_batches
 
 LINE = 64
 SHARD_BYTES = 64_000_000
@@ -188,11 +188,10 @@ def media_table(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame,
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Store all texts, read the stored bytes back and join what they tell to each row by digest."""
+    """Store all texts, read the stored bytes back and join what they tell, and their place, to each row by digest."""
     folder = scratch_path(docs.sparkSession, "media")
     rows, objects = media_table(docs, folder)
     told = materialise(inspect(objects, folder, full=True), "told")
-    drop_scratch(objects)
     sha = lambda c: F.lower(F.hex(c))
-    both = rows.join(told, "digest")
-    return both.select("doc_id", "n_bytes", "payload_bytes", sha("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", sha("digest").alias("media_sha256"), "feature", "width", "height")
+    both = rows.join(told.join(objects.select("digest", "shard", "offset"), "digest"), "digest")
+    return both.select("doc_id", "n_bytes", "payload_bytes", sha("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", sha("digest").alias("media_sha256"), "feature", "width", "height", "shard", "offset")

@@ -34,6 +34,49 @@ def test_round_trip(spark):
     assert M.round_trip(df.limit(0)).count() == 0
 
 
+def plain_samples(media):
+    """Samples of a PNG by nothing but zlib and a loop over its chunks and lines."""
+    at, packed, size = 8, b"", None
+    while at < len(media):
+        n, kind = int.from_bytes(media[at : at + 4], "big"), media[at + 4 : at + 8]
+        body = media[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            size = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), tuple(body[8:13])
+        if kind == b"IDAT":
+            packed += body
+        at += 12 + n
+    width, height, form = size
+    assert form == (8, 0, 0, 0, 0)  # 8 bits, gray, no interlace
+    lines = zlib.decompress(packed)
+    out = b""
+    for y in range(height):
+        line = lines[y * (width + 1) : (y + 1) * (width + 1)]
+        assert line[0] == 0  # no filter
+        out += line[1:]
+    return out, width, height
+
+
+def test_whole_table_by_plain_reader(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "scratch_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = M.round_trip(docs).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        with open(tmp_path / "media" / r.shard, "rb") as f:
+            f.seek(r.offset)
+            media = f.read(r.media_bytes)
+        data = texts[r.doc_id].encode()
+        samples, width, height = plain_samples(media)
+        assert samples[: len(data)] == data and not any(samples[len(data) :]) and len(samples) == r.payload_bytes == max(64, -(-len(data) // 64) * 64)
+        assert r.n_bytes == len(data) and r.payload_sha256 == hashlib.sha256(samples).hexdigest() and r.tail_crc32 == zlib.crc32(samples[-64:]) and r.media_sha256 == hashlib.sha256(media).hexdigest()
+        mean = sum(samples) / len(samples)
+        deviation = (sum((x - mean) ** 2 for x in samples) / len(samples)) ** 0.5
+        size, m, sd, hist = r.feature.split(" ")
+        assert size == f"{width}x{height}" and float(m[5:]) == pytest.approx(mean, abs=1e-4) and float(sd[3:]) == pytest.approx(deviation, abs=1e-4)
+        assert [int(x) for x in hist[5:].split(",")] == [sum(1 for x in samples if x // 16 == k) for k in range(16)]
+
+
 def test_shards_are_tar(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(i, f"text {i % 7}" * 50) for i in range(30)], "doc_id long, text string")
     rows, objects = M.media_table(df, str(tmp_path / "m"))
