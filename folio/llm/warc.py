@@ -7,12 +7,13 @@ response or revisit, and a metadata record that names the row; the last two poin
 Of captures with equal payloads of at least MIN_REVISIT bytes (equal length and SHA-256) the one with the largest id
 holds the payload; the others are revisits and refer to it.
 
-Reading takes whole files, of at most MAX_RECORDS records as written here, plain or gzip (by member or whole), and
-walks the records by Content-Length. assemble() joins the records of each transaction by the record they have in common
+Files hold at most MAX_RECORDS records, and fewer where payloads are long: pages are written by classes of size (CLASSES),
+so that no file comes near the 2 GB that one value of Spark can hold. Reading takes whole files, plain or gzip (by member
+or whole), and walks the records by Content-Length. assemble() joins the records of each transaction by the record they have in common
 (the one that the others name in WARC-Concurrent-To, or themselves) and gives one nested row per capture.
 
 Defined cases: a null html is an empty payload; a null url an empty one; rows with a null id are captures like others and
-hold a payload only where no row with an id has the same one; repeated rows are a capture each; further columns are
+hold a payload only where no row with an id has the same one; ids may be of any type that has a text; repeated rows are a capture each; further columns are
 ignored; an empty table gives no rows; a file that isn't WARC or is cut short raises ValueError.
 """
 
@@ -30,6 +31,7 @@ from ._shared import materialise, only, scratch_path
 
 MIN_REVISIT = 1000
 MAX_RECORDS = 2000
+CLASSES = ((1 << 18, MAX_RECORDS), (1 << 22, 150), (1 << 31, 3))  # bytes of payload, and how many records a file may hold up to there
 HOLDER_ROWS = 100_000  # of about 100 bytes: up to here the table of shared payloads is broadcast
 DATE = "2025-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -57,10 +59,14 @@ def _holders(pages: DataFrame) -> DataFrame:
     return pages.join(same, ["digest", "size"], "left")
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(value): the WARC records of each page, without the CRLF CRLF that ends a record."""
+def records(pages: DataFrame, over: int = -1, up_to: int = 1 << 31) -> DataFrame:
+    """(value): the WARC records of each page, without the CRLF CRLF that ends a record.
+
+    over, up_to: only pages whose payload has so many bytes; they refer to holders among all of their size.
+    """
     p = only(pages, "page_id", "url", "html").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
-    p = p.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
+    p = p.withColumn("size", F.octet_length("payload").cast("long")).where((F.col("size") > over) & (F.col("size") <= up_to))
+    p = p.withColumn("digest", F.sha2("payload", 256))
     p = _holders(p)
     urn = lambda c: _text("<urn:uuid:", c, ">")
 
@@ -88,14 +94,21 @@ def records(pages: DataFrame) -> DataFrame:
     kind = F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))
     block = F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("payload")))
     response = record(kind, own, "application/http; msgtype=response", F.concat(to, _text("WARC-Payload-Digest: sha1:", F.sha1("payload"), CRLF), back), block)
-    row = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    ident = F.col("page_id").cast("string")  # none for null, two quotation marks for an empty one
+    row = F.when(ident == "", F.lit('""')).otherwise(F.coalesce(F.url_encode(ident), F.lit("")))
     metadata = record("metadata", F.col("metadata_id"), "application/warc-fields", to, _text("row: ", row, CRLF))
     return p.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
 def write(pages: DataFrame, path: str, max_records: int = MAX_RECORDS) -> None:
-    """Write pages (page_id, url, html) as WARC files under path."""
-    records(pages).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", max_records).text(path)
+    """Write pages (page_id, url, html) as WARC files under path, one class of size that occurs after the other."""
+    longest = only(pages, "html").agg(F.coalesce(F.max(F.octet_length("html")), F.lit(0)).alias("n")).first()["n"]
+    over = -1
+    for up_to, many in CLASSES:
+        if over < longest:
+            out = records(pages, over, up_to).write.mode("append" if over >= 0 else "error").option("lineSep", CRLF + CRLF)
+            out.option("maxRecordsPerFile", min(many, max_records)).text(path)
+        over = up_to
 
 
 # --- reading ------------------------------------------------------------------------------------------------------
@@ -182,17 +195,18 @@ def assemble(records: DataFrame) -> DataFrame:
     return both.select("uri", "date", "request", "response", "metadata")
 
 
-def resolve(captures: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of assembled captures.
+def resolve(captures: DataFrame, kind: str = "long") -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of assembled captures; ids are of type kind.
 
     A revisit takes length and digest from the record that it refers to, as that was read.
     """
-    row = F.nullif(F.regexp_extract("metadata.fields", r"(?m)^row: ([^\r\n]*)", 1), F.lit("")).cast("long")
+    row = F.regexp_extract("metadata.fields", r"(?m)^row: ([^\r\n]*)", 1)
+    row = F.when(row == '""', F.lit("")).when(row != "", F.url_decode(row)).cast(kind)
     c = captures.select(row.alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.record_id").alias("record_id"), F.col("response.refers_to").alias("refers"), F.col("response.payload_bytes").alias("n"), F.col("response.payload_sha1").alias("sha"))
     c = materialise(c, "captures")
     held = c.where("record_type = 'response'").groupBy("record_id").agg(F.min("page_id").alias("holder"), F.min("n").alias("held_n"), F.min("sha").alias("held_sha")).withColumnRenamed("record_id", "refers")
     held = materialise(held, "held")
-    own = c.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    own = c.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"))
     again = c.where("record_type = 'revisit'").join(held, "refers", "left").select("page_id", F.col("held_n").alias("payload_bytes"), F.col("held_sha").alias("payload_digest"), "record_type", F.col("holder").alias("refers_to"))
     return own.unionByName(again)
 
@@ -203,7 +217,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = scratch_path(spark, "warc")
     write(pages, path)
     found = materialise(read(spark, path, payload=False), "records")
-    return resolve(assemble(found))
+    return resolve(assemble(found), pages.schema["page_id"].dataType.simpleString())
 
 
 # SHA-256 picks the groups in Spark; equal payloads are grouped by themselves here.

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import os
+from decimal import Decimal
 
 import pytest
 
@@ -56,5 +57,26 @@ def test_nested_rows_and_files(spark, tmp_path, bound, monkeypatch):
         assert first.request.http.startswith("GET /x?q=1 HTTP/1.1\r\nHost: a.example") and first.response.refers_to == next(r.response.record_id for r in got if r.metadata.fields == "row: 2\r\n")
 
 
+def test_ids_of_any_type(spark):
+    for kind, ids in (("string", ["a b", "", None, "x\r\nrow: 7", "%41", "é+", "7"]), ("int", [3, None, -1]), ("decimal(30,2)", [Decimal("5.25"), None])):
+        df = spark.createDataFrame([(i, "u", "p") for i in ids] + [(i, "u", "y" * 1000) for i in ids], f"page_id {kind}, url string, html string")
+        got = W.round_trip(df)
+        assert dict(got.dtypes)["page_id"] == dict(got.dtypes)["refers_to"] == kind
+        top = max(i for i in ids if i is not None)
+        want = [(i, 1, "response", None) for i in ids] + [(i, 1000, "response" if i == top else "revisit", None if i == top else top) for i in ids]
+        assert sorted([(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got.collect()], key=str) == sorted(want, key=str)
+
+
+def test_long_payloads_get_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "CLASSES", ((1000, 30), (10_000, 6), (1 << 31, 3)))
+    sizes = [10] * 20 + [5000] * 6 + [50_000] * 3 + [1000, 1001, 10_000]
+    df = spark.createDataFrame([(i, "http://a/", str(i).ljust(n, "x")) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    W.write(df, str(tmp_path / "w"))
+    held = [len((tmp_path / "w" / f).read_bytes()) for f in os.listdir(tmp_path / "w") if f.endswith(".txt")]
+    assert max(held) < 60_000 and len(held) == 3 + 4 + 3
+    got = W.resolve(W.assemble(W.read(spark, str(tmp_path / "w"), payload=False))).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == sorted(enumerate(max(n, len(str(i))) for i, n in enumerate(sizes)))
+
+
 def test_sql(spark):
     assert compare(spark, "op7_warc", "/root/testdata/sf0.01", QUERIES, ORACLE_SQL) == 250
