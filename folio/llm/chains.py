@@ -14,9 +14,11 @@
    PHRASES seeds in a row are joined with their first occurrence in the same way.
 3. Chains: per pair of rows, matches in order in both are chained, score 16 words per match less GAP per word
    skipped, with prefix maxima in a Fenwick tree (n log n).
-4. Sieve: a passage has `min_words` words in a row of which a share of s / (2 - s) occurs in the other text nearby (s is
+4. Leaders: per row, the chains that no union of chains with more seeds covers. The others are looked at only where the
+   passages of the leaders don't cover them: for a stretch of a row one earlier holder is enough.
+5. Sieve: a passage has `min_words` words in a row of which a share of s / (2 - s) occurs in the other text nearby (s is
    the similarity). Short chains around which no stretch of words has that, by halves of the hashes, are dropped.
-5. Alignment: the words that a chain spans in both rows are fetched by joins and compared: runs of equal words, gaps
+6. Alignment: the words that a chain spans in both rows are fetched by joins and compared: runs of equal words, gaps
    aligned by edit distance, ends extended. The longest segment of runs of over `min_words` - 1 words with at least 0.8
    of the words equal is a passage, and so again on either side of it. Where equal words come so near the edge of a
    slice that more could follow, longer slices are fetched.
@@ -305,6 +307,37 @@ def _chains(bits: int):
     return run, CHAIN
 
 
+def with_leaders(chains: DataFrame) -> DataFrame:
+    """chains with leads: whether some of its words in row lie in no chain of that row that has more seeds."""
+    n = max(12, int(chains.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, ends in runs(batches, ["row"]):
+            lo, stop = t.column("lo").to_numpy(), t.column("hi").to_numpy() + K
+            size = np.diff(t.column("at").combine_chunks().offsets.to_numpy())
+            leads = np.ones(len(lo), bool)
+            for i in np.flatnonzero(np.diff(ends) > 1).tolist():
+                s, e = int(ends[i]), int(ends[i + 1])
+                base = int(lo[s:e].min())
+                covered = np.zeros(int(stop[s:e].max()) - base, bool)
+                for j in (np.argsort(-size[s:e], kind="stable") + s).tolist():
+                    own = covered[lo[j] - base : stop[j] - base]
+                    if own.all():
+                        leads[j] = False
+                    own[:] = True
+            yield from t.append_column("leads", pa.array(leads)).to_batches()
+
+    dealt = chains.repartition(n, "row").sortWithinPartitions("row", "ref", "lo", "ref_lo")
+    return dealt.mapInArrow(run, CHAIN + ", leads boolean")
+
+
+def uncovered(chains: DataFrame, passages: DataFrame) -> DataFrame:
+    """chains whose words in row are not all in one of the passages found."""
+    spans = passages.groupBy("row").agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
+    inside = F.exists("spans", lambda p: (p["start_word"] <= F.col("lo")) & (p["start_word"] + p["n_words"] >= F.col("hi") + K))
+    return chains.join(spans, "row", "left").where(~F.coalesce(inside, F.lit(False))).select(*chains.columns)
+
+
 # --- sieve --------------------------------------------------------------------------------------------------------
 
 
@@ -555,6 +588,22 @@ def _compared(words: DataFrame, chains: DataFrame, margin: int, min_words: int,
     return materialise(both.mapInArrow(*_aligned(min_words, similarity)), "aligned")
 
 
+def _compare_all(words: DataFrame, chains: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """Passages of chains: the sieve, then slices as long as they have to be."""
+    chains, out, margin = materialise(sieved(chains, words, min_words, similarity), "sieved"), None, MARGIN
+    while True:
+        got = _compared(words, chains, margin, min_words, similarity)
+        part = got.where("start_word is not null").drop("lo", "ref_lo")
+        out = part if out is None else out.unionByName(part)
+        short = got.where("start_word is null").select("row", "ref", "lo", "ref_lo")
+        if short.isEmpty():
+            drop_scratch(chains)
+            return materialise(out.distinct(), "found")
+        left = materialise(chains.join(short, ["row", "ref", "lo", "ref_lo"], "left_semi"), "chains")
+        drop_scratch(chains)
+        chains, margin = left, margin * 8
+
+
 # --- the operator -------------------------------------------------------------------------------------------------
 
 
@@ -574,21 +623,13 @@ def _passages(rows: Rows, min_words: int, similarity: float) -> DataFrame:
     links = links.repartition(n, "row", "ref").sortWithinPartitions("row", "ref", "at", "ref_at")
     chains = materialise(links.mapInArrow(*_chains(bits)), "chains")
     drop_scratch(held, spoken, first)
-    left = materialise(sieved(chains, words, min_words, similarity), "sieved")
+    led = materialise(with_leaders(chains), "led")
     drop_scratch(chains)
-    chains, out, margin = left, None, MARGIN
-    while True:
-        got = _compared(words, chains, margin, min_words, similarity)
-        part = got.where("start_word is not null").drop("lo", "ref_lo")
-        out = part if out is None else out.unionByName(part)
-        short = got.where("start_word is null").select("row", "ref", "lo", "ref_lo")
-        if short.isEmpty():
-            break
-        left = materialise(chains.join(short, ["row", "ref", "lo", "ref_lo"], "left_semi"), "chains")
-        drop_scratch(chains)
-        chains, margin = left, margin * 8
-    out = materialise(out.distinct(), "passages")
-    drop_scratch(made, chains)
+    first = _compare_all(words, led.where("leads").drop("leads"), min_words, similarity)
+    rest = materialise(uncovered(led.where("not leads").drop("leads"), first), "rest")
+    drop_scratch(led)
+    out = materialise(first.unionByName(_compare_all(words, rest, min_words, similarity)).distinct(), "passages")
+    drop_scratch(made, first, rest)
     return out
 
 
