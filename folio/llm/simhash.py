@@ -168,7 +168,7 @@ def _compare(radius: int, signature: bool = False, similarity: float = 0.0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in runs(batches, ["k1", "k2"]):
             fps = t.column("fp").to_numpy().view(np.uint64)
-            node = t.column("node").to_numpy()
+            node = t.column("node").combine_chunks()
             agree, doubt = None, []
             if signature:
                 sig = [np.frombuffer(x, np.uint32) for x in t.column("sig").to_pylist()]
@@ -192,7 +192,7 @@ def _compare(radius: int, signature: bool = False, similarity: float = 0.0):
                 edges += forest(groups[step : step + many], fps, radius, agree)
                 step += many
             e = np.array(edges + doubt, np.int64).reshape(-1, 2)
-            columns = [pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]])]
+            columns = [node.take(pa.array(e[:, 0])), node.take(pa.array(e[:, 1]))]
             if signature:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(len(e)) < len(edges))], ["u", "v", "sure"])
             else:
@@ -285,10 +285,14 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[float, bool]:
     return np.searchsorted(common, both[-1], side="right") / len(both), exact
 
 
-def _shingles(h: np.ndarray, shingle: int) -> tuple[np.ndarray, int]:
-    """Hashes of the shingles of a text, repeats included, and the hash of its whole word sequence."""
-    g = grams(h, shingle) if len(h) >= shingle else mix(grams(h, len(h))) if len(h) else np.zeros(1, np.uint64)
-    return g, xxhash.xxh64_intdigest(h.tobytes(), 1) - (1 << 63) if len(h) else 0
+def _shingles(h: np.ndarray, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of a text, repeats included."""
+    return grams(h, shingle) if len(h) >= shingle else mix(grams(h, len(h))) if len(h) else np.zeros(1, np.uint64)
+
+
+def _node(text: str | None) -> bytes:
+    """128 bits that stand for the word sequence of a text; so many that no two sequences ever share them."""
+    return xxhash.xxh128_digest(b" ".join(text.encode().translate(_LOWER).split())) if text else xxhash.xxh128_digest(b"")
 
 
 def whole_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -296,13 +300,13 @@ def whole_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
-            w = split_words(b.column("text").to_pylist())
-            got = [_shingles(w.hash[w.first[i] : w.first[i + 1]], shingle) for i in range(b.num_rows)]
-            sets = [(node, np.unique(g)) for g, node in got]
-            sets = [(node, g.tobytes()) for node, g in sets if len(g) >= SKETCH // 2]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary())], ["node", "whole"])
+            texts = b.column("text").to_pylist()
+            w = split_words(texts)
+            sets = [(t, np.unique(_shingles(w.hash[w.first[i] : w.first[i + 1]], shingle))) for i, t in enumerate(texts)]
+            sets = [(_node(t), g.tobytes()) for t, g in sets if len(g) >= SKETCH // 2]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sets], pa.binary()), pa.array([x[1] for x in sets], pa.binary())], ["node", "whole"])
 
-    return only(docs, "text").where(F.length("text") >= SKETCH).mapInArrow(run, "node long, whole binary")
+    return only(docs, "text").where(F.length("text") >= SKETCH).mapInArrow(run, "node binary, whole binary")
 
 
 def settle(doubt: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -321,21 +325,20 @@ def settle(doubt: DataFrame, docs: DataFrame, shingle: int, similarity: float) -
     sets = whole_sets(docs, shingle).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("whole").alias("whole"))
     sets = materialise(sets, "sets")
     both = doubt.join(sets.select(F.col("node").alias("u"), F.col("whole").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("whole").alias("b")), "v")
-    return materialise(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "settled")
+    return materialise(both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary"), "settled")
 
 
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, node, fp, sig, bands): a hash of the word sequence, SimHash, sketch of the shingles and band keys."""
+    """(doc_id, node, fp, sig, bands): 128 bits for the word sequence, SimHash, sketch of the shingles and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
-            w = split_words(b.column("text").to_pylist())
+            texts = b.column("text").to_pylist()
+            w = split_words(texts)
             n = b.num_rows
             gram, at = [], np.zeros(n + 1, np.int64)
-            node = np.zeros(n, np.int64)
             for i in range(n):
-                h = w.hash[w.first[i] : w.first[i + 1]]
-                g, node[i] = _shingles(h, shingle)
+                g = _shingles(w.hash[w.first[i] : w.first[i + 1]], shingle)
                 gram.append(g)
                 at[i + 1] = at[i] + len(g)
             g = np.concatenate(gram)
@@ -358,7 +361,7 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
-                    pa.array(node),
+                    pa.array([_node(t) for t in texts], pa.binary()),
                     pa.array(fp.view(np.int64)),
                     pa.array([x.tobytes() for x in sig], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(key.view(np.int64).ravel())),
@@ -368,7 +371,7 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     docs = only(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, node long, fp long, sig binary, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, node binary, fp long, sig binary, bands array<long>")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 32, block: int = BLOCK) -> DataFrame:
@@ -391,7 +394,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(own, o) * F.col("tiles") + F.greatest(own, o))
     members = members.select("node", F.col("k1"), F.explode(pair).alias("tile"), "k2")
     blocks = members.join(nodes.select("node", "fp", "sig"), "node").select("node", "fp", "sig", F.xxhash64("k1", "tile").alias("k1"), "k2")
-    found = materialise(_blocks_to_edges(blocks, _compare(radius, True, similarity), "u long, v long, sure boolean"), "found")
+    found = materialise(_blocks_to_edges(blocks, _compare(radius, True, similarity), "u binary, v binary, sure boolean"), "found")
     edges = found.where("sure").select("u", "v")
     doubt = materialise(found.where("not sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "doubt")
     if not doubt.isEmpty():

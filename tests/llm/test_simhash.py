@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -161,3 +162,35 @@ def test_similar_groups_of_long_texts(spark):
     got = dict(map(tuple, S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     right = sum((got[2 * k + 1] == 2 * k) == want[k] for k in range(40))
     assert 10 < sum(want) < 30 and right == 40, f"RIGHT {right} of 40, {sum(want)} alike"
+
+
+def test_similar_groups_of_a_whole_table(spark):
+    """All pairs of a table at 0.8 or more, by whole sets of word 5-grams, give the same components."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets, holders = {}, {}
+    for r in docs.collect():
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")]
+        k = min(5, len(w))
+        sets[r.doc_id] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else {()}
+        for g in sets[r.doc_id]:
+            holders.setdefault(g, []).append(r.doc_id)
+    common = {}
+    for g in holders.values():
+        for i, a in enumerate(g):
+            for b in g[i + 1 :]:
+                common[a, b] = common.get((a, b), 0) + 1
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for (a, b), n in common.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            pairs += 1
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert pairs > 50
+    assert {r.doc_id: r.component_id for r in S.similar_groups(docs).collect()} == {i: find(i) for i in sets}
