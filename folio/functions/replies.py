@@ -10,6 +10,8 @@ from . import js
 # The instruction that goes with each request.
 INSTRUCTION = "请将下面的 {} 翻译为 {}。\n只返回 JSON 数组，不要 Markdown 代码块，不要解释。数组每一项必须包含 id 和 translation，id 必须原样保留。保留段落语气、专有名词、数字和标点。\n\n"
 SOURCE, TARGET = "原文", "中文"
+# Fixed value: what a preview shows where there is no unit.
+PLACEHOLDER = "{{此处替换为待翻译段落}}"
 ITEM = "struct<id:string,translation:string>"
 
 
@@ -21,6 +23,15 @@ def prompt(system: Column, source: Column, target: Column, units: Column) -> Col
     return F.concat(F.when(head.isNull(), F.lit("")).otherwise(F.concat(head, F.lit("\n\n"))), *words, F.to_json(units))
 
 
+def preview(style: Column, system: Column, source: Column, target: Column, units: Column) -> Column:
+    """struct<system_prompt, user_prompt> for the first unit of an array, or for a placeholder."""
+    first = F.slice(units, 1, 1)
+    shown = F.when(F.size(first) > 0, first).otherwise(F.array(F.struct(F.lit("p-1").alias("id"), F.lit(PLACEHOLDER).alias("text"))))
+    own = style == "anthropic"
+    user = F.when(own, prompt(F.lit(""), source, target, shown)).otherwise(prompt(system, source, target, shown))
+    return F.struct(F.when(own, js.text(system)).otherwise(F.lit("")).alias("system_prompt"), user.alias("user_prompt"))
+
+
 def _joined(parts: Column) -> Column:
     """Texts of an array of reply parts (JSON objects)."""
     one = lambda p: F.coalesce(js.truthy(F.get_json_object(p, "$.text")), F.get_json_object(p, "$.content"), F.lit(""))

@@ -112,3 +112,8 @@ def export_name(c: Column, default: str = "export") -> Column:
 def extension(c: Column) -> Column:
     """What follows the last dot, lower-cased; the whole name if it has none."""
     return F.lower(F.substring_index(js.text(c), ".", -1))
+
+
+def cut(c: Column, limit: int) -> Column:
+    """The first `limit` characters of a trimmed text: 40 for a provider's name, 160 for a model's, 120 for a preview."""
+    return F.substring(js.trim(js.text(c)), 1, limit)

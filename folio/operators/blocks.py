@@ -17,6 +17,7 @@ DEFAULTS = {"style": "''", "left": "0D", "first_line": "0D", "hanging": "0D", "s
 BLOCK = "struct<type:string,text:string,kind:string,asset_id:string,latex:string,width:int,height:int,alt:string>"
 STATE = f"struct<out:array<{BLOCK}>,text:string,kind:string,formulas:long,furniture:long,duplicates:long,merged:long>"
 MERGE_LIMIT = 4200
+FORMULA_ALT = "公式"  # fixed value
 
 # Sentence ends, words that continue a sentence, running heads of pages, headings' numbers, captions,
 # signs of formulas and bullets.
@@ -125,7 +126,7 @@ def _step(acc: Column, it: Column) -> Column:
         beside = F.when(some & ~it["equation"] & ~it["furniture"], F.array(_block("paragraph", text=it["text"], kind=F.when(it["caption"], F.lit("caption")).otherwise(F.lit("paragraph"))))).otherwise(none)
         kind = F.when(it["equation"], F.lit("formula")).otherwise(F.lit("image"))
         pictures = F.transform(it["visuals"], lambda v: F.struct(kind.alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("kind"), v["asset_id"].alias("asset_id"), it["latex"].alias("latex"), v["width"].alias("width"), v["height"].alias("height"), v["alt"].alias("alt")))
-        formula = lambda tex: F.array(_block("formula", asset_id=F.lit(""), latex=tex, width=F.lit(640), height=F.lit(96), alt=F.lit("formula")))
+        formula = lambda tex: F.array(_block("formula", asset_id=F.lit(""), latex=tex, width=F.lit(640), height=F.lit(96), alt=F.lit(FORMULA_ALT)))
         bare = F.when((F.size(it["visuals"]) == 0) & (it["latex"] != ""), formula(it["latex"])).otherwise(none)
         typed = F.when(some, formula(it["text"])).otherwise(none)
         out = F.when(b == "shown", F.concat(acc["out"], flushed, beside, pictures, bare)).when(b == "formula", F.concat(acc["out"], flushed, typed)).when(b == "own", F.concat(acc["out"], flushed)).otherwise(acc["out"])

@@ -1,8 +1,8 @@
 """Dispatch of translation units: bounded workers, retries, a rate limit, results and the log of attempts.
 
-A Translator is called once per unit, in mapInPandas over as many partitions as there are workers. A limiter that holds
-for all workers needs one log, so a rate limit takes a single partition with threads; without one, partitions are the
-workers. Task retries can call again: results are keyed by (doc_id, id), and a restarted run takes only what has no
+A Translator is called once per unit, in mapInPandas over as many partitions as there are workers. A rate limit is dealt
+to the workers as quotas that sum up to it, each with a log of its own, so that in any 60 s there are no more starts than
+the limit allows and no task holds all units. cancel() ends the tasks of a run. Task retries can call again: results are keyed by (doc_id, id), and a restarted run takes only what has no
 result yet (progress.unfinished).
 """
 
@@ -11,12 +11,13 @@ from __future__ import annotations
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from threading import Lock
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 
 RESULT = "doc_id long, id string, text string, translation string, ok boolean, error string, attempts int, waited_ms long"
 
@@ -72,18 +73,39 @@ def translate(units: DataFrame, translator: Translator, concurrency: int = 1, re
     """(doc_id, id, text, translation, ok, error, attempts, waited_ms) of units (doc_id, id, text)."""
     concurrency, retries = min(20, max(1, concurrency)), min(5, max(0, retries))
 
+    rpm = min(600, max(1, rpm)) if rpm else None
+    workers = min(concurrency, rpm) if rpm else concurrency
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limiter = SlidingLog(min(600, max(1, rpm))) if rpm else None
-        with ThreadPoolExecutor(concurrency if rpm else 1) as pool:
-            for f in frames:
-                done = list(pool.map(lambda r: attempt(translator, r[0], r[1], retries, limiter, sleep), zip(f["id"], f["text"], strict=True)))
-                out = f[["doc_id", "id", "text"]].copy()
-                out["translation"] = [d[0] for d in done]
-                out["ok"] = [d[0] is not None for d in done]
-                out["error"] = [d[1] for d in done]
-                out["attempts"] = [d[2] for d in done]
-                out["waited_ms"] = [int(d[3] * 1000) for d in done]
-                yield out
-
-    dealt = units.select("doc_id", "id", "text").repartition(1 if rpm else concurrency)
-    return dealt.mapInPandas(run, RESULT)
+        limiter = SlidingLog(quota(rpm, workers, TaskContext.get().partitionId())) if rpm else None
+        for f in frames:
+            done = [attempt(translator, i, t, retries, limiter, sleep) for i, t in zip(f["id"], f["text"], strict=True)]
+            out = f[["doc_id", "id", "text"]].copy()
+            out["translation"] = [d[0] for d in done]
+            out["ok"] = [d[0] is not None for d in done]
+            out["error"] = [d[1] for d in done]
+            out["attempts"] = [d[2] for d in done]
+            out["waited_ms"] = [int(d[3] * 1000) for d in done]
+            yield out
+
+    return units.select("doc_id", "id", "text").repartition(workers).mapInPandas(run, RESULT)
+
+
+def quota(rpm: int, workers: int, worker: int) -> int:
+    """A worker's part of the limit; the parts of all workers sum up to it."""
+    return rpm // workers + (worker < rpm % workers)
+
+
+@contextmanager
+def cancellable(spark: SparkSession, run_id: str):
+    """Jobs started inside, in this thread, can be ended by cancel()."""
+    spark.addTag(run_id)
+    try:
+        yield
+    finally:
+        spark.removeTag(run_id)
+
+
+def cancel(spark: SparkSession, run_id: str) -> None:
+    """End the jobs of a run; units that had a result keep it where results are written as they come."""
+    spark.interruptTag(run_id)

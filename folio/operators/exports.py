@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import js
@@ -11,12 +11,13 @@ MODES = ["source", "translation", "parallel"]
 ROW_LIMIT, TEXT_LIMIT, CONTENT_LIMIT = 10_000, 100_000, 200_000
 
 
-def export_rows(rows: DataFrame, order: list[str]) -> DataFrame:
-    """The first ROW_LIMIT rows (the engine's limit on one export), cut to the text limits, then those with any text."""
+def export_rows(rows: DataFrame, export: list[str], order: list[str]) -> DataFrame:
+    """The first ROW_LIMIT rows of each export (the engine's limit on one), cut to the text limits, then those with any text."""
     cut = lambda c, n: F.substring(js.text(F.col(c)), 1, n).alias(c)
-    first = rows.orderBy(*order).limit(ROW_LIMIT)
+    place = F.row_number().over(Window.partitionBy(*export).orderBy(*order))
+    first = rows.withColumn("_place", place).where(F.col("_place") <= ROW_LIMIT)
     kind = F.when(F.col("type") == "table-cell", "table-cell").otherwise("paragraph")
-    out = first.select(*order, kind.alias("type"), cut("source", TEXT_LIMIT), cut("translation", TEXT_LIMIT), cut("content", CONTENT_LIMIT))
+    out = first.select(*export, *order, kind.alias("type"), cut("source", TEXT_LIMIT), cut("translation", TEXT_LIMIT), cut("content", CONTENT_LIMIT))
     return out.where("source != '' or translation != '' or content != ''")
 
 

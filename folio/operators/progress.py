@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +43,11 @@ def run_progress(results: DataFrame, run: str = "run_id", order: str = "seq") ->
     return out.withColumn("settled", F.col("completed") + F.col("failed")).withColumn("percent", percent(F.col("settled"), F.col("units")))
 
 
-def run_totals(results: DataFrame, run: str = "run_id") -> DataFrame:
-    """(run, completed, failed, settled)."""
+def run_totals(results: DataFrame, run: str = "run_id", ident: str | None = None, order: str = "seq") -> DataFrame:
+    """(run, completed, failed, settled), and with ident failed_ids, the units that failed in order."""
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return results.groupBy(run).agg(n(F.col("ok")).alias("completed"), n(~F.col("ok")).alias("failed"), F.count("*").alias("settled"))
+    lost = [F.transform(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct(order, ident)))), lambda x: x[ident]).alias("failed_ids")] if ident else []
+    return results.groupBy(run).agg(n(F.col("ok")).alias("completed"), n(~F.col("ok")).alias("failed"), F.count("*").alias("settled"), *lost)
 
 
 def recent_requests(events: DataFrame, key: str, ms: str = "ms", ident: str = "event_id") -> DataFrame:
@@ -51,26 +56,48 @@ def recent_requests(events: DataFrame, key: str, ms: str = "ms", ident: str = "e
     return events.withColumn("in_window", F.count("*").over(w))
 
 
+def listed_starts(starts: DataFrame, marks: DataFrame, key: str, ms: str = "ms") -> DataFrame:
+    """marks (key, ms, ...) with listed: how many starts a limiter's list holds then.
+
+    The list is cleared of old starts only when the next one is added, so it has those of the 60 s up to the last start.
+    """
+    s = recent_requests(starts.select(key, ms), key, ms).select(key, ms, F.col("in_window").alias("_n"), F.lit(0).alias("_mark"), F.lit(None).cast(marks.select(F.struct("*")).schema[0].dataType).alias("_row"))
+    m = marks.select(key, ms, F.lit(None).cast("long").alias("_n"), F.lit(1).alias("_mark"), F.struct("*").alias("_row"))
+    upto = Window.partitionBy(key).orderBy(ms, "_mark").rowsBetween(Window.unboundedPreceding, 0)
+    both = s.unionByName(m).withColumn("listed", F.coalesce(F.last("_n", ignorenulls=True).over(upto), F.lit(0).cast("long")))
+    return both.where("_mark = 1").select("_row.*", "listed")
+
+
 def admissions(events: DataFrame, key: str, rpm: int, ms: str = "ms", ident: str = "event_id") -> DataFrame:
     """(key, ident, ms, start): when a sliding-log limiter lets each request of a key begin, first come first served.
 
-    A request waits for the one rpm places before it to be 60 s old (then 30 ms more), if it isn't when it comes. The
-    fold holds the last rpm starts of one key; a key is the limiter's own unit, and there is one log per key by design.
+    A request waits for the one rpm places before it to be 60 s old (then 30 ms more), if it isn't when it comes. Each
+    start depends on the one before, so a key is one run of sorted rows; a task goes through it batch by batch and holds
+    no more than the last rpm starts.
     """
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ms).alias("t"), F.col(ident).alias("i")))).alias("_r"))
-
-    def step(acc: Column, r: Column) -> Column:
-        old = F.get(acc["log"], F.size(acc["log"]) - rpm)
-        now = F.greatest(r["t"], acc["now"])
-        start = F.when((F.size(acc["log"]) >= rpm) & (old > now - WINDOW_MS), old + WINDOW_MS + SLACK_MS).otherwise(now)
-        log = F.slice(acc["log"], F.greatest(F.lit(1), F.size(acc["log"]) - rpm + 2), F.lit(rpm))
-        return F.struct(F.concat(log, F.array(start)).alias("log"), start.alias("now"), F.concat(acc["out"], F.array(start)).alias("out"))
-
-    none = F.array().cast("array<long>")
-    zero = F.struct(none.alias("log"), F.lit(-(2**62)).cast("long").alias("now"), none.alias("out"))
-    starts = F.aggregate("_r", zero, step, lambda a: a["out"])
-    both = rows.select(key, F.explode(F.arrays_zip(F.col("_r").alias("r"), starts.alias("s"))).alias("_z"))
-    return both.select(key, F.col("_z.r.i").alias(ident), F.col("_z.r.t").alias(ms), F.col("_z.s").alias("start"))
+    rows = events.select(key, ident, ms)
+    names = [key, ident, ms]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: object = run
+        log: deque[int] = deque(maxlen=rpm)
+        now = 0
+        for b in batches:
+            out = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if k != held:
+                    held, now = k, t
+                    log.clear()
+                now = max(t, now)
+                if len(log) == rpm and log[0] > now - WINDOW_MS:
+                    now = log[0] + WINDOW_MS + SLACK_MS
+                log.append(now)
+                out.append(now)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*names, "start"])
+
+    rows = rows.withColumn(ms, F.col(ms).cast("long")) if rows.schema[ms].dataType.simpleString() != "bigint" else rows
+    fields = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    return rows.repartition(key).sortWithinPartitions(key, ms, ident).mapInArrow(run, f"{fields}, start long")
 
 
 def retry_delay(attempt: Column) -> Column:

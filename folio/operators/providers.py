@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import js, text
+
+NAME, MODEL = 40, 160  # characters kept
 STYLES = ["openai", "anthropic", "gemini", "unsupported"]
 
 
@@ -30,3 +33,12 @@ def upsert(custom: DataFrame, new: DataFrame) -> DataFrame:
 
 def remove(custom: DataFrame, ids: DataFrame) -> DataFrame:
     return custom.join(ids.select("id"), "id", "left_anti")
+
+
+def normalized(custom: DataFrame) -> DataFrame:
+    """custom (id, name, base_url, model) with names cut, addresses without a last slash, and valid: whether a name, a
+    model and an address of http or https are there."""
+    address = F.regexp_replace(js.trim(js.text(F.col("base_url"))), r"/\z", "")
+    out = custom.withColumns({"name": text.cut(F.col("name"), NAME), "model": text.cut(F.col("model"), MODEL), "base_url": address})
+    valid = (F.col("name") != "") & (F.col("model") != "") & js.test(F.col("base_url"), r"(?i)\Ahttps?://[^/?#\s]+[^\s]*\z")
+    return out.withColumn("valid", valid)

@@ -29,18 +29,44 @@ def extract(files: DataFrame) -> DataFrame:
     return parts.unionByName(paras.select(*parts.columns)).unionByName(cells).unionByName(failed)
 
 
-def docx_blocks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks (path, ord ...) of the bodies of DOCX files, and their table cells (path, table_no, row, col, text).
+def _folded(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Folded bodies (path, part) and cells (path, table_no, row, col) of DOCX files.
 
     A table ends a run of paragraphs, so runs are folded by themselves.
     """
     raw = ooxml.raw_paragraphs(files).where("error is null").withColumn("text", text.normalize_extracted(F.col("text")))
     full = B.classify(raw)
-    body = B.blocks(B.fold(full.where("table_no = 0"), ["path", "part"]), ["path", "part"])
+    return B.fold(full.where("table_no = 0"), ["path", "part"]), B.fold(full.where("table_no > 0"), ["path", "table_no", "row", "col"])
+
+
+def docx_blocks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks (path, ord ...) of the bodies of DOCX files, and their table cells (path, table_no, row, col, text, shown);
+    shown counts the pictures and formulas of a cell."""
+    runs, cells = _folded(files)
+    body = B.blocks(runs, ["path", "part"])
     body = body.withColumn("ord", F.col("part") * F.lit(1 << 32) + F.col("ord"))
-    folded = B.fold(full.where("table_no > 0"), ["path", "table_no", "row", "col"])
     texts = F.transform(F.filter("blocks", lambda b: b["type"] == "paragraph"), lambda b: b["text"])
-    return body, folded.select("path", "table_no", "row", "col", F.array_join(texts, "\n").alias("text"), "formulas", "furniture", "duplicates", "merged")
+    shown = F.size(F.filter("blocks", lambda b: b["type"] != "paragraph"))
+    return body, cells.select("path", "table_no", "row", "col", F.array_join(texts, "\n").alias("text"), shown.alias("shown"))
+
+
+def docx_counters(files: DataFrame) -> DataFrame:
+    """(path, formulas, furniture, duplicates, merged, images): what the rebuilding of each DOCX file came upon; images
+    are those of the body."""
+    runs, cells = _folded(files)
+    names = ["formulas", "furniture", "duplicates", "merged"]
+    images = F.size(F.filter("blocks", lambda b: b["type"] == "image"))
+    rows = runs.select("path", *names, images.alias("images")).unionByName(cells.select("path", *names, F.lit(0).alias("images")))
+    return rows.groupBy("path").agg(*(F.sum(n).cast("long").alias(n) for n in [*names, "images"]))
+
+
+def docx_tables(cells: DataFrame) -> DataFrame:
+    """(path, table_no, columns, rows) of docx_blocks()'s cells: rows with any text, picture or formula, the first row of
+    a table marked as header, and the width of the widest row that is left."""
+    rows = cells.groupBy("path", "table_no", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text", "shown"))).alias("cells"))
+    rows = rows.where(F.exists("cells", lambda c: (c["text"] != "") | (c["shown"] > 0)))
+    row = F.struct("row", (F.col("row") == 1).alias("header"), F.transform("cells", lambda c: c["text"]).alias("cells"))
+    return rows.groupBy("path", "table_no").agg(F.max(F.size("cells")).alias("columns"), F.array_sort(F.collect_list(row)).alias("rows"))
 
 
 def translate(paragraphs: DataFrame, translator: dispatch.Translator, done: DataFrame | None = None, **limits) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,8 +52,27 @@ def extract_text(files: DataFrame) -> DataFrame:
     return plain.unionByName(office.select("path", "name", "ext", text.normalize(F.col("text")).alias("text"), "error"))
 
 
-def settings(environment: dict[str, str] | None = None, files: list[str] | None = None) -> dict[str, str]:
-    """KEY=value files, first value wins, quotes stripped; the environment goes before them."""
+def json_settings(files: list[str]) -> dict:
+    """The first of some JSON files that is there and can be read; else nothing."""
+    for name in files:
+        try:
+            with open(name, encoding="utf-8") as f:
+                return json.load(f)
+        except (OSError, ValueError):
+            continue
+    return {}
+
+
+def save_settings(name: str, values: dict) -> None:
+    """Write settings as JSON, by a new file that takes the place of the old one."""
+    os.makedirs(os.path.dirname(os.path.abspath(name)), exist_ok=True)
+    with open(f"{name}.new", "w", encoding="utf-8") as f:
+        f.write(json.dumps(values, ensure_ascii=False, indent=2) + "\n")
+    os.replace(f"{name}.new", name)
+
+
+def settings(environment: dict[str, str] | None = None, files: list[str] | None = None, json_files: list[str] | None = None) -> dict[str, str]:
+    """KEY=value files, first value wins, quotes stripped; the environment goes before them, texts of JSON files last."""
     out: dict[str, str] = {}
     for name in files or []:
         if os.path.exists(name):
@@ -61,4 +81,5 @@ def settings(environment: dict[str, str] | None = None, files: list[str] | None
                     key, eq, value = line.strip().partition("=")
                     if eq and key and not key.startswith("#"):
                         out.setdefault(key.strip(), value.strip().strip("\"'"))
-    return out | dict(os.environ if environment is None else environment)
+    told = {k: v for k, v in json_settings(json_files or []).items() if isinstance(v, str) and v}
+    return told | out | dict(os.environ if environment is None else environment)

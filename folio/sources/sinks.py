@@ -35,14 +35,15 @@ def rendered(rows: DataFrame, key: str, order: str, mode: str, fmt: str) -> Data
 
 
 def write(rows: DataFrame, path: str, key: str, order: str, mode: str = "parallel", fmt: str = "txt") -> None:
-    """Write rows (key, order, kind, source, translation): csv and json as rows, else a file line per document."""
+    """Write rows (key, order, kind, source, translation): csv and json as rows, else a file per document in a folder
+    named by its key."""
     if fmt not in FORMATS:
         raise ValueError(f"no writer for {fmt}")
     if fmt in ("csv", "json"):
         flat = rows.select(key, order, "kind", F.posexplode(text_parts(F.col("source"), F.col("translation"), mode)).alias("part", "_p")).select(key, order, "kind", "part", "_p.text", "_p.translated")
         (flat.write.option("header", "true").option("escape", '"').csv(path) if fmt == "csv" else flat.write.json(path))
     else:
-        rendered(rows, key, order, mode, fmt).select("content").write.option("lineSep", "\n\n\n").text(path)
+        rendered(rows, key, order, mode, fmt).select(key, "content").write.partitionBy(key).text(path)
 
 
 _TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
@@ -86,17 +87,33 @@ def docx(rows: DataFrame, key: str, order: str, title: str, mode: str = "paralle
     return held.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, content binary")
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """(id, ...) of the last version of each id in rows (id, _version, _deleted, ...), if that isn't a deletion."""
+    fields = [c for c in rows.columns if c not in ("id", "_version", "_deleted")]
+    last = rows.groupBy("id").agg(F.max_by(F.struct("_deleted", *fields), "_version").alias("_r"))
+    return last.where("not _r._deleted").select("id", *(F.col(f"_r.{c}").alias(c) for c in fields))
+
+
 class DocumentStore:
     """Documents keyed by id in Parquet: every put or delete appends a version, reads take the last of each id."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def put(self, docs: DataFrame, version: int) -> None:
+    def next_version(self) -> int:
+        """One more than the greatest version so far; for a single writer at a time."""
+        try:
+            return (self.spark.read.parquet(self.path).agg(F.max("_version")).first()[0] or 0) + 1
+        except AnalysisException:
+            return 1
+
+    def put(self, docs: DataFrame, version: int | None = None) -> None:
         """docs (id, ...) as of a version that is greater than all before it."""
+        version = self.next_version() if version is None else version
         docs.withColumns({"_version": F.lit(version).cast("long"), "_deleted": F.lit(False)}).write.mode("append").parquet(self.path)
 
-    def delete(self, ids: DataFrame, version: int) -> None:
+    def delete(self, ids: DataFrame, version: int | None = None) -> None:
+        version = self.next_version() if version is None else version
         ids.select("id").withColumns({"_version": F.lit(version).cast("long"), "_deleted": F.lit(True)}).write.mode("append").parquet(self.path)
 
     def all(self) -> DataFrame:
@@ -104,9 +121,16 @@ class DocumentStore:
             rows = self.spark.read.option("mergeSchema", "true").parquet(self.path)
         except AnalysisException:
             return self.spark.createDataFrame([], "id string")
-        fields = [c for c in rows.columns if c not in ("id", "_version", "_deleted")]
-        last = rows.groupBy("id").agg(F.max_by(F.struct("_deleted", *fields), "_version").alias("_r"))
-        return last.where("not _r._deleted").select("id", *(F.col(f"_r.{c}").alias(c) for c in fields))
+        return latest(rows)
 
     def get(self, ident) -> DataFrame:
         return self.all().where(F.col("id") == ident)
+
+    def set_meta(self, key: str, value: str) -> None:
+        """Keep a value under a name, beside the documents."""
+        DocumentStore(self.spark, f"{self.path.rstrip('/')}-meta").put(self.spark.createDataFrame([(key, value)], "id string, value string"))
+
+    def get_meta(self, key: str) -> str | None:
+        held = DocumentStore(self.spark, f"{self.path.rstrip('/')}-meta").get(key)
+        row = held.first()
+        return row["value"] if row else None
