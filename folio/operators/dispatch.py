@@ -99,13 +99,13 @@ def quota(rpm: int, workers: int, worker: int) -> int:
 @contextmanager
 def cancellable(spark: SparkSession, run_id: str):
     """Jobs started inside, in this thread, can be ended by cancel()."""
-    spark.addTag(run_id)
+    spark.sparkContext.addJobTag(run_id)
     try:
         yield
     finally:
-        spark.removeTag(run_id)
+        spark.sparkContext.removeJobTag(run_id)
 
 
 def cancel(spark: SparkSession, run_id: str) -> None:
     """End the jobs of a run; units that had a result keep it where results are written as they come."""
-    spark.interruptTag(run_id)
+    spark.sparkContext.cancelJobsWithTag(run_id)

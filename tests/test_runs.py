@@ -17,7 +17,7 @@ class Model(BaseHTTPRequestHandler):
 
     def do_POST(self):
         body = json.loads(self.rfile.read(int(self.headers["content-length"])))
-        Model.seen.append((self.path, dict(self.headers), body))
+        Model.seen.append((self.path, {k.lower(): v for k, v in self.headers.items()}, body))
         ask = body["messages"][-1]["content"]
         status, reply = 200, {"choices": [{"message": {"content": f"[{ask}"}}]}
         if "refuse" in ask:
