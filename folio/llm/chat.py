@@ -1,8 +1,10 @@
 """Chat formatting: tool calls linked with their results, ordered, validated and written as canonical JSON.
 
 Calls and results meet in a hash join on (conversation, identifier). The order of a conversation's items is topological:
-a call comes after the calls whose results it uses, and else by turn. It is found from identifiers alone (no text), so a
-task holds some tens of bytes per item of one conversation; texts join the order afterwards. Arguments are validated
+a call comes after the calls whose results it uses, and else by turn. It is found from identifiers alone; texts join the
+order afterwards. Where all calls of a conversation already come after what they use, by turn, that is the order, and a
+range sort over all conversations numbers it, however long one is. Only the other conversations are ordered as graphs,
+each by one task, which holds some tens of bytes per item. Arguments are validated
 against JSON schemas and rows are written in the form of RFC 8785, row by row.
 
 Defined cases: rows without a conversation are conversations of their own; a call without a result has status
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialise, only, runs
+from ._shared import drop_scratch, materialise, only, ranked, runs
 
 # --- canonical JSON -----------------------------------------------------------------------------------------------
 
@@ -173,6 +175,23 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     return linked.unionByName(alone.select("conv", "conv_id", "turn", "call_id", none("string").alias("name"), none("string").alias("arguments"), none("array<string>").alias("after"), "content", F.lit(1).cast("long").alias("n_results"), F.lit("orphan").alias("status")))
 
 
+def positions(items: DataFrame) -> DataFrame:
+    """(key, position, cyclic) of items (conv, turn, key, call_id, after)."""
+    n = max(12, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long"))
+    narrow = items.select("conv", turn.alias("turn"), "key", "call_id", "after")
+    last = narrow.where("call_id is not null").groupBy("conv", "call_id").agg(F.max(F.struct("turn", "key")).alias("last"))
+    last = materialise(last, "owners")  # tables, so that Spark can split hot keys of the joins
+    uses = narrow.select("conv", F.struct("turn", "key").alias("own"), F.explode("after").alias("call_id"))
+    late = materialise(uses.join(last, ["conv", "call_id"]).where("last >= own").select("conv").distinct(), "late")
+    drop_scratch(last)
+    in_turn = ranked(narrow.join(late, "conv", "left_anti").select("conv", "turn", "key"), ["conv", "turn", "key"], "in-turn")
+    first = materialise(in_turn.groupBy("conv").agg(F.min("_rank").alias("first")), "first")
+    plain = in_turn.join(first, "conv").select("key", (F.col("_rank") - F.col("first")).alias("position"), F.lit(False).alias("cyclic"))
+    graphs = narrow.join(late, "conv", "left_semi").repartition(n, "conv").sortWithinPartitions("conv")
+    return plain.unionByName(graphs.mapInArrow(_ordered, "key string, position long, cyclic boolean"))
+
+
 def _written(schemas: dict[str, dict]):
     def row(r: dict) -> tuple[bool | None, str | None, str]:
         if r["kind"] == "message":
@@ -210,10 +229,7 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
     items = items.unionByName(m.select("conv", "conv_id", "turn", none("string").alias("call_id"), none("string").alias("name"), none("string").alias("arguments"), none("array<string>").alias("after"), F.col("text").alias("content"), F.lit(0).cast("long").alias("n_results"), none("string").alias("status"), F.lit("message").alias("kind"), "role"))
     key = F.concat_ws("|", F.col("kind"), F.coalesce("call_id", F.lit("")), F.sha1(F.concat_ws("|", F.coalesce("name", F.lit("")), F.coalesce("arguments", F.lit("")), F.coalesce("role", F.lit("")), F.coalesce("content", F.lit("")))), F.uuid())
     items = materialise(items.withColumn("key", key), "items")
-    n = max(12, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    narrow = items.select("conv", F.col("turn").cast("long").alias("turn"), "key", "call_id", "after").repartition(n, "conv").sortWithinPartitions("conv")
-    order = narrow.mapInArrow(_ordered, "key string, position long, cyclic boolean")
-    both = items.join(order, "key").select("conv_id", "position", "turn", "kind", "call_id", "status", "cyclic", "name", "arguments", "content", "n_results", "role")
+    both = items.join(positions(items), "key").select("conv_id", "position", "turn", "kind", "call_id", "status", "cyclic", "name", "arguments", "content", "n_results", "role")
     f = {x.name: x.dataType.simpleString() for x in items.schema}
     return both.mapInArrow(_written(schemas), f"conv_id {f['conv_id']}, position long, turn {f['turn']}, kind string, call_id string, status string, cyclic boolean, valid boolean, error string, json string")
 
@@ -238,3 +254,25 @@ def from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame,
     calls = user.select("conv_id", "turn", _call_id(F.col("turn")).alias("call_id"), F.when(F.col("turn") % 4 < 2, "ask").otherwise("recall").alias("name"), args.alias("arguments"), after.alias("after"))
     results = c.where("role = 'assistant' and turn >= 1").select("conv_id", "turn", _call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return c.where("role is null or role not in ('user', 'assistant') or role = 'assistant' and (turn is null or turn < 1)"), calls, results
+
+
+# What from_conversations() and SCHEMAS make of a table whose turns have a number each; RFC 8785 is written out.
+ORACLE = """
+WITH calls AS (SELECT conv_id, turn, text, 'call_' || turn AS call_id, CASE WHEN turn % 4 < 2 THEN 'ask' ELSE 'recall' END AS name FROM conversations WHERE role = 'user'),
+results AS (SELECT conv_id, turn, 'call_' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant' AND turn >= 1),
+best AS (SELECT conv_id, call_id, arg_min({'c': content}, (turn, content)).c AS content, true AS there FROM results GROUP BY ALL),
+items AS (
+  SELECT c.conv_id, turn, 'call' AS kind, c.call_id, CASE WHEN count(*) OVER (PARTITION BY c.conv_id, c.call_id) > 1 THEN 'repeated' WHEN there THEN 'linked' ELSE 'unanswered' END AS status,
+         name = 'recall' OR length(text) BETWEEN 1 AND 1000 AS valid,
+         CASE WHEN there THEN '{"result":{"content":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"role":"tool","tool_call_id":"' || c.call_id || '"},"role"' ELSE '{"role"' END || ':"assistant","tool_call":{"arguments":{'
+           || CASE WHEN turn >= 2 THEN '"after":["call_' || (turn - 2) || '"],' ELSE '' END || '"length":' || length(text) || ',"question":' || to_json(text)::VARCHAR || '},"id":"' || c.call_id || '","name":"' || name || '"}}' AS json
+  FROM calls c LEFT JOIN best b ON b.conv_id = c.conv_id AND b.call_id = c.call_id
+  UNION ALL
+  SELECT conv_id, turn, 'call', call_id, 'orphan', NULL, '{"content":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"role":"tool","tool_call_id":"' || call_id || '"}' FROM results r
+  WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
+  UNION ALL
+  SELECT conv_id, turn, 'message', NULL, NULL, NULL, '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' FROM conversations
+  WHERE role IS NULL OR role NOT IN ('user', 'assistant') OR role = 'assistant' AND (turn IS NULL OR turn < 1))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1)) - 1 AS position, turn, kind, call_id, status, false AS cyclic, valid, CASE WHEN NOT valid THEN '$.length: out of range' END AS error, json
+FROM items
+"""

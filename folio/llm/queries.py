@@ -54,4 +54,4 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_passages, op4_separators, op5_simhash, op6_urls, op7_warc, op8_chat, op9_media, op10_pieces)}
-ORACLE_SQL: dict[str, str] = {"op1_quality": quality.ORACLE, "op6_urls": urls.ORACLE, "op7_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_quality": quality.ORACLE, "op6_urls": urls.ORACLE, "op7_warc": warc.ORACLE, "op8_chat": chat.ORACLE}

@@ -6,6 +6,8 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from folio.llm import chat as C
+from folio.llm.queries import ORACLE_SQL, QUERIES
+from tests.oracle import compare
 
 JSON = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(-(2**53), 2**53), st.floats(allow_nan=False, allow_infinity=False), st.text(st.characters(exclude_categories=["Cs"]), max_size=5)), lambda c: st.one_of(st.lists(c, max_size=3), st.dictionaries(st.text("ab€\U0001f600￿", max_size=2), c, max_size=3)), max_leaves=8)
 
@@ -88,3 +90,23 @@ def test_whole_table_against_plain(spark):
             assert json.loads(got[c, t].json) == {"role": role, "content": text}
             n += 1
     assert n > 20
+
+
+def test_sql(spark):
+    assert compare(spark, "op8_chat", "/root/testdata/sf0.01", QUERIES, ORACLE_SQL) > 300
+
+
+def test_order_of_long_and_of_tangled_conversations(spark):
+    """A conversation in turn goes through the range sort, one whose calls come before what they use through the graph."""
+    rnd = random.Random(5)
+    rows = [("cx", t, f"x{t:03}", f"c{t}", [f"c{t - 1}"] if t else []) for t in range(300)]
+    rows += [("cy", t, f"y{t}", f"c{t}", [f"c{t + 1}"] if t % 2 == 0 else []) for t in range(10)]
+    rows += [("cz", None, "z0", None, None), ("cz", 0, "z1", "c", []), ("cz", 1, "z2", "c", ["c"])]
+    rnd.shuffle(rows)
+    items = spark.createDataFrame(rows, "conv string, turn long, key string, call_id string, after array<string>").repartition(5)
+    got = {r.key: (r.position, r.cyclic) for r in C.positions(items).collect()}
+    assert len(got) == len(rows)
+    for conv in ("cx", "cy", "cz"):
+        own = [r for r in rows if r[0] == conv]
+        order, cyclic = C.topological([(-1 if r[1] is None else r[1], r[2], r[3], r[4] or []) for r in own])
+        assert [got[own[i][2]] for i in order] == [(p, i in cyclic) for p, i in enumerate(order)]
