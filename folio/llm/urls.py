@@ -40,10 +40,31 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"(?s)\A[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _escapes(c: Column) -> Column:
+    """Percent escapes in upper case."""
+    parts = F.regexp_extract_all(c, F.lit(r"%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
+    return F.when(c.contains("%"), F.array_join(F.transform(parts, lambda t: F.when(t.rlike(r"\A%..\z"), F.upper(t)).otherwise(t)), "")).otherwise(c)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without its segments "." and ".." (RFC 3986, 5.2.4, but for the slash that these leave at the end)."""
+    segments = F.split(F.substring(path, 2, F.length(path)), "/", -1)
+    fold = F.aggregate(segments, F.lit(""), lambda acc, x: F.when(x == ".", acc).when(x == "..", F.regexp_replace(acc, r"/[^/]*\z", "")).otherwise(F.concat(acc, F.lit("/"), x)))
+    return F.when(path.contains("/."), fold).otherwise(path)
+
+
 def canonical(url: Column) -> Column:
-    """Host without a leading www., path without trailing slashes, and query; no scheme, no fragment. Else null."""
+    """Host, path and query in one form; null without "://".
+
+    Host: no user, no default port of http or https, no dot at the end, no leading www. Path: no dot segments, no slashes
+    at the end. Escapes are in upper case; scheme and fragment are left out.
+    """
+    scheme = F.lower(F.substring_index(url, "://", 1))
+    name = F.regexp_replace(host(url), r"\A.*@", "")
+    port = F.when(scheme == "http", F.regexp_replace(name, r":(?:80)?\z", "")).when(scheme == "https", F.regexp_replace(name, r":(?:443)?\z", "")).otherwise(name)
+    name = F.regexp_replace(F.regexp_replace(port, r"\.\z", ""), r"\Awww\.", "")
     query = F.regexp_extract(_rest(url), r"(?s)\A[^?#]*(\?[^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(F.regexp_replace(host(url), r"\Awww\.", ""), F.regexp_replace(path(url), r"/+\z", ""), query))
+    return F.when(F.instr(url, "://") > 0, F.concat(name, F.regexp_replace(_without_dots(_escapes(path(url))), r"/+\z", ""), _escapes(query)))
 
 
 def rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
@@ -100,12 +121,18 @@ RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "al
 
 ORACLE = r"""
 WITH u AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+  SELECT page_id, lower(string_split(url, '://')[1]) AS scheme, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 p AS (
-  SELECT page_id, rest, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  SELECT page_id, scheme, rest, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+n AS (
+  SELECT *, regexp_replace(host, '^.*@', '') AS name, list_aggregate(list_transform(regexp_extract_all(path, '%[0-9A-Fa-f]{2}|[^%]+|%'), lambda t: CASE WHEN regexp_matches(t, '^%..$') THEN upper(t) ELSE t END), 'string_agg', '') AS epath,
+         list_aggregate(list_transform(regexp_extract_all(regexp_extract(rest, '(?s)^[^?#]*(\?[^#]*)', 1), '%[0-9A-Fa-f]{2}|[^%]+|%'), lambda t: CASE WHEN regexp_matches(t, '^%..$') THEN upper(t) ELSE t END), 'string_agg', '') AS query FROM p),
+o AS (
+  SELECT *, CASE scheme WHEN 'http' THEN regexp_replace(name, ':(80)?$', '') WHEN 'https' THEN regexp_replace(name, ':(443)?$', '') ELSE name END AS plain,
+         CASE WHEN contains(epath, '/.') THEN list_reduce(list_concat([''], string_split(substr(epath, 2), '/')), lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END) ELSE coalesce(epath, '') END AS npath FROM n),
 c AS (
-  SELECT *, CASE WHEN rest IS NOT NULL THEN regexp_replace(host, '^www\.', '') || rtrim(path, '/') || regexp_extract(rest, '(?s)^[^?#]*(\?[^#]*)', 1) END AS canonical FROM p),
+  SELECT *, CASE WHEN rest IS NOT NULL THEN regexp_replace(regexp_replace(plain, '\.$', ''), '^www\.', '') || rtrim(npath, '/') || coalesce(query, '') END AS canonical FROM o),
 r(rule, rhost, rpath, verdict) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
 best AS (
   SELECT c.*, r.rule, r.verdict, row_number() OVER (PARTITION BY c.page_id ORDER BY length(r.rule) DESC NULLS LAST) AS k

@@ -9,6 +9,7 @@ from tests.oracle import compare
 URLS = [
     "http://WWW.Example.com/en/a", "https://x.example.com/en/", "http://example.com/en", "http://notexample.com/en/x", "http://a.net/es/q?x=1#y", "http://a.net/est",
     "http://net/fr/", "http://com/", "http://com", "no scheme", "", None, "a://b://c/d", "http://h.org/p/?q#f", "http://h.org/p?q", "http://www.h.org/p//?q", "http://\u00c9.org/ \nx", "http://h.org#x/y",
+    "http://me:pw@H.org:80/p/", "https://h.org:443/p?q", "https://h.org:80/p?q", "http://h.org./a/./b/../c%2fd?x=%aZ%3d", "http://h.org/..", "http://h.org/a/b/..", "http://h.org:", "ftp://h.org:80/.x/%", "http://h.org/a//../b",
 ]
 
 
@@ -20,7 +21,19 @@ def parts(url):
     path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
     m = re.match(r"(?s)[^?#]*(\?[^#]*)", rest)
-    return host, path, (host[4:] if host.startswith("www.") else host) + path.rstrip("/") + (m[1] if m else "")
+    name, scheme = host.rpartition("@")[2], url.split("://")[0].lower()
+    for port in (":", {"http": ":80", "https": ":443"}.get(scheme, ":")) if scheme in ("http", "https") else ():
+        name = name.removesuffix(port)
+    name = name.removesuffix(".")
+    upper = lambda x: re.sub("%[0-9A-Fa-f]{2}", lambda e: e[0].upper(), x)
+    out = []
+    for x in upper(path).split("/")[1:]:
+        if x == "..":
+            out = out[:-1]
+        elif x != ".":
+            out.append(x)
+    way = "".join(f"/{x}" for x in out)
+    return host, path, (name[4:] if name.startswith("www.") else name) + way.rstrip("/") + upper(m[1] if m else "")
 
 
 @pytest.mark.parametrize("blocks", [None, 1])
