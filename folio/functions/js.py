@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Inside a character class of a Java regular expression: ECMAScript's white space.
 WS = r"\t\n\x0B\f\r \xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 CJK = r"\u3400-\u9FFF"
+#: The characters of WS by themselves.
+SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def text(c: Column) -> Column:
@@ -22,7 +24,7 @@ def text(c: Column) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def truthy(c: Column) -> Column:
