@@ -15,35 +15,74 @@ from pyspark.sql import functions as F
 
 CLEAN_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one of our own only where the cluster names none (tests)."""
+    """The checkpoint folder of the session. One of our own is made only in local mode, where all is one machine's."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="folio-"))
     return sc.getCheckpointDir()
 
 
+_left: list[str] = []  # paths under shared folders that nothing has deleted yet
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/folio/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What is written there lasts until drop_scratch() or clear_scratch()."""
+    path = f"{shared_dir(spark).rstrip('/')}/folio/{name}-{uuid.uuid4().hex}"
+    _left.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scratch_left() -> list[str]:
+    return list(_left)
+
+
+def clear_scratch(spark: SparkSession, paths: list[str] | None = None, read_by: DataFrame | None = None) -> list[str]:
+    """Delete what operators left in the shared folder (or the paths given); the paths that are still there.
 
+    Results of operators are lazy and read such tables, so this comes after results are written. What the plan of
+    read_by reads stays.
+    """
+    read = read_by.inputFiles() if read_by is not None else []
+    kept = []
+    for path in scratch_left() if paths is None else paths:
+        if path not in _left:
+            continue
+        name = path.rsplit("/", 1)[-1]
+        if any(f"/{name}/" in f for f in read):
+            kept.append(path)
+        else:
+            _delete(spark, path)
+            _left.remove(path)
+    return kept
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, which cuts its lineage.
 
+    by: a column of a few values, each of which gets a folder of its own, so that drop_scratch() can delete it by itself.
     Shuffle files of the finished job are dropped at once where Spark offers that, and Arrow batches are kept small, as
     rows may hold whole texts.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    own = {CLEAN_SHUFFLE: "true", BATCH_ROWS: "1000"}
+    own = {CLEAN_SHUFFLE: "true", BATCH_ROWS: "1000", WRITERS: "8"}
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -52,13 +91,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_scratch(*tables: DataFrame) -> None:
-    """Delete tables made by materialise() that no later plan reads."""
+def drop_scratch(*tables: DataFrame, of: str = "") -> None:
+    """Delete tables made by materialise() that no later plan reads; of: only the folder of one value, as "part=0"."""
     for df in tables:
         if path := getattr(df, "_scratch_path", None):
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, f"{path}/{of}" if of else path)
+            if not of and path in _left:
+                _left.remove(path)
+
+
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df, written as a table, with _rank: the place of each row in the order of some columns, from 0 without a gap.
+
+    A range sort and the sizes of its partitions; no task sees more than its partition, however the keys are spread.
+    """
+    spark = df.sparkSession
+    n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    held = materialise(held, name)
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted(held.groupBy(part.alias("part")).agg((F.max(place) + 1).alias("n")).collect())  # a row per partition
+    starts, at = [], 0
+    for r in sizes:
+        starts.append((r["part"], at))
+        at += r["n"]
+    starts = spark.createDataFrame(starts, "_part long, _start long")
+    return held.join(F.broadcast(starts), part == F.col("_part")).withColumn("_rank", F.col("_start") + place).drop("_id", "_part", "_start")
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_scratch, materialise, only, runs, small_batches
+from ._shared import drop_scratch, materialise, only, ranked, runs, small_batches
 from ._words import grams, mix, split_words
 
 K, WINDOW = 4, 6
@@ -72,7 +72,6 @@ def numbered(docs: DataFrame) -> Rows:
     """Numbers for the rows of docs that have a text, rising with doc_id; equal rows share one."""
     d = only(docs, "doc_id", "text").where("text is not null")
     kind = d.schema["doc_id"].dataType.simpleString()
-    spark = docs.sparkSession
     size = F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("size")
     whole = kind in INTEGRAL
     ids = [F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")] if whole else []
@@ -80,18 +79,10 @@ def numbered(docs: DataFrame) -> Rows:
     bits = (found["size"] // 2 + 1).bit_length()
     if whole and found["n"] == found["ids"] and (not found["n"] or found["least"] >= 0 and found["most"] < 1 << 63 - bits):
         return Rows(d.select(F.col("doc_id").cast("long").alias("row"), "text"), None, kind, bits)
-    n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.asc_nulls_last("doc_id"), "h1", "h2"]
     each = d.select("*", *_hashes()).groupBy("doc_id", "h1", "h2").agg(F.min("text").alias("text"))
-    each = each.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
-    each = materialise(each, "rows")
-    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted(each.groupBy(part.alias("part")).agg((F.max(place) + 1).alias("n")).collect())  # a row per partition
-    ends = np.cumsum([0, *(r["n"] for r in sizes)]).tolist()
-    if ends[-1] >= 1 << 63 - bits:
+    each = ranked(each, [F.asc_nulls_last("doc_id"), "h1", "h2"], "rows").withColumnRenamed("_rank", "row")
+    if (each.agg(F.max("row")).first()[0] or 0) >= 1 << 63 - bits:
         raise ValueError("more rows, or longer texts, than can be numbered")
-    starts = spark.createDataFrame([(r["part"], e) for r, e in zip(sizes, ends, strict=False)], "part long, start long")
-    each = each.join(F.broadcast(starts), part == F.col("part")).select((F.col("start") + place).alias("row"), "doc_id", "h1", "h2", "text")
     return Rows(each.select("row", "text"), each.drop("text"), kind, bits)
 
 
@@ -380,8 +371,8 @@ def sieved(chains: DataFrame, words: DataFrame, min_words: int, similarity: floa
                 yield part.drop_columns(["a", "b"]).filter(pa.array(keep))
 
     low = words.select("row", "low")
-    near = chains.where(~long).join(low, "row").select(*chains.columns, window("lo", "hi").alias("a"))
-    near = near.join(low.withColumnRenamed("row", "ref"), "ref").select(*chains.columns, "a", window("ref_lo", "ref_hi").alias("b"))
+    near = chains.where(~long).hint("merge").join(low, "row").select(*chains.columns, window("lo", "hi").alias("a"))
+    near = near.hint("merge").join(low.withColumnRenamed("row", "ref"), "ref").select(*chains.columns, "a", window("ref_lo", "ref_hi").alias("b"))
     return chains.where(long).unionByName(near.mapInArrow(run, CHAIN))
 
 
@@ -534,7 +525,7 @@ def passages(a: np.ndarray, b: np.ndarray, matched: list[list[int]], least: floa
     return out
 
 
-ALIGNED = "row long, ref long, start_word int, n_words int, ref_start_word int, ref_n_words int, similarity double, lo long, ref_lo long"
+ALIGNED = "row long, ref long, start_word int, n_words int, ref_start_word int, ref_n_words int, similarity double, id long"
 
 
 def _aligned(min_words: int, least: float):
@@ -565,43 +556,61 @@ def _aligned(min_words: int, least: float):
             take = pa.array(rows, pa.int64())
             cols = list(zip(*vals, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [b.column("row").take(take), b.column("ref").take(take), *(pa.array(c, pa.int32()) for c in cols[:4]), pa.array(cols[4], pa.float64()), b.column("lo").take(take), b.column("ref_lo").take(take)],
+                [b.column("row").take(take), b.column("ref").take(take), *(pa.array(c, pa.int32()) for c in cols[:4]), pa.array(cols[4], pa.float64()), b.column("id").take(take)],
                 [x.split()[0] for x in ALIGNED.split(", ")],
             )
 
     return run, ALIGNED
 
 
-def _compared(words: DataFrame, chains: DataFrame, margin: int, min_words: int, similarity: float) -> DataFrame:
-    """The rows of _aligned() for chains, with `margin` words fetched on either side of them."""
+def _compared(words: DataFrame, chains: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """The rows of _aligned() for chains (id, margin, ...), with `margin` words fetched on either side of them.
+
+    One join with the words cuts the slices of both sides; a second one brings the two slices of a chain together.
+    """
+    side = lambda c, row, lo, hi: F.struct(F.lit(c).alias("side"), F.col(row).alias("row"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    wanted = chains.select("id", "margin", F.explode(F.array(side("a", "row", "lo", "hi"), side("b", "ref", "ref_lo", "ref_hi"))).alias("w")).select("id", "margin", "w.*")
+    start = F.greatest(F.lit(0), F.col("lo") - F.col("margin"))
+    size = F.least(F.col("n"), F.col("hi") + K + F.col("margin")) - start
+    part = lambda c: F.substring(F.col(c), (2 * start + 1).cast("int"), (2 * size).cast("int"))
+    slices = wanted.hint("merge").join(words, "row").select("id", "side", start.alias("from"), "n", part("low").alias("low"), part("high").alias("high"))
+    slices = materialise(slices, "slices")
+    of = lambda c: slices.where(F.col("side") == c).select("id", *(F.col(x).alias(f"{c}_{x}") for x in ("from", "n", "low", "high")))
+    both = chains.join(of("a"), "id").join(of("b"), "id")
+    out = materialise(both.mapInArrow(*_aligned(min_words, similarity)), "aligned")
+    drop_scratch(slices)
+    return out
 
-    def side(lo: str, hi: str, name: str) -> list:
-        start = F.greatest(F.lit(0), F.col(lo) - margin)
-        size = F.least(F.col("n"), F.col(hi) + K + margin) - start
-        part = lambda c: F.substring(F.col(c), (2 * start + 1).cast("int"), (2 * size).cast("int"))
-        return [start.alias(f"{name}_from"), F.col("n").alias(f"{name}_n"), part("low").alias(f"{name}_low"), part("high").alias(f"{name}_high")]
 
-    own = [f"a_{c}" for c in ("from", "n", "low", "high")]
-    words = words.select("row", "n", "low", "high")
-    a = chains.join(words, "row").select(*chains.columns, *side("lo", "hi", "a"))
-    both = a.join(words.withColumnRenamed("row", "ref"), "ref").select(*chains.columns, *own, *side("ref_lo", "ref_hi", "b"))
-    return materialise(both.mapInArrow(*_aligned(min_words, similarity)), "aligned")
+def _compare_all(words: DataFrame, led: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """Passages of chains with leads: those of the leaders, then of what these leave uncovered.
+
+    Chains whose slices were too short come again, with a larger margin, beside the chains of the next round. Joins with
+    the words are merge joins at any size, so that a small run is like a large one.
+    """
 
+    def todo(chains: DataFrame) -> DataFrame:
+        near = sieved(chains.drop("leads"), words, min_words, similarity)
+        return near.withColumns({"id": F.monotonically_increasing_id(), "margin": F.lit(MARGIN)})
 
-def _compare_all(words: DataFrame, chains: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """Passages of chains: the sieve, then slices as long as they have to be."""
-    chains, out, margin = materialise(sieved(chains, words, min_words, similarity), "sieved"), None, MARGIN
+    chains, out, rest = materialise(todo(led.where("leads")), "leaders"), None, led.where("not leads")
     while True:
-        got = _compared(words, chains, margin, min_words, similarity)
-        part = got.where("start_word is not null").drop("lo", "ref_lo")
+        got = _compared(words, chains, min_words, similarity)
+        part = got.where("start_word is not null").drop("id")
         out = part if out is None else out.unionByName(part)
-        short = got.where("start_word is null").select("row", "ref", "lo", "ref_lo")
-        if short.isEmpty():
-            drop_scratch(chains)
-            return materialise(out.distinct(), "found")
-        left = materialise(chains.join(short, ["row", "ref", "lo", "ref_lo"], "left_semi"), "chains")
+        short = chains.join(got.where("start_word is null").select("id"), "id", "left_semi").withColumn("margin", F.col("margin") * 8)
+        first = rest is not None
+        if first:
+            fresh = todo(materialise(uncovered(rest, part), "uncovered")).withColumn("id", -1 - F.col("id"))
+            short, rest = short.unionByName(fresh.select(short.columns)), None
+        left = materialise(short, "again")
         drop_scratch(chains)
-        chains, margin = left, margin * 8
+        chains = left
+        if chains.isEmpty():
+            return materialise(out.distinct(), "passages")
+        if first:  # few rows are left: those alone are shuffled from here on
+            rows = chains.select("row").unionByName(chains.select(F.col("ref").alias("row"))).distinct()
+            words = materialise(words.join(rows.hint("merge"), "row", "left_semi"), "words")
 
 
 # --- the operator -------------------------------------------------------------------------------------------------
@@ -610,10 +619,12 @@ def _compare_all(words: DataFrame, chains: DataFrame, min_words: int, similarity
 def _passages(rows: Rows, min_words: int, similarity: float) -> DataFrame:
     """(row, ref, start_word, n_words, ref_start_word, ref_n_words, similarity) of each passage."""
     bits = rows.bits
-    made = materialise(seeds(rows.texts, bits), "seeds")
-    found, words = made.where("seed is not null").select("seed", "at"), made.where("row is not null").select("row", "n", "low", "high")
+    made = seeds(rows.texts, bits).withColumn("part", F.when(F.col("row").isNull(), "seeds").otherwise("words"))
+    made = materialise(made, "seeds", "part")
+    found, words = made.where("part = 'seeds'").select("seed", "at"), made.where("part = 'words'").select("row", "n", "low", "high")
     first = first_places(found, bits)
     held = materialise(found.join(first, "seed").select("seed", "at", "ref_at"), "held")
+    drop_scratch(made, of="part=seeds")
     drop_scratch(first)
     spoken = materialise(phrases(held, bits, min_words), "phrases")
     first = first_places(spoken, bits)
@@ -625,11 +636,8 @@ def _passages(rows: Rows, min_words: int, similarity: float) -> DataFrame:
     drop_scratch(held, spoken, first)
     led = materialise(with_leaders(chains), "led")
     drop_scratch(chains)
-    first = _compare_all(words, led.where("leads").drop("leads"), min_words, similarity)
-    rest = materialise(uncovered(led.where("not leads").drop("leads"), first), "rest")
-    drop_scratch(led)
-    out = materialise(first.unionByName(_compare_all(words, rest, min_words, similarity)).distinct(), "passages")
-    drop_scratch(made, first, rest)
+    out = _compare_all(words, led, min_words, similarity)
+    drop_scratch(made, led)
     return out
 
 
@@ -651,7 +659,7 @@ def _in_characters(found: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(chars, pa.int32()), pa.array(w.end[last] - chars, pa.int32())], ["row", *more, "start_char", "n_chars"])
 
     spans = found.groupBy("row").agg(F.collect_list(F.struct(*more)).alias("spans"))
-    return spans.join(texts, "row").select("row", "text", "spans").mapInArrow(run, schema)
+    return spans.hint("merge").join(texts, "row").select("row", "text", "spans").mapInArrow(run, schema)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8) -> DataFrame:
