@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import js, numbers, replies, text
+from .functions import numbers, replies, text
 from .operators import blocks, dispatch, exports, layout, progress, providers, runlog, segment, wire
 from .plans import documents
 from .sources import files, sinks
