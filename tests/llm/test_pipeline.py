@@ -1,7 +1,9 @@
 import random
-import re
+
+import pytest
 
 import corpus_pipeline as P
+from folio.llm._shared import materialise
 
 
 def corpus():
@@ -59,7 +61,48 @@ def test_stages(spark):
     assert {r.doc_id for r in packed} == set(want)
 
 
-def test_run(spark):
-    out = P.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 0 and [len(P.STAGES), P.ORACLE_SQL] == [4, None]
-    assert not re.search("limit|sample", open(P.__file__).read(), re.I)
+def test_run_holds_every_row_of_each_stage(spark):
+    """On a whole table: what each stage keeps, and all tokens of what is left, found again in the result."""
+    from tokenizers import Tokenizer
+
+    from folio.llm import quality, simhash
+    from folio.llm.tokens import vocabulary
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in quality.judge(docs).collect() if r.kept}
+    one = P.quality_rules(spark, docs, sf)
+    assert {r.doc_id for r in one.collect()} == kept and one.count() == len(kept) > 100
+    groups = simhash.similar_groups(one).collect()
+    two = P.near_dedup(spark, one, sf)
+    assert sorted(r.doc_id for r in two.collect()) == sorted({r.component_id for r in groups})
+    three = P.substring_dedup(spark, two, sf).collect()
+    before = {r.doc_id: r.text for r in two.collect()}
+    assert {r.doc_id for r in three} == set(before)
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    want = {r.doc_id: len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in three}
+    for r in three:
+        left = iter(before[r.doc_id])
+        assert all(c in left for c in r.text)  # what is left stood there in this order
+    tokens, sequences = {}, {}
+    out = P.run(spark, sf)
+    for r in out.collect():
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert tokens == want and [len(P.STAGES), P.ORACLE_SQL] == [4, None]
+    for x in sequences.values():
+        x.sort()
+        assert x[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(x, x[1:], strict=False)) and sum(n for _, n in x) <= 4096
+
+
+def test_stages_leave_no_more_than_they_need(spark):
+    """A stage deletes what earlier ones left, unless its input reads it; the last result can still be read."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first = P.quality_rules(spark, docs, "")
+    second = P.near_dedup(spark, first, "")  # reads the tables of the first
+    assert second.count() > 0
+    written = materialise(second, "written")
+    third = P.substring_dedup(spark, written, "")
+    assert third.count() == written.count()
+    with pytest.raises(Exception):
+        first.count()
