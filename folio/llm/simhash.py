@@ -119,10 +119,11 @@ def within(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def forest(groups: list[np.ndarray], fps: np.ndarray, radius: int, agree=None) -> list[tuple[int, int]]:
+def forest(groups: list[np.ndarray], fps: np.ndarray, radius: int, agree=None, root: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that join what lies within the radius in each group, no more than a spanning forest of it.
 
-    groups: row numbers into fps, each of at most 64 * n lanes; agree(i, rows): which rows are truly alike.
+    groups: row numbers into fps, no row in two of them; agree(i, rows): which rows are truly alike; root: takes, for
+    each row, the row that stands for its tree. Pairs of one tree are not asked for again, and a group of one tree is done.
     """
     words: list[tuple[int, int]] = []  # group, first row of its 64 lanes
     for g, at in enumerate(groups):
@@ -136,61 +137,89 @@ def forest(groups: list[np.ndarray], fps: np.ndarray, radius: int, agree=None) -
     planes = planes_of(lanes)
     sizes = np.array([len(g) for g in groups])
     base = np.cumsum((sizes + 63) // 64) - (sizes + 63) // 64
-    roots = [np.arange(n) for n in sizes]
+    root = np.arange(len(fps)) if root is None else root
     edges: list[tuple[int, int]] = []
     gw, iw = np.array([w[0] for w in words]), np.array([w[1] for w in words])
-    for q in range(int(sizes.max()) - 1):
-        rows = np.flatnonzero((sizes[gw] > q + 1) & (iw + 64 > q + 1))
-        first = np.array([fps[groups[g][q]] for g in range(len(groups)) if sizes[g] > q + 1], np.uint64)
-        order = np.flatnonzero(sizes > q + 1)
-        hit = within(planes[rows], first[np.searchsorted(order, gw[rows])], radius)
-        later = np.clip(q + 1 - iw[rows], 0, 63).astype(np.uint64)
-        hit &= ALL << later
-        left = sizes[gw[rows]] - iw[rows]
+    many = max(1, 2048 // len(words))  # queries of each group at a time
+    for start in range(0, int(sizes.max()) - 1, many):
+        w, q = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(start, start + many)))
+        live = (sizes[gw[w]] > q + 1) & (iw[w] + 64 > q + 1)
+        w, q = w[live], q[live]
+        if not len(w):
+            break
+        hit = within(planes[w], lanes[base[gw[w]] + q // 64, q % 64], radius)
+        hit &= ALL << np.clip(q + 1 - iw[w], 0, 63).astype(np.uint64)
+        left = sizes[gw[w]] - iw[w]
         hit &= np.where(left >= 64, ALL, (np.uint64(1) << np.clip(left, 0, 63).astype(np.uint64)) - np.uint64(1))
-        for r in np.flatnonzero(hit):
-            g, i = words[rows[r]]
-            root, at = roots[g], groups[g]
-            found = np.flatnonzero((hit[r] >> _LANES) & np.uint64(1)) + i
-            found = found[root[found] != root[q]]
+        some = np.flatnonzero(hit)
+        r, lane = np.nonzero((hit[some][:, None] >> _LANES) & np.uint64(1))
+        if not len(r):
+            continue
+        g, row, place = gw[w[some[r]]], q[some[r]], iw[w[some[r]]] + lane
+        cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(row) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(r)], strict=True):
+            at = groups[g[a]]
+            i, found = at[row[a]], at[place[a:b]]
+            found = found[root[found] != root[i]]
             if agree is not None and len(found):
-                found = found[agree(at[q], at[found])]
+                found = found[agree(i, found)]
             if not len(found):
                 continue
-            _, one = np.unique(root[found], return_index=True)
-            for j in found[one]:
-                edges.append((int(at[q]), int(at[j])))
-                root[root == root[j]] = root[q]
+            trees, one = np.unique(root[found], return_index=True)
+            edges += [(int(i), int(j)) for j in found[one]]
+            own = root[at]
+            own[np.isin(own, trees)] = root[i]
+            root[at] = own
+            if (own == own[0]).all():
+                sizes[g[a]] = 0
     return edges
 
 
+def _alike(sig: pa.Array, similarity: float):
+    """agree() for forest() from sketches, and the list to which it adds the pairs that they leave in doubt."""
+    raw = sig.to_pylist()
+    size = np.array([len(x) // 4 for x in raw], np.int64)
+    ends = np.cumsum(size)
+    values, ids = np.unique(np.frombuffer(b"".join(raw), np.uint32), return_inverse=True)
+    mark = np.zeros(len(values), bool)
+    doubt: list[tuple[int, int]] = []
+
+    def agree(i: int, rows: np.ndarray) -> np.ndarray:
+        n = size[rows]
+        first = np.cumsum(n) - n
+        own = ids[ends[i] - size[i] : ends[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[ids[np.repeat(ends[rows] - n - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+        mark[own] = False
+        exact = (n < SKETCH) & (size[i] < SKETCH)
+        out = exact & (common / (size[i] + n - common) >= similarity)
+        for k in np.flatnonzero(~exact & (common / SKETCH >= similarity - DOUBT)).tolist():  # no estimate is above that
+            share, _ = jaccard(np.frombuffer(raw[i], np.uint32), np.frombuffer(raw[rows[k]], np.uint32))
+            if abs(share - similarity) > DOUBT:
+                out[k] = share >= similarity
+            else:
+                doubt.append((int(i), int(rows[k])))
+        return out
+
+    return agree, doubt
+
+
 def _compare(radius: int, signature: bool = False, similarity: float = 0.0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in runs(batches, ["k1", "k2"]):
             fps = t.column("fp").to_numpy().view(np.uint64)
             node = t.column("node").combine_chunks()
-            agree, doubt = None, []
-            if signature:
-                sig = [np.frombuffer(x, np.uint32) for x in t.column("sig").to_pylist()]
-
-                def agree(i, rows, sig=sig, doubt=doubt):
-                    out = np.zeros(len(rows), bool)
-                    for k, j in enumerate(rows.tolist()):
-                        share, exact = jaccard(sig[i], sig[j])
-                        if exact or abs(share - similarity) > DOUBT:
-                            out[k] = share >= similarity
-                        else:
-                            doubt.append((i, j))
-                    return out
-
+            agree, doubt = _alike(t.column("sig"), similarity) if signature else (None, [])
+            root = np.arange(len(fps))
             groups = [np.arange(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b > a + 1]
             groups.sort(key=len)  # batches of blocks of about one size
             edges: list[tuple[int, int]] = []
             step = 0
             while step < len(groups):
                 many = max(1, 8192 // (len(groups[step]) + 64))
-                edges += forest(groups[step : step + many], fps, radius, agree)
+                edges += forest(groups[step : step + many], fps, radius, agree, root)
                 step += many
+            doubt = [(i, j) for i, j in doubt if root[i] != root[j]]
             e = np.array(edges + doubt, np.int64).reshape(-1, 2)
             columns = [node.take(pa.array(e[:, 0])), node.take(pa.array(e[:, 1]))]
             if signature:
