@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chains, chat, media, packing, pieces, quality, separators, simhash, urls, warc
+from . import chains, chat, infill, media, neighbours, packing, pieces, quality, separators, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,5 +53,15 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_passages, op4_separators, op5_simhash, op6_urls, op7_warc, op8_chat, op9_media, op10_pieces)}
-ORACLE_SQL: dict[str, str] = {"op1_quality": quality.ORACLE, "op6_urls": urls.ORACLE, "op7_warc": warc.ORACLE, "op8_chat": chat.ORACLE}
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(_table(spark, sf_dir, "documents"), seed=1, plain=10, spm=20))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 is asked for its 20 nearest among all others."""
+    index = neighbours.build(_table(spark, sf_dir, "embeddings"))
+    return neighbours.search(index, index.where("vec_id % 20 = 0"), k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_passages, op4_separators, op5_simhash, op6_urls, op7_warc, op8_chat, op9_media, op10_pieces, op11_infill, op12_neighbours)}
+ORACLE_SQL: dict[str, str] = {"op1_quality": quality.ORACLE, "op6_urls": urls.ORACLE, "op7_warc": warc.ORACLE, "op8_chat": chat.ORACLE, "op11_infill": infill.ORACLE, "op12_neighbours": neighbours.ORACLE}
