@@ -10,17 +10,22 @@ from . import js
 # The instruction that goes with each request.
 INSTRUCTION = "请将下面的 {} 翻译为 {}。\n只返回 JSON 数组，不要 Markdown 代码块，不要解释。数组每一项必须包含 id 和 translation，id 必须原样保留。保留段落语气、专有名词、数字和标点。\n\n"
 SOURCE, TARGET = "原文", "中文"
+# Fixed value: the system text where a request names none.
+SYSTEM = "你是一名专业翻译。"
 # Fixed value: what a preview shows where there is no unit.
 PLACEHOLDER = "{{此处替换为待翻译段落}}"
 ITEM = "struct<id:string,translation:string>"
 
 
+def system_text(c: Column) -> Column:
+    return F.coalesce(js.truthy(js.text(c)), F.lit(SYSTEM))
+
+
 def prompt(system: Column, source: Column, target: Column, units: Column) -> Column:
-    """System text, instruction and the units (array of id, text) as compact JSON."""
-    head = js.truthy(js.text(system))
+    """System text (SYSTEM where it is empty), instruction and the units (array of id, text) as compact JSON."""
     before, between, after = INSTRUCTION.split("{}")
     words = [F.lit(before), F.coalesce(js.truthy(source), F.lit(SOURCE)), F.lit(between), F.coalesce(js.truthy(target), F.lit(TARGET)), F.lit(after)]
-    return F.concat(F.when(head.isNull(), F.lit("")).otherwise(F.concat(head, F.lit("\n\n"))), *words, F.to_json(units))
+    return F.concat(system_text(system), F.lit("\n\n"), *words, F.to_json(units))
 
 
 def preview(style: Column, system: Column, source: Column, target: Column, units: Column) -> Column:
@@ -29,7 +34,7 @@ def preview(style: Column, system: Column, source: Column, target: Column, units
     shown = F.when(F.size(first) > 0, first).otherwise(F.array(F.struct(F.lit("p-1").alias("id"), F.lit(PLACEHOLDER).alias("text"))))
     own = style == "anthropic"
     user = F.when(own, prompt(F.lit(""), source, target, shown)).otherwise(prompt(system, source, target, shown))
-    return F.struct(F.when(own, js.text(system)).otherwise(F.lit("")).alias("system_prompt"), user.alias("user_prompt"))
+    return F.struct(F.when(own, system_text(system)).otherwise(F.lit("")).alias("system_prompt"), user.alias("user_prompt"))
 
 
 def _joined(parts: Column) -> Column:

@@ -21,6 +21,12 @@ EFFORTS = ["low", "medium", "high", "xhigh", "max"]
 REPLY_TOKENS, TEST_TOKENS, TEMPERATURE = 8192, 8, 0.2
 MESSAGES_VERSION = "2023-06-01"
 TEST_MESSAGE = "Reply with OK."
+# The model of a request that names none, by wire style; what is said of styles without a text interface,
+# of replies that can't be used and of requests that failed.
+MESSAGES_MODEL, CHAT_MODEL = "claude-sonnet-4-5", "deepseek-v4-flash-free"
+NO_INTERFACE = "该供应商没有可直接调用的通用文本接口"
+NO_INTERFACE_HINT = "，请配置自定义 OpenAI 兼容地址"
+NOT_READABLE, NO_CONTENT, TEST_FAILED, FAILED = "模型返回了无法解析的响应", "请求成功，但模型没有返回内容", "请求失败 ({})：{}", "模型请求失败 ({})：{}"
 DETAIL, PREVIEW, TEST_SECONDS = 500, 120, 30
 
 
@@ -41,14 +47,22 @@ def _messages(content: Column) -> Column:
 def body(style: Column, model: Column, reasoning: Column, system: Column, source: Column, target: Column, units: Column) -> Column:
     """The JSON of a request for translations of units (array of id, text).
 
-    The messages style has the system text in a field of its own, the other in front of the prompt; a reasoning effort
-    takes the place of the temperature.
+    The messages style has the system text in a field of its own (and the usual one in front of the prompt), the other in
+    front of the prompt alone; a reasoning effort takes the place of the temperature. Null for the unsupported style.
     """
     e = effort(reasoning)
     plain = replies.prompt(F.lit(""), source, target, units)
-    own = F.to_json(F.struct(model.alias("model"), F.lit(REPLY_TOKENS).alias("max_tokens"), js.text(system).alias("system"), _messages(plain).alias("messages")))
-    chat = F.to_json(F.struct(model.alias("model"), e.alias("reasoning_effort"), F.when(e.isNull(), F.lit(TEMPERATURE)).alias("temperature"), _messages(replies.prompt(system, source, target, units)).alias("messages")))
-    return F.when(style == "anthropic", own).when(style != "unsupported", chat)
+    named = lambda usual: F.coalesce(js.truthy(js.text(model)), F.lit(usual)).alias("model")
+    own = F.to_json(F.struct(named(MESSAGES_MODEL), F.lit(REPLY_TOKENS).alias("max_tokens"), replies.system_text(system).alias("system"), _messages(plain).alias("messages")))
+    chat = F.to_json(F.struct(named(CHAT_MODEL), e.alias("reasoning_effort"), F.when(e.isNull(), F.lit(TEMPERATURE)).alias("temperature"), _messages(replies.prompt(system, source, target, units)).alias("messages")))
+    return F.when(js.text(style) == "anthropic", own).when(js.text(style) != "unsupported", chat)
+
+
+def request(style: Column, base_url: Column, model: Column, reasoning: Column, system: Column, source: Column, target: Column, units: Column) -> Column:
+    """struct<url, body, error>: where to send what, or why there is nothing to send."""
+    usable = js.text(style) != "unsupported"
+    error = F.when(~usable, F.lit(NO_INTERFACE + NO_INTERFACE_HINT))
+    return F.struct(F.when(usable, address(style, base_url)).alias("url"), body(style, model, reasoning, system, source, target, units).alias("body"), error.alias("error"))
 
 
 def test_body(style: Column, model: Column, reasoning: Column) -> Column:
@@ -59,14 +73,19 @@ def test_body(style: Column, model: Column, reasoning: Column) -> Column:
     return F.when(style == "anthropic", own).when(style != "unsupported", chat)
 
 
+def _filled(form: str, *values: Column) -> list[Column]:
+    parts = [F.lit(x) for x in form.split("{}")]
+    return [parts[0], *(c for pair in zip(values, parts[1:], strict=True) for c in pair)]
+
+
 def test_result(status: Column, raw: Column) -> Column:
     """struct<ok, preview, error> of the reply to test_body()."""
     text = js.trim(replies.content(raw))
     ended = F.coalesce(F.get_json_object(raw, "$.choices[0].finish_reason"), F.get_json_object(raw, "$.stop_reason"))
     error = (
-        F.when(~status.between(200, 299), F.concat(F.lit("请求失败 ("), status.cast("string"), F.lit(")："), replies.error_detail(raw, 700)))
-        .when(F.try_parse_json(raw).isNull(), F.lit("模型返回了无法解析的响应"))
-        .when((text == "") & js.truthy(ended).isNull(), F.lit("请求成功，但模型没有返回内容"))
+        F.when(~status.between(200, 299), F.concat(*_filled(TEST_FAILED, status.cast("string"), replies.error_detail(raw, 700))))
+        .when(F.try_parse_json(raw).isNull(), F.lit(NOT_READABLE))
+        .when((text == "") & js.truthy(ended).isNull(), F.lit(NO_CONTENT))
     )
     return F.struct(error.isNull().alias("ok"), F.when(error.isNull(), F.substring(text, 1, PREVIEW)).alias("preview"), error.alias("error"))
 
@@ -96,11 +115,11 @@ class HttpTranslator:
                 detail = json.loads(detail)["error"]["message"] or detail
             except (ValueError, KeyError, TypeError):
                 pass  # plain text
-            raise RuntimeError(f"模型请求失败 ({e.code})：{detail[:DETAIL]}") from None
+            raise RuntimeError(FAILED.format(e.code, detail[:DETAIL])) from None
         try:
             payload = json.loads(raw)
         except ValueError:
-            raise RuntimeError("模型返回了无法解析的响应") from None
+            raise RuntimeError(NOT_READABLE) from None
         return self.read(payload, ident)
 
 

@@ -825,20 +825,26 @@ _WIRE = f"""w AS (SELECT *, turn % 2 = 0 AS own, '{_HEAD}' || '{replies.SOURCE}'
 
 
 @query(f"""
-WITH {_WIRE}
-SELECT conv_id, turn, 'https://model' || CASE WHEN own THEN '/messages' ELSE '/chat/completions' END AS url,
-       CASE WHEN own THEN '{{"model":"m-' || conv_id || '","max_tokens":8192,"system":"be brief","messages":[{{"role":"user","content":' || to_json(prompt)::VARCHAR || '}}]}}'
-       ELSE '{{"model":"m-' || conv_id || '",' || CASE conv_id % 3 WHEN 0 THEN '"reasoning_effort":"xhigh"' ELSE '"temperature":0.2' END || ',"messages":[{{"role":"user","content":' || to_json('be brief' || chr(10) || chr(10) || prompt)::VARCHAR || '}}]}}' END AS body
-FROM w
+WITH {_WIRE},
+v AS (SELECT *, CASE WHEN conv_id % 4 = 1 THEN '' ELSE 'be brief' END AS sys, CASE WHEN conv_id % 5 = 2 THEN NULL ELSE 'm-' || conv_id END AS model, turn % 7 = 3 AS no FROM w),
+b AS (
+  SELECT conv_id, turn, no, own, CASE WHEN own THEN '{{"model":"' || coalesce(model, '{wire.MESSAGES_MODEL}') || '","max_tokens":8192,"system":' || to_json(coalesce(nullif(sys, ''), '{replies.SYSTEM}'))::VARCHAR
+         || ',"messages":[{{"role":"user","content":' || to_json('{replies.SYSTEM}' || chr(10) || chr(10) || prompt)::VARCHAR || '}}]}}'
+       ELSE '{{"model":"' || coalesce(model, '{wire.CHAT_MODEL}') || '",' || CASE conv_id % 3 WHEN 0 THEN '"reasoning_effort":"xhigh"' ELSE '"temperature":0.2' END
+         || ',"messages":[{{"role":"user","content":' || to_json(coalesce(nullif(sys, ''), '{replies.SYSTEM}') || chr(10) || chr(10) || prompt)::VARCHAR || '}}]}}' END AS body FROM v)
+SELECT conv_id, turn, CASE WHEN NOT no THEN 'https://model' || CASE WHEN own THEN '/messages' ELSE '/chat/completions' END END AS url, CASE WHEN NOT no THEN body END AS body,
+       CASE WHEN no THEN '{wire.NO_INTERFACE}{wire.NO_INTERFACE_HINT}' END AS error FROM b
 """)
 def wire_requests(spark, sf_dir):
-    """Turns as requests in the two wire styles."""
+    """Turns as requests in the two wire styles, or refused in a third; some name no model or system text."""
     c = table(spark, sf_dir, "conversations")
-    style = F.when(F.col("turn") % 2 == 0, "anthropic").otherwise("openai")
+    style = F.when(F.col("turn") % 7 == 3, "unsupported").when(F.col("turn") % 2 == 0, "anthropic").otherwise("openai")
     effort = F.when(F.col("conv_id") % 3 == 0, " XHigh ").when(F.col("conv_id") % 3 == 1, "most")
+    model = F.when(F.col("conv_id") % 5 != 2, F.concat(F.lit("m-"), F.col("conv_id").cast("string")))
+    system = F.when(F.col("conv_id") % 4 == 1, "").otherwise("be brief")
     units = F.array(F.struct(F.concat(F.lit("u"), F.col("turn").cast("string")).alias("id"), "text"))
-    body = wire.body(style, F.concat(F.lit("m-"), F.col("conv_id").cast("string")), effort, F.lit("be brief"), F.lit(""), F.col("role"), units)
-    return c.select("conv_id", "turn", wire.address(style, F.lit("https://model")).alias("url"), body.alias("body"))
+    r = wire.request(style, F.lit("https://model"), model, effort, system, F.lit(""), F.col("role"), units)
+    return c.select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", "r.*")
 
 
 @query("""
@@ -885,18 +891,19 @@ def error_details(spark, sf_dir):
 
 
 @query(f"""
-WITH u AS (SELECT conv_id, turn, role, {q_normalize("text")} AS t FROM conversations WHERE turn % 3 <> 0),
+WITH u AS (SELECT conv_id, turn, role, {q_normalize("CASE WHEN turn % 3 = 0 THEN ' ' ELSE text END")} AS t FROM conversations),
 f AS (SELECT conv_id, arg_min({{'id': 'u' || turn, 'text': t}}, (turn, role, t)) AS x FROM u WHERE t <> '' GROUP BY conv_id),
-p AS (SELECT c.conv_id, '{_HEAD}{replies.SOURCE}{_MID}{replies.TARGET}{_TAIL}' || to_json([coalesce(x, {{'id': 'p-1', 'text': '{replies.PLACEHOLDER}'}})])::VARCHAR AS prompt FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id = c.conv_id)
-SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'be brief' ELSE '' END AS system_prompt, CASE WHEN conv_id % 2 = 0 THEN prompt ELSE 'be brief' || chr(10) || chr(10) || prompt END AS user_prompt FROM p
+p AS (SELECT c.conv_id, '{_HEAD}{replies.SOURCE}{_MID}{replies.TARGET}{_TAIL}' || to_json([coalesce(x, {{'id': 'p-1', 'text': '{replies.PLACEHOLDER}'}})])::VARCHAR AS prompt,
+             CASE WHEN c.conv_id % 3 = 1 THEN '{replies.SYSTEM}' ELSE 'be brief' END AS sys FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id = c.conv_id)
+SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN sys ELSE '' END AS system_prompt, CASE WHEN conv_id % 2 = 0 THEN '{replies.SYSTEM}' ELSE sys END || chr(10) || chr(10) || prompt AS user_prompt FROM p
 """)
 def prompt_previews(spark, sf_dir):
-    """The prompt for the first unit of each conversation (of two turns in three), or for a placeholder."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(F.lit("u"), F.col("turn").cast("string")).alias("id"), "text")
-    units = segment.request_units(c.where("turn % 3 <> 0")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "id"))).alias("u"))
+    """The prompt for the first unit of each conversation that isn't blank (every third turn is made so), or for a placeholder."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(F.lit("u"), F.col("turn").cast("string")).alias("id"), F.when(F.col("turn") % 3 == 0, " ").otherwise(F.col("text")).alias("text"))
+    units = segment.request_units(c).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "id"))).alias("u"))
     held = c.select("conv_id").distinct().join(units, "conv_id", "left")
     first = F.coalesce(F.transform("u", lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"))), F.array().cast("array<struct<id:string,text:string>>"))
-    shown = replies.preview(F.when(F.col("conv_id") % 2 == 0, "anthropic").otherwise("openai"), F.lit("be brief"), F.lit(""), F.lit(""), first)
+    shown = replies.preview(F.when(F.col("conv_id") % 2 == 0, "anthropic").otherwise("openai"), F.when(F.col("conv_id") % 3 == 1, "").otherwise("be brief"), F.lit(""), F.lit(""), first)
     return held.select("conv_id", shown.alias("p")).select("conv_id", "p.*")
 
 
