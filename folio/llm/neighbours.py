@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._shared import materialise
 
 SLICE, BLOCK, SLICES = 32768, 4096, 12  # most rows of a slice and of a block of queries, about; least number of slices
-SAMPLE = 4096  # vectors of which the centre is the mean, at most; any centre gives right bounds
+SAMPLE = 4096  # vectors of which the centre is the mean, about; any centre gives right bounds
 BITS = 4
 SURE = 2.4
 SEED = 42
@@ -97,14 +97,16 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _centre(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Mean of a bounded sample of the vectors of each length."""
-    lengths = [d for (d,) in rows.select("dim").distinct().limit(65).collect()]
-    if len(lengths) > 64:
+    """Mean of a sample of about SAMPLE vectors of each length, or of all if they are fewer. Only means leave the tasks."""
+    counts = rows.groupBy("dim").count().limit(65).collect()  # lengths of vectors, not rows
+    if len(counts) > 64:
         raise ValueError("over 64 lengths of vectors")
     out = {}
-    for d in lengths:
-        found = rows.where(F.col("dim") == d).select("vec_id", "x").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-        out[d] = np.array([r["x"] for r in found]).mean(0)
+    for d, n in counts:
+        drawn = rows.where((F.col("dim") == d) & (F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // SAMPLE))) == 0))
+        out[d] = np.zeros(d)
+        for r in drawn.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).collect():
+            out[d][r["i"]] = r["m"]
     return out
 
 
