@@ -142,8 +142,8 @@ def paragraph_split(spark, sf_dir):
 _SENTENCE = "[^.!?。！？]+(?:[.!?。！？]+[\"''’”)\\]]*|$)"
 
 
-@query(f"""
-WITH RECURSIVE l AS (SELECT doc_id, text FROM documents WHERE length(text) > 2800),
+#: r (doc_id, n, piece or null): the pieces of the long texts of l (doc_id, text), in order of n.
+LONG = f"""
 s AS (SELECT doc_id, unnest(f) AS s, generate_subscripts(f, 1) AS k FROM
       (SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '{_SENTENCE}')) > 0 THEN regexp_extract_all(text, '{_SENTENCE}') ELSE [text] END AS f FROM l)),
 t AS (SELECT doc_id, x AS s, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k FROM (SELECT doc_id, k, {q_trim("s")} AS x FROM s) WHERE x <> ''),
@@ -160,7 +160,11 @@ r(doc_id, k, n, cur, rest, piece) AS (
   FROM (SELECT r0.*, CASE WHEN sp < 1820 THEN 2800 ELSE sp END AS cut FROM (SELECT *, length(regexp_extract(substr(rest, 1, 2801), '(?s)^(.*) ', 1)) AS sp FROM r) r0) r
   LEFT JOIN t ON t.doc_id = r.doc_id AND t.k = r.k + 1
   CROSS JOIN LATERAL (SELECT rest = '' AND cur <> '' AND t.s IS NOT NULL AND length(cur) + length(t.s) + 1 > 2800 AS flush)
-  WHERE NOT (t.s IS NULL AND cur = '' AND rest = ''))
+  WHERE NOT (t.s IS NULL AND cur = '' AND rest = ''))"""
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT doc_id, text FROM documents WHERE length(text) > 2800),{LONG}
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS ord, piece AS text FROM r WHERE piece IS NOT NULL
 UNION ALL SELECT doc_id, 1, text FROM documents WHERE length(text) <= 2800
 """)
@@ -181,10 +185,10 @@ def _raw_lines(spark, sf_dir):
 
 
 _X = q_re(q_re("x", r"[\x00-\x08\x0B\x0C\x0E-\x1F\xAD]", "''"), f"([A-Za-z]{{2,}})-{WS}+([a-z]{{2,}})" + r"\b", r"'\1\2'")
-_X = q_re(q_re(q_re(_X, r"[ \t\x{A0}]+", "' '"), f"{WS}+([,.;:!?%)])", r"'\1'"), rf"(\(){WS}+", r"'\1'")
+EXTRACTED = q_re(q_re(q_re(_X, r"[ \t\x{A0}]+", "' '"), f"{WS}+([,.;:!?%)])", r"'\1'"), rf"(\(){WS}+", r"'\1'")
 _TERMINAL = r"""[.!?。！？]["''’”》」』】)\]]*$"""
 _LINES = f"""
-lines AS (SELECT doc_id, i - 1 AS seq, {q_trim(_X)} AS t FROM (SELECT doc_id, ls[i] AS x, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))),
+lines AS (SELECT doc_id, i - 1 AS seq, {q_trim(EXTRACTED)} AS t FROM (SELECT doc_id, ls[i] AS x, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))),
 ended AS (SELECT *, regexp_matches(t, '{_TERMINAL}') AS ended, regexp_replace(t, '[^A-Za-z]', '', 'g') AS letters FROM lines),
 cls AS (
   SELECT doc_id, seq, t, ended, t <> '' AND length(t) <= 140 AND (regexp_matches(t, '^(?:[IVXLCDM]+\\.|[A-Z]\\.|[0-9]+(?:\\.[0-9]+)*\\.?){WS}+\\p{{Lu}}') OR length(letters) >= 5 AND letters = upper(letters) AND NOT ended) AS heading,
