@@ -8,13 +8,16 @@ one language and source that pass the base rules:
     low  = quarter - spread * (median - quarter)    word length only; quarter: the lower quartile
 
 A document is out if its x is more than SURE deviations above what `high` gives for its own n, x > high * n +
-SURE * sqrt(high * n) + SURE**2 (Bernstein's bound for counts), or as many below `low`. So there is no fixed share: a
-fence lies where the language and source has its values, and a short text needs more to be out than a long one. The
-level of a share says which part of a group is taken to be sound: three quarters where junk passes the base rules, 0.99
-where the base rules have taken the worst already. Quantiles come from percentile_approx, whose summaries are built per
-task and merged. The quantiles of a group of n documents are blended with those of its language, n : prior, where the
-prior is the number of documents of which one lies beyond the level. The fences
-join the documents on (language, source); they are broadcast only after their rows are counted.
+SURE * sqrt(high * n), or as many below `low`. Nothing is granted for free: all that a count is held against scales with
+the group's quantiles and the text's own length. Where over half of a group has the same value (no symbol, no repeat),
+median and top fall together and say nothing of what is far from them; so `high` is at least a share (`least`) of the way
+from the median to the 99th percentile of the language, which the sketch of the language's tail gives. The level of a
+share says which part of a group is taken to be sound: three quarters where junk passes the base rules, 0.99 where the
+base rules have taken the worst already. Quantiles come from percentile_approx, whose summaries are built per task and
+merged. The quantiles of a group of n documents are blended with those of its language, n : prior, so that a small group
+with much junk can't raise its own fence; the prior is small for word lengths, which sources may well have of their own.
+The fences join the documents on (language, source); they are broadcast only
+after their rows are counted.
 
 Defined cases: a null or blank text has zero counts and fails the base rules; null languages and sources are groups of
 their own; repeated rows are judged each and all count in the sketches; further columns are kept by filter_documents()
@@ -28,12 +31,13 @@ from pyspark.sql import functions as F
 
 from ._shared import materialise, only
 
-SHARES = {  # count, what it is a share of, level, prior, spread
-    "symbol_share": ("n_symbols", "word_chars", 0.75, 4, 8.0),
-    "word_length": ("word_chars", "n_words", 0.75, 4, 8.0),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.99, 100, 1.0),
-    "repeat_share": ("n_repeat_words", "n_words", 0.99, 100, 1.0),
+SHARES = {  # count, what it is a share of, level, prior, spread, least
+    "symbol_share": ("n_symbols", "word_chars", 0.75, 100, 8.0, 1 / 16),
+    "word_length": ("word_chars", "n_words", 0.75, 4, 4.0, 1 / 16),
+    "dup_line_share": ("n_dup_lines", "n_lines", 0.99, 100, 1.0, 1.0),
+    "repeat_share": ("n_repeat_words", "n_words", 0.99, 100, 1.0, 1.0),
 }
+TAIL = 0.99
 SURE = 4.0
 ACCURACY = 10_000
 BROADCAST_ROWS = 50_000  # about 200 bytes each
@@ -97,34 +101,46 @@ def base_failed() -> Column:
 
 def fences(counts: DataFrame) -> DataFrame:
     """(lang, source, <share>_high of each share, word_length_low): a row for each group that has documents."""
-    shares = [(F.col(x) / F.greatest(F.col(n), F.lit(1))).alias(m) for m, (x, n, _, _, _) in SHARES.items()]
+    shares = [(F.col(x) / F.greatest(F.col(n), F.lit(1))).alias(m) for m, (x, n, *_) in SHARES.items()]
     rows = counts.where(~base_failed()).select("lang", "source", *shares)
-    quantiles = [F.percentile_approx(m, [0.25, 0.5, level], ACCURACY).alias(m) for m, (_, _, level, _, _) in SHARES.items()]
+    quantiles = [F.percentile_approx(m, [0.25, 0.5, level, TAIL], ACCURACY).alias(m) for m, (_, _, level, *_) in SHARES.items()]
     groups = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *quantiles)
     tongues = rows.groupBy("lang").agg(*quantiles)
     tongues = tongues.select(F.col("lang").alias("_lang"), *(F.col(m).alias(f"_{m}") for m in SHARES))
     both = groups.join(tongues, groups["lang"].eqNullSafe(tongues["_lang"]))
     out = []
-    for m, (_, _, _, prior, spread) in SHARES.items():
+    for m, (_, _, _, prior, spread, least) in SHARES.items():
         quarter, median, top = ((F.col("n") * F.col(m)[i] + prior * F.col(f"_{m}")[i]) / (F.col("n") + prior) for i in range(3))
-        out.append((top + spread * (top - median)).alias(f"{m}_high"))
+        floor = median + least * (F.col(f"_{m}")[3] - F.col(f"_{m}")[1])
+        out.append(F.greatest(top + spread * (top - median), floor).alias(f"{m}_high"))
         if m == "word_length":
             out.append(F.greatest(F.lit(0.0), quarter - spread * (median - quarter)).alias(f"{m}_low"))
     return both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *out)
 
 
-def _judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
-    """counts with base_failed and kept."""
+def outside() -> dict[str, Column]:
+    """Whether the counts of a row lie beyond a fence, by the fence's name."""
+    out = {}
+    for m, (x, n, *_) in SHARES.items():
+        high = F.col(f"{m}_high") * F.col(n)
+        out[f"{m}_high"] = F.col(x) > high + SURE * F.sqrt(high)
+    low = F.col("word_length_low") * F.col("n_words")
+    return out | {"word_length_low": F.col("word_chars") < low - SURE * F.sqrt(low)}
+
+
+def _fenced(counts: DataFrame, limits: DataFrame) -> DataFrame:
+    """counts with the fences of their group; null where it has none."""
     if limits.count() <= BROADCAST_ROWS:
         limits = F.broadcast(limits)
-    both = counts.join(limits, counts["lang"].eqNullSafe(limits["_lang"]) & counts["source"].eqNullSafe(limits["_source"]), "left")
+    return counts.join(limits, counts["lang"].eqNullSafe(limits["_lang"]) & counts["source"].eqNullSafe(limits["_source"]), "left")
+
+
+def _judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
+    """counts with base_failed and kept."""
+    both = _fenced(counts, limits)
     inside = ~base_failed()
-    for m, (x, n, _, _, _) in SHARES.items():
-        high = F.col(f"{m}_high") * F.col(n)
-        inside &= F.col(x) <= high + SURE * F.sqrt(high) + SURE * SURE
-        if m == "word_length":
-            low = F.col(f"{m}_low") * F.col(n)
-            inside &= F.col(x) >= low - SURE * F.sqrt(low)
+    for beyond in outside().values():
+        inside &= ~beyond
     return both.select(*counts.columns, base_failed().alias("base_failed"), F.coalesce(inside, F.lit(False)).alias("kept"))
 
 
@@ -160,20 +176,21 @@ s AS (
          n_dup_lines / greatest(n_lines, 1) AS dl, n_repeat_words / greatest(n_words, 1) AS rs FROM c),
 g AS (SELECT lang, source, count(*) AS n, quantile_disc(ss, [0.25, 0.5, 0.75]) AS ss, quantile_disc(wl, [0.25, 0.5, 0.75]) AS wl, quantile_disc(dl, [0.25, 0.5, 0.99]) AS dl, quantile_disc(rs, [0.25, 0.5, 0.99]) AS rs
       FROM s WHERE NOT base_failed GROUP BY ALL),
-l AS (SELECT lang, quantile_disc(ss, [0.25, 0.5, 0.75]) AS ss, quantile_disc(wl, [0.25, 0.5, 0.75]) AS wl, quantile_disc(dl, [0.25, 0.5, 0.99]) AS dl, quantile_disc(rs, [0.25, 0.5, 0.99]) AS rs
+l AS (SELECT lang, quantile_disc(ss, [0.25, 0.5, 0.75, 0.99]) AS ss, quantile_disc(wl, [0.25, 0.5, 0.75, 0.99]) AS wl, quantile_disc(dl, [0.25, 0.5, 0.99, 0.99]) AS dl, quantile_disc(rs, [0.25, 0.5, 0.99, 0.99]) AS rs
       FROM s WHERE NOT base_failed GROUP BY ALL),
 q AS (
-  SELECT g.lang, source, list_transform(range(1, 4), lambda i: (n * g.ss[i] + 4 * l.ss[i]) / (n + 4)) AS ss, list_transform(range(1, 4), lambda i: (n * g.wl[i] + 4 * l.wl[i]) / (n + 4)) AS wl,
-         list_transform(range(1, 4), lambda i: (n * g.dl[i] + 100 * l.dl[i]) / (n + 100)) AS dl, list_transform(range(1, 4), lambda i: (n * g.rs[i] + 100 * l.rs[i]) / (n + 100)) AS rs
+  SELECT g.lang, source, list_transform(range(1, 4), lambda i: (n * g.ss[i] + 100 * l.ss[i]) / (n + 100)) AS ss, list_transform(range(1, 4), lambda i: (n * g.wl[i] + 4 * l.wl[i]) / (n + 4)) AS wl,
+         list_transform(range(1, 4), lambda i: (n * g.dl[i] + 100 * l.dl[i]) / (n + 100)) AS dl, list_transform(range(1, 4), lambda i: (n * g.rs[i] + 100 * l.rs[i]) / (n + 100)) AS rs,
+         l.ss[4] - l.ss[2] AS ts, l.wl[4] - l.wl[2] AS tw, l.dl[4] - l.dl[2] AS td, l.rs[4] - l.rs[2] AS tr
   FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang),
 f AS (
-  SELECT lang, source, ss[3] + 8 * (ss[3] - ss[2]) AS ss, wl[3] + 8 * (wl[3] - wl[2]) AS wl, greatest(0, wl[1] - 8 * (wl[2] - wl[1])) AS low,
-         dl[3] + (dl[3] - dl[2]) AS dl, rs[3] + (rs[3] - rs[2]) AS rs FROM q),
+  SELECT lang, source, greatest(ss[3] + 8 * (ss[3] - ss[2]), ss[2] + ts / 16) AS ss, greatest(wl[3] + 4 * (wl[3] - wl[2]), wl[2] + tw / 16) AS wl, greatest(0, wl[1] - 4 * (wl[2] - wl[1])) AS low,
+         greatest(dl[3] + (dl[3] - dl[2]), dl[2] + td) AS dl, greatest(rs[3] + (rs[3] - rs[2]), rs[2] + tr) AS rs FROM q),
 e AS (
   SELECT s.* EXCLUDE (ss, wl, dl, rs), f.ss * word_chars AS ss, f.wl * n_words AS wl, f.low * n_words AS low, f.dl * n_lines AS dl, f.rs * n_words AS rs
   FROM s LEFT JOIN f ON s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
-       coalesce(NOT base_failed AND n_symbols <= ss + 4 * sqrt(ss) + 16 AND word_chars <= wl + 4 * sqrt(wl) + 16 AND word_chars >= low - 4 * sqrt(low)
-                AND n_dup_lines <= dl + 4 * sqrt(dl) + 16 AND n_repeat_words <= rs + 4 * sqrt(rs) + 16, false) AS kept
+       coalesce(NOT base_failed AND n_symbols <= ss + 4 * sqrt(ss) AND word_chars <= wl + 4 * sqrt(wl) AND word_chars >= low - 4 * sqrt(low)
+                AND n_dup_lines <= dl + 4 * sqrt(dl) AND n_repeat_words <= rs + 4 * sqrt(rs), false) AS kept
 FROM e
 """

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import quality as Q
 from folio.llm.queries import ORACLE_SQL, QUERIES
@@ -82,6 +83,34 @@ def test_every_fence_moves_with_its_group(spark, share, key):
     assert got.pop(1000) and not got.pop(1001) and got.pop(1002) and all(got.values())
 
 
+def test_fences_of_a_whole_table(spark):
+    """Each document that is labelled junk goes and each that is labelled good stays; word lengths alone find half of the junk."""
+    sf = "/root/testdata/sf0.1"
+    counts = Q.counted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")).drop("text").cache()
+    x = Q._fenced(counts, Q.fences(counts)).where(~Q.base_failed())
+    x = x.select("doc_id", *(F.coalesce(v, F.lit(False)).alias(k) for k, v in Q.outside().items())).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    found = {r.quality: r for r in x.groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.expr(" or ".join(Q.outside()))).alias("out"), *(F.count_if(k).alias(k) for k in Q.outside())).collect()}
+    assert found[1].n > 3000 and found[1].out == 0
+    assert found[0].n > 200 and found[0].out == found[0].n and found[0].word_length_high + found[0].word_length_low >= found[0].n / 2
+    counts.unpersist()
+
+
+def test_verdicts_move_with_the_source_of_a_whole_table(spark):
+    """Half of the sources get a sign after every second word: there it is usual, and a text like that stays; a text of
+    theirs under the name of a quiet source goes, as no constant could have it."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source")
+    before = Q.judge(d).select("doc_id", F.col("kept").alias("was"))
+    loud = F.substring("source", 4, 2).cast("int") % 2 == 0
+    moved = loud & (F.floor(F.col("doc_id") / 20) % 20 == 1)
+    signs = F.regexp_replace("text", r"((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2})", "$1# ")
+    changed = d.withColumns({"text": F.when(loud, signs).otherwise(F.col("text")), "source": F.when(moved, "quiet").when(loud, "loud").otherwise("quiet"), "moved": moved})
+    after = Q.judge(changed).join(changed.select("doc_id", "moved"), "doc_id").join(before, "doc_id").where("was and n_words >= 100")
+    n = {(r.source, r.moved): (r.n, r.kept) for r in after.groupBy("source", "moved").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert n["loud", False][0] > 2000 and n["loud", False][1] >= 0.999 * n["loud", False][0]
+    assert n["quiet", False][1] >= 0.999 * n["quiet", False][0]
+    assert n["quiet", True][0] > 100 and n["quiet", True][1] <= 0.02 * n["quiet", True][0]
+
+
 def test_sql(spark):
     assert compare(spark, "op1_quality", "/root/testdata/sf0.01", QUERIES, ORACLE_SQL) == 1000
 
