@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
@@ -29,13 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-_left: list[str] = []  # paths under shared folders that nothing has deleted yet
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. What is written there lasts until drop_scratch() or clear_scratch()."""
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, when the block ends, the tables that operators called in it left in the shared folder.
+
+    Results of operators are lazy and read such tables, so write them inside the block. Blocks are of a thread and may
+    be nested; outside of any, tables stay, as those of checkpoint() do.
+    """
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield paths
+    finally:
+        _scopes.reset(token)
+        for p in paths:
+            _delete(spark, p)
+
+
+def scratch_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    """A new path in the shared folder. outlives: it belongs to the block around the innermost one."""
     path = f"{shared_dir(spark).rstrip('/')}/folio/{name}-{uuid.uuid4().hex}"
-    _left.append(path)
+    scopes = _scopes.get()
+    if scopes := scopes[:-1] if outlives else scopes:
+        scopes[-1].append(path)
     return path
 
 
@@ -44,45 +65,21 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def scratch_left() -> list[str]:
-    return list(_left)
-
-
-def clear_scratch(spark: SparkSession, paths: list[str] | None = None, read_by: DataFrame | None = None) -> list[str]:
-    """Delete what operators left in the shared folder (or the paths given); the paths that are still there.
-
-    Results of operators are lazy and read such tables, so this comes after results are written. What the plan of
-    read_by reads stays.
-    """
-    read = read_by.inputFiles() if read_by is not None else []
-    kept = []
-    for path in scratch_left() if paths is None else paths:
-        if path not in _left:
-            continue
-        name = path.rsplit("/", 1)[-1]
-        if any(f"/{name}/" in f for f in read):
-            kept.append(path)
-        else:
-            _delete(spark, path)
-            _left.remove(path)
-    return kept
-
-
-def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None, outlives: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, which cuts its lineage.
 
     by: a column of a few values, each of which gets a folder of its own, so that drop_scratch() can delete it by itself.
-    Shuffle files of the finished job are dropped at once where Spark offers that, and Arrow batches are kept small, as
-    rows may hold whole texts.
+    outlives: as in scratch_path(). Shuffle files of the finished job are dropped at once where Spark offers that, and
+    Arrow batches are kept small, as rows may hold whole texts.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, outlives)
     own = {CLEAN_SHUFFLE: "true", BATCH_ROWS: "1000", WRITERS: "8"}
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
     try:
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -96,8 +93,6 @@ def drop_scratch(*tables: DataFrame, of: str = "") -> None:
     for df in tables:
         if path := getattr(df, "_scratch_path", None):
             _delete(df.sparkSession, f"{path}/{of}" if of else path)
-            if not of and path in _left:
-                _left.remove(path)
 
 
 def ranked(df: DataFrame, order: list, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
-from ._shared import drop_scratch, materialise, only, runs, small_batches
+from ._shared import drop_scratch, materialise, only, runs, scratch, small_batches
 from ._words import grams, mix, split_words
 
 BLOCK = 4096
@@ -437,9 +437,10 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     Of rows that repeat a doc_id all stay or go together; a row with a null doc_id stays only where no other row of
     its group has an id. All columns are kept as they are.
     """
-    groups = similar_groups(docs, similarity=similarity)
-    gone = groups.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNotNull())
-    gone = materialise(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    with scratch(docs.sparkSession):
+        groups = similar_groups(docs, similarity=similarity)
+        gone = groups.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNotNull())
+        gone = materialise(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone", outlives=True)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))  # no name of the input can clash
     return rows.join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
 
