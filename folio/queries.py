@@ -349,6 +349,27 @@ def table_detect(spark, sf_dir):
     return layout.document(_items(spark, sf_dir)).select("doc_id", "ord", "page", "type", "text", "table", "row")
 
 
+@query("""
+WITH t AS (SELECT DISTINCT l_orderkey AS d, l_linenumber AS n, l_linenumber % 3 AS k, l_returnflag || l_linenumber || 'q' || l_quantity::INTEGER AS t FROM lineitem),
+j AS (SELECT d, coalesce(string_agg(t, ' ' ORDER BY n, t) FILTER (k = 0), '') AS a, coalesce(string_agg(t, ' ' ORDER BY n, t) FILTER (k = 1), '') AS b, coalesce(string_agg(t, ' ' ORDER BY n, t) FILTER (k = 2), '') AS c FROM t GROUP BY d)
+SELECT d AS doc_id, 1::BIGINT AS row, chr(9) || 'Market cap weighting' || chr(9) || 'Liquidity weighting' AS text FROM j UNION ALL SELECT d, 2, a || chr(9) || b || chr(9) || c FROM j
+""")
+def weighting_table(spark, sf_dir):
+    """Orders as pages of the one known table whose cells are whole columns: two rows, whatever lines it has."""
+    li = table(spark, sf_dir, "lineitem")
+    cell = lambda k, x, t: F.struct(F.lit(k).alias("k"), x.cast("double").alias("x"), t.alias("s"))
+    n = F.col("l_linenumber")
+    rows = li.select(F.col("l_orderkey").alias("doc_id"), n.alias("n"), (700.0 - 15 * n).alias("y"), (n % 3).alias("k"), (100.0 + 120 * (n % 3)).alias("x"), F.concat("l_returnflag", n.cast("string"), F.lit("q"), F.col("l_quantity").cast("int").cast("string")).alias("s")).distinct()
+    rows = rows.groupBy("doc_id", "n", "y", "x").agg(F.array_join(F.array_sort(F.collect_list("s")), " ").alias("s")).select("doc_id", "n", "y", F.lit(0).alias("k"), "x", "s")
+    docs = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max(n).alias("m"))
+    head = [cell(3, F.lit(215.0), F.lit("Market cap weighting")), cell(4, F.lit(340.0), F.lit("Liquidity weighting"))]
+    top = docs.select("doc_id", F.lit(0).alias("n"), F.lit(700.0).alias("y"), F.explode(F.array(*head)).alias("c")).select("doc_id", "n", "y", "c.*")
+    below = docs.select("doc_id", (F.col("m") + 1).alias("n"), (660.0 - 15 * F.col("m")).alias("y"), F.lit(0).alias("k"), F.lit(60.0).alias("x"), F.lit("Table 1: Weighting schemes").alias("s"))
+    zero = F.lit(0.0)
+    items = rows.unionByName(top).unionByName(below).select("doc_id", F.lit(1).alias("page"), (F.col("n") * 10 + F.col("k")).alias("seq"), F.col("s").alias("str"), F.array(F.lit(10.0), zero, zero, F.lit(10.0), F.col("x"), F.col("y")).alias("transform"), F.lit(30.0).alias("width"), F.lit(10.0).alias("height"))
+    return layout.document(items).where("type = 'row'").select("doc_id", "row", "text")
+
+
 @query("""
 WITH li AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL),
 i AS (
@@ -471,499 +492,27 @@ def rpm_admission(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT user_id % 50 AS run_id, event_id AS seq, coalesce(value > 20, false) AS ok FROM events),
-c AS (SELECT *, count(*) FILTER (ok) OVER w AS completed, count(*) FILTER (NOT ok) OVER w AS failed, count(*) OVER (PARTITION BY run_id) AS units FROM r
-      WINDOW w AS (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
-SELECT run_id, seq, completed, failed, completed + failed AS settled, units, floor(100 * (completed + failed) / units + 0.5)::BIGINT AS percent FROM c
-""")
-def run_progress(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("run_id"), F.col("event_id").alias("seq"), F.coalesce(F.col("value") > 20, F.lit(False)).alias("ok"))
-    return progress.run_progress(e).select("run_id", "seq", "completed", "failed", "settled", "units", "percent")
-
-
-@query("SELECT user_id % 50 AS run_id, count(*) FILTER (coalesce(value > 20, false)) AS completed, count(*) FILTER (NOT coalesce(value > 20, false)) AS failed, count(*) AS settled FROM events GROUP BY ALL")
-def run_totals(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("run_id"), F.coalesce(F.col("value") > 20, F.lit(False)).alias("ok"))
-    return progress.run_totals(e)
-
-
-@query("SELECT r AS retries, a AS attempt, least(8000, 1500 * 2 ** a)::BIGINT AS delay_ms FROM range(0, 6) AS x(r), range(0, 5) AS y(a) WHERE a < r")
-def retry_schedule(spark, sf_dir):
-    r = spark.range(0, 6).withColumnRenamed("id", "retries")
-    a = r.where("retries > 0").select("retries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("retries") - 1)).alias("attempt"))
-    return a.select("retries", "attempt", progress.retry_delay(F.col("attempt")).alias("delay_ms"))
-
-
-# --- export -------------------------------------------------------------------------------------------------------
-
-
-def _pairs(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    side = lambda role: F.max(F.when(F.col("role") == role, F.col("text")))
-    return c.groupBy("conv_id").agg(side("user").alias("source"), side("assistant").alias("translation"))
-
-
-_PAIRS = "pairs AS (SELECT conv_id, max(CASE WHEN role = 'user' THEN text END) AS source, max(CASE WHEN role = 'assistant' THEN text END) AS translation FROM conversations GROUP BY conv_id)"
-
-
-@query(f"""
-WITH {_PAIRS}, n AS (SELECT conv_id, coalesce(source, '') AS s, coalesce(translation, '') AS t FROM pairs)
-SELECT conv_id, 'source' AS mode, s AS text, false AS translated FROM n WHERE s <> ''
-UNION ALL SELECT conv_id, 'translation', CASE WHEN t <> '' THEN t ELSE s END, t <> '' FROM n WHERE s <> '' OR t <> ''
-UNION ALL SELECT conv_id, 'parallel', s, false FROM n WHERE s <> '' UNION ALL SELECT conv_id, 'parallel', t, true FROM n WHERE t <> ''
-""")
-def export_parts(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    modes = F.array(*(F.struct(F.lit(m).alias("mode"), exports.text_parts(F.col("source"), F.col("translation"), m).alias("parts")) for m in exports.MODES))
-    return p.select("conv_id", F.explode(modes).alias("m")).select("conv_id", "m.mode", F.explode("m.parts").alias("p")).select("conv_id", "mode", "p.*")
-
-
-@query("""
-WITH f AS (SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) <= 10000),
-r AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'system' THEN 'table-cell' ELSE 'paragraph' END AS type, CASE WHEN role = 'user' THEN substr(text, 1, 100000) ELSE '' END AS source, CASE WHEN role = 'assistant' THEN substr(text, 1, 100000) ELSE '' END AS translation FROM f)
-SELECT conv_id, turn, type, source, translation, '' AS content FROM r WHERE source <> '' OR translation <> ''
-""")
-def export_rows(spark, sf_dir):
-    """Each conversation as an export; the first 10 000 rows are the engine's limit on one."""
-    c = table(spark, sf_dir, "conversations")
-    when = lambda r: F.when(F.col("role") == r, F.col("text"))
-    rows = c.select("conv_id", "turn", F.col("role").alias("_r"), F.col("text").alias("_t"), F.when(F.col("role") == "system", "table-cell").otherwise("other").alias("type"), when("user").alias("source"), when("assistant").alias("translation"), F.lit(None).cast("string").alias("content"))
-    return exports.export_rows(rows, ["conv_id"], ["turn", "_r", "_t"]).drop("_r", "_t")
-
-
-@query(f"""
-WITH p AS (SELECT page_id, {q_split(q_html("html"))} AS ps FROM pages),
-b AS (SELECT page_id, i, ps[i] AS text FROM (SELECT page_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)),
-d AS (SELECT page_id, i // 2 + 1 AS i, CASE WHEN i % 5 = 0 THEN '' ELSE text END AS source, '[' || text AS translation, row_number() OVER (PARTITION BY page_id, i // 2 + 1 ORDER BY i DESC) AS k FROM b)
-SELECT b.page_id, 'p-' || b.i AS para_id, coalesce(nullif(d.source, ''), b.text) AS source, coalesce(d.translation, '') AS translation, CASE WHEN d.i IS NULL THEN 'paragraph' ELSE 'heading' END AS kind
-FROM b LEFT JOIN d ON b.page_id = d.page_id AND b.i = d.i AND d.k = 1
-""")
-def block_paragraph_join(spark, sf_dir):
-    """Blocks with the last of the paragraphs that carry their id."""
-    b = html_paragraphs(spark, sf_dir)
-    half = F.floor(F.col("ord") / 2) + 1
-    p = b.select("page_id", F.concat(F.lit("p-"), half.cast("string")).alias("para_id"), F.when(F.col("ord") % 5 == 0, "").otherwise(F.col("text")).alias("source"), F.concat(F.lit("["), "text").alias("translation"), F.lit("heading").alias("kind"), "ord")
-    return exports.with_paragraphs(b.select("page_id", "para_id", "text"), p, ["page_id", "para_id"], "ord").drop("text")
-
-
-@query(f"""
-WITH {_PAIRS}, c AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations WHERE text <> '' GROUP BY conv_id)
-SELECT conv_id, text FROM c
-""")
-def document_text(spark, sf_dir):
-    """Turns of each conversation as one text, in order."""
-    return exports.document_text(table(spark, sf_dir, "conversations"), "conv_id", "turn")
-
-
-@query("""
-SELECT p_partkey, CASE WHEN n = '' THEN 'export' ELSE n END AS name FROM (SELECT p_partkey, substr(trim(regexp_replace('a/' || p_name || ':*?' || chr(9) || p_brand || '<' || p_type || '>', '[\\\\/:*?"<>|\\x00-\\x1F]', '_', 'g')), 1, 120) AS n FROM part)
-""")
-def export_names(spark, sf_dir):
-    raw = F.concat(F.lit("a/"), "p_name", F.lit(":*?\t"), "p_brand", F.lit("<"), "p_type", F.lit(">"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.export_name(raw).alias("name"))
-
-
-@query("""
-WITH s AS (SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_size * 40.0 END AS w, p_retailprice AS h FROM part),
-d AS (SELECT p_partkey, greatest(1, coalesce(nullif(w, 0), 640)) AS w, greatest(1, coalesce(nullif(h, 0), 360)) AS h FROM s),
-f AS (SELECT *, least(1, 620.0::DOUBLE / w, 690.0::DOUBLE / h) AS k FROM d)
-SELECT p_partkey, greatest(1, floor(w * k + 0.5))::BIGINT AS width, greatest(1, floor(h * k + 0.5))::BIGINT AS height FROM f
-""")
-def image_fit(spark, sf_dir):
-    w = F.when(F.col("p_size") % 9 == 0, F.lit(None)).otherwise(F.col("p_size") * 40.0)
-    width, height = numbers.image_size(w, F.col("p_retailprice"))
-    return table(spark, sf_dir, "part").select("p_partkey", width.cast("long").alias("width"), height.cast("long").alias("height"))
-
-
-# --- settings and providers ---------------------------------------------------------------------------------------
-
-_RAW = "CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN event_type ELSE CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR(40)) END"
-
-
-@query(f"""
-WITH e AS (SELECT event_id, {_RAW.replace("VARCHAR(40)", "VARCHAR")} AS raw, event_id % 7 <> 0 AS present, event_type, value FROM events),
-n AS (SELECT *, CASE WHEN NOT present THEN NULL WHEN raw IS NULL OR raw = '' THEN 0 ELSE try_cast(raw AS DOUBLE) END AS v FROM e)
-SELECT event_id, CASE WHEN v IS NULL THEN 18.0 ELSE greatest(14.0, least(24.0, v)) END::DOUBLE AS size, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'view' END AS kind,
-       greatest(1.0, least(600.0, coalesce(nullif(value, 0), 10.0)))::DOUBLE AS rpm, greatest(1.0, least(20.0, coalesce(nullif(value, 0), 1.0)))::DOUBLE AS concurrency, greatest(0.0, least(5.0, coalesce(value, 0.0)))::DOUBLE AS retries
-FROM n
-""")
-def clamp_settings(spark, sf_dir):
-    """Event values as settings: bounded numbers, an allow-list, the limits of a run."""
-    e = table(spark, sf_dir, "events").withColumns({"raw": F.expr(_RAW), "present": F.col("event_id") % 7 != 0})
-    size = numbers.bounded(F.col("raw"), F.col("present"), 18, 14, 24)
-    return e.select("event_id", size.alias("size"), numbers.allowed(F.col("event_type"), ["click", "view"], "view").alias("kind"), *numbers.run_limits(F.col("value"), F.col("value"), F.col("value")))
-
-
-def _providers(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("id"), "n_name", "n_nationkey")
-    made = lambda df, tag: df.select("id", F.concat(F.lit(tag), "n_name").alias("name"), F.when(F.col("n_nationkey") % 4 != 3, F.concat(F.lit("https://"), "id")).alias("base_url"), F.col("n_nationkey").cast("string").alias("model"))
-    return providers.listed(made(n.where("n_nationkey < 12"), "b-"), made(n.where("n_nationkey >= 8"), "c-"))
-
-
-_PROVIDERS = """n AS (SELECT lower(n_name) AS id, n_name, n_nationkey FROM nation),
-pr AS (
-  SELECT id, 'b-' || n_name AS name, CASE WHEN n_nationkey % 4 <> 3 THEN 'https://' || id END AS base_url, n_nationkey::VARCHAR AS model, false AS custom FROM n WHERE n_nationkey < 12
-  UNION ALL SELECT id, 'c-' || n_name, 'https://' || id, n_nationkey::VARCHAR, true FROM n WHERE n_nationkey >= 8 AND n_nationkey % 4 <> 3)"""
-
-
-@query(f"WITH {_PROVIDERS} SELECT * FROM pr")
-def provider_union(spark, sf_dir):
-    return _providers(spark, sf_dir)
-
-
-@query(f"""
-WITH {_PROVIDERS},
-best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY custom DESC) AS k FROM pr),
-r AS (SELECT c_custkey AS request_id, lower(n_name) AS provider_id FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
-d AS (SELECT lower(n_name) AS id FROM nation WHERE n_nationkey = 2)
-SELECT request_id, coalesce(b.id, d.id) AS provider_id, coalesce(b.name, f.name) AS name, CASE WHEN b.id IS NULL THEN f.base_url ELSE b.base_url END AS base_url, coalesce(b.model, f.model) AS model, coalesce(b.custom, f.custom) AS custom
-FROM r CROSS JOIN d LEFT JOIN best b ON b.id = r.provider_id AND b.k = 1 LEFT JOIN best f ON f.id = d.id AND f.k = 1
-""")
-def provider_resolve(spark, sf_dir):
-    """Customers' nations as providers asked for; nation 2 is the default."""
-    n = table(spark, sf_dir, "nation")
-    r = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("request_id"), F.lower("n_name").alias("provider_id"))
-    default = n.where("n_nationkey = 2").select(F.lower("n_name")).first()[0]
-    return providers.resolve(r, _providers(spark, sf_dir), default)
-
-
-@query("SELECT conv_id, turn, 'u' || turn AS id, '[' || text AS translation, true AS ok, 1 AS attempts FROM conversations WHERE text <> ''")
-def translate_units(spark, sf_dir):
-    """All turns through the dispatcher with a translator that marks them."""
-    c = table(spark, sf_dir, "conversations").where("text <> ''").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat(F.lit("u"), F.col("turn").cast("string")).alias("id"), "text")
-    r = dispatch.translate(c, _marked, concurrency=8)
-    key = F.col("doc_id")
-    return r.select(F.floor(key / 1000).cast("long").alias("conv_id"), (key % 1000).alias("turn"), "id", "translation", "ok", "attempts")
-
-
-def _marked(ident: str, text: str) -> str:
-    return f"[{text}"
-
-
-# --- files --------------------------------------------------------------------------------------------------------
-
-
-def _file(df: DataFrame, key: str, ext: str, content) -> DataFrame:
-    """Rows as files (path, name, ext, length, content) that are named by their key."""
-    name = F.concat(F.col(key).cast("string"), F.lit(f".{ext}"))
-    f = df.select(F.concat(F.lit("in/"), name).alias("path"), name.alias("name"), F.lit(ext).alias("ext"), content.alias("content"))
-    return f.select("path", "name", "ext", F.octet_length("content").cast("long").alias("length"), "content")
-
-
-def _packed(df: DataFrame, key: str, rows: str, make: Callable[[list], dict[str, str]]) -> DataFrame:
-    """(key, content): a zip of the parts that make() gives for each row's array."""
-
-    def one(parts: dict[str, str]) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, data in parts.items():
-                z.writestr(name, data)
-        return out.getvalue()
-
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({key: f[key], "content": [one(make(list(r))) for r in f[rows]]})
-
-    return df.select(key, rows).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, content binary")
-
-
-_EXTS = ["txt", "md", "CSV", "html", "htm", "exe", "tar.json"]
-
-
-@query(f"""
-WITH d AS (SELECT page_id, ['{"', '".join(_EXTS)}'][page_id % {len(_EXTS)} + 1] AS e, html FROM pages)
-SELECT 'in/' || page_id || '.' || e AS path, lower(string_split(e, '.')[-1]) AS ext, CASE WHEN e = 'exe' OR strlen(html) > 20000 THEN NULL WHEN e IN ('html', 'htm') THEN {q_html("html")} ELSE {q_normalize("html")} END AS text,
-       CASE WHEN e = 'exe' THEN 'no reader for exe' WHEN strlen(html) > 20000 THEN 'larger than the limit: ' || strlen(html) END AS error FROM d WHERE strlen(html) <= 20000 OR e <> 'exe'
-UNION ALL SELECT 'in/' || page_id || '.exe', 'exe', NULL, 'larger than the limit: ' || strlen(html) FROM d WHERE e = 'exe' AND strlen(html) > 20000
-""")
-def file_dispatch(spark, sf_dir):
-    """Pages as files of several kinds, read by extension; those over 20 000 bytes and unknown kinds say why they aren't."""
-    p = table(spark, sf_dir, "pages")
-    ext = F.get(F.array(*(F.lit(e) for e in _EXTS)), (F.col("page_id") % len(_EXTS)).cast("int"))
-    name = F.concat(F.col("page_id").cast("string"), F.lit("."), ext)
-    size = F.octet_length("html")
-    f = p.select(F.concat(F.lit("in/"), name).alias("path"), name.alias("name"), text.extension(name).alias("ext"), size.cast("long").alias("length"), F.when(size <= 20000, F.encode("html", "UTF-8")).alias("content"))
-    return files.extract_text(f).select("path", "ext", "text", "error")
-
-
-def _sheet(rows: list) -> dict[str, str]:
-    """Flags as shared strings, line numbers and quantities as numbers, one of them as an inline string; an empty row."""
-    shared = sorted({r["flag"] for r in rows})
-    cells = lambda r: f'<c t="s"><v>{shared.index(r["flag"])}</v></c><c><v>{r["n"]}</v></c><c t="inlineStr"><is><t>q &amp; {r["q"]}</t></is></c>'
-    body = "".join(f"<row>{cells(r)}</row><row><c><v></v></c></row>" for r in rows)
-    return {
-        "xl/sharedStrings.xml": "<sst>" + "".join(f"<si><t>{escape(x)}</t></si>" for x in shared) + "</sst>",
-        "xl/worksheets/sheet10.xml": "<worksheet><row><c><v>last</v></c></row></worksheet>",
-        "xl/worksheets/sheet2.xml": f"<worksheet>{body}</worksheet>",
-    }
-
-
-@query("""
-WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_returnflag AS flag, l_quantity::INT AS q FROM lineitem)
-SELECT l_orderkey, '【Sheet 1】' || chr(10) || string_agg(flag || chr(9) || n || chr(9) || 'q & ' || q, chr(10) ORDER BY n, flag, q) || chr(10) || chr(10) || '【Sheet 2】' || chr(10) || 'last' AS text FROM l GROUP BY l_orderkey
-""")
-def xlsx_text(spark, sf_dir):
-    """Orders as workbooks, read back: shared strings, numbers, sheets in the order of their numbers."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("int").alias("q")))).alias("rows"))
-    f = _file(_packed(li, "l_orderkey", "rows", _sheet), "l_orderkey", "xlsx", F.col("content"))
-    return files.extract_text(f).select(F.substring_index("name", ".", 1).cast("long").alias("l_orderkey"), "text")
-
-
-def _slides(rows: list) -> dict[str, str]:
-    texts = [f"<a:t>{escape(r['role'])}</a:t><a:t>{escape(escape(r['text']))}</a:t>" for r in rows]
-    return {f"ppt/slides/slide{i}.xml": f"<p:sld>{t}</p:sld>" for i, t in reversed(list(enumerate(texts, 1)))}
-
-
-_DECODED = q_named("replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')")
-
-
-@query(f"""
-WITH c AS (SELECT conv_id, {q_trim(f"(role || ' ' || {_DECODED})")} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations)
-SELECT conv_id, {q_normalize("string_agg(t, chr(10) || chr(10) ORDER BY k)")} AS text FROM c GROUP BY conv_id
-""")
-def pptx_text(spark, sf_dir):
-    """Conversations as slides, a turn each (stored last to first), read back in the order of their numbers."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
-    f = _file(_packed(c, "conv_id", "rows", _slides), "conv_id", "pptx", F.col("content"))
-    return files.extract_text(f).select(F.substring_index("name", ".", 1).cast("long").alias("conv_id"), "text")
-
-
-def _docx(spark, sf_dir):
-    """Documents as DOCX files, a paragraph per line, by the exporter."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "source"))
-    d = d.withColumns({"source": F.regexp_replace("source", text.CONTROLS, ""), "title": F.lit(""), "kind": F.lit("paragraph"), "translation": F.lit("")})
-    return _file(sinks.docx(d, "doc_id", "ord", "title", "source"), "doc_id", "docx", F.col("content"))
-
-
-_PLAIN = _FOLD.replace("seq % 7 = 3 AS bullet", "regexp_matches(t, '^(?:[•●▪◦\u2013\u2014-])') AND false AS bullet").replace("AND i.seq % 11 <> 5 ", "")
-
-
-@query(_PLAIN + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS ord, type, text, kind, CASE WHEN type = 'formula' THEN '公式' END AS alt FROM outs")
-def docx_blocks(spark, sf_dir):
-    """Documents written as DOCX and rebuilt from it."""
-    body, _ = documents.docx_blocks(_docx(spark, sf_dir))
-    return body.select(_docx_key(), F.row_number().over(Window.partitionBy("path").orderBy("ord")).cast("long").alias("ord"), "type", F.coalesce("text", "latex").alias("text"), "kind", "alt")
-
-
-def _docx_key():
-    return F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long").alias("doc_id")
-
-
-@query(_PLAIN + "SELECT doc_id, sum(form)::BIGINT AS formulas, sum(furn)::BIGINT AS furniture, sum(dup)::BIGINT AS duplicates, sum(mrg)::BIGINT AS merged, 0::BIGINT AS images FROM f GROUP BY doc_id")
-def docx_counters(spark, sf_dir):
-    return documents.docx_counters(_docx(spark, sf_dir)).withColumn("doc_id", _docx_key()).drop("path")
-
-
-@query("""
-WITH l AS (SELECT l_orderkey, l_linenumber AS n, min(l_returnflag) AS f, min(l_shipdate)::DATE AS s FROM lineitem GROUP BY ALL),
-r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS row, n, CASE WHEN n % 3 = 0 THEN ['', ''] WHEN n % 3 = 1 THEN ['line ' || n, f] ELSE ['line ' || n, '', 'on ' || s] END AS cells FROM l),
-k AS (SELECT * FROM r WHERE n % 3 <> 0),
-w AS (SELECT l_orderkey, max(len(cells))::INT AS columns FROM k GROUP BY ALL)
-SELECT k.l_orderkey AS doc_id, 1 AS table_no, columns, row::INT AS row, row = 1 AS header, array_to_string(cells, '|') AS cells FROM k JOIN w USING (l_orderkey)
-""")
-def docx_tables(spark, sf_dir):
-    """Orders as tables of DOCX files, read back: empty rows gone, the width of what is left, the header row."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_returnflag").alias("f"), F.min("l_shipdate").cast("date").alias("s"))
-    line = F.concat(F.lit("line "), F.col("n").cast("string"))
-    cells = F.when(F.col("n") % 3 == 0, F.lit("\t")).when(F.col("n") % 3 == 1, F.concat(line, F.lit("\t"), "f")).otherwise(F.concat(line, F.lit("\t\ton "), F.col("s").cast("string")))
-    t = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", cells.alias("c")))).alias("r")).select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("ord"), F.lit("").alias("title"), F.lit("table").alias("kind"), F.array_join("r.c", "\n").alias("source"), F.lit("").alias("translation"))
-    _, found = documents.docx_blocks(_file(sinks.docx(t, "doc_id", "ord", "title", "source"), "doc_id", "docx", F.col("content")))
-    rows = documents.docx_tables(found).select(_docx_key(), "table_no", "columns", F.explode("rows").alias("r"))
-    return rows.select("doc_id", "table_no", "columns", "r.row", "r.header", F.array_join("r.cells", "|").alias("cells"))
-
-
-# --- rendering and the store --------------------------------------------------------------------------------------
-
-
-def _numbered_pages(spark, sf_dir):
-    p = html_paragraphs(spark, sf_dir)
-    kind = F.when(F.col("ord") % 4 == 0, "heading").when(F.col("ord") % 4 == 1, "list-item").otherwise("paragraph")
-    return p.select("page_id", "ord", kind.alias("kind"), F.col("text").alias("source"), F.when(F.col("ord") % 3 == 0, F.concat(F.lit("["), "text")).alias("translation"))
-
-
-_NUMBERED = f"""p AS (SELECT page_id, {q_split(q_html("html"))} AS ps FROM pages),
-b AS (SELECT page_id, i, ps[i] AS s, CASE WHEN i % 3 = 0 THEN '[' || ps[i] END AS t, i % 4 AS m FROM (SELECT page_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)),
-parts AS (SELECT page_id, i, 0 AS k, s AS x, m FROM b UNION ALL SELECT page_id, i, 1, t, m FROM b WHERE t IS NOT NULL)"""
-
-
-@query(f"WITH {_NUMBERED} SELECT page_id, string_agg(CASE m WHEN 0 THEN '## ' WHEN 1 THEN '- ' ELSE '' END || x, chr(10) || chr(10) ORDER BY i, k) AS content FROM parts GROUP BY page_id")
-def export_markdown(spark, sf_dir):
-    return sinks.rendered(_numbered_pages(spark, sf_dir), "page_id", "ord", "parallel", "md")
-
-
-@query(f"""
-WITH {_NUMBERED}, h AS (SELECT page_id, i, k, CASE m WHEN 0 THEN 'h2' WHEN 1 THEN 'li' ELSE 'p' END AS tag, replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM parts)
-SELECT page_id, string_agg('<' || tag || '>' || x || '</' || tag || '>', chr(10) ORDER BY i, k) AS content FROM h GROUP BY page_id
-""")
-def export_html(spark, sf_dir):
-    return sinks.rendered(_numbered_pages(spark, sf_dir), "page_id", "ord", "parallel", "html")
-
-
-@query("""
-WITH r AS (SELECT user_id AS id, event_id AS v, event_id % 5 = 0 AS gone, event_type, value FROM events),
-l AS (SELECT id, arg_max({'gone': gone, 'event_type': event_type, 'value': value}, v) AS x FROM r GROUP BY id)
-SELECT id, x.event_type, x.value FROM l WHERE NOT x.gone
-""")
-def store_latest(spark, sf_dir):
-    """Events as versions of their users, every fifth a deletion; what a store then holds."""
-    e = table(spark, sf_dir, "events")
-    return sinks.latest(e.select(F.col("user_id").alias("id"), F.col("event_id").alias("_version"), (F.col("event_id") % 5 == 0).alias("_deleted"), "event_type", "value"))
-
-
-@query("""
-WITH b AS (SELECT page_id, 'asset-' || page_id % 7 AS asset_id, CASE WHEN page_id % 3 = 0 THEN 'x^2' ELSE '' END AS latex FROM pages),
-a AS (SELECT 'asset-' || n_nationkey AS asset_id, n_nationkey::VARCHAR AS mime_type, n_name AS data FROM nation WHERE n_nationkey < 6)
-SELECT page_id, b.asset_id, latex, mime_type, data FROM b LEFT JOIN a ON a.asset_id = b.asset_id WHERE data IS NOT NULL OR latex <> ''
-""")
-def asset_join(spark, sf_dir):
-    """Pages as blocks with the picture of their id; those with neither picture nor LaTeX are left out."""
-    b = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("asset-"), (F.col("page_id") % 7).cast("string")).alias("asset_id"), F.when(F.col("page_id") % 3 == 0, "x^2").otherwise("").alias("latex"))
-    n = table(spark, sf_dir, "nation")
-    a = n.where("n_nationkey < 7").select(F.concat(F.lit("asset-"), F.col("n_nationkey").cast("string")).alias("asset_id"), F.col("n_nationkey").cast("string").alias("mime_type"), F.when(F.col("n_nationkey") < 6, F.encode("n_name", "UTF-8")).alias("data"))
-    return exports.with_assets(b, a, ["asset_id"]).withColumn("data", F.decode("data", "UTF-8"))
-
-
-# --- model calls --------------------------------------------------------------------------------------------------
-
-_WIRE = f"""w AS (SELECT *, turn % 2 = 0 AS own, '{_HEAD}' || '{replies.SOURCE}' || '{_MID}' || role || '{_TAIL}' || to_json([{{'id': 'u' || turn, 'text': text}}])::VARCHAR AS prompt FROM conversations)"""
-
-
-@query(f"""
-WITH {_WIRE},
-v AS (SELECT *, CASE WHEN conv_id % 4 = 1 THEN '' ELSE 'be brief' END AS sys, CASE WHEN conv_id % 5 = 2 THEN NULL ELSE 'm-' || conv_id END AS model, turn % 7 = 3 AS no FROM w),
-b AS (
-  SELECT conv_id, turn, no, own, CASE WHEN own THEN '{{"model":"' || coalesce(model, '{wire.MESSAGES_MODEL}') || '","max_tokens":8192,"system":' || to_json(coalesce(nullif(sys, ''), '{replies.SYSTEM}'))::VARCHAR
-         || ',"messages":[{{"role":"user","content":' || to_json('{replies.SYSTEM}' || chr(10) || chr(10) || prompt)::VARCHAR || '}}]}}'
-       ELSE '{{"model":"' || coalesce(model, '{wire.CHAT_MODEL}') || '",' || CASE conv_id % 3 WHEN 0 THEN '"reasoning_effort":"xhigh"' ELSE '"temperature":0.2' END
-         || ',"messages":[{{"role":"user","content":' || to_json(coalesce(nullif(sys, ''), '{replies.SYSTEM}') || chr(10) || chr(10) || prompt)::VARCHAR || '}}]}}' END AS body FROM v)
-SELECT conv_id, turn, CASE WHEN NOT no THEN 'https://model' || CASE WHEN own THEN '/messages' ELSE '/chat/completions' END END AS url, CASE WHEN NOT no THEN body END AS body,
-       CASE WHEN no THEN '{wire.NO_INTERFACE}{wire.NO_INTERFACE_HINT}' END AS error FROM b
-""")
-def wire_requests(spark, sf_dir):
-    """Turns as requests in the two wire styles, or refused in a third; some name no model or system text."""
-    c = table(spark, sf_dir, "conversations")
-    style = F.when(F.col("turn") % 7 == 3, "unsupported").when(F.col("turn") % 2 == 0, "anthropic").otherwise("openai")
-    effort = F.when(F.col("conv_id") % 3 == 0, " XHigh ").when(F.col("conv_id") % 3 == 1, "most")
-    model = F.when(F.col("conv_id") % 5 != 2, F.concat(F.lit("m-"), F.col("conv_id").cast("string")))
-    system = F.when(F.col("conv_id") % 4 == 1, "").otherwise("be brief")
-    units = F.array(F.struct(F.concat(F.lit("u"), F.col("turn").cast("string")).alias("id"), "text"))
-    r = wire.request(style, F.lit("https://model"), model, effort, system, F.lit(""), F.col("role"), units)
-    return c.select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", "r.*")
-
-
-@query("""
-WITH r AS (SELECT conv_id, turn, text, conv_id % 6 AS m, turn % 2 = 0 AS own FROM conversations)
-SELECT conv_id, turn, CASE WHEN own THEN '{"model":"m","max_tokens":8,"messages":[{"role":"user","content":"Reply with OK."}]}' ELSE '{"model":"m",' || CASE WHEN m = 1 THEN '"reasoning_effort":"low",' ELSE '' END || '"messages":[{"role":"user","content":"Reply with OK."}]}' END AS request,
-       m IN (0, 1, 2) AS ok, CASE WHEN m IN (0, 1) THEN substr(trim(text), 1, 120) WHEN m = 2 THEN '' END AS preview,
-       CASE m WHEN 3 THEN '请求失败 (429)：slow down' WHEN 4 THEN '模型返回了无法解析的响应' WHEN 5 THEN '请求成功，但模型没有返回内容' END AS error
-FROM r
-""")
-def model_tests(spark, sf_dir):
-    """Test requests, and what six kinds of replies to them say."""
-    c = table(spark, sf_dir, "conversations")
-    m = F.col("conv_id") % 6
-    message = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("  "), "text").alias("content")).alias("message"))).alias("choices")))
-    parts = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")))
-    raw = F.when(m == 0, message).when(m == 1, parts).when(m == 2, F.lit('{"choices":[{"message":{"content":""},"finish_reason":"stop"}]}')).when(m == 3, F.lit('{"error":{"message":"slow down"}}')).when(m == 4, F.lit("<html>")).otherwise(F.lit("{}"))
-    style = F.when(F.col("turn") % 2 == 0, "anthropic").otherwise("openai")
-    result = wire.test_result(F.when(m == 3, 429).otherwise(200), raw)
-    return c.select("conv_id", "turn", wire.test_body(style, F.lit("m"), F.when(m == 1, "LOW")).alias("request"), result.alias("r")).select("conv_id", "turn", "request", "r.*")
-
-
-@query("""
-SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN '[' || text WHEN 2 THEN NULL ELSE text END AS translation FROM conversations
-""")
-def matched_replies(spark, sf_dir):
-    """Replies with the unit's id among others, with one item of another id, with several others, and with a plain line."""
-    c = table(spark, sf_dir, "conversations")
-    item = lambda i, t: F.struct(i.alias("id"), t.alias("translation"))
-    ident, other = F.concat(F.lit("u"), F.col("turn").cast("string")), F.lit("other")
-    items = F.when(F.col("turn") % 4 == 0, F.array(item(other, F.lit("x")), item(ident, F.col("text")))).when(F.col("turn") % 4 == 1, F.array(item(other, F.concat(F.lit("["), "text")))).when(F.col("turn") % 4 == 2, F.array(item(other, F.lit("x")), item(other, F.lit("y")))).otherwise(F.array(item(F.lit(""), F.col("text"))))
-    return c.select("conv_id", "turn", replies.matched(items, ident).alias("translation"))
-
-
-@query("""
-SELECT conv_id, turn, CASE turn % 5 WHEN 4 THEN substr('plain ' || text, 1, 700) ELSE substr(text, 1, 700) END AS detail FROM conversations
-""")
-def error_details(spark, sf_dir):
-    """What error replies of four JSON forms, and a plain one, say."""
-    c = table(spark, sf_dir, "conversations")
-    k, s = F.col("turn") % 5, F.struct
-    t = F.col("text")
-    raw = F.when(k == 0, F.to_json(s(s(t.alias("message")).alias("error")))).when(k == 1, F.to_json(s(t.alias("message")))).when(k == 2, F.to_json(s(t.alias("detail")))).when(k == 3, F.to_json(s(F.lit("").alias("message"), t.alias("detail")))).otherwise(F.concat(F.lit("plain "), t))
-    return c.select("conv_id", "turn", replies.error_detail(raw).alias("detail"))
-
-
-@query(f"""
-WITH u AS (SELECT conv_id, turn, role, {q_normalize("CASE WHEN turn % 3 = 0 THEN ' ' ELSE text END")} AS t FROM conversations),
-f AS (SELECT conv_id, arg_min({{'id': 'u' || turn, 'text': t}}, (turn, role, t)) AS x FROM u WHERE t <> '' GROUP BY conv_id),
-p AS (SELECT c.conv_id, '{_HEAD}{replies.SOURCE}{_MID}{replies.TARGET}{_TAIL}' || to_json([coalesce(x, {{'id': 'p-1', 'text': '{replies.PLACEHOLDER}'}})])::VARCHAR AS prompt,
-             CASE WHEN c.conv_id % 3 = 1 THEN '{replies.SYSTEM}' ELSE 'be brief' END AS sys FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id = c.conv_id)
-SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN sys ELSE '' END AS system_prompt, CASE WHEN conv_id % 2 = 0 THEN '{replies.SYSTEM}' ELSE sys END || chr(10) || chr(10) || prompt AS user_prompt FROM p
-""")
-def prompt_previews(spark, sf_dir):
-    """The prompt for the first unit of each conversation that isn't blank (every third turn is made so), or for a placeholder."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(F.lit("u"), F.col("turn").cast("string")).alias("id"), F.when(F.col("turn") % 3 == 0, " ").otherwise(F.col("text")).alias("text"))
-    units = segment.request_units(c).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "id"))).alias("u"))
-    held = c.select("conv_id").distinct().join(units, "conv_id", "left")
-    first = F.coalesce(F.transform("u", lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"))), F.array().cast("array<struct<id:string,text:string>>"))
-    shown = replies.preview(F.when(F.col("conv_id") % 2 == 0, "anthropic").otherwise("openai"), F.when(F.col("conv_id") % 3 == 1, "").otherwise("be brief"), F.lit(""), F.lit(""), first)
-    return held.select("conv_id", shown.alias("p")).select("conv_id", "p.*")
-
-
-@query("""
-WITH c AS (SELECT c_custkey AS id, substr(trim('  ' || repeat(c_name || ' ', 1 + c_custkey % 3)), 1, 40) AS name, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS model, CASE c_custkey % 4 WHEN 0 THEN 'https://x/v' || c_custkey WHEN 1 THEN 'HTTP://x' WHEN 2 THEN 'ftp://x' ELSE 'x' END AS base_url FROM customer)
-SELECT id, name, model, base_url, model <> '' AND id % 4 < 2 AS valid FROM c
-""")
-def custom_providers(spark, sf_dir):
-    """Customers as provider records: names cut, addresses without a last slash, what is missing."""
-    k = F.col("c_custkey")
-    url = F.when(k % 4 == 0, F.concat(F.lit(" https://x/v"), k.cast("string"), F.lit("/"))).when(k % 4 == 1, "HTTP://x/").when(k % 4 == 2, "ftp://x").otherwise("x")
-    c = table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.lit("  "), F.repeat(F.concat("c_name", F.lit(" ")), (1 + k % 3).cast("int"))).alias("name"), F.when(k % 5 == 0, " ").otherwise(F.col("c_mktsegment")).alias("model"), url.alias("base_url"))
-    return providers.normalized(c)
-
-
-@query("""
-WITH b AS (SELECT lower(n_name) AS id, n_nationkey AS k FROM nation WHERE n_nationkey < 15), n AS (SELECT lower(n_name) AS id, n_nationkey + 100 AS k FROM nation WHERE n_nationkey BETWEEN 10 AND 19), gone AS (SELECT lower(n_name) AS id FROM nation WHERE n_nationkey % 6 = 0)
-SELECT id, k FROM (SELECT * FROM n UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM n)) WHERE id NOT IN (SELECT id FROM gone)
-""")
-def provider_changes(spark, sf_dir):
-    """Records put in the place of those of the same id, then some removed."""
-    n = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("id"), F.col("n_nationkey").alias("k"))
-    new = n.where("k between 10 and 19").withColumn("k", F.col("k") + 100)
-    return providers.remove(providers.upsert(n.where("k < 15"), new), n.where("k % 6 = 0"))
-
-
-# --- run events ---------------------------------------------------------------------------------------------------
-
-
-@query("""
-WITH s AS (SELECT event_type, ms, count(*) OVER (PARTITION BY event_type ORDER BY ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS n FROM (SELECT event_type, epoch_us(ts) // 100000 AS ms FROM events WHERE event_id % 2 = 0)),
-m AS (SELECT event_id, event_type, epoch_us(ts) // 100000 AS ms FROM events WHERE event_id % 2 = 1),
-d AS (SELECT event_type, ms, max(n) AS n FROM s GROUP BY ALL)
-SELECT event_id, m.event_type, m.ms, coalesce(d.n, 0) AS listed FROM m ASOF LEFT JOIN d ON m.event_type = d.event_type AND m.ms >= d.ms
-""")
-def limiter_list(spark, sf_dir):
-    """Even events as starts, odd ones as looks at the limiter's list."""
-    e = _events(spark, sf_dir).select("event_id", "event_type", "ms")
-    return progress.listed_starts(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "event_type").select("event_id", "event_type", "ms", "listed")
-
-
-@query("""
-WITH r AS (SELECT user_id % 50 AS run_id, event_id AS seq, 'p-' || event_id AS id, coalesce(value > 20, false) AS ok, event_id % 3 AS again FROM events),
-u AS (SELECT *, row_number() OVER w AS unit, count(*) OVER (PARTITION BY run_id) AS units, count(*) FILTER (ok) OVER w AS done, count(*) FILTER (NOT ok) OVER w AS lost FROM r WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
+WITH r AS (SELECT user_id % 50 AS run_id, event_id AS seq, 'p-' || event_id AS id, coalesce(value > 20, false) AS ok, event_id % 3 AS again FROM events WHERE user_id % 50 < 46),
+t AS (SELECT run_id, count(*) AS n FROM r GROUP BY run_id),
+runs AS (SELECT a.run_id, a.k + 2 AS paragraphs, coalesce(n, 0) + CASE WHEN a.run_id % 10 = 3 THEN 5 ELSE 0 END AS units, CASE WHEN a.run_id % 10 = 3 THEN 'closed at ' || a.k END AS error
+         FROM (SELECT user_id % 50 AS run_id, count(*) AS k FROM events GROUP BY ALL) a LEFT JOIN t ON t.run_id = a.run_id),
+u AS (SELECT r.*, units, row_number() OVER w AS unit, count(*) FILTER (ok) OVER w AS done, count(*) FILTER (NOT ok) OVER w AS lost FROM r JOIN runs USING (run_id) WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
 e AS (
   SELECT run_id, unit, 0 AS k, 'unit-start' AS event, '{"id":"' || id || '","unit":' || unit || ',"units":' || units || ',"inFlight":1}' AS payload FROM u
   UNION ALL SELECT run_id, unit, a + 1, 'unit-retry', '{"id":"' || id || '","unit":' || unit || ',"units":' || units || ',"attempt":' || a + 2 || ',"attempts":4,"delayMs":' || least(8000, 1500 * 2 ** a)::BIGINT || ',"message":"busy"}' FROM u JOIN range(0, 3) AS x(a) ON a < CASE WHEN ok THEN again ELSE 3 END
   UNION ALL SELECT run_id, unit, 100, CASE WHEN ok THEN 'paragraph' ELSE 'unit-error' END, CASE WHEN ok THEN '{"id":"' || id || '","translation":"t ' || seq || '"}' ELSE '{"id":"' || id || '","unit":' || unit || ',"units":' || units || ',"attempts":4,"message":"busy"}' END FROM u
   UNION ALL SELECT run_id, unit, 101, 'progress', '{"unit":' || done + lost || ',"sourceUnit":' || unit || ',"units":' || units || ',"completedUnits":' || done || ',"failedUnits":' || lost || ',"percent":' || floor(100 * (done + lost) / units + 0.5)::BIGINT || ',"rpmUsed":' || seq % 11 || '}' FROM u
-  UNION ALL SELECT run_id, 0, 0, 'meta', '{"units":' || count(*) || ',"maxRpm":10,"maxConcurrency":1,"model":"m","provider":"p' || run_id || '"}' FROM u GROUP BY run_id
-  UNION ALL SELECT run_id, count(*) + 1, 0, 'done', '{"units":' || count(*) || ',"paragraphs":' || count(*) + 2 || ',"completedUnits":' || count(*) FILTER (ok) || ',"failedUnits":' || count(*) FILTER (NOT ok) || ',"failedIds":[' || coalesce(string_agg('"' || id || '"', ',' ORDER BY seq) FILTER (NOT ok), '') || ']}' FROM u GROUP BY run_id)
+  UNION ALL SELECT run_id, 0, 0, 'meta', '{"units":' || units || ',"maxRpm":10,"maxConcurrency":1,"model":"m","provider":"p' || run_id || '"}' FROM runs
+  UNION ALL SELECT run_id, 1000000000, 0, 'error', '{"message":"' || error || '"}' FROM runs WHERE error IS NOT NULL
+  UNION ALL SELECT run_id, 1000000000, 0, 'done', '{"units":' || max(units) || ',"paragraphs":' || max(paragraphs) || ',"completedUnits":' || count(*) FILTER (ok) || ',"failedUnits":' || count(*) FILTER (NOT ok) || ',"failedIds":[' || coalesce(string_agg('"' || id || '"', ',' ORDER BY seq) FILTER (NOT ok), '') || ']}'
+    FROM runs LEFT JOIN r USING (run_id) WHERE error IS NULL GROUP BY run_id)
 SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY unit, k) - 1 AS n, event, payload FROM e
 """)
 def run_events(spark, sf_dir):
-    """All events of runs made of the event table."""
-    r = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("run_id"), F.col("event_id").alias("seq"), F.concat(F.lit("p-"), F.col("event_id").cast("string")).alias("id"), F.coalesce(F.col("value") > 20, F.lit(False)).alias("ok"))
-    r = r.withColumns({"attempts": F.when(F.col("ok"), F.col("seq") % 3 + 1).otherwise(F.lit(4)).cast("int"), "retries": F.lit(3), "message": F.lit("busy"), "translation": F.concat(F.lit("t "), F.col("seq").cast("string")), "rpm_used": F.col("seq") % 11})
-    runs = r.groupBy("run_id").agg((F.count("*") + 2).alias("paragraphs")).withColumns({"max_rpm": F.lit(10), "max_concurrency": F.lit(1), "model": F.lit("m"), "provider": F.concat(F.lit("p"), F.col("run_id").cast("string"))})
+    """All events of runs made of the event table: four have no units, five broke off before their last five."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("run_id"), F.col("event_id").alias("seq"), F.concat(F.lit("p-"), F.col("event_id").cast("string")).alias("id"), F.coalesce(F.col("value") > 20, F.lit(False)).alias("ok"))
+    r = e.where("run_id < 46").withColumns({"attempts": F.when(F.col("ok"), F.col("seq") % 3 + 1).otherwise(F.lit(4)).cast("int"), "retries": F.lit(3), "message": F.lit("busy"), "translation": F.concat(F.lit("t "), F.col("seq").cast("string")), "rpm_used": F.col("seq") % 11})
+    broken = F.col("run_id") % 10 == 3
+    runs = e.groupBy("run_id").agg(F.count("*").alias("k")).withColumns({"max_rpm": F.lit(10), "max_concurrency": F.lit(1), "model": F.lit("m"), "provider": F.concat(F.lit("p"), F.col("run_id").cast("string"))})
+    runs = runs.withColumns({"paragraphs": F.col("k") + 2, "units": F.when(F.col("run_id") < 46, F.col("k")).otherwise(0) + F.when(broken, 5).otherwise(0), "error": F.when(broken, F.concat(F.lit("closed at "), F.col("k").cast("string")))})
     return runlog.run_events(r, runs)

@@ -176,9 +176,28 @@ def test_table_page(spark):
 
 def test_table_continuation(spark):
     pages = layout.page_lines(items(spark, [("a", 50, 100, 5), ("1", 150, 100, 5), ("tail", 151, 90, 9), ("b", 50, 80, 5), ("2", 150, 80, 5)]))
-    t = F.struct(F.lit(0).cast("long").alias("start"), F.lit(2).cast("long").alias("end"), F.array(F.lit(50.0), F.lit(150.0)).alias("anchors"))
+    t = F.struct(F.lit(0).cast("long").alias("start"), F.lit(2).cast("long").alias("end"), F.array(F.lit(50.0), F.lit(150.0)).alias("anchors"), F.lit(None).cast("array<string>").alias("header"), F.lit(None).cast("array<array<string>>").alias("columns"))
     assert [list(r) for r in pages.select(layout.rows_of(F.col("lines"), t).alias("r")).first().r] == [["a", "1 tail"], ["b", "2"]]
 
 
+def test_weighting_table(spark):
+    """Header and joined columns; without cells between header and caption there is no table."""
+    head = [("Market cap weighting", 215, 700, 60), ("Liquidity weighting", 340, 700, 60)]
+    cells = [("alpha", 60, 685, 20), ("beta", 215, 670, 20), ("-", 340, 655, 5), ("gamma", 60, 640, 20)]
+    caption = [("Table 1: Weighting schemes", 60, 610, 80)]
+    docs = {1: head + cells + caption, 2: head + caption, 3: cells + caption}
+    raw = spark.createDataFrame([(d, 1, i, t, [10.0, 0.0, 0.0, 10.0, float(x), float(y)], float(w), 10.0) for d, rows in docs.items() for i, (t, x, y, w) in enumerate(rows)], "doc_id long, page int, seq int, str string, transform array<double>, width double, height double")
+    got = [(r.doc_id, r.type, r.text) for r in layout.document(raw).orderBy("doc_id", "ord").collect() if r.type == "row"]
+    assert got == [(1, "row", "\tMarket cap weighting\tLiquidity weighting"), (1, "row", "alpha gamma\tbeta\t-")]
+
+
+def test_tables_that_overlap():
+    t = lambda s, e, **k: {"start": s, "end": e, "anchors": [0.0], "header": None, "columns": None} | k
+    own = t(2, 5, header=["", "a"], columns=[["x"]])
+    hidden = t(6, 8, anchors=[], columns=[])
+    assert layout._apart([own, t(3, 8), t(10, 12)]) == [own, hidden, t(10, 12)]
+    assert layout._apart([own, t(2, 4)]) == [t(2, 4)] and layout._apart([own, t(3, 4), t(9, 9)]) == [own, t(9, 9)] and layout._apart([]) == []
+
+
 def test_anchors_drift():
     assert layout.anchors_of([[0.0, 50.0], [8.0, 52.0], [12.0]]) == [(pytest.approx(20 / 3), 3), (51.0, 2)]
