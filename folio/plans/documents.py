@@ -9,15 +9,16 @@ from ..functions import text
 from ..operators import blocks as B
 from ..operators import dispatch, progress, segment
 from ..sources import files as S
-from ..sources import ooxml
+from ..sources import ooxml, pdf
 
 
 def extract(files: DataFrame) -> DataFrame:
     """(path, para_id, ord, text, kind, error) of files (path, name, ext, length, content): paragraphs of all formats.
 
-    DOCX bodies are rebuilt from their raw paragraphs; other formats are split as text. A failed file is one row.
+    DOCX bodies are rebuilt from their raw paragraphs, PDF pages from the items they show; other formats are split as text. A failed file is one row.
     """
-    docx, other = files.where("ext = 'docx'"), files.where("ext <> 'docx'")
+    pages = F.coalesce((F.col("ext") == "pdf") & F.col("content").isNotNull(), F.lit(False))
+    docx, other, paged = files.where("ext = 'docx'"), files.where((F.col("ext") != "docx") & ~pages), files.where(pages)
     flat = S.extract_text(other)
     parts = flat.select("path", "error", F.posexplode_outer(segment.split_paragraphs(F.col("text"))).alias("_i", "text"))
     parts = parts.where("error is not null or text is not null").select("path", F.concat(F.lit("p-"), F.col("_i") + 1).alias("para_id"), (F.col("_i") + 1).cast("long").alias("ord"), "text", F.lit("paragraph").alias("kind"), "error")
@@ -26,7 +27,7 @@ def extract(files: DataFrame) -> DataFrame:
     ident = F.concat(F.lit("table-"), F.col("table_no"), F.lit("-r"), F.col("row"), F.lit("-c"), F.col("col"))
     cells = cells.where(segment.translatable(F.col("text"))).select("path", ident.alias("para_id"), F.lit(None).cast("long").alias("ord"), "text", F.lit("table-cell").alias("kind"), F.lit(None).cast("string").alias("error"))
     failed = ooxml.raw_paragraphs(docx).where("error is not null").select("path", F.lit(None).cast("string").alias("para_id"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("kind"), "error")
-    return parts.unionByName(paras.select(*parts.columns)).unionByName(cells).unionByName(failed)
+    return parts.unionByName(paras.select(*parts.columns)).unionByName(cells).unionByName(failed).unionByName(pdf.paragraphs(paged))
 
 
 def _folded(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import numbers, replies, text
+from .functions import fonts, numbers, replies, text
 from .operators import blocks, dispatch, exports, layout, progress, providers, runlog, segment, wire
 from .plans import documents
-from .sources import files, sinks
+from .sources import files, pdf, pdf_export, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -370,6 +370,110 @@ def weighting_table(spark, sf_dir):
     return layout.document(items).where("type = 'row'").select("doc_id", "row", "text")
 
 
+# --- pages written and read ---------------------------------------------------------------------------------------
+
+_HELVETICA = "[" + ", ".join(map(str, fonts.HELVETICA)) + "]"
+
+
+def q_width(x: str, latin: str) -> str:
+    """Width of a string in thousandths of the size."""
+    return f"coalesce(list_sum(list_transform(string_split({x}, ''), lambda c: CASE WHEN {latin} THEN CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN ({_HELVETICA})[unicode(c) - 31] ELSE {fonts.OTHER} END WHEN unicode(c) < 256 THEN {fonts.NARROW} ELSE {fonts.WIDE} END)), 0)"
+
+
+def q_wrap(parts: str) -> str:
+    """CTEs of w (id, k, text, units): the lines of parts (id, t, lim), words that fit joined by spaces; n (id, n): their number."""
+    return f"""
+wp AS (SELECT id, lim, toks, CASE WHEN latin THEN {fonts.HELVETICA[0]} ELSE {fonts.NARROW} END AS sp, list_transform(toks, lambda x: {q_width("x", "latin")}) AS ws
+       FROM (SELECT id, lim, string_split(t, ' ') AS toks, regexp_full_match(t, '[\\x20-\\x7E\\x{{A0}}-\\x{{FF}}]*') AS latin FROM {parts})),
+wd AS (SELECT *, list_transform(range(0, len(ws) + 1), lambda k: coalesce(list_sum(ws[1:k]), 0) + k * sp) AS d FROM wp),
+wl(id, k, a, b) AS (
+  SELECT id, 0, 0, 0 FROM wd
+  UNION ALL SELECT id, k + 1, wl.b + 1, (len(list_filter(d, lambda x: x <= lim + d[wl.b + 1] + sp)) - 1)::INTEGER FROM wl JOIN wd USING (id) WHERE wl.b < len(toks)),
+w AS (SELECT id, k, array_to_string(toks[a:b], ' ') AS text, d[b + 1] - d[a] - sp AS units FROM wl JOIN wd USING (id) WHERE k > 0),
+n AS (SELECT id, max(k) AS n FROM w GROUP BY id)"""
+
+
+_PDF_PAGES = f"""
+WITH RECURSIVE ps AS (SELECT page_id, {q_split(q_html("html"))} AS ps FROM pages),
+para AS (SELECT page_id, i AS ord, ps[i] AS t, CASE WHEN i = 1 THEN 'heading' WHEN i % 7 = 0 THEN 'caption' ELSE 'paragraph' END AS kind FROM (SELECT page_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM ps)),
+part AS (
+  SELECT page_id, 0 AS ord, 0 AS half, 'Page ' || page_id AS t, 18.0::DOUBLE AS size, 5.0::DOUBLE AS gap, 0.0::DOUBLE AS after, true AS mid FROM para GROUP BY page_id
+  UNION ALL SELECT page_id, ord, half, CASE WHEN half = 2 THEN 'T: ' ELSE '' END || t, CASE kind WHEN 'heading' THEN 13.5 WHEN 'caption' THEN 9.5 ELSE 10.5 END, CASE kind WHEN 'heading' THEN 5 ELSE 4 END, CASE half WHEN 1 THEN 6 ELSE 11 END, kind = 'caption'
+  FROM para JOIN range(1, 3) AS h(half) ON half = 1 OR ord % 4 = 0),
+ids AS (SELECT *, row_number() OVER (ORDER BY page_id, ord, half) AS id, floor({pdf_export.CONTENT} * 1000 / size + 1e-9) AS lim FROM part),
+{q_wrap("ids")},
+el AS (SELECT page_id, ids.ord, text, units, size, gap, mid, size * {fonts.LINE} AS high, k = 1 AS first, k = n AS last, ids.ord = 0 AS title, n * (size * {fonts.LINE} + gap) + after AS whole, after + CASE WHEN ids.ord = 0 THEN {pdf_export.TITLE_DOWN * 18 * fonts.LINE} ELSE 0 END AS after,
+              row_number() OVER (PARTITION BY page_id ORDER BY ids.ord, half, k) AS e FROM w JOIN n USING (id) JOIN ids USING (id)),
+fl(page_id, e, page, y, yy) AS (
+  SELECT DISTINCT page_id, 0::BIGINT, 1, 0.0::DOUBLE, {pdf_export.TOP}::DOUBLE FROM part
+  UNION ALL
+  SELECT page_id, el.e, CASE WHEN turns THEN page + 1 ELSE page END, CASE WHEN turns THEN {pdf_export.TOP} ELSE yy END, CASE WHEN turns THEN {pdf_export.TOP} ELSE yy END + high + gap + CASE WHEN last THEN after ELSE 0 END
+  FROM fl JOIN el USING (page_id) CROSS JOIN LATERAL (SELECT first AND NOT title AND yy + whole + {pdf_export.KEEP} > {pdf_export.FLOOR} OR yy + high > {pdf_export.FLOOR} AS turns) WHERE el.e = fl.e + 1)
+"""
+
+
+def _export_rows(spark, sf_dir):
+    """Paragraphs of pages with a title, headings, captions and some translations."""
+    p = html_paragraphs(spark, sf_dir)
+    kind = F.when(F.col("ord") == 1, "heading").when(F.col("ord") % 7 == 0, "caption").otherwise("paragraph")
+    return p.select("page_id", "ord", F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"), kind.alias("kind"), F.col("text").alias("source"), F.when(F.col("ord") % 4 == 0, F.concat(F.lit("T: "), "text")).alias("translation"))
+
+
+def _parts_of(c, by: int):
+    """A measure in whole parts, which both sides round alike."""
+    return F.floor(c * by + 0.5).cast("long")
+
+
+@query(_PDF_PAGES + f"""
+SELECT page_id, page::BIGINT AS page, el.e AS seq, text, floor(y * 1000 + 0.5)::BIGINT AS y, floor(units * size / 1000 * 10000 + 0.5)::BIGINT AS width,
+       floor((CASE WHEN title OR mid THEN {pdf_export.LEFT} + ({pdf_export.CONTENT} - units * size / 1000) / 2 ELSE {pdf_export.LEFT} END) * 100000 + 0.5)::BIGINT AS x
+FROM fl JOIN el USING (page_id, e)
+""")
+def pdf_layout(spark, sf_dir):
+    """Paragraphs of pages flowed over A4 pages: each line's page and place."""
+    laid = pdf_export.layout(_export_rows(spark, sf_dir), "page_id", "ord")
+    return laid.select("page_id", F.col("page").cast("long").alias("page"), F.col("seq").cast("long").alias("seq"), "text", _parts_of(F.col("y"), 1000).alias("y"), _parts_of(F.col("width"), 10000).alias("width"), _parts_of(F.col("x"), 100000).alias("x"))
+
+
+@query(_PDF_PAGES + f"""
+SELECT page_id, page::BIGINT AS page, row_number() OVER (PARTITION BY page_id, page ORDER BY el.e) - 1 AS seq, text, floor(({pdf_export.PAGE_HEIGHT} - y - {fonts.ASCENT / 1000} * size) * 1000 + 0.5)::BIGINT AS y, floor(size * 10)::BIGINT AS size
+FROM fl JOIN el USING (page_id, e)
+UNION ALL SELECT page_id, page, count(*), page::VARCHAR, floor(({pdf_export.FOOTER} - {fonts.ASCENT / 1000} * {pdf_export.FOOTER_SIZE}) * 1000 + 0.5)::BIGINT, 80 FROM fl WHERE e > 0 GROUP BY page_id, page
+""")
+def pdf_items(spark, sf_dir):
+    """The same pages written as PDF files and read back: every line and page number where it was put."""
+    f = pdf_export.pdf(_export_rows(spark, sf_dir), "page_id", "ord").select(F.col("page_id").cast("string").alias("path"), "content")
+    at = lambda i: F.get("transform", i)
+    return pdf.items(f).select(F.col("doc_id").cast("long").alias("page_id"), F.col("page").cast("long").alias("page"), F.col("seq").cast("long").alias("seq"), F.col("str").alias("text"), _parts_of(at(5), 1000).alias("y"), _parts_of(at(0), 10).alias("size"))
+
+
+@query(f"""
+WITH RECURSIVE r AS (SELECT l_suppkey AS s, l_linenumber AS n, trim(repeat('item ' || l_partkey || ' ', floor(1 + l_quantity / 4)::INTEGER)) AS t, l_returnflag AS f, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS k FROM lineitem),
+d AS (SELECT *, (k - 1) // 50 AS tab, (k - 1) % 50 AS row FROM r),
+ids AS (SELECT row_number() OVER (ORDER BY t) AS id, t, floor(({pdf_export.CONTENT} / 3 - 12) * 1000 / 8.3 + 1e-9) AS lim FROM (SELECT DISTINCT t FROM r)),
+{q_wrap("ids")},
+h AS (SELECT s, k, tab, row, greatest(28, n.n * (8.3 * {fonts.LINE} + 2) + 12) AS high FROM d JOIN ids USING (t) JOIN n USING (id)),
+fl(s, k, page, y, yy, tab) AS (
+  SELECT DISTINCT s, 0::BIGINT, 1, 0.0::DOUBLE, {pdf_export.TOP}::DOUBLE, 0::BIGINT FROM r
+  UNION ALL SELECT s, h.k, CASE WHEN turns THEN page + 1 ELSE page END, CASE WHEN turns THEN {pdf_export.TOP} ELSE yb END, CASE WHEN turns THEN {pdf_export.TOP} ELSE yb END + high, h.tab
+  FROM fl JOIN h USING (s) CROSS JOIN LATERAL (SELECT yy + CASE WHEN h.tab > fl.tab THEN 16 ELSE 0 END AS yb) CROSS JOIN LATERAL (SELECT yb + high + 2 > {pdf_export.FLOOR} AS turns) WHERE h.k = fl.k + 1)
+SELECT s AS l_suppkey, page::BIGINT AS page, h.tab AS tab, h.row AS row, c AS col, floor(y * 10000 + 0.5)::BIGINT AS y, floor(high * 10000 + 0.5)::BIGINT AS height FROM fl JOIN h USING (s, k) JOIN range(0, 3) AS x(c) ON true
+""")
+def pdf_table_layout(spark, sf_dir):
+    """Lines of each supplier as tables of 50 rows: the box of every cell, as high as the highest of its row."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    li = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w) - 1)
+    words = F.trim(F.repeat(F.concat(F.lit("item "), F.col("l_partkey").cast("string"), F.lit(" ")), F.floor(1 + F.col("l_quantity") / 4).cast("int")))
+    cells = F.array(F.col("l_linenumber").cast("string"), words, F.col("l_returnflag"))
+    rows = li.select("l_suppkey", F.floor(F.col("k") / 50).alias("table"), (F.col("k") % 50 + 1).alias("row"), F.posexplode(cells).alias("col", "source"))
+    rows = rows.withColumns({"title": F.lit(None).cast("string"), "kind": F.lit("table-cell"), "translation": F.lit(None).cast("string"), "columns": F.lit(3)})
+    rows = rows.withColumn("ord", F.col("table") * 1000 + F.col("row") * 10 + F.col("col"))
+    laid = pdf_export.layout(rows, "l_suppkey", "ord").where("op = 'box'")
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("seq")) - 1
+    laid = laid.withColumn("i", place).withColumn("k", F.floor(F.col("i") / 3))
+    return laid.select("l_suppkey", F.col("page").cast("long").alias("page"), F.floor(F.col("k") / 50).alias("tab"), (F.col("k") % 50).cast("long").alias("row"), (F.col("i") % 3).cast("long").alias("col"), _parts_of(F.col("y"), 10000).alias("y"), _parts_of(F.col("height"), 10000).alias("height"))
+
+
 @query("""
 WITH li AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL),
 i AS (

@@ -37,18 +37,21 @@ def in_reading_order(files: DataFrame) -> DataFrame:
 
 
 def extract_text(files: DataFrame) -> DataFrame:
-    """(path, name, ext, text, error): plain and HTML files as text; office files through ooxml; else an error.
+    """(path, name, ext, text, error): plain and HTML files as text; office files through ooxml, PDF through pdf; else an
+    error.
 
     No failure ends the job: what can't be read has a null text and says why.
     """
-    from . import ooxml
+    from . import ooxml, pdf
 
     raw = F.decode("content", "UTF-8")
-    flat = files.where(F.col("ext").isin(TEXT + HTML) | ~F.col("ext").isin("xlsx", "pptx", "docx"))
+    pages = F.coalesce(F.col("ext") == "pdf", F.lit(False)) & F.col("content").isNotNull()
+    flat = files.where((F.col("ext").isin(TEXT + HTML) | ~F.col("ext").isin("xlsx", "pptx", "docx")) & ~pages)
     known = F.when(F.col("content").isNull(), F.lit(None)).when(F.col("ext").isin(TEXT), text.normalize(raw)).when(F.col("ext").isin(HTML), text.strip_html(raw))
     why = F.when(F.col("content").isNull(), F.concat(F.lit("larger than the limit: "), F.col("length").cast("string"))).when(~F.col("ext").isin(TEXT + HTML), F.concat(F.lit("no reader for "), F.col("ext")))
     plain = flat.select("path", "name", "ext", known.alias("text"), why.alias("error"))
     office = ooxml.office_text(files.where(F.col("ext").isin("xlsx", "pptx", "docx")))
+    plain = plain.unionByName(pdf.text(files.where(pages)))
     return plain.unionByName(office.select("path", "name", "ext", text.normalize(F.col("text")).alias("text"), "error"))
 
 

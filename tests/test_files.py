@@ -68,7 +68,7 @@ def test_extract(spark, folder):
     assert by["c.docx"] == [("p-1", "Intro", "heading", None), ("p-2", "The model is trained on data.", "paragraph", None), ("p-3", "After the table.", "paragraph", None), ("table-1-r1-c1", "Name here", "table-cell", None)]
     assert by["d.xlsx"][0][1].startswith("【Sheet 1】 A&B\t5 in") and by["d.xlsx"][1][1] == "【Sheet 2】 xy"
     assert [x[1] for x in by["e.pptx"]] == ["two", "ten <x"]
-    assert "h.xls" not in by and by["f.pdf"][0][3] == "no reader for pdf" and by["g.docx"][0][3] and "refused" in by["evil.docx"][0][3]
+    assert "h.xls" not in by and by["f.pdf"][0][3] == "no text in the file" and by["g.docx"][0][3] and "refused" in by["evil.docx"][0][3]
 
 
 def test_docx_parts(spark, folder):
