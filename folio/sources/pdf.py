@@ -82,7 +82,7 @@ def _is(c: Column, kind: str) -> Column:
 
 def objects(files: DataFrame) -> DataFrame:
     """(path, num, pos, head, body) of files (path, content): dictionary or value of each object, and its unpacked stream."""
-    raw = files.select("path", F.posexplode(F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(OBJECT), F.lit(0))).alias("pos", "raw"))
+    raw = files.select(F.col("path").cast("string").alias("path"), F.posexplode(F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(OBJECT), F.lit(0))).alias("pos", "raw"))
     parts = F.split("raw", r"(?<=>>)[ \t\r\n]*stream\r?\n", 2)
     head = F.regexp_replace(F.get(parts, 0), r"(?s)^\d+\s+\d+\s+obj\b\s*|\s*endobj$", "")
     raw = raw.select("path", "pos", F.regexp_extract("raw", r"^(\d+)", 1).cast("int").alias("num"), head.alias("head"), F.get(parts, 1).alias("rest"))
@@ -348,7 +348,7 @@ def _encrypted() -> Column:
 
 def failures(files: DataFrame, found: DataFrame) -> DataFrame:
     """(path, error) of the files that have no item among found."""
-    lost = files.join(found.select(F.col("doc_id").alias("path")).distinct(), "path", "left_anti")
+    lost = files.withColumn("path", F.col("path").cast("string")).join(found.select(F.col("doc_id").alias("path")).distinct(), "path", "left_anti")
     return lost.select("path", F.when(F.coalesce(_encrypted(), F.lit(False)), F.lit(ENCRYPTED)).otherwise(F.lit(NO_TEXT)).alias("error"))
 
 
