@@ -21,3 +21,11 @@ def task_name() -> str:
 
     t = TaskContext.get()
     return f"{t.partitionId():06d}-{t.taskAttemptId()}" if t else "driver"
+
+
+def part_name() -> str:
+    """A name of the partition, the same for each attempt and each evaluation of one plan."""
+    from pyspark import TaskContext
+
+    t = TaskContext.get()
+    return f"{t.partitionId():06d}" if t else "driver"

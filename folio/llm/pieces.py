@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._files import task_name
+from ._files import part_name
 from ._shared import materialise, only, runs, small_batches
 from .tokens import vocabulary
 
@@ -342,7 +342,7 @@ def _whole(name: str, kind: str, chunk: int):
     """A row (doc_id, key, 0, 1, ids) per text of at most chunk characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, task, n = model(name), task_name(), 0
+        m, task, n = model(name), part_name(), 0
         for b in small_batches(batches, "text"):
             texts = pc.fill_null(b.column("text"), "")
             at = np.flatnonzero(pc.utf8_length(texts).to_numpy(zero_copy_only=False) <= chunk)
@@ -359,7 +359,7 @@ def _split(name: str, kind: str, chunk: int):
     """A row (doc_id, key, part, parts, x, lo, hi) per chunk of each text of over chunk characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, task, n = model(name), task_name(), 0
+        m, task, n = model(name), part_name(), 0
         for b in small_batches(batches, "text"):
             rows, at = [], []
             for i, t in enumerate(b.column("text").to_pylist()):

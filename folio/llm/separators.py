@@ -88,11 +88,16 @@ def separators(spark: SparkSession, folder: str, files: DataFrame, end: int = EN
     return blocks.repartition(n, "file", "block").mapInArrow(run, "file string, block long, i long, at long, before long")
 
 
-def counts(spark: SparkSession, folder: str, end: int = END, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """(file, ordinal, start, n_tokens, ended) of each document of the files under folder."""
+def counts(spark: SparkSession, folder: str, end: int = END, width: int = 2, block: int = BLOCK, named: DataFrame | None = None) -> DataFrame:
+    """(file, ordinal, start, n_tokens, ended) of each document of the files under folder.
+
+    named: (file), if only these count; tasks that failed may have left others, whole or cut anywhere.
+    """
     if block % width:
         raise ValueError("a block has to hold whole ids")
     listed = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    if named is not None:
+        listed = listed.join(named.select("file").distinct(), "file", "left_semi")
     files = materialise(listed, "files")
     found = materialise(separators(spark, folder, files, end, width, block), "separators")
     per_block = found.groupBy("file", "block").agg(F.count("*").alias("n"), F.max("at").alias("last"))
@@ -113,4 +118,4 @@ def count_documents(docs: DataFrame) -> DataFrame:
     names = materialise(write(docs, folder), "names")
     if names.isEmpty():
         return names.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
-    return names.join(counts(spark, folder), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return names.join(counts(spark, folder, named=names), ["file", "ordinal"]).select("doc_id", "n_tokens")

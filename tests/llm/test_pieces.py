@@ -131,3 +131,10 @@ def test_whole_table_as_library(spark):
     assert sum(len(v) > 1 for v in by.values()) > len(rows) / 2
     for r in rows:
         assert sum((x for _, x in sorted(by[r.doc_id])), []) == m.library.encode(r.text or "")
+
+
+def test_keys_are_those_of_each_evaluation(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    enc = P.encode(docs, chunk=512)
+    one, two = ({(r.doc_id, r.key, r.part) for r in enc.select("doc_id", "key", "part").collect()} for _ in range(2))
+    assert one == two and len({k for _, k, _ in one}) == docs.count()

@@ -31,6 +31,15 @@ def test_wide_ids_and_bad_length(spark, tmp_path):
         S.counts(spark, str(tmp_path))
 
 
+def test_files_of_failed_tasks(spark, tmp_path, monkeypatch):
+    """A file that no row names, cut within an id, changes nothing."""
+    monkeypatch.setattr(S, "scratch_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    (tmp_path / "tokens").mkdir()
+    (tmp_path / "tokens" / "tokens-000000-99.bin").write_bytes(b"\0" * 9)
+    df = spark.createDataFrame([(1, "one two"), (2, "")], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in S.count_documents(df).collect()) == [0, 2]
+
+
 def test_documents(spark):
     texts = [None, "", "one two", "<|endoftext|> kept as text", "Straße 😀 " * 3000, "one two"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "q", 1)], "doc_id long, text string, file int")
