@@ -70,16 +70,27 @@ def attempt(translator: Translator, ident: str, text: str, retries: int, limiter
 
 
 def translate(units: DataFrame, translator: Translator, concurrency: int = 1, retries: int = 3, rpm: int | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """(doc_id, id, text, translation, ok, error, attempts, waited_ms) of units (doc_id, id, text)."""
+    """(doc_id, id, text, translation, ok, error, attempts, waited_ms) of units (doc_id, id, text).
+
+    Units with a start_ms (limits.grants) wait for that time instead of for a log of this job's own, so that the limit
+    holds over all runs; only a call that is tried again after an error goes beyond it.
+    """
     concurrency, retries = min(20, max(1, concurrency)), min(5, max(0, retries))
 
+    granted = "start_ms" in units.columns
     rpm = min(600, max(1, rpm)) if rpm else None
     workers = min(concurrency, rpm) if rpm else concurrency
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limiter = SlidingLog(quota(rpm, workers, TaskContext.get().partitionId())) if rpm else None
+        limiter = SlidingLog(quota(rpm, workers, TaskContext.get().partitionId())) if rpm and not granted else None
         for f in frames:
-            done = [attempt(translator, i, t, retries, limiter, sleep) for i, t in zip(f["id"], f["text"], strict=True)]
+            done = []
+            for i, t, at in zip(f["id"], f["text"], f["start_ms"] if granted else [0] * len(f), strict=True):
+                wait = max(0.0, at / 1000 - time.time()) if granted else 0.0
+                if wait:
+                    sleep(wait)
+                ok, error, tries, waited = attempt(translator, i, t, retries, limiter, sleep)
+                done.append((ok, error, tries, waited + wait))
             out = f[["doc_id", "id", "text"]].copy()
             out["translation"] = [d[0] for d in done]
             out["ok"] = [d[0] is not None for d in done]
@@ -88,7 +99,10 @@ def translate(units: DataFrame, translator: Translator, concurrency: int = 1, re
             out["waited_ms"] = [int(d[3] * 1000) for d in done]
             yield out
 
-    return units.select("doc_id", "id", "text").repartition(workers).mapInPandas(run, RESULT)
+    if not granted:
+        return units.select("doc_id", "id", "text").repartition(workers).mapInPandas(run, RESULT)
+    asked = units.select("doc_id", "id", "text", "start_ms").repartition(workers).sortWithinPartitions("start_ms", "id")
+    return asked.mapInPandas(run, RESULT)
 
 
 def quota(rpm: int, workers: int, worker: int) -> int:

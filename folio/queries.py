@@ -19,6 +19,7 @@ from .functions import fonts, numbers, replies, text
 from .operators import blocks, dispatch, exports, layout, progress, providers, runlog, segment, wire
 from .plans import documents
 from .sources import files, pdf, pdf_export, sinks
+from .streaming import limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -595,6 +596,30 @@ def rpm_admission(spark, sf_dir):
     return progress.admissions(_events(spark, sf_dir), "event_type", 2).select("event_type", "event_id", "ms", "start")
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ms, run_id, unit) AS k FROM (SELECT event_type AS provider, 'r' || user_id % 2 AS run_id, lpad(event_id::VARCHAR, 9, '0') AS unit, epoch_us(ts) // 100000 AS ms, 2 + user_id % 2 AS rpm FROM events)),
+a(provider, k, run_id, unit, ms, start_ms, s1, s2, s3) AS (
+  SELECT DISTINCT provider, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, -1000000000::BIGINT, -1000000000::BIGINT, -1000000000::BIGINT FROM e
+  UNION ALL
+  SELECT e.provider, e.k, e.run_id, e.unit, e.ms, st, a.s2, a.s3, st FROM a JOIN e ON e.provider = a.provider AND e.k = a.k + 1
+  CROSS JOIN LATERAL (SELECT CASE WHEN e.rpm = 2 THEN a.s2 ELSE a.s1 END AS held, greatest(e.ms, a.s3) AS now) CROSS JOIN LATERAL (SELECT CASE WHEN held > now - 60000 THEN held + 60030 ELSE now END AS st))
+SELECT provider, run_id, unit, ms, start_ms FROM a WHERE k > 0
+""")
+def shared_limit(spark, sf_dir):
+    """Requests of two runs of different limits on the same providers, in four parts; the stream is started anew for each."""
+    e = _events(spark, sf_dir)
+    asked = e.select(F.col("event_type").alias("provider"), F.concat(F.lit("r"), (F.col("user_id") % 2).cast("string")).alias("run_id"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("unit"), F.col("ms").cast("long").alias("ms"), (2 + F.col("user_id") % 2).cast("int").alias("rpm"))
+    bounds = e.agg(F.percentile_approx("ms", [0.25, 0.5, 0.75]).alias("q")).first()["q"] or [0, 0, 0]
+    part = F.lit(0)
+    for q in bounds:
+        part = part + (F.col("ms") > q).cast("int")
+    folder = files.new_folder(spark, "limits")
+    for k in range(4):
+        asked.where(part == k).write.mode("append").parquet(f"{folder}/asked")
+        limits.serve(spark, f"{folder}/asked", f"{folder}/granted", f"{folder}/mark").awaitTermination()
+    return spark.read.schema(limits.GRANT).parquet(f"{folder}/granted")
+
+
 @query("""
 WITH r AS (SELECT user_id % 50 AS run_id, event_id AS seq, coalesce(value > 20, false) AS ok FROM events),
 c AS (SELECT *, count(*) FILTER (ok) OVER w AS completed, count(*) FILTER (NOT ok) OVER w AS failed, count(*) OVER (PARTITION BY run_id) AS units FROM r

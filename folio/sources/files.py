@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,17 @@ def extract_text(files: DataFrame) -> DataFrame:
     return plain.unionByName(office.select("path", "name", "ext", text.normalize(F.col("text")).alias("text"), "error"))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that no other call has, under spark.checkpoint.dir. One of our own is made only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="folio-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def json_settings(files: list[str]) -> dict:
     """The first of some JSON files that is there and can be read; else nothing."""
     for name in files:

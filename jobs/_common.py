@@ -1,12 +1,10 @@
-"""What the jobs share: their configuration, and a folder for registered runs."""
+"""What the jobs share: configuration, session and log."""
 
 from __future__ import annotations
 
 import json
 import logging
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,14 +28,3 @@ def session(name: str) -> SparkSession:
     """The command line's session, with the log on."""
     logging.basicConfig(level=logging.INFO, format=LOG)
     return SparkSession.builder.appName(name).getOrCreate()
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path that no other call has, under spark.checkpoint.dir. One of our own is made only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="folio-jobs-")
-    return f"{base.rstrip('/')}/jobs/{name}-{uuid.uuid4().hex}"

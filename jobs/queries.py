@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from folio import queries as q
 from folio.functions import replies
 from folio.operators import wire
+from folio.sources import files
 from jobs import _common, inbox, worklist
 
 
 def job1_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of all documents, planned twice."""
-    out = _common.new_folder(spark, "worklist")
+    out = files.new_folder(spark, "jobs/worklist")
     for _ in range(2):
         worklist.run(spark, f"{sf_dir}/documents.parquet", out, _common.config("worklist"))
     return worklist.result(spark, out)
@@ -22,7 +23,7 @@ def job1_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job2_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of all pages; the second run finds nothing new."""
-    out = _common.new_folder(spark, "inbox")
+    out = files.new_folder(spark, "jobs/inbox")
     for _ in range(2):  # a pattern, as file streams take a single file by that alone
         inbox.run(spark, f"{sf_dir}/pages.parquet*", f"{out}/paragraphs", f"{out}/checkpoint", _common.config("inbox"))
     return inbox.result(spark, f"{out}/paragraphs")
