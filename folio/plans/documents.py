@@ -54,10 +54,11 @@ def docx_blocks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def docx_counters(files: DataFrame) -> DataFrame:
     """(path, formulas, furniture, duplicates, merged, images): what the rebuilding of each DOCX file came upon; images
     are those of the body."""
-    runs, cells = _folded(files)
     names = ["formulas", "furniture", "duplicates", "merged"]
-    images = F.size(F.filter("blocks", lambda b: b["type"] == "image"))
-    rows = runs.select("path", *names, images.alias("images")).unionByName(cells.select("path", *names, F.lit(0).alias("images")))
+    raw = ooxml.raw_paragraphs(files).where("error is null").withColumn("text", text.normalize_extracted(F.col("text")))
+    all_ = B.fold(B.classify(raw), ["path", "part", "table_no", "row", "col"])  # a run of paragraphs, or a cell
+    images = F.when(F.col("table_no") == 0, F.size(F.filter("blocks", lambda b: b["type"] == "image"))).otherwise(0)
+    rows = all_.select("path", *names, images.alias("images"))
     return rows.groupBy("path").agg(*(F.sum(n).cast("long").alias(n) for n in [*names, "images"]))
 
 

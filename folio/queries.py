@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .functions import fonts, numbers, replies, text
 from .operators import blocks, dispatch, exports, layout, progress, providers, runlog, segment, wire
 from .plans import documents
-from .sources import files, pdf, pdf_export, sinks
+from .sources import docx_export, files, ooxml, pdf, pdf_export, sinks
 from .streaming import limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -882,7 +882,7 @@ def _docx(spark, sf_dir):
     """Documents as DOCX files, a paragraph per line, by the exporter."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "source"))
     d = d.withColumns({"source": F.regexp_replace("source", text.CONTROLS, ""), "title": F.lit(""), "kind": F.lit("paragraph"), "translation": F.lit("")})
-    return _file(sinks.docx(d, "doc_id", "ord", "title", "source"), "doc_id", "docx", F.col("content"))
+    return _file(docx_export.docx(d, "doc_id", "ord", "title", "source", first_line=0), "doc_id", "docx", F.col("content"))
 
 
 _PLAIN = _FOLD.replace("seq % 7 = 3 AS bullet", "regexp_matches(t, '^(?:[•●▪◦\u2013\u2014-])') AND false AS bullet").replace("AND i.seq % 11 <> 5 ", "")
@@ -895,8 +895,8 @@ def docx_blocks(spark, sf_dir):
     return body.select(_docx_key(), F.row_number().over(Window.partitionBy("path").orderBy("ord")).cast("long").alias("ord"), "type", F.coalesce("text", "latex").alias("text"), "kind", "alt")
 
 
-def _docx_key():
-    return F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long").alias("doc_id")
+def _docx_key(name: str = "doc_id"):
+    return F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long").alias(name)
 
 
 @query(_PLAIN + "SELECT doc_id, sum(form)::BIGINT AS formulas, sum(furn)::BIGINT AS furniture, sum(dup)::BIGINT AS duplicates, sum(mrg)::BIGINT AS merged, 0::BIGINT AS images FROM f GROUP BY doc_id")
@@ -917,11 +917,60 @@ def docx_tables(spark, sf_dir):
     line = F.concat(F.lit("line "), F.col("n").cast("string"))
     cells = F.when(F.col("n") % 3 == 0, F.lit("\t")).when(F.col("n") % 3 == 1, F.concat(line, F.lit("\t"), "f")).otherwise(F.concat(line, F.lit("\t\ton "), F.col("s").cast("string")))
     t = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", cells.alias("c")))).alias("r")).select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("ord"), F.lit("").alias("title"), F.lit("table").alias("kind"), F.array_join("r.c", "\n").alias("source"), F.lit("").alias("translation"))
-    _, found = documents.docx_blocks(_file(sinks.docx(t, "doc_id", "ord", "title", "source"), "doc_id", "docx", F.col("content")))
+    _, found = documents.docx_blocks(_file(docx_export.docx(t, "doc_id", "ord", "title", "source"), "doc_id", "docx", F.col("content")))
     rows = documents.docx_tables(found).select(_docx_key(), "table_no", "columns", F.explode("rows").alias("r"))
     return rows.select("doc_id", "table_no", "columns", "r.row", "r.header", F.array_join("r.cells", "|").alias("cells"))
 
 
+_PICTURES = f"""
+ps AS (SELECT page_id, html, {q_split(q_html("html"))} AS ps FROM pages),
+rows AS (
+  SELECT page_id, i AS ord, i % 5 AS m, CASE WHEN i % 5 = 2 THEN ['png', 'gif', 'tiff', 'jpeg', 'none'][i % 9 % 5 + 1] END AS pic, CASE WHEN i % 15 >= 7 THEN 'x_' || i END AS latex, 100.0 * (i % 9) AS w, 90.0 * (i % 4) AS h, html, ps[i] AS t
+  FROM (SELECT page_id, html, ps, unnest(range(1, len(ps) + 1)) AS i FROM ps))"""
+
+
+def _illustrated(spark, sf_dir):
+    """Pages as DOCX files with every fifth paragraph a picture; pictures of a page share their bytes in twos, one kind
+    can't be stored and one is not there."""
+    p = html_paragraphs(spark, sf_dir).join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    names = F.array(*(F.lit(x) for x in ("png", "gif", "tiff", "jpeg", "none")))
+    pic = F.when(F.col("ord") % 5 == 2, F.get(names, (F.col("ord") % 9 % 5).cast("int")))
+    rows = p.select("page_id", "ord", F.lit("").alias("title"), F.when(pic.isNotNull(), "image").otherwise("paragraph").alias("kind"), F.concat(F.lit("P "), "text").alias("source"), F.lit("").alias("translation"), F.concat(F.lit("a-"), pic).alias("asset_id"), F.when(F.col("ord") % 15 >= 7, F.concat(F.lit("x_"), F.col("ord").cast("string"))).alias("latex"), (100.0 * (F.col("ord") % 9)).alias("width"), (90.0 * (F.col("ord") % 4)).alias("height"), F.concat(F.lit("alt <"), F.col("ord").cast("string")).alias("alt"))
+    kinds = F.array(*(F.struct(F.lit(f"a-{n}").alias("asset_id"), F.lit(f"image/{n}").alias("mime_type"), F.lit(k).alias("k")) for n, k in (("png", 0), ("gif", 1), ("tiff", 2), ("jpeg", 1))))
+    held = table(spark, sf_dir, "pages").select("page_id", "html", F.explode(kinds).alias("a")).select("page_id", "a.asset_id", "a.mime_type", F.encode(F.concat(F.substring("html", 1, 300), F.col("a.k").cast("string")), "UTF-8").alias("data"))
+    return _file(docx_export.docx(rows, "page_id", "ord", "title", "source", held), "page_id", "docx", F.col("content"))
+
+
+@query(f"""
+WITH {_PICTURES},
+v AS (SELECT *, pic IN ('png', 'gif', 'jpeg') AS stored, CASE WHEN w = 0 THEN 640 ELSE w END AS bw, CASE WHEN h = 0 THEN 360 ELSE h END AS bh FROM rows WHERE pic IS NOT NULL),
+s AS (SELECT *, least(1, 620 / bw, 690 / bh) AS k FROM v)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n, CASE WHEN stored THEN sha256(substr(html, 1, 300) || CASE pic WHEN 'png' THEN 0 ELSE 1 END) END AS digest,
+       CASE WHEN stored THEN floor(bw * k + 0.5)::INTEGER END AS width, CASE WHEN stored THEN floor(bh * k + 0.5)::INTEGER END AS height, CASE WHEN stored THEN 'alt <' || ord ELSE latex END AS shown
+FROM s WHERE stored OR latex IS NOT NULL
+""")
+def docx_pictures(spark, sf_dir):
+    """Pictures of written files: bytes found by their relation, sizes and descriptions; LaTeX where there is no picture."""
+    f = _illustrated(spark, sf_dir)
+    found = ooxml.docx_assets(f).select("path", "asset_id", F.sha2("data", 256).alias("digest"))
+    raw = ooxml.raw_paragraphs(f).where("size(visuals) > 0 or style = 'Caption'").select("path", "seq", "text", F.explode_outer("visuals").alias("v"))
+    both = raw.select("path", "seq", "text", F.col("v.asset_id").alias("asset_id"), "v.width", "v.height", "v.alt").join(found, ["path", "asset_id"], "left")
+    n = F.row_number().over(Window.partitionBy("path").orderBy("seq")).cast("long")
+    return both.select(_docx_key("page_id"), n.alias("n"), "digest", "width", "height", F.coalesce("alt", "text").alias("shown"))
+
+
+@query(f"""
+WITH {_PICTURES}
+SELECT page_id, count(DISTINCT CASE WHEN pic = 'png' THEN 0 WHEN pic IN ('gif', 'jpeg') THEN 1 END) AS assets, count(*) FILTER (pic IN ('png', 'gif', 'jpeg')) AS images, count(*) FILTER (pic IS NULL) AS paragraphs FROM rows GROUP BY page_id
+""")
+def docx_assets(spark, sf_dir):
+    """How many pictures a written file holds, equal ones once, shows, and how many paragraphs stand beside them."""
+    f = _illustrated(spark, sf_dir)
+    held = ooxml.docx_assets(f).groupBy("path").agg(F.count("asset_id").alias("assets"))
+    raw = ooxml.raw_paragraphs(f).groupBy("path").agg(F.count_if(F.expr("size(visuals) > 0")).alias("images"), F.count_if(F.expr("first_line > 0 and style = '' and justification = 'both'")).alias("paragraphs"))
+    return raw.join(held, "path", "left").select(_docx_key("page_id"), F.coalesce("assets", F.lit(0).cast("long")).alias("assets"), "images", "paragraphs")
+
+
 # --- rendering and the store --------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,6 @@
 """DOCX, XLSX and PPTX files by the standard library's zip and XML readers.
 
-The only Python step is bytes to raw rows, in mapInPandas over binaryFile rows; all rules on text are column
+The only Python step is bytes to raw rows, in Arrow batches over binaryFile rows; all rules on text are column
 expressions. Entity declarations are refused and the unpacked size is bounded, as files are untrusted.
 """
 
@@ -14,11 +14,14 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 MAX_UNPACKED = 400 * 1024 * 1024
+BATCH = 1 << 20  # bytes of files that a task reads before it passes their rows on
 _CODE = re.compile(r"&#([0-9]+);")
 # Entities in the order in which they are decoded; media types by extension.
 _NAMED = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
@@ -244,20 +247,29 @@ def docx_rows(content: bytes) -> list[dict]:
 
 def _per_file(files: DataFrame, read: Callable[[str, bytes], list[dict]], schema: str) -> DataFrame:
     """Rows that read() makes of each file, with its path; a file that fails gives one row with the error."""
-    names = [f.split()[0] for f in re.sub(r"<[^<>]*(<[^<>]*>)?[^<>]*>", "", schema).split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, ext, content in zip(f["path"], f["ext"], f["content"], strict=True):
+    whole = f"path string, error string, {schema}"
+    kind = to_arrow_schema(DataType.fromDDL(whole))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[dict] = []
+            size = 0
+            for i in range(b.num_rows):
+                path, ext, content = (b.column(c)[i].as_py() for c in ("path", "ext", "content"))
                 try:
                     if content is None:
                         raise ValueError("larger than the limit")
-                    rows = [{"path": path, "error": None, **r} for r in read(ext, bytes(content))]
+                    out += [{"path": path, "error": None, **r} for r in read(ext, content)]
                 except Exception as e:  # one file's failure is its own row
-                    rows = [{"path": path, "error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame(rows, columns=["path", "error", *names]).astype(object).where(lambda d: d.notna(), None) if rows else pd.DataFrame([], columns=["path", "error", *names])
-
-    return files.select("path", "ext", "content").mapInPandas(run, f"path string, error string, {schema}")
+                    out.append({"path": path, "error": f"{type(e).__name__}: {e}"})
+                size += len(content or b"")
+                if out and (size > BATCH or i + 1 == b.num_rows):
+                    yield pa.RecordBatch.from_pylist(out, kind)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, kind)
+
+    return files.select("path", "ext", "content").mapInArrow(run, whole)
 
 
 def raw_paragraphs(files: DataFrame) -> DataFrame:

@@ -1,18 +1,12 @@
-"""Exports: text, Markdown, HTML, CSV, JSON by Spark's writers; DOCX bytes per document; a keyed document store."""
+"""Exports: text, Markdown, HTML, CSV, JSON by Spark's writers; a keyed document store. DOCX and PDF have modules of their own."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.exports import text_parts
-from .ooxml import escape
 
 FORMATS = ["txt", "md", "html", "csv", "json"]
 
@@ -46,47 +40,6 @@ def write(rows: DataFrame, path: str, key: str, order: str, mode: str = "paralle
         rendered(rows, key, order, mode, fmt).select(key, "content").write.partitionBy(key).text(path)
 
 
-_TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
-_RELS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
-_WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-
-
-def docx_bytes(title: str, blocks: list[dict]) -> bytes:
-    """An A4 document: title, paragraphs by kind, tables (cells separated by tabs, rows by line ends)."""
-
-    def para(t: str, style: str = "", italic: bool = False) -> str:
-        look = f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""
-        return f'<w:p>{look}<w:r>{"<w:rPr><w:i/></w:rPr>" if italic else ""}<w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>'
-
-    body = [para(title, "Title")] if title else []
-    for b in blocks:
-        if b["kind"] == "table":
-            rows = [r.split("\t") for r in b["text"].split("\n")]
-            cells = lambda i, r: "".join(f'<w:tc><w:tcPr>{"<w:shd w:val=%sclear%s w:fill=%sE7E6E6%s/>" % (("%c" % 34,) * 4) if not i else ""}</w:tcPr>{para(c)}</w:tc>' for c in r)
-            body.append("<w:tbl><w:tblPr/>" + "".join(f"<w:tr>{cells(i, r)}</w:tr>" for i, r in enumerate(rows)) + "</w:tbl>")
-        else:
-            body.append(para(b["text"], {"heading": "Heading1", "caption": "Caption", "list-item": "ListParagraph"}.get(b["kind"], ""), bool(b["translated"])))
-    page = '<w:sectPr><w:pgSz w:w="11906" w:h="16838"/></w:sectPr>'
-    xml = f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="{_WORD}"><w:body>{"".join(body)}{page}</w:body></w:document>'
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, data in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS), ("word/document.xml", xml)):
-            z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), data)
-    return out.getvalue()
-
-
-def docx(rows: DataFrame, key: str, order: str, title: str, mode: str = "parallel") -> DataFrame:
-    """(key, content) of rows (key, order, title, kind, source, translation): a DOCX file per document."""
-    parts = rows.select(key, order, title, "kind", F.posexplode(text_parts(F.col("source"), F.col("translation"), mode)).alias("_n", "_p"))
-    held = parts.groupBy(key).agg(F.first(title).alias("title"), F.array_sort(F.collect_list(F.struct(order, "_n", "kind", F.col("_p.text").alias("text"), F.col("_p.translated").alias("translated")))).alias("blocks"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({key: f[key], "content": [docx_bytes(t or "", list(b)) for t, b in zip(f["title"], f["blocks"], strict=True)]})
-
-    return held.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, content binary")
-
-
 def latest(rows: DataFrame) -> DataFrame:
     """(id, ...) of the last version of each id in rows (id, _version, _deleted, ...), if that isn't a deletion."""
     fields = [c for c in rows.columns if c not in ("id", "_version", "_deleted")]

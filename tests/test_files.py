@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.operators import dispatch, progress, providers
 from folio.plans import documents
-from folio.sources import files, ooxml, sinks
+from folio.sources import docx_export, files, ooxml, sinks
 from folio.streaming import ingest
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
@@ -109,10 +109,10 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 6 and spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "csv")).where("text = 'x, \"y\"'").count() == 1
     with pytest.raises(ValueError):
         sinks.write(df, str(tmp_path / "q"), "doc_id", "ord", fmt="rtf")
-    out = {r.doc_id: bytes(r.content) for r in sinks.docx(df, "doc_id", "ord", "title").collect()}
+    out = {r.doc_id: bytes(r.content) for r in docx_export.docx(df, "doc_id", "ord", "title").collect()}
     back = ooxml.docx_rows(out[1])
-    assert [r["text"] for r in back] == ["T", "Hi <b>", "Salut", "One", "a", "b", "c", "d"] and back[1]["style"] == "Heading1"
-    assert out[1] == {r.doc_id: bytes(r.content) for r in sinks.docx(df.repartition(3), "doc_id", "ord", "title").collect()}[1]
+    assert [r["text"] for r in back] == ["T", "Hi <b>", "Salut", "One", "a", "b", "c", "d", ""] and back[1]["style"] == "Heading1"
+    assert out[1] == {r.doc_id: bytes(r.content) for r in docx_export.docx(df.repartition(3), "doc_id", "ord", "title").collect()}[1]
 
 
 def test_store(spark, tmp_path):
@@ -187,3 +187,29 @@ def test_assets(spark):
     a = spark.createDataFrame([(1, "asset-1", "image/png", b"1"), (1, "asset-9", "image/png", None)], "doc_id long, asset_id string, mime_type string, data binary")
     assert sorted((r.asset_id, r.mime_type) for r in exports.with_assets(b, a, ["doc_id", "asset_id"]).collect()) == [("", None), ("asset-1", "image/png")]
     assert F.lit(1) is not None
+
+
+def test_docx_with_pictures(spark):
+    """Equal pictures once, sizes within the page, LaTeX for what can't be stored, a footer; read back by relation."""
+    schema = "d string, ord int, title string, kind string, source string, translation string, asset_id string, latex string, width double, height double, alt string"
+    data = [("a", 1, "T & T", "image", None, None, "one", None, 1240.0, 100.0, 'alt "q"'), ("a", 2, "T & T", "formula", None, None, "two", r"\\frac", 10.0, 20.0, None), ("a", 3, "T & T", "image", None, None, "same", None, None, None, ""), ("a", 4, "T & T", "image", None, None, "tiff", "x^2", 5.0, 5.0, ""), ("a", 5, "T & T", "image", None, None, "none", None, 5.0, 5.0, "")]
+    data += [("a", 6, "T & T", "paragraph", "text \x01 <&>", "übersetzt", None, None, None, None, None), ("a", 7, "T & T", "table", "h\ti\n1\t", None, None, None, None, None, None), ("b", 1, None, "paragraph", "", None, None, None, None, None, None)]
+    held = [("a", "one", "image/PNG", b"png"), ("a", "same", "image/png", b"png"), ("a", "two", "image/jpeg", b"jpg"), ("a", "tiff", "image/tiff", b"tif"), ("b", "one", "image/png", b"other"), ("a", "two", "image/jpeg", b"jpg")]
+    assets = spark.createDataFrame(held, "d string, asset_id string, mime_type string, data binary")
+    out = {r.d: bytes(r.content) for r in docx_export.docx(spark.createDataFrame(data, schema).repartition(3), "d", "ord", "title", assets=assets).collect()}
+    assert set(out) == {"a", "b"}
+    z = zipfile.ZipFile(io.BytesIO(out["a"]))
+    media = {n: z.read(n) for n in z.namelist() if "media" in n}
+    assert sorted(media.values()) == [b"jpg", b"png"] and b"PAGE" in z.read("word/footer1.xml") and z.testzip() is None
+    found, _ = ooxml.assets(ooxml.Package(out["a"]))
+    by = {a["asset_id"]: a["data"] for a in found}
+    back = ooxml.docx_rows(out["a"])
+    shown = [(by[v["asset_id"]], v["width"], v["height"], v["alt"]) for r in back for v in r.get("visuals") or []]
+    assert shown == [(b"png", 620, 50, 'alt "q"'), (b"jpg", 10, 20, ""), (b"png", 620, 349, "")]
+    assert [r["text"] for r in back if r["text"]] == ["T & T", "x^2", "text  <&>", "übersetzt", "h", "i", "1"]
+    look = {r["text"]: r for r in back}
+    assert look["text  <&>"]["first_line"] == 420 and look["x^2"]["style"] == "Caption" and look["h"]["max_font_size"] == 19 and look["übersetzt"]["justification"] == "both"
+    assert [r["text"] for r in ooxml.docx_rows(out["b"])] == []
+    for name in z.namelist():
+        if name.endswith((".xml", ".rels")):
+            ooxml.Package(out["a"]).xml(name)
