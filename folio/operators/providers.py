@@ -20,10 +20,10 @@ def listed(builtin: DataFrame, custom: DataFrame) -> DataFrame:
 def resolve(requests: DataFrame, providers: DataFrame, default: str) -> DataFrame:
     """requests (request_id, provider_id) with the record of each: a custom one before a built-in one, else the default."""
     best = providers.groupBy("id").agg(F.max_by(F.struct("name", "base_url", "model", "custom"), F.col("custom").cast("int")).alias("p"))
-    known = best.select(F.col("id").alias("provider_id"), F.col("p").alias("own"))
-    fallback = best.where(F.col("id") == default).select(F.col("p").alias("any"))
-    # one row at most on the right side
-    return requests.join(known, "provider_id", "left").join(F.broadcast(fallback.limit(1)), how="left").select("request_id", F.when(F.col("own").isNull(), F.lit(default)).otherwise(F.col("provider_id")).alias("provider_id"), F.coalesce("own", "any").alias("p")).select("request_id", "provider_id", "p.*")
+    known = best.select(F.col("id").alias("provider_id"), "p")
+    found = requests.join(known.select("provider_id", F.lit(True).alias("_found")), "provider_id", "left")
+    meant = found.withColumn("provider_id", F.when(F.col("_found"), F.col("provider_id")).otherwise(F.lit(default)))
+    return meant.join(known, "provider_id", "left").select("request_id", "provider_id", "p.*")
 
 
 def upsert(custom: DataFrame, new: DataFrame) -> DataFrame:

@@ -1010,15 +1010,15 @@ def store_latest(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT page_id, 'asset-' || page_id % 7 AS asset_id, CASE WHEN page_id % 3 = 0 THEN 'x^2' ELSE '' END AS latex FROM pages),
-a AS (SELECT 'asset-' || n_nationkey AS asset_id, n_nationkey::VARCHAR AS mime_type, n_name AS data FROM nation WHERE n_nationkey < 6)
+WITH b AS (SELECT page_id, 'asset-' || page_id % 30 AS asset_id, CASE WHEN page_id % 3 = 0 THEN 'x^2' ELSE '' END AS latex FROM pages),
+a AS (SELECT 'asset-' || n_nationkey AS asset_id, n_nationkey::VARCHAR AS mime_type, n_name AS data FROM nation WHERE n_nationkey % 7 <> 6)
 SELECT page_id, b.asset_id, latex, mime_type, data FROM b LEFT JOIN a ON a.asset_id = b.asset_id WHERE data IS NOT NULL OR latex <> ''
 """)
 def asset_join(spark, sf_dir):
     """Pages as blocks with the picture of their id; those with neither picture nor LaTeX are left out."""
-    b = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("asset-"), (F.col("page_id") % 7).cast("string")).alias("asset_id"), F.when(F.col("page_id") % 3 == 0, "x^2").otherwise("").alias("latex"))
+    b = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("asset-"), (F.col("page_id") % 30).cast("string")).alias("asset_id"), F.when(F.col("page_id") % 3 == 0, "x^2").otherwise("").alias("latex"))
     n = table(spark, sf_dir, "nation")
-    a = n.where("n_nationkey < 7").select(F.concat(F.lit("asset-"), F.col("n_nationkey").cast("string")).alias("asset_id"), F.col("n_nationkey").cast("string").alias("mime_type"), F.when(F.col("n_nationkey") < 6, F.encode("n_name", "UTF-8")).alias("data"))
+    a = n.select(F.concat(F.lit("asset-"), F.col("n_nationkey").cast("string")).alias("asset_id"), F.col("n_nationkey").cast("string").alias("mime_type"), F.when(F.col("n_nationkey") % 7 != 6, F.encode("n_name", "UTF-8")).alias("data"))
     return exports.with_assets(b, a, ["asset_id"]).withColumn("data", F.decode("data", "UTF-8"))
 
 
@@ -1123,13 +1123,13 @@ def custom_providers(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT lower(n_name) AS id, n_nationkey AS k FROM nation WHERE n_nationkey < 15), n AS (SELECT lower(n_name) AS id, n_nationkey + 100 AS k FROM nation WHERE n_nationkey BETWEEN 10 AND 19), gone AS (SELECT lower(n_name) AS id FROM nation WHERE n_nationkey % 6 = 0)
+WITH b AS (SELECT lower(n_name) AS id, n_nationkey AS k FROM nation WHERE n_nationkey < 15), n AS (SELECT lower(n_name) AS id, n_nationkey + 100 AS k FROM nation WHERE n_nationkey >= 10), gone AS (SELECT lower(n_name) AS id FROM nation WHERE n_nationkey % 6 = 0)
 SELECT id, k FROM (SELECT * FROM n UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM n)) WHERE id NOT IN (SELECT id FROM gone)
 """)
 def provider_changes(spark, sf_dir):
     """Records put in the place of those of the same id, then some removed."""
     n = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("id"), F.col("n_nationkey").alias("k"))
-    new = n.where("k between 10 and 19").withColumn("k", F.col("k") + 100)
+    new = n.where("k >= 10").withColumn("k", F.col("k") + 100)
     return providers.remove(providers.upsert(n.where("k < 15"), new), n.where("k % 6 = 0"))
 
 

@@ -41,9 +41,13 @@ def write(rows: DataFrame, path: str, key: str, order: str, mode: str = "paralle
 
 
 def latest(rows: DataFrame) -> DataFrame:
-    """(id, ...) of the last version of each id in rows (id, _version, _deleted, ...), if that isn't a deletion."""
+    """(id, ...) of the last version of each id in rows (id, _version, _deleted, ...), if that isn't a deletion.
+
+    Of rows of one version a hash of their fields decides, so every read sees the same one.
+    """
     fields = [c for c in rows.columns if c not in ("id", "_version", "_deleted")]
-    last = rows.groupBy("id").agg(F.max_by(F.struct("_deleted", *fields), "_version").alias("_r"))
+    place = F.struct("_version", F.xxhash64(F.to_json(F.struct("_deleted", *fields))))
+    last = rows.groupBy("id").agg(F.max_by(F.struct("_deleted", *fields), place).alias("_r"))
     return last.where("not _r._deleted").select("id", *(F.col(f"_r.{c}").alias(c) for c in fields))
 
 
