@@ -65,12 +65,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialise(df: DataFrame, name: str, by: str | None = None, outlives: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None, outlives: bool = False, codec: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, which cuts its lineage.
 
     by: a column of a few values, each of which gets a folder of its own, so that drop_scratch() can delete it by itself.
-    outlives: as in scratch_path(). Shuffle files of the finished job are dropped at once where Spark offers that, and
-    Arrow batches are kept small, as rows may hold whole texts.
+    outlives: as in scratch_path(). codec: of the files, if not the session's; zstd pays for texts, not for hashes.
+    Shuffle files of the finished job are dropped at once where Spark offers that, and Arrow batches are kept small, as
+    rows may hold whole texts.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name, outlives)
@@ -79,7 +80,8 @@ def materialise(df: DataFrame, name: str, by: str | None = None, outlives: bool
     for k, v in own.items():
         spark.conf.set(k, v)
     try:
-        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
+        writer = df.write.partitionBy(by) if by else df.write
+        (writer.option("compression", codec) if codec else writer).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -153,7 +153,7 @@ def judge(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns. Each text is counted once and never shuffled."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text", "lang", "source")
-    counts = materialise(counted(rows).drop("text"), "counted")
+    counts = materialise(counted(rows).drop("text"), "counted", codec="zstd")
     return _judged(counts, materialise(fences(counts), "fences")).where("kept").select("_row.*")
 
 

@@ -415,6 +415,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     rows = materialise(signatures(docs, shingle), "signatures")
     nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sig").alias("sig"), F.min("bands").alias("bands"))
     nodes = materialise(nodes, "nodes")
+    named = materialise(rows.select("doc_id", "node"), "named")
+    drop_scratch(rows)
     keyed = nodes.select("node", F.posexplode("bands").alias("k1", "k2"))
     counts = materialise(keyed.groupBy("k1", "k2").count().where("count > 1"), "counts")
     tiles = F.ceil(F.col("count") / block).cast("int")
@@ -428,7 +430,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     doubt = materialise(found.where("not sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "doubt")
     if not doubt.isEmpty():
         edges = edges.unionByName(settle(doubt, docs, shingle, similarity))
-    return _with_components(rows.select("doc_id", "node"), edges, [])
+    return _with_components(named, edges, [])
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
