@@ -629,9 +629,10 @@ def _passages(rows: Rows, min_words: int, similarity: float) -> DataFrame:
     spoken = materialise(phrases(held, bits, min_words), "phrases")
     first = first_places(spoken, bits)
     links = held.select("at", "ref_at").unionByName(spoken.join(first, "seed").select("at", "ref_at"))
-    links = links.withColumns({"row": F.shiftright("at", bits), "ref": F.shiftright("ref_at", bits)}).where("row <> ref")
+    row, ref = F.shiftright("at", bits), F.shiftright("ref_at", bits)  # taken from the places, so that only these are shuffled
     n = max(12, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    links = links.repartition(n, "row", "ref").sortWithinPartitions("row", "ref", "at", "ref_at")
+    links = links.where(row != ref).repartition(n, row, ref).sortWithinPartitions(row, ref, "at", "ref_at")
+    links = links.select("at", "ref_at", row.alias("row"), ref.alias("ref"))
     chains = materialise(links.mapInArrow(*_chains(bits)), "chains")
     drop_scratch(held, spoken, first)
     led = materialise(with_leaders(chains), "led")
