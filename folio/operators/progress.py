@@ -51,9 +51,21 @@ def run_totals(results: DataFrame, run: str = "run_id", ident: str | None = None
 
 
 def recent_requests(events: DataFrame, key: str, ms: str = "ms", ident: str = "event_id") -> DataFrame:
-    """events with in_window: how many of the key began in the 60 s up to and with each (its start excluded)."""
-    w = Window.partitionBy(key).orderBy(ms).rangeBetween(-(WINDOW_MS - 1), 0)
-    return events.withColumn("in_window", F.count("*").over(w))
+    """events with in_window: how many of the key began in the 60 s up to and with each (its start excluded).
+
+    Time is cut into stretches of 60 s. A request counts in its own stretch from its time on, and in the next one until
+    it is 60 s old, so each stretch is counted by itself by a running sum, however many requests a key has.
+    """
+    at = F.col(ms).cast("long")
+    stretch = at - F.pmod(at, F.lit(WINDOW_MS))
+    row = F.struct(*(F.col(f"`{c}`") for c in events.columns))
+    begins = F.struct(stretch.alias("of"), at.alias("at"), F.lit(1).alias("n"), row.alias("row"))
+    ends = F.struct((stretch + WINDOW_MS).alias("of"), (at + WINDOW_MS).alias("at"), F.lit(-1).alias("n"), F.lit(None).cast(events.select(row).schema[0].dataType).alias("row"))
+    both = events.select(F.col(key).alias("_key"), F.explode(F.array(begins, ends)).alias("_e")).select("_key", "_e.*")
+    w = Window.partitionBy("_key", "of")
+    upto = w.orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("in_window", F.sum("n").over(upto) + F.sum(F.when(F.col("n") < 0, 1).otherwise(0)).over(w))
+    return counted.where("n > 0").select("row.*", "in_window")
 
 
 def listed_starts(starts: DataFrame, marks: DataFrame, key: str, ms: str = "ms") -> DataFrame:
