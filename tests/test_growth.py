@@ -29,3 +29,23 @@ def test_segments_of_a_line_need_no_sort(spark):
     rows = [(1, 0.0, 1, "a", 10.0, 10.0), (1, 40.0, 0, "c", 50.0, 10.0), (1, 12.0, 2, "b", 20.0, None), (2, None, 0, "x", None, 10.0), (2, 3.0, 1, "y", 9.0, 10.0)]
     items = spark.createDataFrame(rows, "k int, x double, seq int, text string, right double, font double")
     assert sorted(tuple(r) for r in layout.segments(items, ["k"]).collect()) == [(1, 0, 0.0, "a b"), (1, 1, 40.0, "c"), (2, 0, None, "x y")]
+
+
+def test_rows_of_a_docx_file_are_shuffled_once_after_reading(spark):
+    for name in ("docx_tables", "docx_counters", "docx_blocks"):
+        after_reading = plan(QUERIES[name](spark, SF)).split("MapInArrow")[0]
+        assert after_reading.count("Exchange") == 1, name
+
+
+def test_a_paragraph_is_gone_through_once(monkeypatch):
+    from xml.etree import ElementTree
+
+    from folio.sources import ooxml
+
+    passes = []
+    node = ElementTree.fromstring("<p><pPr><pStyle val='Title'/><sz val='18'/></pPr><r><rPr><sz val='20'/></rPr><t>x</t><tab/></r><p><t>y</t></p></p>")
+    parsed = ElementTree.tostring(node)
+    monkeypatch.setattr(ooxml, "_all", lambda n, name: passes.append(name) or [])
+    got = ooxml._paragraph(ElementTree.fromstring(parsed), {})
+    assert not passes and (got["text"], got["style"], got["max_font_size"], got["list"]) == ("x\ty", "Title", 20.0, False)
+    assert ooxml._paragraph(ElementTree.fromstring("<p/>"), {}).keys() == got.keys()
