@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,24 +20,32 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.progress import SLACK_MS, WINDOW_MS
 
 MAX_RPM = 600
+CHUNK = 65536  # answers that a task passes on at a time
 REQUEST = "provider string, run_id string, unit string, ms long, rpm int"
 GRANT = "provider string, run_id string, unit string, ms long, start_ms long"
 
 
 def _grant(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     starts = list(state.get[0]) if state.exists else []
-    asked = pd.concat(list(frames)).sort_values(["ms", "run_id", "unit"])
-    out = []
-    for ms, rpm in zip(asked["ms"].tolist(), asked["rpm"].tolist(), strict=True):
-        now = max(ms, starts[-1] if starts else ms)
-        rpm = min(MAX_RPM, max(1, int(rpm)))
-        if len(starts) >= rpm and starts[-rpm] > now - WINDOW_MS:
-            now = starts[-rpm] + WINDOW_MS + SLACK_MS
-        starts.append(now)
-        del starts[:-MAX_RPM]
-        out.append(now)
-    state.update((starts,))
-    yield asked[["provider", "run_id", "unit", "ms"]].assign(start_ms=out)
+    # as Arrow strings and numbers, a tenth of what rows of Python strings take; frames go as they come
+    held = [pa.table({"run_id": pa.array(f["run_id"], pa.string()), "unit": pa.array(f["unit"], pa.string()), "ms": pa.array(f["ms"], pa.int64()), "rpm": pa.array(f["rpm"], pa.int32())}) for f in frames]
+    asked = pa.concat_tables(held)
+    del held
+    order = pc.sort_indices(asked, [("ms", "ascending"), ("run_id", "ascending"), ("unit", "ascending")])
+    for at in range(0, len(order), CHUNK):
+        part = asked.take(order.slice(at, CHUNK))
+        out = []
+        for ms, rpm in zip(part["ms"].to_pylist(), part["rpm"].to_pylist(), strict=True):
+            now = max(ms, starts[-1] if starts else ms)
+            rpm = min(MAX_RPM, max(1, int(rpm)))
+            if len(starts) >= rpm and starts[-rpm] > now - WINDOW_MS:
+                now = starts[-rpm] + WINDOW_MS + SLACK_MS
+            starts.append(now)
+            del starts[:-MAX_RPM]
+            out.append(now)
+        if at + CHUNK >= len(order):
+            state.update((starts,))
+        yield pd.DataFrame({"provider": key[0], "run_id": part["run_id"].to_pandas(), "unit": part["unit"].to_pandas(), "ms": part["ms"].to_pandas(), "start_ms": out})
 
 
 def grants(requests: DataFrame) -> DataFrame:

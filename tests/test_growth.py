@@ -49,3 +49,25 @@ def test_a_paragraph_is_gone_through_once(monkeypatch):
     got = ooxml._paragraph(ElementTree.fromstring(parsed), {})
     assert not passes and (got["text"], got["style"], got["max_font_size"], got["list"]) == ("x\ty", "Title", 20.0, False)
     assert ooxml._paragraph(ElementTree.fromstring("<p/>"), {}).keys() == got.keys()
+
+
+def test_requests_of_a_provider_are_held_as_arrow(monkeypatch):
+    """Answers go out in parts, in order over all frames, and the state is kept once; no frames are put together by pandas."""
+    import pandas as pd
+
+    from folio.streaming import limits
+
+    class State:
+        exists, kept = False, None
+
+        def update(self, value):
+            self.kept = value
+
+    monkeypatch.setattr(limits, "CHUNK", 7)
+    monkeypatch.setattr(pd, "concat", lambda *_: 1 / 0)
+    rows = [("p", None if i % 9 == 8 else f"r{i % 2}", f"u{i:02}", 100 * (i * 7 % 5), 3) for i in range(20)]
+    frames = [pd.DataFrame(rows[i : i + 6], columns=["provider", "run_id", "unit", "ms", "rpm"]) for i in range(0, 20, 6)]
+    state = State()
+    got = [tuple(r) for f in limits._grant(("p",), iter(frames), state) for r in f.itertuples(index=False)]
+    want = sorted(rows, key=lambda r: (r[3], r[1] is None, r[1] or "", r[2]))
+    assert [r[1:4] for r in got] == [r[1:4] for r in want] and state.kept == ([r[4] for r in got],)
