@@ -71,3 +71,13 @@ def test_requests_of_a_provider_are_held_as_arrow(monkeypatch):
     got = [tuple(r) for f in limits._grant(("p",), iter(frames), state) for r in f.itertuples(index=False)]
     want = sorted(rows, key=lambda r: (r[3], r[1] is None, r[1] or "", r[2]))
     assert [r[1:4] for r in got] == [r[1:4] for r in want] and state.kept == ([r[4] for r in got],)
+
+
+def test_plain_texts_are_left_as_they_are(spark):
+    from pyspark.sql import functions as F
+
+    from folio.functions import text
+
+    rows = [("a b, é中.", "a b, é中."), (" a", "a"), ("a  b", "a b"), ("co- op", "coop"), ("A- op", "A- op"), ("( a )", "(a)"), ("a ,", "a,"), ("a b", "a b"), ("ﬁn", "fin"), ("x­y", "xy"), ("a\n", "a"), ("", "")]
+    got = spark.createDataFrame(rows, "t string, want string").select("want", text.normalize_extracted(F.col("t")).alias("got"), text._plain(F.col("t"), r"|- | [,.;:!?%)]|\( ").alias("plain")).collect()
+    assert [r.got for r in got] == [r.want for r in got] and [r.plain for r in got] == [True] + [False] * 10 + [True]
