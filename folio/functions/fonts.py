@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
 import numpy as np
 
 # Widths of Helvetica's characters U+0020 to U+007E, as in the metrics of the standard fonts.
@@ -20,14 +23,23 @@ LINE = (ASCENT + DESCENT + LEADING) / 1000
 
 _LATIN = np.full(256, OTHER, np.int64)
 _LATIN[0x20:0x7F] = HELVETICA
+_WIDTHS = _LATIN.tolist()
+_IS_LATIN = re.compile("[\x20-\x7e\xa0-\xff]*")
 
 
 def is_latin(text: str) -> bool:
     """Whether the first font has all characters of a text."""
-    return all("\x20" <= c <= "\x7e" or "\xa0" <= c <= "\xff" for c in text)
+    return _IS_LATIN.fullmatch(text) is not None
 
 
 def advances(text: str, latin: bool) -> np.ndarray:
     if latin:
         return _LATIN[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
     return np.where(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32) < 0x100, NARROW, WIDE).astype(np.int64)
+
+
+def sums(text: str, latin: bool) -> list[int]:
+    """Width of each start of a text, from the empty one to the whole."""
+    if latin:
+        return list(accumulate(map(_WIDTHS.__getitem__, text.encode("latin-1", "replace")), initial=0))
+    return list(accumulate([NARROW if c < "\u0100" else WIDE for c in text], initial=0))

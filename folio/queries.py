@@ -469,7 +469,7 @@ def pdf_table_layout(spark, sf_dir):
     rows = li.select("l_suppkey", F.floor(F.col("k") / 50).alias("table"), (F.col("k") % 50 + 1).alias("row"), F.posexplode(cells).alias("col", "source"))
     rows = rows.withColumns({"title": F.lit(None).cast("string"), "kind": F.lit("table-cell"), "translation": F.lit(None).cast("string"), "columns": F.lit(3)})
     rows = rows.withColumn("ord", F.col("table") * 1000 + F.col("row") * 10 + F.col("col"))
-    laid = pdf_export.layout(rows, "l_suppkey", "ord").where("op = 'box'")
+    laid = pdf_export.layout(rows, "l_suppkey", "ord", ops=frozenset({"box"}))
     place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("seq")) - 1
     laid = laid.withColumn("i", place).withColumn("k", F.floor(F.col("i") / 3))
     return laid.select("l_suppkey", F.col("page").cast("long").alias("page"), F.floor(F.col("k") / 50).alias("tab"), (F.col("k") % 50).cast("long").alias("row"), (F.col("i") % 3).cast("long").alias("col"), _parts_of(F.col("y"), 10000).alias("y"), _parts_of(F.col("height"), 10000).alias("height"))

@@ -15,10 +15,11 @@ characters are dropped; a word wider than its line is cut; a table row higher th
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,36 +63,41 @@ def wrap(text: str, width: float, size: float) -> list[tuple[str, int]]:
     limit = int(width * 1000 / size + 1e-9)
     latin = fonts.is_latin(text.replace("\n", ""))
     for part in text.split("\n"):
-        sums = np.concatenate([[0], np.cumsum(fonts.advances(part, latin))])
+        sums = fonts.sums(part, latin)
         at, n = 0, len(part)
         while True:
-            fits = int(np.searchsorted(sums, sums[at] + limit, side="right")) - 1
+            fits = bisect_right(sums, sums[at] + limit) - 1
             if fits >= n:
-                out.append((part[at:], int(sums[n] - sums[at])))
+                out.append((part[at:], sums[n] - sums[at]))
                 break
             space = part.rfind(" ", at, fits + 1)
             free = not latin and max(part[fits - 1 : fits + 1]) > "⺀"
             end = max(fits, at + 1) if free or space <= at else space
-            out.append((part[at:end], int(sums[end] - sums[at])))
+            out.append((part[at:end], sums[end] - sums[at]))
             at = end + (end < n and part[end] == " ")
     return out
 
 
+_of_cell = lru_cache(4096)(wrap)  # short cells are often the same
+
 LAID = "page int, seq int, op string, x double, y double, width double, height double, size double, spacing double, color string, latin boolean, text string"
 
+OPS = frozenset({"text", "fill", "box"})
+
 
 class _Flow:
-    """Where the next line of a document goes. Rows come out as tuples of LAID."""
+    """Where the next line of a document goes. Rows of the operators asked for come out as tuples of LAID."""
 
-    def __init__(self) -> None:
-        self.page, self.y, self.seq, self.out = 1, TOP, 0, []
+    def __init__(self, ops: frozenset[str] = OPS) -> None:
+        self.page, self.y, self.seq, self.out, self.ops = 1, TOP, 0, [], ops
 
     def turn(self) -> None:
         self.page, self.y = self.page + 1, TOP
 
     def put(self, page: int, op: str, x: float, y: float, width: float, height: float, size: float = 0.0, spacing: float = 0.0, color: str = "", latin: bool = True, text: str = "") -> None:
         self.seq += 1
-        self.out.append((page, self.seq, op, x, y, width, height, size, spacing, color, latin, text))
+        if op in self.ops:
+            self.out.append((page, self.seq, op, x, y, width, height, size, spacing, color, latin, text))
 
     def text(self, text: str, s: Style, keep: bool = True) -> None:
         lines = wrap(text, CONTENT, s.size)
@@ -113,17 +119,20 @@ class _Flow:
     def row(self, cells: list[str], columns: int, header: bool) -> None:
         wide = CONTENT / max(1, columns)
         high = CELL.size * fonts.LINE
-        lines = [wrap(c or " ", wide - 2 * CELL_PAD, CELL.size) for c in cells]
+        lines = [(_of_cell if len(c) <= 16 else wrap)(c or " ", wide - 2 * CELL_PAD, CELL.size) for c in cells]
         tall = max(ROW_LEAST, *(len(x) * (high + CELL.gap) + 2 * CELL_PAD for x in lines))
         if self.y + tall + CELL_ROOM > FLOOR:
             self.turn()
         page, y, last = self.page, self.y, (self.page, self.y + tall)
         for k, own in enumerate(lines):
-            x, latin = LEFT + k * wide, fonts.is_latin(cells[k].replace("\n", ""))
+            x = LEFT + k * wide
             if header:
                 self.put(page, "fill", x, y, wide, min(tall, FLOOR - y), color=HEADER_FILL)
             self.put(page, "box", x, y, wide, min(tall, FLOOR - y), color=GRID)
-            p, at = page, y + CELL_PAD
+            if "text" not in self.ops and y + tall <= FLOOR:  # no line goes to the next page
+                self.seq += sum(1 for t, _ in own if t.strip())
+                continue
+            p, at, latin = page, y + CELL_PAD, fonts.is_latin(cells[k].replace("\n", ""))
             for t, units in own:
                 if at + high > FLOOR:
                     p, at = p + 1, TOP
@@ -135,24 +144,28 @@ class _Flow:
         self.page, self.y = last
 
 
+_CONTROLS = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\x9f]")
+
+
 def _clean(t: str | None) -> str:
-    return re.sub(r"[\x00-\x09\x0b-\x1f\x7f-\x9f]", "", (t or "").replace("\t", " "))
+    return _CONTROLS.sub("", (t or "").replace("\t", " "))
 
 
-def layout(rows: DataFrame, key: str, order: str, mode: str = "parallel") -> DataFrame:
+def layout(rows: DataFrame, key: str, order: str, mode: str = "parallel", ops: frozenset[str] = OPS) -> DataFrame:
     """(key, page, seq, op text, fill or box, x, y from the top, width, height ...) of rows (key, order, title, kind,
-    source, translation); cells of tables (kind table-cell) have table, row, col and columns as well."""
+    source, translation); cells of tables (kind table-cell) have table, row, col and columns as well.
+
+    ops: the operators whose rows are wanted. All are laid out and numbered, but the others' rows are not made.
+    """
     cell = [c for c in ("table", "row", "col", "columns") if c in rows.columns]
     more = [F.col(c).cast("long").alias(c) if c in cell else F.lit(None).cast("long").alias(c) for c in ("table", "row", "col", "columns")]
-    pairs = F.when(F.col("kind") == "table-cell", F.array_join(F.transform(text_parts(F.col("source"), F.col("translation"), mode), lambda p: p["text"]), "\n"))
-    parts = F.when(F.col("kind") != "table-cell", text_parts(F.col("source"), F.col("translation"), mode))
-    r = rows.select(F.col(key).alias("_k"), F.col(order).alias("_o"), "title", F.coalesce("kind", F.lit("paragraph")).alias("kind"), "source", "translation", *more)
-    r = r.select("_k", "_o", "title", "kind", pairs.alias("cell"), F.transform(parts, lambda p: p["text"]).alias("texts"), F.transform(parts, lambda p: p["translated"]).alias("turned"), "table", "row", "col", "columns")
+    parts = text_parts(F.col("source"), F.col("translation"), mode).alias("parts")
+    r = rows.select(F.col(key).alias("_k"), F.col(order).alias("_o"), "title", F.coalesce("kind", F.lit("paragraph")).alias("kind"), parts, *more)
     n = max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flow, cells, of, last, began = _Flow(), [], None, None, False
+        flow, cells, of, last, began = _Flow(ops), [], None, None, False
 
         def end_row(next_table) -> None:
             nonlocal cells, of
@@ -165,24 +178,30 @@ def layout(rows: DataFrame, key: str, order: str, mode: str = "parallel") -> Dat
 
         for b in batches:
             done: list[tuple] = []
-            for r in b.to_pylist():
-                if not began or r["_k"] != last:
+            parts = b.column("parts")
+            flat = parts.flatten()
+            texts, turned = (_values(flat.field(c)) for c in ("text", "translated"))
+            at = 0
+            columns = (_values(b.column(c)) for c in ("_k", "title", "kind", "table", "row", "columns"))
+            for k, title, kind, table, row, wide, count in zip(*columns, _values(parts.value_lengths()), strict=True):
+                own, at = range(at, at + count), at + count
+                if not began or k != last:
                     end_row(None)
                     done += [(last, *x) for x in flow.out]
-                    flow, last, began = _Flow(), r["_k"], True
-                    if t := _clean(r["title"]):
+                    flow, last, began = _Flow(ops), k, True
+                    if t := _clean(title):
                         flow.text(t, TITLE, keep=False)
                         flow.y += TITLE_DOWN * TITLE.size * fonts.LINE
-                if r["kind"] == "table-cell":
-                    if of is None or (r["table"], r["row"]) != of[:2]:
-                        end_row(r["table"])
-                        of = (r["table"], r["row"], r["columns"])
-                    cells.append(_clean(r["cell"]))
+                if kind == "table-cell":
+                    if of is None or (table, row) != of[:2]:
+                        end_row(table)
+                        of = (table, row, wide)
+                    cells.append(_clean(texts[own[0]] if count == 1 else "\n".join([texts[i] for i in own])))
                 else:
                     end_row(None)
-                    for t, turned in zip(r["texts"], r["turned"], strict=True):
-                        if t := _clean(t):
-                            flow.text(t, style(r["kind"], turned))
+                    for i in own:
+                        if t := _clean(texts[i]):
+                            flow.text(t, style(kind, turned[i]))
                 if len(flow.out) > 10_000:
                     done, flow.out = done + [(last, *x) for x in flow.out], []
             yield from _batch(done, kind_)
@@ -194,6 +213,16 @@ def layout(rows: DataFrame, key: str, order: str, mode: str = "parallel") -> Dat
     return held.mapInArrow(run, f"_k {kind}, {LAID}").withColumnRenamed("_k", key)
 
 
+def _values(column: pa.Array) -> list:
+    """to_pylist(), in one step for the types that have one."""
+    plain = pa.types.is_integer(column.type) or pa.types.is_boolean(column.type)
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if pa.types.is_string(column.type) or plain and not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def pa_type(spark_type) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -168,3 +168,12 @@ def test_extraction(spark, tmp_path):
     assert texts["a.pdf"] == ("Report\n\nThe first paragraph.\n\nThe second one.", None)  # the number of the page is no text
     got = sorted((r.path.rpartition("/")[2], r.para_id or "", r.text or "", r.error or "") for r in documents.extract(found).collect())
     assert ("b.pdf", "", "", pdf.NO_TEXT) in got and ("a.pdf", "p-1", "Report", "") in got and ("c.txt", "p-1", "plain", "") in got
+
+
+def test_layout_of_some_operators(spark):
+    """Boxes alone stand where they stand among all, rows that are higher than a page included."""
+    rows = [("a", i, None, "table-cell", "word " * n, None, 1, 1 + i // 2, i % 2, 2) for i, n in enumerate([1, 900, 3, 3, 40, 2] * 4)] + [("a", 99, None, "paragraph", "end", "fin", None, None, None, None)]
+    df = spark.createDataFrame(rows, ROW)
+    whole = sorted(map(tuple, pdf_export.layout(df, "d", "ord").where("op = 'box'").collect()))
+    assert len(whole) == 24 and sorted(map(tuple, pdf_export.layout(df, "d", "ord", ops=frozenset({"box"})).collect())) == whole
+    assert fonts.sums("a b", True) == [0, 556, 834, 1390] and fonts.sums("aĀ", False) == [0, 500, 1500]
