@@ -950,10 +950,10 @@ FROM s WHERE stored OR latex IS NOT NULL
 """)
 def docx_pictures(spark, sf_dir):
     """Pictures of written files: bytes found by their relation, sizes and descriptions; LaTeX where there is no picture."""
-    f = _illustrated(spark, sf_dir)
-    found = ooxml.docx_assets(f).select("path", "asset_id", F.sha2("data", 256).alias("digest"))
-    raw = ooxml.raw_paragraphs(f).where("size(visuals) > 0 or style = 'Caption'").select("path", "seq", "text", F.explode_outer("visuals").alias("v"))
-    both = raw.select("path", "seq", "text", F.col("v.asset_id").alias("asset_id"), "v.width", "v.height", "v.alt").join(found, ["path", "asset_id"], "left")
+    found = ooxml.docx_contents(_illustrated(spark, sf_dir)).where("asset_id is not null or size(visuals) > 0 or style = 'Caption'")
+    found = found.select("path", "seq", "text", "asset_id", F.sha2("data", 256).alias("digest"), F.explode_outer("visuals").alias("v"))
+    own = Window.partitionBy("path", F.coalesce("asset_id", "v.asset_id"))  # a picture and the places that show it
+    both = found.repartition("path").withColumn("digest", F.max("digest").over(own)).where("seq is not null").select("path", "seq", "text", "digest", "v.width", "v.height", "v.alt")
     n = F.row_number().over(Window.partitionBy("path").orderBy("seq")).cast("long")
     return both.select(_docx_key("page_id"), n.alias("n"), "digest", "width", "height", F.coalesce("alt", "text").alias("shown"))
 
@@ -964,10 +964,9 @@ SELECT page_id, count(DISTINCT CASE WHEN pic = 'png' THEN 0 WHEN pic IN ('gif',
 """)
 def docx_assets(spark, sf_dir):
     """How many pictures a written file holds, equal ones once, shows, and how many paragraphs stand beside them."""
-    f = _illustrated(spark, sf_dir)
-    held = ooxml.docx_assets(f).groupBy("path").agg(F.count("asset_id").alias("assets"))
-    raw = ooxml.raw_paragraphs(f).groupBy("path").agg(F.count_if(F.expr("size(visuals) > 0")).alias("images"), F.count_if(F.expr("first_line > 0 and style = '' and justification = 'both'")).alias("paragraphs"))
-    return raw.join(held, "path", "left").select(_docx_key("page_id"), F.coalesce("assets", F.lit(0).cast("long")).alias("assets"), "images", "paragraphs")
+    images, paragraphs = F.expr("size(visuals) > 0"), F.expr("first_line > 0 and style = '' and justification = 'both'")
+    found = ooxml.docx_contents(_illustrated(spark, sf_dir)).groupBy("path").agg(F.count("asset_id").alias("assets"), F.count_if(images).alias("images"), F.count_if(paragraphs).alias("paragraphs"))
+    return found.select(_docx_key("page_id"), "assets", "images", "paragraphs")
 
 
 # --- rendering and the store --------------------------------------------------------------------------------------

@@ -116,8 +116,8 @@ def docx(rows: DataFrame, key: str, order: str, title: str, mode: str = "paralle
     kinds = {"asset_id": "string", "latex": "string", "width": "double", "height": "double", "alt": "string"}
     r = rows.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(title).alias("_title"), F.coalesce("kind", F.lit("paragraph")).alias("kind"), "source", "translation", *(F.col(c).cast(kinds[c]) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in shown))
     visual = F.col("kind").isin("image", "formula")
-    text = r.where(~visual).select("_k", "_o", "kind", F.posexplode(text_parts(F.col("source"), F.col("translation"), mode)).alias("_n", "p"))
-    plain = text.select("_k", "_o", "_n", F.when(F.col("kind") == "table", _cat(table(F.col("p.text")), '<w:p><w:pPr><w:spacing w:after="180"/></w:pPr></w:p>')).otherwise(paragraph(F.col("p.text"), F.col("kind"), F.col("p.translated"), first_line)).alias("xml"))
+    text = r.where(~visual).select("_k", "_o", "_title", "kind", F.posexplode_outer(text_parts(F.col("source"), F.col("translation"), mode)).alias("_n", "p"))
+    plain = text.select("_k", "_o", "_n", "_title", F.when(F.col("p").isNull(), None).when(F.col("kind") == "table", _cat(table(F.col("p.text")), '<w:p><w:pPr><w:spacing w:after="180"/></w:pPr></w:p>')).otherwise(paragraph(F.col("p.text"), F.col("kind"), F.col("p.translated"), first_line)).alias("xml"))
     media = None
     seen = r.where(visual).withColumn("_n", F.lit(0))
     caption = F.when(js.text(F.col("latex")) != "", paragraph(F.col("latex"), F.lit("caption"), F.lit(False), 0))
@@ -130,12 +130,12 @@ def docx(rows: DataFrame, key: str, order: str, title: str, mode: str = "paralle
         media = used.groupBy("_k", "n").agg(F.min(F.struct("ext", "data")).alias("m")).groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("n", "m.ext", "m.data"))).alias("media"))
         seen = seen.join(used.select("_k", "asset_id", "n"), ["_k", "asset_id"], "left")
         caption = F.when(F.col("n").isNotNull(), picture(_cat("p", F.col("n").cast("string")), F.col("n"), F.col("width"), F.col("height"), F.col("alt"))).otherwise(caption)
-    both = plain.unionByName(seen.select("_k", "_o", "_n", caption.alias("xml"))).where("xml is not null")
-    body = both.groupBy("_k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_n", "xml"))), lambda x: x["xml"]), "").alias("body"))
-    docs = r.groupBy("_k").agg(F.max("_title").alias("_title")).join(body, "_k", "left")
+    both = plain.unionByName(seen.select("_k", "_o", "_n", "_title", caption.alias("xml")))
+    block = F.when(F.col("xml").isNotNull(), F.struct("_o", "_n", "xml"))  # every row has its title, not every one a block
+    docs = both.groupBy("_k").agg(F.max("_title").alias("_title"), F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["xml"]), "").alias("body"))
     top = F.when(js.text(F.col("_title")) == "", "").otherwise(_cat('<w:p><w:pPr><w:pStyle w:val="Title"/><w:spacing w:after="480"/><w:jc w:val="center"/></w:pPr><w:r><w:t xml:space="preserve">', escaped(F.col("_title")), "</w:t></w:r></w:p>"))
     head = f'{XML}<w:document xmlns:w="{WORD}" xmlns:r="{OFFICE}" xmlns:wp="{DRAWING}/wordprocessingDrawing"><w:body>'
-    docs = docs.select("_k", _cat(head, top, F.coalesce("body", F.lit("")), f'<w:sectPr><w:footerReference w:type="default" r:id="f1"/>{PAGE}</w:sectPr></w:body></w:document>').alias("document"))
+    docs = docs.select("_k", _cat(head, top, F.col("body"), f'<w:sectPr><w:footerReference w:type="default" r:id="f1"/>{PAGE}</w:sectPr></w:body></w:document>').alias("document"))
     none = F.array().cast("array<struct<n:int,ext:string,data:binary>>")
     docs = docs.join(media, "_k", "left").withColumn("media", F.coalesce("media", none)) if media is not None else docs.withColumn("media", none)
     docs = docs.select("_k", "document", F.transform("media", lambda m: _cat("image", m["n"].cast("string"), ".", m["ext"])).alias("names"), F.transform("media", lambda m: m["data"]).alias("data"))

@@ -213,3 +213,19 @@ def test_docx_with_pictures(spark):
     for name in z.namelist():
         if name.endswith((".xml", ".rels")):
             ooxml.Package(out["a"]).xml(name)
+
+
+def test_docx_contents_reads_each_file_once(spark):
+    """Assets and paragraphs of one reading are those of two; a document without blocks has its title, a broken file an error."""
+    rows = [("a", 1, "T", "image", None, None, "x", None, 30.0, 20.0, "alt"), ("a", 2, "T", "paragraph", "one", "two", None, None, None, None, None), ("b", 1, "Only", "paragraph", "", None, None, None, None, None, None)]
+    rows = spark.createDataFrame(rows, "k string, o int, t string, kind string, source string, translation string, asset_id string, latex string, width double, height double, alt string")
+    held = spark.createDataFrame([("a", "x", "image/png", b"data"), ("a", "y", "image/png", b"unused")], "k string, asset_id string, mime_type string, data binary")
+    made = docx_export.docx(rows, "k", "o", "t", assets=held).collect()
+    f = spark.createDataFrame([(r.k, "docx", bytes(r.content)) for r in made] + [("c", "docx", b"?")], "path string, ext string, content binary")
+    found = ooxml.docx_contents(f).collect()
+    pick = lambda df, c: sorted(str([r[x] for x in c]) for r in df)
+    a, p = ["path", "asset_id", "mime_type", "data"], ["path", "seq", "text", "visuals", "style"]
+    assert pick([r for r in found if r.asset_id], a) == pick([r for r in ooxml.docx_assets(f).collect() if r.asset_id], a) and len([r for r in found if r.asset_id]) == 1
+    assert pick([r for r in found if r.seq is not None], p) == pick([r for r in ooxml.raw_paragraphs(f).collect() if r.seq is not None], p)
+    assert [(r.path, r.text) for r in sorted(found, key=lambda r: (r.path, r.seq or 0)) if r.text] == [("a", "T"), ("a", "one"), ("a", "two"), ("b", "Only")]
+    assert [(r.path, r.asset_id, r.seq) for r in found if r.error] == [("c", None, None)]
