@@ -143,7 +143,7 @@ class Model:
                 out.append(self.unk_id)
         return out
 
-    def whole(self, texts: pa.Array, limit: int = 200_000) -> pa.Array:
+    def whole(self, texts: pa.Array, limit: int = 50_000) -> pa.Array:
         """Ids of whole texts (none of them null) as little-endian unsigned 32-bit bytes.
 
         Arrow finds the distinct words and puts the ids of each place together. Words are kept in two generations of `limit`.

@@ -138,3 +138,13 @@ def test_keys_are_those_of_each_evaluation(spark):
     enc = P.encode(docs, chunk=512)
     one, two = ({(r.doc_id, r.key, r.part) for r in enc.select("doc_id", "key", "part").collect()} for _ in range(2))
     assert one == two and len({k for _, k, _ in one}) == docs.count()
+
+
+def test_kept_words_are_bounded():
+    """Memory of a worker: two generations of words, whatever the number of different ones, and the same ids after they turned."""
+    m = P.Model(open(P.vocabulary("piece_bpe_32k.model"), "rb").read())
+    texts = [" ".join(f"w{i}" for i in range(a, a + 20_000)) for a in range(0, 200_000, 20_000)]
+    first = m.whole(pa.array(texts[:1])).to_pylist()
+    for t in texts:
+        m.whole(pa.array([t]))
+    assert len(m.words) + len(m.older) <= 2 * 70_000 and m.whole(pa.array(texts[:1])).to_pylist() == first
