@@ -19,6 +19,7 @@ unless the component has no other; further columns are ignored; an empty table g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -177,6 +178,7 @@ def forest(groups: list[np.ndarray], fps: np.ndarray, radius: int, agree=None, r
 
 def _alike(sig: pa.Array, similarity: float):
     """agree() for forest() from sketches, and the list to which it adds the pairs that they leave in doubt."""
+    margin = margin_of(similarity)
     raw = sig.to_pylist()
     size = np.array([len(x) // 4 for x in raw], np.int64)
     ends = np.cumsum(size)
@@ -193,9 +195,9 @@ def _alike(sig: pa.Array, similarity: float):
         mark[own] = False
         exact = (n < SKETCH) & (size[i] < SKETCH)
         out = exact & (common / (size[i] + n - common) >= similarity)
-        for k in np.flatnonzero(~exact & (common / SKETCH >= similarity - DOUBT)).tolist():  # no estimate is above that
+        for k in np.flatnonzero(~exact & (common / SKETCH >= similarity - margin)).tolist():  # no estimate is above that
             share, _ = jaccard(np.frombuffer(raw[i], np.uint32), np.frombuffer(raw[rows[k]], np.uint32))
-            if abs(share - similarity) > DOUBT:
+            if abs(share - similarity) > margin:
                 out[k] = share >= similarity
             else:
                 doubt.append((int(i), int(rows[k])))
@@ -291,14 +293,43 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, block: int =
 
 # --- similarity of word shingles ----------------------------------------------------------------------------------
 
-BANDS, ROWS = 24, 5
-SLOTS = BANDS * ROWS
+SLOTS = 120  # hash functions of the bands, at most
+MISSED = 0.000075  # chance that a pair just at the threshold shares no band, at most
 SKETCH = 1024
-DOUBT = 0.06  # estimates this near the threshold (4.8 deviations) are settled by the whole sets
+DOUBT = 4.8  # estimates within so many deviations of the threshold are settled by the whole sets
 _MULT = np.random.default_rng(7).integers(1, 1 << 32, SLOTS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = np.random.default_rng(8).integers(0, 1 << 32, SLOTS, dtype=np.uint64).astype(np.uint32)
 
 
+def bands_of(similarity: float) -> tuple[int, int]:
+    """(bands, rows): the longest bands by which SLOTS hash functions miss a pair at the similarity as MISSED allows."""
+    for rows in range(SLOTS, 0, -1):
+        hit = similarity**rows
+        bands = 1 if hit == 1 else math.ceil(math.log(MISSED) / math.log1p(-hit)) if hit > 1e-9 else SLOTS + 1
+        if bands * rows <= SLOTS:
+            return bands, rows
+    raise ValueError(f"similarity {similarity} is too low for {SLOTS} hash functions")
+
+
+def radius_of(similarity: float) -> int:
+    """The least radius beyond which lie under three in 10^11 fingerprints of sets that are as similar.
+
+    A bit differs with the angle of the two sets as vectors, which at one similarity is widest for sets of one size.
+    """
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    beyond = 0.0
+    for r in range(64, 0, -1):
+        beyond += math.comb(64, r) * p**r * (1 - p) ** (64 - r)
+        if beyond >= 3e-11:
+            return r
+    return 0
+
+
+def margin_of(similarity: float) -> float:
+    """How near the similarity the estimate of a sketch leaves a pair in doubt."""
+    return DOUBT * math.sqrt(similarity * (1 - similarity) / SKETCH)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[float, bool]:
     """Similarity from two bottom-k sketches (sorted, distinct), and whether it is exact.
 
@@ -324,18 +355,19 @@ def _node(text: str | None) -> bytes:
     return xxhash.xxh128_digest(b" ".join(text.encode().translate(_LOWER).split())) if text else xxhash.xxh128_digest(b"")
 
 
-def whole_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(node, whole): all distinct shingles, sorted, of each text that can be alike to one of over SKETCH shingles."""
+def whole_sets(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, whole): all distinct shingles, sorted, of each text that can be alike to one of SKETCH shingles or more."""
+    least = math.ceil(similarity * SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
             texts = b.column("text").to_pylist()
             w = split_words(texts)
             sets = [(t, np.unique(_shingles(w.hash[w.first[i] : w.first[i + 1]], shingle))) for i, t in enumerate(texts)]
-            sets = [(_node(t), g.tobytes()) for t, g in sets if len(g) >= SKETCH // 2]
+            sets = [(_node(t), g.tobytes()) for t, g in sets if len(g) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sets], pa.binary()), pa.array([x[1] for x in sets], pa.binary())], ["node", "whole"])
 
-    return only(docs, "text").where(F.length("text") >= SKETCH).mapInArrow(run, "node binary, whole binary")
+    return only(docs, "text").where(F.length("text") >= 2 * least - 1).mapInArrow(run, "node binary, whole binary")
 
 
 def settle(doubt: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -351,14 +383,15 @@ def settle(doubt: DataFrame, docs: DataFrame, shingle: int, similarity: float) -
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = doubt.select(F.col("u").alias("node")).unionByName(doubt.select(F.col("v").alias("node"))).distinct()
-    sets = whole_sets(docs, shingle).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("whole").alias("whole"))
+    sets = whole_sets(docs, shingle, similarity).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("whole").alias("whole"))
     sets = materialise(sets, "sets")
     both = doubt.join(sets.select(F.col("node").alias("u"), F.col("whole").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("whole").alias("b")), "v")
     return materialise(both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary"), "settled")
 
 
-def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, node, fp, sig, bands): 128 bits for the word sequence, SimHash, sketch of the shingles and band keys."""
+    bands, rows = bands_of(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
@@ -372,13 +405,13 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 at[i + 1] = at[i] + len(g)
             g = np.concatenate(gram)
             low = (g >> np.uint64(32)).astype(np.uint32)
-            least = np.empty((n, SLOTS), np.uint32)
-            for j in range(SLOTS):
+            least = np.empty((n, bands * rows), np.uint32)
+            for j in range(bands * rows):
                 least[:, j] = np.minimum.reduceat(low * _MULT[j] + _ADD[j], at[:-1])
             sig = [np.unique(low[at[i] : at[i + 1]])[:SKETCH] for i in range(n)]
-            band = least.reshape(n, BANDS, ROWS).astype(np.uint64)
-            key = np.tile(np.arange(BANDS, dtype=np.uint64), (n, 1))
-            for r in range(ROWS):
+            band = least.reshape(n, bands, rows).astype(np.uint64)
+            key = np.tile(np.arange(bands, dtype=np.uint64), (n, 1))
+            for r in range(rows):
                 key = mix((key ^ band[:, :, r]) * np.uint64(0x9E3779B97F4A7C15))
             fp = np.zeros(n, np.uint64)
             for i in range(n):
@@ -393,7 +426,7 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
                     pa.array([_node(t) for t in texts], pa.binary()),
                     pa.array(fp.view(np.int64)),
                     pa.array([x.tobytes() for x in sig], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(key.view(np.int64).ravel())),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.view(np.int64).ravel())),
                 ],
                 ["doc_id", "node", "fp", "sig", "bands"],
             )
@@ -403,16 +436,18 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, node binary, fp long, sig binary, bands array<long>")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 32, block: int = BLOCK) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int | None = None, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) for each row: components of texts whose word shingles are alike.
 
-    The fingerprints are of distinct shingles: at 0.8 they differ in some 10 to 12 bits with a deviation of 3, so that a
-    radius of 32 loses no pair in 10^9. A pair at Jaccard similarity 0.8 shares a band with probability 0.99993 (0.85: 0.999998). Sketches hold all
+    Bands, radius and doubt follow the similarity, so that any of them finds its pairs; the lower it is, the shorter are
+    the bands and the less does the radius drop. The fingerprints are of distinct shingles: a pair just at the threshold
+    lies over the radius three times in 10^11, and shares no band with probability MISSED. Sketches hold all
     shingles of texts of up to SKETCH; beyond, the estimate has a standard deviation of 0.0125 at 0.8, and pairs within
-    DOUBT of the threshold are compared by their whole sets. A block of
+    DOUBT deviations of the threshold are compared by their whole sets. A block of
     over `block` distinct texts is dealt as pairs of tiles, so that none is held whole by one task.
     """
-    rows = materialise(signatures(docs, shingle), "signatures")
+    radius = radius_of(similarity) if radius is None else radius
+    rows = materialise(signatures(docs, shingle, similarity), "signatures")
     nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sig").alias("sig"), F.min("bands").alias("bands"))
     nodes = materialise(nodes, "nodes")
     named = materialise(rows.select("doc_id", "node"), "named")

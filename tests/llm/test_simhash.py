@@ -194,3 +194,60 @@ def test_similar_groups_of_a_whole_table(spark):
             root[y] = x
     assert pairs > 50
     assert {r.doc_id: r.component_id for r in S.similar_groups(docs).collect()} == {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("similarity", [0.4, 0.5, 0.65])
+def test_similar_groups_under_the_default(spark, similarity):
+    """Bands follow the similarity: all pairs of a table, by whole sets of word 5-grams, give the same components."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets, holders, common = {}, defaultdict(list), defaultdict(int)
+    for r in docs.collect():
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "").encode().split()
+        k = min(5, len(w))
+        sets[r.doc_id] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else {()}
+        for g in sets[r.doc_id]:
+            holders[g].append(r.doc_id)
+    for g in holders.values():
+        for i, a in enumerate(g):
+            for b in g[i + 1 :]:
+                common[a, b] += 1
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    lower = 0
+    for (a, b), n in common.items():
+        share = n / (len(sets[a]) + len(sets[b]) - n)
+        if share >= similarity:
+            lower += share < 0.8
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert lower > 30
+    assert {r.doc_id: r.component_id for r in S.similar_groups(docs, similarity=similarity).collect()} == {i: find(i) for i in sets}
+
+
+def test_similar_groups_of_a_long_text_and_its_part(spark):
+    """Under 0.5 a text of over 1024 shingles is alike to parts of under 512; whole sets settle both sides of 0.4."""
+    rnd = random.Random(9)
+    rows, want = [], []
+    for k in range(40):
+        n = 1030 + 5 * k
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        part = base[: round(0.4 * (n - 4)) + 4 + (5 if k % 2 else -5)]
+        want.append((len(part) - 4) / (n - 4) >= 0.4)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(part))]
+    got = dict(map(tuple, S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.4).collect()))
+    right = sum((got[2 * k + 1] == 2 * k) == want[k] for k in range(40))
+    assert sum(want) == 20 and right == 40, f"RIGHT {right} of 40"
+
+
+@pytest.mark.parametrize("similarity", [0.1, 0.3, 0.4, 0.5, 0.8, 0.95, 1.0])
+def test_bands(similarity):
+    bands, rows = S.bands_of(similarity)
+    assert bands * rows <= S.SLOTS and (1 - similarity**rows) ** bands <= S.MISSED
+    assert [S.bands_of(0.8), S.radius_of(0.8), round(S.margin_of(0.8), 9)] == [(24, 5), 32, 0.06]
+    with pytest.raises(ValueError, match="too low"):
+        S.bands_of(0.01)
