@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import blocks as B
 from ..operators import dispatch, progress, segment
+from ..operators.spread import spread
 from ..sources import files as S
 from ..sources import ooxml, pdf
 
@@ -36,7 +37,7 @@ def _folded(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     A table ends a run of paragraphs, so runs are folded by themselves. A file's rows stay together from here on, so that
     all that is grouped below files needs no further shuffle.
     """
-    raw = ooxml.raw_paragraphs(files).where("error is null").repartition("path").withColumn("text", text.normalize_extracted(F.col("text")))
+    raw = spread(ooxml.raw_paragraphs(files).where("error is null"), "path").withColumn("text", text.normalize_extracted(F.col("text")))
     full = B.classify(raw)
     return B.fold(full.where("table_no = 0"), ["path", "part"]), B.fold(full.where("table_no > 0"), ["path", "table_no", "row", "col"])
 
@@ -56,7 +57,7 @@ def docx_counters(files: DataFrame) -> DataFrame:
     """(path, formulas, furniture, duplicates, merged, images): what the rebuilding of each DOCX file came upon; images
     are those of the body."""
     names = ["formulas", "furniture", "duplicates", "merged"]
-    raw = ooxml.raw_paragraphs(files).where("error is null").repartition("path").withColumn("text", text.normalize_extracted(F.col("text")))
+    raw = spread(ooxml.raw_paragraphs(files).where("error is null"), "path").withColumn("text", text.normalize_extracted(F.col("text")))
     all_ = B.fold(B.classify(raw), ["path", "part", "table_no", "row", "col"])  # a run of paragraphs, or a cell
     images = F.when(F.col("table_no") == 0, F.size(F.filter("blocks", lambda b: b["type"] == "image"))).otherwise(0)
     rows = all_.select("path", *names, images.alias("images"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import js, numbers
 from ..operators.exports import text_parts
+from ..operators.spread import spread
 
 # Namespaces and types of the format's parts.
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
@@ -132,7 +133,7 @@ def docx(rows: DataFrame, key: str, order: str, title: str, mode: str = "paralle
         caption = F.when(F.col("n").isNotNull(), picture(_cat("p", F.col("n").cast("string")), F.col("n"), F.col("width"), F.col("height"), F.col("alt"))).otherwise(caption)
     both = plain.unionByName(seen.select("_k", "_o", "_n", "_title", caption.alias("xml")))
     block = F.when(F.col("xml").isNotNull(), F.struct("_o", "_n", "xml"))  # every row has its title, not every one a block
-    docs = both.groupBy("_k").agg(F.max("_title").alias("_title"), F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["xml"]), "").alias("body"))
+    docs = spread(both, "_k").groupBy("_k").agg(F.max("_title").alias("_title"), F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["xml"]), "").alias("body"))
     top = F.when(js.text(F.col("_title")) == "", "").otherwise(_cat('<w:p><w:pPr><w:pStyle w:val="Title"/><w:spacing w:after="480"/><w:jc w:val="center"/></w:pPr><w:r><w:t xml:space="preserve">', escaped(F.col("_title")), "</w:t></w:r></w:p>"))
     head = f'{XML}<w:document xmlns:w="{WORD}" xmlns:r="{OFFICE}" xmlns:wp="{DRAWING}/wordprocessingDrawing"><w:body>'
     docs = docs.select("_k", _cat(head, top, F.col("body"), f'<w:sectPr><w:footerReference w:type="default" r:id="f1"/>{PAGE}</w:sectPr></w:body></w:document>').alias("document"))
