@@ -1,30 +1,45 @@
 """Queries whose rows cost much each: every shuffle partition is a task of its own, and files are read with less work."""
 
 import io
+import re
 import zipfile
 from xml.etree import ElementTree
 
 import pytest
+from pyspark.sql import functions as F
 
+from folio.functions import text
+from folio.operators import layout
 from folio.queries import QUERIES
 from folio.sources import docx_export, ooxml
 
 SF = "/root/testdata/sf0.001"
 
 
-def tasks_of(spark, df):
-    """Tasks in the stages of a query that read a shuffle, and its rows."""
-    rows = df.rdd.getNumPartitions()
-    return rows, df.count()
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["docx_tables"])
+@pytest.mark.parametrize("name", ["docx_tables", "table_detect"])
 def test_partitions_of_costly_rows_are_not_put_together(spark, name):
-    spark.conf.set("spark.sql.shuffle.partitions", "7")
-    try:
-        assert tasks_of(spark, QUERIES[name](spark, SF))[0] == 7
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF))
+
+
+def test_tokens_are_joined_without_patterns(spark):
+    marks = [*text.CLOSING, *text.CLOSING_BRACKETS, *text.OPENING, "-", "/", "\u33ff", "\u3400", "\u9fff", "\ua000", "\U00020000", "a", "^", "\\"]
+    df = spark.createDataFrame([(a, b) for a in marks for b in marks], "a string, b string")
+    one = lambda c, chars: f"[{''.join(map(re.escape, chars))}\u3400-\u9fff]"
+    tight = lambda a, b: re.match(one(b, text.CLOSING + text.CLOSING_BRACKETS), b) or re.match(one(a, text.OPENING), a)
+    lines = lambda a, b: re.match(one(a, "-/"), a) or re.match("[\u3400-\u9fff]", b)
+    got = df.select("a", "b", text.join_tokens(F.array("a", "b")).alias("t"), text.join_lines(F.array("a", "b")).alias("l"))
+    for r in got.collect():
+        assert r.t == (r.a + r.b if tight(r.a, r.b) else f"{r.a} {r.b}") and r.l == (r.a + r.b if lines(r.a, r.b) else f"{r.a} {r.b}"), r
+    assert "RLIKE" not in plan(df.select(text.join_squeezed(F.array("a", "b"))))
+
+
+def test_two_anchors_or_the_only_one_are_near():
+    assert layout._covered([0.0, 50.0], [1.0, 49.0], 2.0) and not layout._covered([0.0, 50.0], [1.0, 45.0], 2.0) and layout._covered([7.0], [5.0], 2.0) and not layout._covered([], [5.0], 2.0)
+    assert not layout._covered([1.0, 1.5], [1.0, 45.0], 2.0) and layout._covered([1.0], [0.0, 2.0], 2.0)
 
 
 @pytest.mark.parametrize("inner", ["<r><t>a</t></r><r><t/><t>b</t></r>", "<r><t>a<x>b</x>c</t></r>", "<pPr><tabs><tab/></tabs></pPr><r><t>a</t><tab/><t>b</t><br><t>c</t></br></r>", "<r>out<t>a</t>out</r>", "<pPr/>"])
