@@ -37,7 +37,7 @@ BULLET = "\\A[•▪◦\uf0b7]"
 
 def furniture(c: Column) -> Column:
     """Running heads and page numbers."""
-    return js.test(c, "|".join(f"(?:{p})" for p in FURNITURE))
+    return js.test(c, rf"\A(?:{'|'.join(f'(?:{p})' for p in FURNITURE)})")  # the common \A keeps it to the first character
 
 
 def heading(p: DataFrame | None = None) -> Column:

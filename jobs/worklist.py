@@ -32,7 +32,8 @@ log = logging.getLogger("jobs.worklist")
 
 def units(documents: DataFrame, limit: int) -> DataFrame:
     """(lang, text_id, text, n_chars, uses, doc_id, ord) of each distinct text; ord: the line, from 1."""
-    lines = documents.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("seq", "text")).withColumn("text", text.normalize_extracted(F.col("text")))
+    # cleaned before the lines become rows: the rules below would each clean a column again
+    lines = documents.select("doc_id", "lang", F.posexplode(F.transform(F.split("text", "\n"), text.normalize_extracted)).alias("seq", "text"))
     told = lines.where((F.col("text") != "") & ~blocks.furniture(F.col("text")) & segment.translatable(F.col("text")))
     pieces = told.select("doc_id", "lang", (F.col("seq") + 1).cast("long").alias("ord"), F.explode(segment.long_text(F.col("text"), limit)).alias("text"))
     one = pieces.groupBy("lang", "text").agg(F.count("*").alias("uses"), F.min(F.struct("doc_id", "ord")).alias("at"))

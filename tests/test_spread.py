@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import text
-from folio.operators import layout
+from folio.operators import blocks, layout
 from folio.queries import QUERIES
 from folio.sources import docx_export, ooxml
+from jobs import worklist
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +62,16 @@ def test_relations_that_files_share_are_parsed_once(monkeypatch):
     for _ in range(2):  # what is refused stays refused
         with pytest.raises(ValueError, match="refused"):
             ooxml.assets(ooxml.Package(bad.getvalue()))
+
+
+def test_lines_of_a_work_list_are_cleaned_once(spark):
+    docs = spark.createDataFrame([(1, "co- operate , so ( it ) is\n12\narXiv:1 2101.00001\nfine text", "en")], "doc_id long, text string, lang string")
+    units = worklist.units(docs, 2800)
+    assert sorted((r.ord, r.text) for r in units.collect()) == [(1, "cooperate, so (it) is"), (4, "fine text")]
+    assert units._jdf.queryExecution().optimizedPlan().toString().count("{2,})-[") == 1  # the pattern for broken words
+
+
+def test_running_heads_are_looked_for_at_the_start(spark):
+    rows = [("ARXIV: x 2101.00001v1", True), ("x arXiv: 2101.00001", False), ("[q-fin.PM] 3 Jan 2021", True), (" [q-fin.PM] 3 Jan 2021", False), ("J. Risk Financial Manag. 2021 https://x", True), ("123", True), ("1234", False), ("a\n123", False), ("", False), (None, False)]
+    df = spark.createDataFrame(rows, "t string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", blocks.furniture(F.col("t")).alias("got")).collect())
