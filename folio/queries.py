@@ -11,7 +11,7 @@ import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -810,11 +810,12 @@ def _packed(df: DataFrame, key: str, rows: str, make: Callable[[list], dict[str,
                 z.writestr(name, data)
         return out.getvalue()
 
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({key: f[key], "content": [one(make(list(r))) for r in f[rows]]})
+    def run(batches):
+        for b in batches:
+            content = pa.array([one(make(r)) for r in b.column(rows).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(key), content], [key, "content"])
 
-    return df.select(key, rows).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, content binary")
+    return df.select(key, rows).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, content binary")
 
 
 _EXTS = ["txt", "md", "CSV", "html", "htm", "exe", "tar.json"]
@@ -854,7 +855,8 @@ SELECT l_orderkey, '【Sheet 1】' || chr(10) || string_agg(flag || chr(9) || n
 """)
 def xlsx_text(spark, sf_dir):
     """Orders as workbooks, read back: shared strings, numbers, sheets in the order of their numbers."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("int").alias("q")))).alias("rows"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("int").alias("q"))
+    li = spread(li, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", "flag", "q"))).alias("rows"))
     f = _file(_packed(li, "l_orderkey", "rows", _sheet), "l_orderkey", "xlsx", F.col("content"))
     return files.extract_text(f).select(F.substring_index("name", ".", 1).cast("long").alias("l_orderkey"), "text")
 

@@ -21,7 +21,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["docx_tables", "table_detect", "weighting_table"])
+@pytest.mark.parametrize("name", ["docx_tables", "table_detect", "weighting_table", "xlsx_text"])
 def test_partitions_of_costly_rows_are_not_put_together(spark, name):
     assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF))
 
